@@ -103,16 +103,22 @@ def parse_process_models(files: DataFrame) -> dict[str, DataFrame]:
     def of(kind: str, *columns) -> DataFrame:
         return parsed.filter(F.col("kind") == kind).select(*columns).distinct()
 
+    nodes = of(
+        "node", "process_id", F.col("id").alias("node_id"), "name", "type",
+        F.lit(None).cast("string").alias("description"),
+    )
+    flows = of("flow", F.col("id").alias("flow_id"), "process_id", "source_id", "target_id", "condition", "name")
+    members = of("member", F.col("id").alias("lane_id"), F.col("target_id").alias("node_id"))
+    known = nodes.select("node_id")
+    for end in ("source_id", "target_id"):
+        flows = flows.join(known.withColumnRenamed("node_id", end), end, "left_semi")
     return {
         "definitions": of("definition", "definition_id", "name", "filename", "has_diagram"),
         "processes": of("process", "definition_id", "process_id", "name"),
-        "nodes": of(
-            "node", "process_id", F.col("id").alias("node_id"), "name", "type",
-            F.lit(None).cast("string").alias("description"),
-        ),
-        "flows": of("flow", F.col("id").alias("flow_id"), "process_id", "source_id", "target_id", "condition", "name"),
+        "nodes": nodes,
+        "flows": flows.select("flow_id", "process_id", "source_id", "target_id", "condition", "name"),
         "lanes": of("lane", "process_id", F.col("id").alias("lane_id"), "name"),
-        "lane_members": of("member", F.col("id").alias("lane_id"), F.col("target_id").alias("node_id")),
+        "lane_members": members.join(known, "node_id", "left_semi").select("lane_id", "node_id"),
         "participants": of("participant", F.col("id").alias("participant_id"), "process_id", "definition_id"),
         "rejects": parsed.filter(F.col("kind") == "reject").select("file", "error"),
     }
