@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions.scale import BLOCK_ROWS, blocked_row_number, top_k
 from ragloom.functions.text import STOP_WORDS, blank, or_null, tokens
@@ -129,7 +130,7 @@ def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - open_places.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(a, b) for a, b in zip(pred, gold)], dtype="int32")
 

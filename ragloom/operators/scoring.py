@@ -57,17 +57,25 @@ def score_runs(
     answer_vector, gold_vector) supplies the embeddings of answer and reference.
     """
     keys = ["run_id", "query_pk"]
-    # Runs can pick different gold versions, so gold carries the run here.
-    gold = qrels_for_runs(runs.select("run_id", "config_json"), qrels).select(*keys, "chunk_id", "relevance")
-    pair_key = F.struct(*keys)
+    # Runs can pick different gold versions, so the query key carries the version.
+    versions = runs.select("run_id", qrels_version(F.col("config_json")).alias("qrels_version"))
+
+    def versioned(rows: DataFrame) -> DataFrame:
+        if "qrels_version" not in rows.columns:
+            rows = rows.join(versions, "run_id")
+        return rows.withColumn("query_pk", F.struct("qrels_version", "query_pk")).drop("qrels_version")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "run_id", F.col("query_pk.query_pk").alias("query_pk"), "metric", "value",
+            F.lit(None).cast("string").alias("details"),
+        )
+
+    gold = versioned(qrels.select("qrels_version", "query_pk", "chunk_id", "relevance"))
     ranking = metrics.evaluated_ranking(logs, limit=max(metrics.CUTOFFS)).join(
         run_items.select(*keys), keys, "left_semi"
     )
-    per_item = lambda df: df.withColumn("query_pk", pair_key)
-    retrieval = metrics.retrieval_metrics(per_item(ranking), per_item(gold).drop("run_id"))
-    parts = [retrieval.select("run_id", F.col("query_pk.query_pk").alias("query_pk"), "metric", "value").withColumn(
-        "details", F.lit(None).cast("string")
-    )]
+    parts = [plain(metrics.retrieval_metrics(versioned(ranking), gold))]
 
     answered = run_items.filter(F.length("answer_text") > 0)
     references = gold_answers.filter(F.size("answers") > 0).select("query_pk", F.col("answers")[0].alias("gold"))
@@ -85,10 +93,7 @@ def score_runs(
     parts.append(_long(scored, texts))
 
     cited = metrics.citations(answered)
-    citation = metrics.citation_metrics(per_item(answered), per_item(cited), per_item(gold).drop("run_id"))
-    parts.append(citation.select("run_id", F.col("query_pk.query_pk").alias("query_pk"), "metric", "value").withColumn(
-        "details", F.lit(None).cast("string")
-    ))
+    parts.append(plain(metrics.citation_metrics(versioned(answered), versioned(cited), gold)))
     if judge_outputs is not None:
         parts += _judged(runs, answered, cited, references, judge_outputs)
     return reduce(DataFrame.unionByName, parts)

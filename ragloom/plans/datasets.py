@@ -72,7 +72,7 @@ def qrels(spark: SparkSession, directory: str) -> DataFrame:
     """
     words = F.split("text", r"\s+")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w))), 1)
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
     items = table(spark, directory, "benchmark").select(
         F.col("item_id").alias("query_pk"), F.col("text").alias("_item"), longest["w"].alias("_word")
     )
@@ -165,3 +165,126 @@ def positions(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("process P"), F.col("conv_id").cast("string")).alias("process_name"),
         F.array("role").alias("roles"),
     )
+
+
+# ---- evaluation tables ---------------------------------------------------------------------------------------------
+
+RUN_NAMES = ["click", "error", "purchase", "signup", "view"]
+CHUNK_POOL = 50
+
+
+def retrieval_logs(spark: SparkSession, directory: str) -> DataFrame:
+    """A logged hit per event: run by event type, query by user, chunks from a pool of 50, three sources.
+
+    Users divisible by seven only have hits of a source that is not preferred.
+    """
+    run = F.array_position(F.array(*[F.lit(r) for r in RUN_NAMES]), F.col("event_type")).cast("long")
+    source = (
+        F.when((F.col("user_id") % 7 == 0) | (F.col("event_id") % 3 == 2), "bm25")
+        .when(F.col("event_id") % 3 == 1, "ce").otherwise("rrf")
+    )
+    return table(spark, directory, "events").select(
+        run.alias("run_id"), F.col("user_id").alias("query_pk"), F.col("event_id").alias("rank"),
+        source.alias("source"), F.concat((F.col("event_id") % CHUNK_POOL).cast("string"), F.lit(":0")).alias("chunk_id"),
+    )
+
+
+def log_qrels(spark: SparkSession, directory: str) -> DataFrame:
+    """Graded gold of the logged queries: every eleventh pool chunk, relevance 0..3 by chunk."""
+    event = table(spark, directory, "events")
+    users = event.select(F.col("user_id").alias("query_pk")).distinct()
+    pool = F.sequence(F.lit(0), F.lit(CHUNK_POOL - 1))
+    return (
+        users.withColumn("n", F.explode(pool))
+        .filter((F.col("query_pk") + F.col("n")) % 11 == 0)
+        .select("query_pk", F.concat(F.col("n").cast("string"), F.lit(":0")).alias("chunk_id"),
+                (F.col("n") % 4).alias("relevance"))
+    )
+
+
+def answer_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Assistant turns with the preceding user turn as reference: (conv_id, turn, pred, gold)."""
+    turn = turns(spark, directory)
+    asked = turn.filter(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold")
+    )
+    return turn.filter(F.col("role") == "assistant").join(asked, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("text").alias("pred"), "gold"
+    )
+
+
+def run_items(spark: SparkSession, directory: str) -> DataFrame:
+    """Assistant turns as answers of three runs; they cite two chunks, one of them by object with text."""
+    answer = turns(spark, directory).filter(F.col("role") == "assistant")
+    n = F.col("turn")
+    cited = F.concat(
+        F.lit('["'), (n % 5).cast("string"), F.lit(':0", {"id": "'), (F.col("conv_id") % 5).cast("string"), F.lit(':0"'),
+        F.when(n % 4 == 1, F.lit(', "text": "t"')).otherwise(F.lit("")), F.lit("}]"),
+    )
+    hint = F.when(F.col("conv_id") % 2 == 0, F.lit('{"gating_hint": "stay inside"}')).otherwise("{}")
+    return answer.select(
+        (F.col("conv_id") % 3 + 1).alias("run_id"),
+        (F.col("conv_id") * 100 + n).alias("query_pk"),
+        F.when(n == 7, "").otherwise(F.col("text")).alias("answer_text"),
+        F.when(n == 3, "[]").otherwise(cited).alias("citations"),
+        hint.alias("meta"),
+    )
+
+
+def runs(spark: SparkSession) -> DataFrame:
+    """Run 1: semantic gold, all judge metrics; run 2: defaults; run 3: no judge."""
+    settings = [
+        (1, "first", '{"factors": {"chunking": {"strategy": "semantic"}, "evaluation": '
+                     '{"llm_metrics": ["consistency", "relevance", "faithfulness", "gray_zone"]}}}'),
+        (2, "second", "{}"),
+        (3, "third", '{"factors": {"evaluation": {"use_llm_judge": false}}}'),
+    ]
+    return spark.createDataFrame(settings, "run_id long, name string, config_json string")
+
+
+def answer_qrels(spark: SparkSession, directory: str) -> DataFrame:
+    """Two gold versions for the answered queries."""
+    items = run_items(spark, directory).select("query_pk")
+    version = F.explode(F.array(F.lit("1800"), F.lit("semantic"))).alias("qrels_version")
+    both = items.select("query_pk", version)
+    n = F.when(F.col("qrels_version") == "1800", F.col("query_pk") % 5).otherwise((F.col("query_pk") + 1) % 5)
+    return both.select(
+        "qrels_version", "query_pk", F.concat(n.cast("string"), F.lit(":0")).alias("chunk_id"),
+        (1 + F.col("query_pk") % 3).alias("relevance"),
+    )
+
+
+def answer_logs(spark: SparkSession, directory: str) -> DataFrame:
+    """Five ranked chunks per item; the first depends on the conversation."""
+    rank = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")
+    return run_items(spark, directory).select("run_id", "query_pk", rank).select(
+        "run_id", "query_pk", "rank", F.lit("rrf").alias("source"),
+        F.concat(((F.floor(F.col("query_pk") / 100) + F.col("rank")) % 5).cast("string"), F.lit(":0")).alias("chunk_id"),
+    )
+
+
+JUDGE_FORMS = [
+    'Sure: {"score": 4, "reasoning": "fine"} done',
+    '{"score": "2", "reasoning": "r", "hallucinated_steps": ["a", "b"], "mentions_outside_context": ["c"]}',
+    "no json at all",
+    '{"score": "high"}',
+    '{"score": 9, "speculation_detected": "true", "response_type": "qualified_answer"}',
+    '{"score": 1, "uncertainty_expressed": true, "response_type": " Clarification "}',
+    "{broken: json}",
+]
+JUDGES = ["consistency", "answer_relevance", "context_relevance", "faithfulness", "gating", "gray_zone"]
+
+
+def judge_outputs(spark: SparkSession, directory: str) -> DataFrame:
+    """A recorded output of every judge for each item, in one of seven forms."""
+    forms = F.array(*[F.lit(x) for x in JUDGE_FORMS])
+    judge = F.explode(F.array(*[F.lit(j) for j in JUDGES])).alias("judge")
+    rows = run_items(spark, directory).select("run_id", "query_pk", judge)
+    pick = (F.col("query_pk") + F.length("judge")) % len(JUDGE_FORMS)
+    return rows.withColumn("raw", forms[pick.cast("int")])
+
+
+def gold_answers(spark: SparkSession, directory: str) -> DataFrame:
+    return answer_pairs(spark, directory).select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("query_pk"), F.array("gold").alias("answers")
+    )
