@@ -6,6 +6,7 @@ blocks of an ordered position first, work inside blocks, and carry only one row
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,28 @@ BROADCAST_BYTES = 32 << 20
 GROUP_LIMIT_K = 1_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table that arrives in fewer splits than there are cores, such as one small file.
+
+    A table of many splits is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute a result that several later steps read, once, into the checkpoint folder.
+
+    The folder is the one the session names in spark.checkpoint.dir; only where none is named (a local test) a
+    temporary one is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ragloom-"))
+    return df.checkpoint()
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a side before it is broadcast: row count and the bytes of its strings and arrays."""
     width: Column = F.lit(16 * len(df.columns))

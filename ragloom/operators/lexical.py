@@ -28,13 +28,15 @@ class TextIndex(NamedTuple):
 
 def postings(chunks: DataFrame) -> TextIndex:
     """Term and length statistics of (chunk_id, text, process_name, tags)."""
+    # An outer explode: for a plain one Spark would add a filter that tokenises every text a second time.
     words = chunks.select("chunk_id", "process_name", "tags", tokens(F.col("text")).alias("_words"))
     documents = words.select("chunk_id", "process_name", "tags", F.size("_words").cast("long").alias("length"))
     terms = (
         words.select(
             "chunk_id", "process_name", "tags", F.size("_words").cast("long").alias("length"),
-            F.explode("_words").alias("term"),
+            F.explode_outer("_words").alias("term"),
         )
+        .filter(F.col("term").isNotNull())
         .groupBy("chunk_id", "process_name", "tags", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -106,7 +108,8 @@ def bm25_topk(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
     """
     base = queries.select("query_pk", "text", *query_filters(queries))
     query_terms = (
-        base.select("query_pk", "_process", "_tags", F.explode(tokens(F.col("text"))).alias("term"))
+        base.select("query_pk", "_process", "_tags", F.explode_outer(tokens(F.col("text"))).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("query_pk", "_process", "_tags", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )

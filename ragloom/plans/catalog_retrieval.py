@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import cut_lineage
 from ragloom.operators import dense, fusion, lexical
 from ragloom.plans import datasets as data
 from ragloom.plans.registry import query
@@ -307,7 +308,7 @@ final AS (SELECT *, coalesce(pair_score, 1.0 - (rank - 1) * 0.1)::DOUBLE AS rera
 
 
 def _reranked(spark, d) -> DataFrame:
-    hits = _hydrated(spark, d, rerank_top_n=50)
+    hits = cut_lineage(_hydrated(spark, d, rerank_top_n=50))
     return fusion.rerank(hits, data.queries(spark, d), _pair_scores(hits), 10)
 
 

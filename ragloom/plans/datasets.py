@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import spread
+
 SEED_QUERIES = 20
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    rows = spark.read.parquet(f"{directory}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def chunks(spark: SparkSession, directory: str) -> DataFrame:
