@@ -7,6 +7,7 @@ blocks of an ordered position first, work inside blocks, and carry only one row
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,16 +31,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute a result that several later steps read, once, into the checkpoint folder.
+    """Compute a result that several later steps read, once, as a table in the checkpoint folder.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named (a local test) a
-    temporary one is set.
+    Unlike a cached result it survives the loss of executors, and readers still prune columns. The folder is the one
+    the session names in spark.checkpoint.dir; only where none is named (a local test) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ragloom-"))
-    return df.checkpoint()
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
+        folder = session.sparkContext.getCheckpointDir()
+    path = f"{folder}/ragloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:

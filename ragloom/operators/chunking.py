@@ -1,7 +1,8 @@
 """Chunking jobs over prepared elements (see `elements.prepare_elements`).
 
 Only positions and lengths travel through the ordered steps; texts are joined in one bounded group per chunk at the
-end. A document may hold any share of all rows: ordered scans run over blocks of its positions.
+end. A document may hold any share of all rows: ordered scans run over blocks of its positions. Prepared elements are
+read several times, so they should come from a stored table.
 """
 
 from __future__ import annotations
@@ -13,7 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.ids import uuid5
-from ragloom.functions.scale import BLOCK_ROWS, blocked_row_number, blocked_scan, halo_blocks, percentile_linear
+from ragloom.functions.scale import (
+    BLOCK_ROWS,
+    blocked_row_number,
+    blocked_scan,
+    cut_lineage,
+    halo_blocks,
+    percentile_linear,
+)
 from ragloom.functions.text import joined_in_order, or_null, strip
 from ragloom.functions.vectors import cosine
 
@@ -50,7 +58,7 @@ def semantic_breakpoints(similarities: DataFrame, pct: float = BREAK_PERCENTILE)
     starts two elements after the first of the pair.
     """
     drops = _next(similarities, "similarity", "_next").filter(F.col("_next").isNotNull())
-    drops = drops.select("document_id", "idx", (F.col("similarity") - F.col("_next")).alias("_drop"))
+    drops = cut_lineage(drops.select("document_id", "idx", (F.col("similarity") - F.col("_next")).alias("_drop")))
     limits = percentile_linear(drops, ["document_id"], "_drop", pct, "_limit")
     return drops.join(limits, "document_id").filter(F.col("_drop") > F.col("_limit")).select(
         "document_id", (F.col("idx") + 2).alias("idx")
@@ -58,8 +66,9 @@ def semantic_breakpoints(similarities: DataFrame, pct: float = BREAK_PERCENTILE)
 
 
 def segments(elements: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Add `seg`, the number of breakpoints up to the element."""
-    flagged = elements.join(breaks.withColumn("_break", F.lit(1)), ["document_id", "idx"], "left")
+    """Positions with `seg`, the number of breakpoints up to them: (document_id, idx, length, seg)."""
+    sized = elements.select("document_id", "idx", F.length("text").cast("long").alias("length"))
+    flagged = sized.join(breaks.select("document_id", "idx", F.lit(1).alias("_break")), ["document_id", "idx"], "left")
     return blocked_scan(
         flagged, ["document_id"], F.floor(F.col("idx") / BLOCK_ROWS), [F.col("idx")],
         F.coalesce("_break", F.lit(0)).cast("long"), "seg",
@@ -135,15 +144,16 @@ def assemble_chunks(elements: DataFrame, breaks: DataFrame, max_chars: int = MAX
     The total that decides about splitting leaves separators out. A document of one element keeps it whatever its
     length.
     """
-    parted = segments(elements, breaks)
-    sized = parted.select("document_id", "seg", "idx", F.length("text").alias("length"))
-    totals = sized.groupBy("document_id", "seg").agg(F.sum("length").alias("_total"))
-    singles = sized.groupBy("document_id").agg((F.count(F.lit(1)) == 1).alias("_single"))
-    long_rows = sized.join(totals.filter(F.col("_total") > max_chars), ["document_id", "seg"])
-    cut = split_long_segments(long_rows, max_chars)
-    rows = parted.join(cut, ["document_id", "seg", "idx"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    placed = cut_lineage(segments(elements, breaks))
+    totals = placed.groupBy("document_id", "seg").agg(F.sum("length").alias("_total"))
+    singles = placed.groupBy("document_id").agg((F.count(F.lit(1)) == 1).alias("_single"))
+    long_rows = placed.join(totals.filter(F.col("_total") > max_chars), ["document_id", "seg"])
+    cut = split_long_segments(long_rows, max_chars).drop("seg")
+    parts = placed.join(cut, ["document_id", "idx"], "left").select(
+        "document_id", "idx", "seg", F.coalesce("part", F.lit(0)).alias("part")
+    )
     return (
-        _merge(rows)
+        _merge(elements.join(parts, ["document_id", "idx"]))
         .join(singles.filter("_single"), "document_id", "left")
         .filter((F.length("text") >= MIN_CHUNK_CHARS) | F.coalesce("_single", F.lit(False)))
         .drop("_single")
@@ -165,9 +175,8 @@ def chunk_by_title(
     own, cut into windows of `max_chars` that repeat `overlap` characters of their predecessor.
     """
     titles = elements.filter(F.col("element_type") == "Title").select("document_id", "idx")
-    parted = segments(elements, titles)
-    lengths = parted.select("document_id", "seg", "idx", F.length("text").alias("length"))
-    rows = parted.join(split_long_segments(lengths, max_chars, soft), ["document_id", "seg", "idx"])
+    parts = split_long_segments(segments(elements, titles), max_chars, soft)
+    rows = elements.join(parts, ["document_id", "idx"])
     merged = _merge(rows)
     step = max_chars - overlap
     windows = F.greatest(F.ceil((F.length("text") - overlap) / step), F.lit(1)).cast("int")
@@ -187,16 +196,23 @@ def chunk_sentences(
     sentence finds its pieces from its character offset, so no whole segment is ever put together.
     """
     trimmed = sentences.withColumn("text", strip(F.col("text")))
-    distances = adjacent_similarity(trimmed).withColumn("distance", 1 - F.col("similarity"))
+    similarities = adjacent_similarity(trimmed)
+    distances = cut_lineage(similarities.select("document_id", "idx", (1 - F.col("similarity")).alias("distance")))
     limits = percentile_linear(distances, ["document_id"], "distance", pct, "_limit")
     breaks = distances.join(limits, "document_id").filter(F.col("distance") > F.col("_limit"))
-    parted = segments(trimmed.select("document_id", "idx", "text"), breaks.select("document_id", F.col("idx") + 1))
-    length = (F.length("text") + 1).cast("long")
+    parted = cut_lineage(
+        segments(trimmed, breaks.select("document_id", (F.col("idx") + 1).alias("idx")))
+    ).withColumn("length", F.col("length") + 1)
+    length = F.col("length")
     placed = blocked_scan(
         parted, ["document_id", "seg"], F.floor(F.col("idx") / BLOCK_ROWS), [F.col("idx")], length, "_end"
     ).withColumn("_start", F.col("_end") - length)
     first, last = F.floor(F.col("_start") / max_chars), F.floor((F.col("_end") - 1) / max_chars)
-    pieces = placed.withColumn("part", F.explode(F.sequence(first, last)))
+    pieces = (
+        trimmed.select("document_id", "idx", "text")
+        .join(placed, ["document_id", "idx"])
+        .withColumn("part", F.explode(F.sequence(first, last)))
+    )
     begin = F.greatest(F.col("part") * max_chars - F.col("_start"), F.lit(0))
     end = F.least((F.col("part") + 1) * max_chars - F.col("_start"), length)
     piece = F.substring(F.concat("text", F.lit(" ")), (begin + 1).cast("int"), (end - begin).cast("int"))

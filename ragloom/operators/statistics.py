@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.scale import (
     blocked_row_number,
+    cut_lineage,
     fits_broadcast,
     join_hot,
     order_statistics,
@@ -120,18 +121,20 @@ def paired_bootstrap(
     )
     asked = pairs.select(*keys).distinct()
     common = side("a").join(asked, ["run_a", "metric"]).join(side("b"), ["run_b", "metric", "query_pk"])
-    diffs = common.select(
-        *keys, "query_pk", (F.col("_b") - F.col("_a")).alias("diff"), F.md5(F.col("query_pk").cast("string")).alias("_h")
-    )
-    numbered = blocked_row_number(
-        diffs, keys, F.substring("_h", 1, 3), [F.col("_h"), F.col("query_pk")], "_place"
-    ).select(*keys, (F.col("_place") - 1).alias("idx"), "diff")
+    diffs = cut_lineage(common.select(*keys, "query_pk", (F.col("_b") - F.col("_a")).alias("diff")))
     means = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("delta_mean"))
-
+    digest = diffs.withColumn("_h", F.md5(F.col("query_pk").cast("string")))
+    ranked = blocked_row_number(
+        digest, keys, F.substring("_h", 1, 3), [F.col("_h"), F.col("query_pk")], "_place"
+    )
+    numbered = cut_lineage(
+        ranked.join(means.select(*keys, "n"), keys).select(*keys, "n", (F.col("_place") - 1).alias("idx"), "diff")
+    )
     batch = 64
     grid = (
-        numbered.join(means.select(*keys, "n"), keys)
-        .select(*keys, "n", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g"))
+        numbered.select(
+            *keys, "n", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g")
+        )
         .repartition(*keys, "_g", F.pmod("j", F.lit(16)))
         .select(*keys, "n", "j", F.explode(F.sequence(F.col("_g") * batch, F.least(
             F.col("_g") * batch + batch - 1, F.lit(iters - 1)))).alias("i"))
@@ -139,7 +142,9 @@ def paired_bootstrap(
     name = F.concat_ws(":", F.lit(str(seed)), F.col("i"), F.col("j"))
     drawn = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n")
     draws = grid.select(*keys, "i", drawn.alias("idx"))
-    boots = join_hot(draws, numbered, [*keys, "idx"], ["i"], fits_broadcast(numbered)).groupBy(*keys, "i").agg(
+    boots = join_hot(
+        draws, numbered.drop("n"), [*keys, "idx"], ["i"], fits_broadcast(numbered)
+    ).groupBy(*keys, "i").agg(
         F.round(F.avg("diff"), 9).alias("boot")
     )
     # One row per iteration: a group is as large as `iters`, whatever the number of queries.

@@ -56,11 +56,11 @@ final AS (SELECT * FROM joined WHERE length(text) >= 100 OR document_id IN (SELE
 
 
 def _prepared(spark, d) -> DataFrame:
-    return elements.prepare_elements(data.elements(spark, d))
+    return data.stored(spark, d, "prepared", lambda: elements.prepare_elements(data.elements(spark, d)))
 
 
 def _embedded(spark, d) -> DataFrame:
-    return data.with_embeddings(_prepared(spark, d), spark, d)
+    return data.stored(spark, d, "embedded", lambda: data.with_embeddings(_prepared(spark, d), spark, d))
 
 
 @query(
@@ -166,8 +166,7 @@ def chunk_semantic(spark, d) -> DataFrame:
 def split_long_segments(spark, d) -> DataFrame:
     prepared = _prepared(spark, d)
     breaks = prepared.filter((F.col("idx") > 0) & (F.col("idx") % 20 == 0)).select("document_id", "idx")
-    lengths = chunking.segments(prepared, breaks).select("document_id", "seg", "idx", F.length("text").alias("length"))
-    return chunking.split_long_segments(lengths, 400)
+    return chunking.split_long_segments(chunking.segments(prepared, breaks), 400)
 
 
 _TITLED = f"""{LINES}, brk AS (SELECT document_id, idx FROM els WHERE title), {_SEGMENTED},

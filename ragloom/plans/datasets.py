@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import spread
+from ragloom.functions.scale import cut_lineage, spread
 
 SEED_QUERIES = 20
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries read: written once per application to the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, directory, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory}/{name}.parquet")
     return spread(rows) if name == "documents" else rows
@@ -108,6 +121,13 @@ def turns(spark: SparkSession, directory: str) -> DataFrame:
 
 def process_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """A process per conversation: a node per turn, a lane per role, a branch at every third turn."""
+    derived = _derived_graph(spark, directory)
+    return {
+        name: stored(spark, directory, f"graph-{name}", lambda rows=rows: rows) for name, rows in derived.items()
+    }
+
+
+def _derived_graph(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     turn = turns(spark, directory).select(
         F.concat(F.lit("P"), F.col("conv_id").cast("string")).alias("process_id"),
         F.concat(F.lit("D"), (F.col("conv_id") % 10).cast("string")).alias("definition_id"),
