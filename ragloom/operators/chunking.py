@@ -23,7 +23,7 @@ from ragloom.functions.scale import (
     percentile_linear,
 )
 from ragloom.functions.text import joined_in_order, or_null, strip
-from ragloom.functions.vectors import cosine
+from ragloom.functions.vectors import dot
 
 # Thresholds and size limits.
 BREAK_PERCENTILE = 0.95
@@ -37,18 +37,22 @@ TITLE_OVERLAP = 225
 SEPARATOR = "\n\n"
 
 
-def _next(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the `value` of the following `idx` of the same document."""
-    follow = F.lead(value).over(Window.partitionBy("document_id", "_block").orderBy("idx"))
-    return halo_blocks(df, "idx", 0, 1).withColumn(out, follow).filter("_core").drop("_block", "_core")
+def _next(df: DataFrame, *values: str) -> DataFrame:
+    """Add `_next_{value}` of the following `idx` of the same document, for each value."""
+    follow = Window.partitionBy("document_id", "_block").orderBy("idx")
+    rows = halo_blocks(df, "idx", 0, 1).select("*", *[F.lead(v).over(follow).alias(f"_next_{v}") for v in values])
+    return rows.filter("_core").drop("_block", "_core")
 
 
 def adjacent_similarity(elements: DataFrame) -> DataFrame:
-    """Cosine similarity of element `idx` and its successor: (document_id, idx, similarity)."""
-    pairs = _next(elements.select("document_id", "idx", "embedding"), "embedding", "_next")
-    return pairs.filter(F.col("_next").isNotNull()).select(
-        "document_id", "idx", cosine(F.col("embedding"), F.col("_next")).alias("similarity")
+    """Cosine similarity of element `idx` and its successor, 0 for a zero vector: (document_id, idx, similarity)."""
+    sized = elements.select(
+        "document_id", "idx", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")
     )
+    pairs = _next(sized, "embedding", "norm").filter(F.col("_next_embedding").isNotNull())
+    scale = F.nullif(F.col("norm") * F.col("_next_norm"), F.lit(0.0))
+    similarity = dot(F.col("embedding"), F.col("_next_embedding")) / scale
+    return pairs.select("document_id", "idx", F.coalesce(similarity, F.lit(0.0)).alias("similarity"))
 
 
 def semantic_breakpoints(similarities: DataFrame, pct: float = BREAK_PERCENTILE) -> DataFrame:
@@ -57,8 +61,9 @@ def semantic_breakpoints(similarities: DataFrame, pct: float = BREAK_PERCENTILE)
     The drop from one similarity to the next must exceed the document's `pct` percentile of drops; the chunk then
     starts two elements after the first of the pair.
     """
-    drops = _next(similarities, "similarity", "_next").filter(F.col("_next").isNotNull())
-    drops = cut_lineage(drops.select("document_id", "idx", (F.col("similarity") - F.col("_next")).alias("_drop")))
+    pairs = _next(similarities, "similarity").filter(F.col("_next_similarity").isNotNull())
+    drop = F.col("similarity") - F.col("_next_similarity")
+    drops = cut_lineage(pairs.select("document_id", "idx", drop.alias("_drop")))
     limits = percentile_linear(drops, ["document_id"], "_drop", pct, "_limit")
     return drops.join(limits, "document_id").filter(F.col("_drop") > F.col("_limit")).select(
         "document_id", (F.col("idx") + 2).alias("idx")

@@ -208,7 +208,10 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float, rows: int = BL
                 if batch.column("left_block")[i].as_py() == batch.column("block")[i].as_py():
                     hit &= left[:, None] < right[None, :]
                 x, y = np.nonzero(hit)
-                low, high = np.minimum(left[x], right[y]), np.maximum(left[x], right[y])
+                one, other = left[x], right[y]
+                low, high = np.where(one < other, one, other), np.where(one < other, other, one)
                 yield _batch(low.tolist(), high.tolist(), similarity[x, y].tolist(), types, ["a", "b", "similarity"])
 
-    return partners.join(others, "block").repartition("left_block", "block").mapInArrow(multiply, schema)
+    # A fixed number of tasks: the work is in the products, not in the bytes of the blocks.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partners.join(others, "block").repartition(tasks, "left_block", "block").mapInArrow(multiply, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import top_k
+from ragloom.functions.scale import cut_lineage, top_k
 from ragloom.functions.text import blank, joined_in_order, or_null
 from ragloom.operators.dense import vector_topk
 from ragloom.operators.lexical import TextIndex, bm25_topk
@@ -87,6 +87,24 @@ def hybrid_search(
     )
 
 
+def search_modes(
+    queries: DataFrame, index: TextIndex, chunk_vectors: DataFrame, k: int, rrf_k: int | None = RRF_K
+) -> DataFrame:
+    """Hits of all three modes with `mode`, for studies: each list is searched once and stored."""
+    text = cut_lineage(bm25_topk(queries.drop("embedding"), index, k * OVERFETCH))
+    near = cut_lineage(vector_topk(queries.drop("text"), chunk_vectors, k * OVERFETCH))
+    fused = top_k(fuse(text, near, rrf_k), ["query_pk"], fused_order(), k).select(
+        "query_pk", "chunk_id", F.col("score").alias("rrf_score"), "rank", F.lit("hybrid").alias("mode")
+    )
+    single = [
+        hits.filter(F.col("rank") <= k).select(
+            "query_pk", "chunk_id", rrf_weight(F.col("rank"), rrf_k).alias("rrf_score"), "rank", F.lit(mode).alias("mode")
+        )
+        for mode, hits in (("bm25_only", text), ("vector_only", near))
+    ]
+    return fused.unionByName(single[0]).unionByName(single[1])
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunk columns for the surviving hits only; a hit without a chunk row disappears, ranks close up."""
     wanted = "chunk_id text document_id file_name process_name tags page_number section_title title".split()

@@ -108,13 +108,19 @@ def _f1(precision: Column, recall: Column) -> Column:
     return F.when(total > 0, 2 * precision * recall / F.nullif(total, F.lit(0.0))).otherwise(0.0)
 
 
-def content_f1(pred: Column, gold: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """F1 of the word sets of two texts without stop words."""
+def content_f1(
+    pairs: DataFrame, pred: str = "pred", gold: str = "gold", stop_words: Sequence[str] = STOP_WORDS
+) -> DataFrame:
+    """Add content_f1, the F1 of the word sets of two texts without stop words."""
     stop = F.array(*[F.lit(w) for w in stop_words])
-    a, b = F.array_except(tokens(pred), stop), F.array_except(tokens(gold), stop)
-    common = F.size(F.array_intersect(a, b))
-    precision, recall = common / F.nullif(F.size(a), F.lit(0)), common / F.nullif(F.size(b), F.lit(0))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_f1(precision, recall))
+    sets = pairs.withColumn("_a", F.array_except(tokens(F.coalesce(pred, F.lit(""))), stop)).withColumn(
+        "_b", F.array_except(tokens(F.coalesce(gold, F.lit(""))), stop)
+    )
+    sizes = sets.withColumn("_common", F.size(F.array_intersect("_a", "_b")))
+    precision = F.col("_common") / F.nullif(F.size("_a"), F.lit(0))
+    recall = F.col("_common") / F.nullif(F.size("_b"), F.lit(0))
+    value = F.when(F.col("_common") == 0, 0.0).otherwise(_f1(precision, recall))
+    return sizes.withColumn("content_f1", value).drop("_a", "_b", "_common")
 
 
 def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:

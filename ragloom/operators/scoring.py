@@ -82,8 +82,8 @@ def score_runs(
     pairs = answered.join(references.filter(F.length("gold") > 0), "query_pk").select(
         *keys, F.col("answer_text").alias("pred"), "gold"
     )
-    texts = {"content_f1": metrics.content_f1(F.col("pred"), F.col("gold")), "rouge_l_recall": F.col("rouge_l_recall")}
-    scored = metrics.rouge_l(pairs)
+    texts = {"content_f1": F.col("content_f1"), "rouge_l_recall": F.col("rouge_l_recall")}
+    scored = metrics.content_f1(metrics.rouge_l(pairs))
     if pair_vectors is not None:
         scored = scored.join(pair_vectors, keys, "left")
         similarity = metrics.semantic_similarity(

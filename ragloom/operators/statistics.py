@@ -122,7 +122,7 @@ def paired_bootstrap(
     asked = pairs.select(*keys).distinct()
     common = side("a").join(asked, ["run_a", "metric"]).join(side("b"), ["run_b", "metric", "query_pk"])
     diffs = cut_lineage(common.select(*keys, "query_pk", (F.col("_b") - F.col("_a")).alias("diff")))
-    means = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("delta_mean"))
+    means = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("diff"), 9).alias("delta_mean"))
     digest = diffs.withColumn("_h", F.md5(F.col("query_pk").cast("string")))
     ranked = blocked_row_number(
         digest, keys, F.substring("_h", 1, 3), [F.col("_h"), F.col("query_pk")], "_place"
@@ -130,12 +130,13 @@ def paired_bootstrap(
     numbered = cut_lineage(
         ranked.join(means.select(*keys, "n"), keys).select(*keys, "n", (F.col("_place") - 1).alias("idx"), "diff")
     )
-    batch = 64
+    # A fixed number of tasks: the few numbered rows grow into all draws after the shuffle.
+    batch, tasks = 64, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = (
         numbered.select(
             *keys, "n", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g")
         )
-        .repartition(*keys, "_g", F.pmod("j", F.lit(16)))
+        .repartition(tasks, *keys, "_g", F.pmod("j", F.lit(16)))
         .select(*keys, "n", "j", F.explode(F.sequence(F.col("_g") * batch, F.least(
             F.col("_g") * batch + batch - 1, F.lit(iters - 1)))).alias("i"))
     )

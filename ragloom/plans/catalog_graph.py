@@ -454,7 +454,11 @@ gp AS (SELECT r.request_id, start AS node_id, n.name, n.type, position FROM req
 
 def _gated(spark, d) -> gating.GatedPosition:
     g = data.process_graph(spark, d)
-    return gating.gate_positions(data.positions(spark, d), g, gating.default_whitelist(g))
+    rules = gating.default_whitelist(g)
+    kept = gating.Rules(
+        data.stored(spark, d, "rule-headers", lambda: rules.headers), data.stored(spark, d, "rule-nodes", lambda: rules.nodes)
+    )
+    return gating.gate_positions(data.stored(spark, d, "positions", lambda: data.positions(spark, d)), g, kept)
 
 
 @query(

@@ -116,8 +116,8 @@ _F1 = f"""f1 AS (SELECT conv_id, turn, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE 2.0
     f"WITH {_PAIRS}, {_F1} SELECT conv_id, turn, round(v, 6) AS content_f1 FROM f1",
 )
 def content_f1(spark, d) -> DataFrame:
-    value = F.round(metrics.content_f1(F.col("pred"), F.col("gold")), 6)
-    return data.answer_pairs(spark, d).select("conv_id", "turn", value.alias("content_f1"))
+    scored = metrics.content_f1(data.answer_pairs(spark, d))
+    return scored.select("conv_id", "turn", F.round("content_f1", 6).alias("content_f1"))
 
 
 @query(

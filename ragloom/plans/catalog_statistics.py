@@ -271,15 +271,8 @@ def retrieval_study(spark, d) -> DataFrame:
         "query_pk", "chunk_id", F.lit(1).alias("relevance")
     )
     gold = verbatim.unionByName(near).groupBy("query_pk", "chunk_id").agg(F.max("relevance").alias("relevance"))
-    lists = {
-        "BM25_ONLY": fusion.hybrid_search(asked, index, None, 10, "bm25_only"),
-        "VECTOR_ONLY": fusion.hybrid_search(asked, None, corpus, 10, "vector_only"),
-        "HYBRID": fusion.hybrid_search(asked, index, corpus, 10),
-    }
-    logs = None
-    for name, hits in lists.items():
-        rows = hits.withColumn("run_id", F.lit(name)).withColumn("source", F.lit("rrf"))
-        logs = rows if logs is None else logs.unionByName(rows)
+    logs = fusion.search_modes(asked, index, corpus, 10).withColumn("source", F.lit("rrf"))
+    logs = logs.withColumn("run_id", F.upper("mode"))
     scores = metrics.retrieval_metrics(metrics.evaluated_ranking(logs, limit=10), gold).withColumnRenamed("run_id", "run")
     scores = cut_lineage(scores)
     return _rounded(

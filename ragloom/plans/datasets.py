@@ -25,7 +25,7 @@ def stored(spark: SparkSession, directory: str, name: str, build: Callable[[], D
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory}/{name}.parquet")
-    return spread(rows) if name == "documents" else rows
+    return spread(rows) if name in ("documents", "conversations", "embeddings") else rows
 
 
 def chunks(spark: SparkSession, directory: str) -> DataFrame:
