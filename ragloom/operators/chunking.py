@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def segments(elements: DataFrame, breaks: DataFrame) -> DataFrame:
 
 
 def _pack(limit: int, soft: int | None, separator: int):
-    """Greedy packing of lengths in sorted order; carries one open part across batches."""
+    """Greedy packing of lengths in sorted order; carries the open part of a segment across batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, size, part = None, 0, 0
@@ -100,23 +101,128 @@ def _pack(limit: int, soft: int | None, separator: int):
     return run
 
 
+def _next_start(lengths: np.ndarray, limit: int, soft: int | None, separator: int) -> np.ndarray:
+    """For every element: where the next part begins if a part begins here."""
+    ends = np.concatenate([[0], np.cumsum(lengths + separator)])
+    own = np.arange(1, len(lengths) + 1)
+    stop = np.maximum(np.searchsorted(ends, ends[:-1] + limit + separator, side="right") - 1, own)
+    if soft is not None:
+        stop = np.minimum(stop, np.maximum(np.searchsorted(ends, ends[:-1] + soft + separator, side="right"), own))
+    return stop
+
+
+def _block_exits(limit: int, soft: int | None, separator: int):
+    """Ranges of elements before a block (or the segment's first) and the part left open at the block's end."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        idx, core = rows["idx"].to_numpy(), rows["_core"].to_numpy()
+        follow = _next_start(rows["length"].to_numpy(), limit, soft, separator)
+        left_open = np.arange(len(idx))
+        for i in range(len(idx) - 1, -1, -1):
+            if follow[i] < len(idx):
+                left_open[i] = left_open[follow[i]]
+        entries = np.flatnonzero(~core) if not core[0] else np.array([0])
+        exits = idx[left_open[entries]]
+        # A later start never ends earlier, so entries with the same exit are neighbours.
+        first = np.flatnonzero(np.r_[True, exits[1:] != exits[:-1]])
+        last = np.r_[first[1:] - 1, len(exits) - 1]
+        return pd.DataFrame({
+            "document_id": key[0], "seg": key[1], "_block": key[2],
+            "low": idx[entries[first]], "high": idx[entries[last]], "exit": exits[first],
+        })
+
+    return run
+
+
+def _follow_exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk the few ranges of each block in order: which part is open where the block begins."""
+    key, block, carry = None, None, 0
+    for batch in batches:
+        found = []
+        for row in batch.itertuples(index=False):
+            if (row.document_id, row.seg) != key:
+                key, block, carry = (row.document_id, row.seg), None, row.low
+            if row[2] != block and row.low <= carry <= row.high:
+                block = row[2]
+                found.append((row.document_id, row.seg, block, carry))
+                carry = row.exit
+        yield pd.DataFrame(found, columns=["document_id", "seg", "_block", "entry"])
+
+
+def _block_starts(limit: int, soft: int | None, separator: int):
+    """Elements of a block that begin a part, given the part open before it."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        idx, core = rows["idx"].to_numpy(), rows["_core"].to_numpy()
+        follow = _next_start(rows["length"].to_numpy(), limit, soft, separator)
+        place, starts = int(np.searchsorted(idx, rows["entry"].iloc[0])), []
+        while place < len(idx):
+            if core[place]:
+                starts.append(idx[place])
+            place = follow[place]
+        return pd.DataFrame({"document_id": key[0], "seg": key[1], "idx": starts})
+
+    return run
+
+
+def _split_hot(lengths: DataFrame, limit: int, soft: int | None, separator: int) -> DataFrame:
+    """Packing of segments of many elements, in blocks: the same parts as one pass over the segment.
+
+    A block is solved for every part that could be open where it begins. Chains of parts soon fall together, so this
+    gives a handful of ranges per block; only these are walked in order. Then every block is cut on its own.
+    """
+    reach = limit // (separator + 1) + 2
+    width = max(BLOCK_ROWS, 4 * reach)
+    kind = lengths.schema["document_id"].dataType.simpleString()
+    keys = ["document_id", "seg", "_block"]
+    blocks = halo_blocks(lengths, "idx", reach, 0, width)
+    # The rows before a segment's first element belong to other segments; a block may hold only repeated rows.
+    alive = blocks.filter("_core").select(*keys).distinct()
+    blocks = blocks.join(alive, keys, "left_semi")
+    exits = blocks.groupBy(*keys).applyInPandas(
+        _block_exits(limit, soft, separator),
+        f"document_id {kind}, seg long, _block long, low long, high long, exit long",
+    )
+    entries = (
+        exits.repartition("document_id", "seg")
+        .sortWithinPartitions("document_id", "seg", "_block", "low")
+        .mapInPandas(_follow_exits, f"document_id {kind}, seg long, _block long, entry long")
+    )
+    starts = blocks.join(entries, keys).groupBy(*keys).applyInPandas(
+        _block_starts(limit, soft, separator), f"document_id {kind}, seg long, idx long"
+    )
+    flagged = lengths.join(starts.withColumn("_start", F.lit(1).cast("long")), ["document_id", "seg", "idx"], "left")
+    counted = blocked_scan(
+        flagged, ["document_id", "seg"], F.floor(F.col("idx") / width), [F.col("idx")],
+        F.coalesce("_start", F.lit(0).cast("long")), "_starts",
+    )
+    return counted.select("document_id", "seg", "idx", (F.col("_starts") - 1).alias("part"))
+
+
 def split_long_segments(
     lengths: DataFrame, max_chars: int, soft_chars: int | None = None, separator: int = len(SEPARATOR)
 ) -> DataFrame:
     """Pack the elements of each segment into parts of at most `max_chars` characters.
 
-    lengths: (document_id, seg, idx, length); returns (document_id, seg, idx, part). An element longer than the limit
-    stays whole. The fold reads numbers only and streams over sorted rows, so memory does not grow with a segment.
+    lengths: (document_id, seg, idx, length) with contiguous idx; returns (document_id, seg, idx, part). An element
+    longer than the limit stays whole. Segments up to a block are folded whole, many per task; longer ones are folded
+    block by block over many tasks. The lengths are read several times, so they should come from a stored table.
     """
+    rows = lengths.select("document_id", "seg", "idx", F.col("length").cast("long").alias("length"))
+    sizes = rows.groupBy("document_id", "seg").agg((F.count(F.lit(1)) > BLOCK_ROWS).alias("_hot"))
+    tagged = rows.join(sizes, ["document_id", "seg"])
     ordered = (
-        lengths.select("document_id", "seg", "idx", "length")
+        tagged.filter(~F.col("_hot")).drop("_hot")
         .repartition("document_id", "seg")
         .sortWithinPartitions("document_id", "seg", "idx")
     )
-    doc_type = lengths.schema["document_id"].dataType.simpleString()
-    return ordered.mapInPandas(
-        _pack(max_chars, soft_chars, separator), f"document_id {doc_type}, seg long, idx long, part long"
+    kind = lengths.schema["document_id"].dataType.simpleString()
+    short = ordered.mapInPandas(
+        _pack(max_chars, soft_chars, separator), f"document_id {kind}, seg long, idx long, part long"
     )
+    return short.unionByName(_split_hot(tagged.filter("_hot").drop("_hot"), max_chars, soft_chars, separator))
 
 
 def merge_metadata(separator: str = SEPARATOR) -> list[Column]:
@@ -152,7 +258,9 @@ def assemble_chunks(elements: DataFrame, breaks: DataFrame, max_chars: int = MAX
     placed = cut_lineage(segments(elements, breaks))
     totals = placed.groupBy("document_id", "seg").agg(F.sum("length").alias("_total"))
     singles = placed.groupBy("document_id").agg((F.count(F.lit(1)) == 1).alias("_single"))
-    long_rows = placed.join(totals.filter(F.col("_total") > max_chars), ["document_id", "seg"])
+    long_rows = cut_lineage(
+        placed.join(totals.filter(F.col("_total") > max_chars), ["document_id", "seg"]).drop("_total")
+    )
     cut = split_long_segments(long_rows, max_chars).drop("seg")
     parts = placed.join(cut, ["document_id", "idx"], "left").select(
         "document_id", "idx", "seg", F.coalesce("part", F.lit(0)).alias("part")
@@ -180,7 +288,7 @@ def chunk_by_title(
     own, cut into windows of `max_chars` that repeat `overlap` characters of their predecessor.
     """
     titles = elements.filter(F.col("element_type") == "Title").select("document_id", "idx")
-    parts = split_long_segments(segments(elements, titles), max_chars, soft)
+    parts = split_long_segments(cut_lineage(segments(elements, titles)), max_chars, soft)
     rows = elements.join(parts, ["document_id", "idx"])
     merged = _merge(rows)
     step = max_chars - overlap

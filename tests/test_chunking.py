@@ -36,7 +36,7 @@ def small_blocks(monkeypatch):
     for module in (chunking, elements):
         monkeypatch.setattr(module, "BLOCK_ROWS", 16)
     monkeypatch.setattr(
-        chunking, "halo_blocks", lambda df, i, b, a, _f=scale.halo_blocks: _f(df, i, b, a, width=16)
+        chunking, "halo_blocks", lambda df, i, b, a, width=16, _f=scale.halo_blocks: _f(df, i, b, a, width=width)
     )
 
 
@@ -132,3 +132,24 @@ def test_clean_and_tables(spark):
     found = elements.prepare_elements(frame).orderBy("idx").collect()
     assert [r["text"] for r in found] == ["Prüfungsausschuss\nEnde", "a | b\n--- | ---\n1 | 2"]
     assert found[0]["roles"] == ["PRÜFUNGSAUSSCHUSS"] and [r["idx"] for r in found] == [0, 1]
+
+
+@pytest.mark.parametrize("soft", [None, 20])
+@pytest.mark.parametrize("limit", [9, 30])
+def test_hot_segment_equals_one_pass(spark, soft, limit):
+    """Segments far beyond a block, next to short ones, against a plain loop."""
+    rng = np.random.default_rng(limit)
+    rows, expected = [], {}
+    for seg, (start, n) in enumerate([(0, 5), (5, 700), (705, 16), (721, 900)]):
+        size, part = 0, -1
+        for i in range(start, start + n):
+            length = int(rng.integers(1, 8)) if i % 40 else 35
+            if part < 0 or size + 2 + length > limit or (soft is not None and size > soft):
+                size, part = length, part + 1
+            else:
+                size += 2 + length
+            rows.append((7, seg, i, length))
+            expected[i] = part
+    frame = spark.createDataFrame(rows, "document_id long, seg long, idx long, length long")
+    found = chunking.split_long_segments(frame, limit, soft).collect()
+    assert {r["idx"]: r["part"] for r in found} == expected and len(found) == len(rows)
