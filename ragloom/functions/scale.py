@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,20 +30,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute a result that several later steps read, once, as a table in the checkpoint folder.
+def work_path(session: SparkSession) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir.
 
-    Unlike a cached result it survives the loss of executors, and readers still prune columns. The folder is the one
-    the session names in spark.checkpoint.dir; only where none is named (a local test) a temporary one is set.
+    Only where none is named (a local test) a temporary folder is set.
     """
-    session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if folder is None:
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
         folder = session.sparkContext.getCheckpointDir()
-    path = f"{folder}/ragloom-{uuid.uuid4().hex}"
+    return f"{folder}/ragloom-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute a result that several later steps read, once, as a table in the checkpoint folder.
+
+    Unlike a cached result it survives the loss of executors, and readers still prune columns.
+    """
+    path = work_path(df.sparkSession)
     df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:

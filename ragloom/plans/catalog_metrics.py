@@ -24,7 +24,7 @@ placed AS (SELECT *, coalesce(list_position(['ce', 'rrf'], source), 0) AS p,
 ranking AS (SELECT run_id, query_pk, chunk_id, row_number() OVER (PARTITION BY run_id, query_pk ORDER BY p, rank)
   AS position FROM placed WHERE NOT pref OR p > 0)"""
 
-_METRICS = """gained AS (SELECT r.*, coalesce(g.relevance, 0) AS rel, CASE WHEN g.relevance > 0
+METRICS = """gained AS (SELECT r.*, coalesce(g.relevance, 0) AS rel, CASE WHEN g.relevance > 0
    THEN (pow(2, g.relevance) - 1) / log2(position + 1) ELSE 0 END AS gain
   FROM ranking r LEFT JOIN gold g ON g.query_pk = r.query_pk AND g.chunk_id = r.chunk_id),
 ideal AS (SELECT query_pk, row_number() OVER (PARTITION BY query_pk ORDER BY relevance DESC) AS i, relevance FROM gold),
@@ -56,7 +56,7 @@ def _ranked(spark, d) -> DataFrame:
 
 @query(
     "retrieval_metrics",
-    f"WITH {_LOGS}, {_METRICS} SELECT run_id, query_pk, metric, round(value, 6) AS value FROM long",
+    f"WITH {_LOGS}, {METRICS} SELECT run_id, query_pk, metric, round(value, 6) AS value FROM long",
 )
 def retrieval_metrics(spark, d) -> DataFrame:
     rows = metrics.retrieval_metrics(_ranked(spark, d), data.log_qrels(spark, d))
@@ -71,7 +71,7 @@ for _name, _build in (
 
     query(
         _name,
-        f"""WITH {_LOGS}, {_METRICS} SELECT run_id, query_pk, metric, round(value, 6) AS value FROM long
+        f"""WITH {_LOGS}, {METRICS} SELECT run_id, query_pk, metric, round(value, 6) AS value FROM long
 WHERE metric IN ('{_name.split('_')[0]}@3', '{_name.split('_')[0]}@5')""",
     )(_one)
 
@@ -79,7 +79,7 @@ WHERE metric IN ('{_name.split('_')[0]}@3', '{_name.split('_')[0]}@5')""",
 @query(
     "retrieval_metrics_dense",
     f"""WITH {dense_sql(10)}, ranking AS (SELECT 1 AS run_id, query_pk, chunk_id, rank AS position FROM dense),
-gold AS (SELECT query_pk, chunk_id, 1 + chunk_id % 3 AS relevance FROM qv JOIN vecs ON label = q_label), {_METRICS}
+gold AS (SELECT query_pk, chunk_id, 1 + chunk_id % 3 AS relevance FROM qv JOIN vecs ON label = q_label), {METRICS}
 SELECT query_pk, metric, round(value, 6) AS value FROM long""",
 )
 def retrieval_metrics_dense(spark, d) -> DataFrame:
@@ -333,7 +333,7 @@ def judge_by_query_type(spark, d) -> DataFrame:
   WHERE answer_text <> ''), {_CITATION}, {_PAIRS}, {_F1}, {_SAID},
 ranking AS (SELECT run_id, query_pk AS qpk, CASE run_id WHEN 1 THEN 'semantic' ELSE '1800' END || '|' || query_pk AS query_pk,
   ((query_pk // 100 + i) % 5) || ':0' AS chunk_id, i AS position FROM items, range(1, 6) r(i)),
-gold AS (SELECT version || '|' || query_pk AS query_pk, chunk_id, relevance FROM agold), {_METRICS},
+gold AS (SELECT version || '|' || query_pk AS query_pk, chunk_id, relevance FROM agold), {METRICS},
 ans AS (SELECT i.*, EXISTS (SELECT 1 FROM f1 WHERE f1.conv_id = i.conv_id AND f1.turn = i.turn) AS has_gold,
   EXISTS (SELECT 1 FROM cited c WHERE c.query_pk = i.query_pk AND c.text IS NOT NULL) AS texts, conv_id % 2 = 0 AS hinted
   FROM items i WHERE answer_text <> ''),

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from ragloom.functions.scale import cut_lineage
 from ragloom.operators import fusion, lexical, metrics, statistics
 from ragloom.plans import datasets as data
-from ragloom.plans.catalog_retrieval import (
-    _corpus_vectors,
-    _text_queries,
-)
+from ragloom.plans.catalog_metrics import METRICS
+from ragloom.plans.catalog_retrieval import _corpus_vectors, _text_queries, hybrid_sql
 from ragloom.plans.registry import query
 from ragloom.sources import tables
 
@@ -108,8 +106,10 @@ def repeat_breakdown(spark, d) -> DataFrame:
 
 ITERS = 200
 
-_BOOT = f"""pairs AS (SELECT 'click' AS run_a, run AS run_b, metric FROM (SELECT DISTINCT run, metric FROM scores)
-  WHERE run <> 'click'),
+def boot_sql(baseline: str) -> str:
+    """CTEs that end in `res`(run_a, run_b, metric, n, delta, half, p) for `scores`(run, query_pk, metric, value)."""
+    return f"""pairs AS (SELECT '{baseline}' AS run_a, run AS run_b, metric FROM (SELECT DISTINCT run, metric FROM scores)
+  WHERE run <> '{baseline}'),
 diffs AS (SELECT run_a, run_b, p.metric, b.value - a.value AS diff, row_number() OVER (PARTITION BY run_a, run_b, p.metric
    ORDER BY md5(a.query_pk::VARCHAR), a.query_pk) - 1 AS idx FROM pairs p
   JOIN scores a ON a.run = run_a AND a.metric = p.metric
@@ -128,6 +128,9 @@ res AS (SELECT run_a, run_b, metric, n, delta, half,
   FROM counted JOIN means USING (run_a, run_b, metric))"""
 
 
+_BOOT = boot_sql("click")
+
+
 @query(
     "paired_bootstrap",
     f"""WITH {_SCORES}, {_BOOT} SELECT run_a, run_b, metric, n, round(delta, 6) AS delta_mean, round(p, 6) AS p_value,
@@ -258,7 +261,28 @@ def study_csv(spark, d) -> DataFrame:
     return tables.study_csv(rows, "click", ["value", "h2_error_rate"])
 
 
-@query("retrieval_study", None)
+_THREE_MODES = f"""{hybrid_sql(10)},
+ranking AS (SELECT 'HYBRID' AS run_id, query_pk, chunk_id, rank AS position FROM hybrid
+  UNION ALL SELECT 'BM25_ONLY', query_pk, chunk_id, rank FROM bm25 WHERE rank <= 10
+  UNION ALL SELECT 'VECTOR_ONLY', query_pk, chunk_id, rank FROM dense WHERE rank <= 10),
+gold AS (SELECT query_pk, chunk_id, max(relevance) AS relevance FROM (
+  SELECT item_id AS query_pk, doc_id || ':0' AS chunk_id, 3 AS relevance FROM documents d, benchmark b
+    WHERE item_id < 20 AND contains(d.text, b.text)
+  UNION ALL SELECT query_pk, chunk_id::VARCHAR || ':0', 1 FROM qv JOIN vecs ON label = q_label) GROUP BY ALL),
+{METRICS}, scores AS (SELECT run_id AS run, query_pk, metric, value FROM long
+  WHERE metric IN ('recall@5', 'ndcg@5', 'mrr@5')), {_AGG}, {boot_sql("HYBRID")}"""
+
+
+@query(
+    "retrieval_study",
+    f"""WITH {_THREE_MODES}, study AS (SELECT r.run_b AS variant, r.metric, a.value AS baseline, b.value, b.value - a.value AS delta, p
+  FROM res r JOIN agg a ON a.run = r.run_a AND a.metric = r.metric JOIN agg b ON b.run = r.run_b AND b.metric = r.metric)
+SELECT variant, metric, metric <> 'mrr@5' AS is_primary, round(baseline, 6) AS baseline, round(value, 6) AS value,
+  round(delta, 6) AS delta, round(p, 6) AS p_value,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS mark,
+  CASE WHEN abs(delta) < 0.001 THEN '≈0' ELSE CASE WHEN delta > 0 THEN '↑ +' ELSE '↓ ' END || printf('%.4f', delta) END AS label
+FROM study""",
+)
 def retrieval_study(spark, d) -> DataFrame:
     """Text, vector and hybrid retrieval of the same queries, scored and compared in one plan."""
     asked, index = _text_queries(spark, d), lexical.postings(data.chunks(spark, d))
@@ -271,6 +295,7 @@ def retrieval_study(spark, d) -> DataFrame:
         "query_pk", "chunk_id", F.lit(1).alias("relevance")
     )
     gold = verbatim.unionByName(near).groupBy("query_pk", "chunk_id").agg(F.max("relevance").alias("relevance"))
+    gold = cut_lineage(gold)
     logs = fusion.search_modes(asked, index, corpus, 10).withColumn("source", F.lit("rrf"))
     logs = logs.withColumn("run_id", F.upper("mode"))
     scores = metrics.retrieval_metrics(metrics.evaluated_ranking(logs, limit=10), gold).withColumnRenamed("run_id", "run")

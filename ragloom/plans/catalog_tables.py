@@ -1,13 +1,15 @@
-"""Queries for upserts, qrels parsing and table audits."""
+"""Queries for files read back, upserts, qrels parsing, process models, uploads and table audits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import cut_lineage, work_path
 from ragloom.plans import datasets as data
 from ragloom.plans.registry import query
-from ragloom.sources import evaluation, tables
+from ragloom.sources import evaluation, process_models, tables
+from ragloom.streaming import ingest
 
 
 def _events(spark, d) -> DataFrame:
@@ -95,3 +97,193 @@ UNION ALL SELECT 'scores', TRUE, count(*) FROM events UNION ALL SELECT 'runs', F
 def audit_tables(spark, d) -> DataFrame:
     present = {"chunks": data.table(spark, d, "documents"), "scores": _events(spark, d)}
     return tables.audit_tables(spark, present, ["chunks", "scores", "runs"])
+
+
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+def _lines_file(spark, rows: DataFrame) -> str:
+    """Write a text column as lines; a text may hold several lines, which stay together."""
+    path = work_path(spark)
+    rows.write.text(path)
+    return path
+
+
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+
+def _read_queries(spark, d) -> DataFrame:
+    """Benchmark texts as query lines: a first version of each, a blank line, and the final one."""
+    n = F.col("item_id")
+    query_id = F.concat(F.lit("q"), n.cast("string"))
+    old = _json(query_id=query_id, text=F.lit("old"))
+    new = _json(
+        query_id=query_id, text=F.col("text"), roles=F.array(F.lit("r")), process_name=F.when(n % 3 == 0, "P"),
+        query_type=F.when(n % 2 == 0, "structure"),
+    )
+    lines = data.table(spark, d, "benchmark").select(F.concat_ws("\n", old, F.lit(""), new))
+    return evaluation.read_queries(spark, _lines_file(spark, lines), "demo")
+
+
+@query(
+    "read_queries",
+    """SELECT 'demo' AS dataset, 'q' || item_id AS query_id, md5(text) AS text, CASE WHEN item_id % 3 = 0 THEN 'P' END AS process_name,
+  'r' AS roles, CASE WHEN item_id % 2 = 0 THEN 'structure' ELSE 'mixed' END AS query_type, 'both' AS expected_source
+FROM benchmark""",
+)
+def read_queries(spark, d) -> DataFrame:
+    return _read_queries(spark, d).select(
+        "dataset", "query_id", F.md5("text").alias("text"), "process_name", F.array_join("roles", ",").alias("roles"),
+        "query_type", "expected_source",
+    )
+
+
+def _qrels_path(spark, d) -> str:
+    """Per text: a graded line with gating, a second one with other gating, a negative one, one of an unknown query."""
+    n = F.col("item_id")
+    query_id = F.concat(F.lit("q"), n.cast("string"))
+    gating = lambda lane: F.struct(F.array(lane).alias("expected_lane_ids"))
+    lines = F.concat_ws(
+        "\n",
+        _json(query_id=query_id, chunk_id=F.lit("a"), relevance=n % 4, gating=gating(F.concat(F.lit("L"), query_id))),
+        _json(query_id=query_id, chunk_id=F.lit("b"), relevance=F.lit("much"), gating=gating(F.lit("late"))),
+        _json(query_id=query_id, chunk_id=F.lit("c"), relevance=F.lit(-1)),
+        _json(query_id=F.concat(F.lit("x"), query_id), chunk_id=F.lit("a"), relevance=F.lit(2)),
+    )
+    return _lines_file(spark, data.table(spark, d, "benchmark").select(lines))
+
+
+@query(
+    "read_qrels",
+    """SELECT 'q' || item_id AS query_id, unnest(['a', 'b', 'c']) AS chunk_id, unnest([item_id % 4, 1, 0])::BIGINT AS relevance,
+  'semantic' AS qrels_version FROM benchmark
+UNION ALL SELECT 'xq' || item_id, 'a', 2, 'rejected' FROM benchmark""",
+)
+def read_qrels(spark, d) -> DataFrame:
+    known = cut_lineage(_read_queries(spark, d))
+    qrels, rejects = evaluation.read_qrels(spark, _qrels_path(spark, d), known, "semantic")
+    kept = qrels.join(known.select("query_pk", "query_id"), "query_pk").select(
+        "query_id", "chunk_id", F.col("relevance").cast("long").alias("relevance"), "qrels_version"
+    )
+    return kept.unionByName(rejects.select(
+        "query_id", "chunk_id", F.col("relevance").cast("long").alias("relevance"), F.lit("rejected").alias("qrels_version")
+    ))
+
+
+@query(
+    "read_gold_gating",
+    """SELECT 'q' || item_id AS query_id, 'Lq' || item_id AS expected_lane_ids, '' AS expected_task_names FROM benchmark""",
+)
+def read_gold_gating(spark, d) -> DataFrame:
+    known = cut_lineage(_read_queries(spark, d))
+    gold = evaluation.read_gold_gating(spark, _qrels_path(spark, d), known)
+    return gold.join(known.select("query_pk", "query_id"), "query_pk").select(
+        "query_id", *[F.array_join(c, ",").alias(c) for c in ("expected_lane_ids", "expected_task_names")]
+    )
+
+
+@query(
+    "read_answers",
+    """SELECT 'q' || item_id AS query_id, md5(CASE WHEN item_id % 4 = 0 THEN '' ELSE text END) AS answers, 'e' AS explanation
+FROM benchmark""",
+)
+def read_answers(spark, d) -> DataFrame:
+    known = cut_lineage(_read_queries(spark, d))
+    n = F.col("item_id")
+    query_id = F.concat(F.lit("q"), n.cast("string"))
+    answers = F.when(n % 4 != 0, F.array("text"))
+    lines = F.concat_ws(
+        "\n",
+        _json(query_id=query_id, answers=F.array(F.lit("old"))),
+        _json(query_id=query_id, answers=answers, explanation=F.lit("e")),
+        _json(query_id=F.concat(F.lit("x"), query_id), answers=answers),
+    )
+    path = _lines_file(spark, data.table(spark, d, "benchmark").select(lines))
+    rows = evaluation.read_answers(spark, path, known).join(known.select("query_pk", "query_id"), "query_pk")
+    return rows.select("query_id", F.md5(F.array_join("answers", "|")).alias("answers"), "explanation")
+
+
+TURNS_PER_FILE = 1_000
+
+
+def _model_files(spark, d) -> DataFrame:
+    """A process model per conversation and thousand turns; every seventh conversation has a wrong root."""
+    turn = data.turns(spark, d)
+    key = F.concat_ws("_", "conv_id", F.floor(F.col("turn") / TURNS_PER_FILE))
+    n, turn_key = F.col("turn").cast("string"), F.concat_ws(":", "conv_id", "turn")
+    tag = F.when(F.col("turn") % 3 == 0, "exclusiveGateway").otherwise("userTask")
+    node = F.concat(F.lit("<"), tag, F.lit(' id="'), turn_key, F.lit('" name="'), F.col("role"), F.lit('"/>'))
+    following = F.concat_ws(":", F.col("conv_id"), F.col("turn") + 1)
+    flow = F.concat(
+        F.lit('<b:sequenceFlow id="f'), turn_key, F.lit('" sourceRef="'), turn_key, F.lit('" targetRef="'), following,
+        F.lit('"><b:conditionExpression> if '), n, F.lit(" </b:conditionExpression></b:sequenceFlow>"),
+    )
+    member = F.concat(
+        F.lit('<b:lane id="'), turn_key, F.lit('L" name="'), F.col("role"), F.lit('"><b:flowNodeRef>'), turn_key,
+        F.lit("</b:flowNodeRef></b:lane>"),
+    )
+    parts = turn.groupBy(key.alias("file"), F.col("conv_id")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.concat(node, flow, member))), "").alias("body")
+    )
+    root = F.when(F.col("conv_id") % 7 == 0, "b:other").otherwise("b:definitions")
+    return parts.select(
+        "file",
+        F.concat(
+            F.lit("<"), root, F.lit(' xmlns:b="urn:x" xmlns="urn:y" id="D'), F.col("file"), F.lit('"><b:process id="P'),
+            F.col("file"), F.lit('">'), F.col("body"), F.lit("</b:process></"), root, F.lit(">"),
+        ).alias("xml"),
+    )
+
+
+@query(
+    "read_process_models",
+    """WITH m AS (SELECT *, conv_id || '_' || turn // 1000 AS file, conv_id || ':' || turn AS k FROM conversations),
+ok AS (SELECT * FROM m WHERE conv_id % 7 <> 0)
+SELECT DISTINCT 'definitions' AS part, 'D' || file AS id, file AS a, '' AS b FROM ok
+UNION ALL SELECT DISTINCT 'processes', 'P' || file, 'D' || file, '' FROM ok
+UNION ALL SELECT 'nodes', k, role, CASE WHEN turn % 3 = 0 THEN 'exclusiveGateway' ELSE 'userTask' END FROM ok
+UNION ALL SELECT 'flows', 'f' || a.k, b.k, 'if ' || a.turn FROM ok a JOIN ok b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+UNION ALL SELECT 'lanes', k || 'L', role, 'P' || file FROM ok
+UNION ALL SELECT 'lane_members', k || 'L', k, '' FROM ok
+UNION ALL SELECT DISTINCT 'rejects', file, 'missing definitions root', '' FROM m WHERE conv_id % 7 = 0""",
+)
+def read_process_models(spark, d) -> DataFrame:
+    g = process_models.parse_process_models(_model_files(spark, d))
+    shape = {
+        "definitions": ("definition_id", "filename", F.lit("")),
+        "processes": ("process_id", "definition_id", F.lit("")),
+        "nodes": ("node_id", "name", F.col("type")),
+        "flows": ("flow_id", "target_id", F.col("condition")),
+        "lanes": ("lane_id", "name", F.col("process_id")),
+        "lane_members": ("lane_id", "node_id", F.lit("")),
+        "rejects": ("file", "error", F.lit("")),
+    }
+    result = None
+    for name, (key, first, second) in shape.items():
+        rows = g[name].select(F.lit(name).alias("part"), F.col(key).alias("id"), F.col(first).alias("a"), second.alias("b"))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
+@query(
+    "upload_outcomes",
+    """WITH e AS (SELECT doc_id, ['by_title', 'semantic', 'sentence_semantic', 'by_title'][1 + doc_id % 4] AS strategy,
+  doc_id % 10 = 9 AS missing FROM documents)
+SELECT doc_id AS document_id, CASE WHEN missing THEN 'failed' ELSE 'indexed' END AS outcome,
+  CASE WHEN missing THEN 'Upload file missing: f' || doc_id ELSE strategy END AS detail FROM e""",
+)
+def upload_outcomes(spark, d) -> DataFrame:
+    doc = F.col("doc_id")
+    path = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    names = F.array(*[F.lit(x) for x in ("by_title", "semantic", "sentence_semantic", "else")])
+    events = data.table(spark, d, "documents").select(
+        doc.alias("document_id"), path(doc).alias("path"), F.lit("P").alias("process_name"), F.lit("").alias("tags"),
+        F.lit("f").alias("file_name"), names[(doc % 4).cast("int")].alias("chunking_strategy"),
+    )
+    parsed = data.elements(spark, d).filter(F.col("document_id") % 10 != 9).withColumn("idx", F.col("pos"))
+    elements = cut_lineage(data.with_embeddings(parsed, spark, d).withColumn("path", path(F.col("document_id"))))
+    _, indexed, failed = ingest.chunk_events(events, elements.drop("document_id", "idx"))
+    return indexed.select("document_id", F.lit("indexed").alias("outcome"), F.col("chunking_strategy").alias("detail")).unionByName(
+        failed.select("document_id", F.lit("failed").alias("outcome"), F.col("error").alias("detail"))
+    )
