@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import fits_broadcast, top_k
-from ragloom.operators.lexical import query_filters
+from ragloom.functions.vectors import cosine
+from ragloom.operators.lexical import allowed, query_filters
 
 SCORE_DIGITS = 9
 BLOCK_VECTORS = 2_048
@@ -138,9 +139,6 @@ def _grid_topk(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame
 
 def _filtered_scores(wanted: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
     """Filtered queries only meet chunks of their process or tag, through an equi-join."""
-    from ragloom.functions.vectors import cosine
-    from ragloom.operators.lexical import allowed
-
     by_process = wanted.filter(F.col("_process").isNotNull()).withColumn("_key", F.col("_process"))
     by_tag = wanted.filter(F.col("_process").isNull()).withColumn("_key", F.explode(F.array_distinct("_tags")))
     parts = []

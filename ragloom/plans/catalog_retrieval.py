@@ -47,7 +47,8 @@ best AS (SELECT query_pk, chunk_id, round(max(s), 9) AS score FROM allhits GROUP
 BENCHMARK = "SELECT item_id AS query_pk, text FROM benchmark"
 
 VECTORS = """vecs AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label FROM embeddings),
-qv AS (SELECT chunk_id AS query_pk, v AS qv, label AS q_label FROM vecs WHERE chunk_id < 20)"""
+qv AS (SELECT chunk_id AS query_pk, v AS qv, label AS q_label FROM vecs
+  WHERE chunk_id IN (SELECT item_id FROM benchmark))"""
 
 
 def dense_sql(keep: int, name: str = "dense", where: str = "TRUE") -> str:
@@ -186,7 +187,7 @@ def rrf_weights(spark, d) -> DataFrame:
 
 
 def _text_queries(spark, d) -> DataFrame:
-    """Benchmark texts that also have a vector: query n uses vector n."""
+    """Benchmark texts with their vectors."""
     return data.queries(spark, d).join(
         data.query_vectors(spark, d).select("query_pk", "embedding"), "query_pk"
     )
@@ -199,12 +200,9 @@ def _corpus_vectors(spark, d) -> DataFrame:
     )
 
 
-_FIRST = "SELECT item_id AS query_pk, text FROM benchmark WHERE item_id < 20"
-
-
 def hybrid_sql(k: int, fetch: int | None = None, keep: int | None = None) -> str:
     fetch, keep = fetch or 5 * k, keep or k
-    return f"""{bm25_sql(_FIRST, fetch)}, {dense_sql(1000000, "dense0")},
+    return f"""{bm25_sql(BENCHMARK, fetch)}, {dense_sql(1000000, "dense0")},
 dense AS (SELECT * FROM (SELECT query_pk, chunk_id::VARCHAR || ':0' AS chunk_id, score,
    row_number() OVER (PARTITION BY query_pk ORDER BY score DESC, chunk_id::VARCHAR || ':0') AS rank FROM dense0)
    WHERE rank <= {fetch}),
@@ -244,7 +242,7 @@ def hybrid_search(spark, d) -> DataFrame:
 
 @query(
     "search_bm25_only",
-    f"""WITH {bm25_sql(_FIRST, 10)}
+    f"""WITH {bm25_sql(BENCHMARK, 10)}
 SELECT query_pk, chunk_id, round(1.0 / (60 + rank), 9) AS rrf_score, 'bm25' AS source, rank FROM bm25""",
 )
 def search_bm25_only(spark, d) -> DataFrame:
@@ -349,7 +347,7 @@ def context_block(spark, d) -> DataFrame:
   SELECT query_pk, rank AS position, chunk_id, substr(text, 1, 300) AS text, round(rrf_score, 4) AS score,
     round(rerank_score, 4) AS rerank_score, process_name, process_name || '.pdf' AS filename FROM final
   UNION ALL SELECT item_id, 0, 'bpmn_' || item_id, 'Prozesskontext', NULL, NULL, 'src' || item_id,
-    'BPMN-Prozess: src' || item_id FROM benchmark WHERE item_id < 20 AND item_id % 3 <> 0)
+    'BPMN-Prozess: src' || item_id FROM benchmark WHERE item_id % 3 <> 0)
 SELECT query_pk, position, chunk_id, md5(text) AS text, score, rerank_score, process_name, filename FROM shown""",
 )
 def evidence_rows(spark, d) -> DataFrame:

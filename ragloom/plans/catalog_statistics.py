@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import cut_lineage
@@ -267,7 +267,7 @@ ranking AS (SELECT 'HYBRID' AS run_id, query_pk, chunk_id, rank AS position FROM
   UNION ALL SELECT 'VECTOR_ONLY', query_pk, chunk_id, rank FROM dense WHERE rank <= 10),
 gold AS (SELECT query_pk, chunk_id, max(relevance) AS relevance FROM (
   SELECT item_id AS query_pk, doc_id || ':0' AS chunk_id, 3 AS relevance FROM documents d, benchmark b
-    WHERE item_id < 20 AND contains(d.text, b.text)
+    WHERE contains(d.text, b.text)
   UNION ALL SELECT query_pk, chunk_id::VARCHAR || ':0', 1 FROM qv JOIN vecs ON label = q_label) GROUP BY ALL),
 {METRICS}, scores AS (SELECT run_id AS run, query_pk, metric, value FROM long
   WHERE metric IN ('recall@5', 'ndcg@5', 'mrr@5')), {_AGG}, {boot_sql("HYBRID")}"""
@@ -317,8 +317,6 @@ SELECT label::BIGINT AS query_pk, rank, CASE WHEN vec_id % 4 = 0 THEN 'ce' ELSE
     ELSE 1.0 / (60 + rank) END, 6) AS score FROM v""",
 )
 def retrieval_logs(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
     v = data.table(spark, d, "embeddings")
     n = F.col("vec_id")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))

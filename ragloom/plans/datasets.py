@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.scale import cut_lineage, spread
 
-SEED_QUERIES = 20
-
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -75,7 +73,9 @@ def vectors(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "embeddings").filter(F.col("vec_id") < SEED_QUERIES).select(
+    """The vector of each benchmark text: text n uses vector n."""
+    items = table(spark, directory, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return table(spark, directory, "embeddings").join(items, "vec_id", "left_semi").select(
         F.col("vec_id").alias("query_pk"), "embedding", "label"
     )
 
