@@ -31,17 +31,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def work_path(session: SparkSession) -> str:
-    """A new path in the folder that the session names in spark.checkpoint.dir.
+    """A new path in the shared folder that the session names in spark.checkpoint.dir (or by setCheckpointDir).
 
-    Only where none is named (a local test) a temporary folder is set.
+    Without one there is no folder that all executors can read, which is an error; only a session that runs in one
+    process (master local) gets a folder of its own.
     """
-    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
-        folder = session.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
+        folder = context.getCheckpointDir()
     return f"{folder}/ragloom-{uuid.uuid4().hex}"
 
 
+def drop_work(session: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later step reads."""
+    target = session._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(session._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute a result that several later steps read, once, as a table in the checkpoint folder.
 
