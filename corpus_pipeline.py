@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.scale import work_path
 from ragloom.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
+from ragloom.llm.common import packed
 
 #: A text is rejected when no language is at least this probable.
 LEAST_SCORE = 0.4
@@ -24,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.filter(F.col("lang").isNotNull()))
     if model is None:
         return docs
-    judged = language_id.predict(docs, model)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.predict(packed(docs, F.col("text")), model, keep=["row"])
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import cut_lineage, drop_work, work_path
+from ragloom.functions.scale import drop_work, work_path
 
 #: Groups with more than one HOT_SHARE-th of all rows are broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200
@@ -32,9 +32,9 @@ class Scratch:
             drop_work(self.session, self.paths.pop(name))
 
 
-def own_columns(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """The named expressions only, so that further columns of the caller can't clash with an operator's own."""
-    return df.select(*columns)
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The rows in one struct `row`, which no column of the caller's can clash with, and further columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -66,9 +66,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, offsets.astype(np.int64)
 
 
-def pieces(batch: pa.RecordBatch, weight: str, limit: int) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, weight: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column `weight` has about `limit` bytes each (a longer row stands alone)."""
-    _, offsets = buffers(batch.column(batch.schema.get_field_index(weight)))
+    _, offsets = buffers(batch.column(weight))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
@@ -115,6 +115,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 __all__ = [
-    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "cut_lineage", "join_groups", "mix64", "own_columns",
-    "pieces",
+    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "join_groups", "mix64", "packed", "pieces",
 ]

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import work_path
-from ragloom.llm.common import Scratch, join_groups
+from ragloom.llm.common import Scratch, join_groups, packed
 
 #: Digests per bucket that an index is laid out for.
 BUCKET_DIGESTS = 4_000_000
@@ -115,17 +115,12 @@ def keep_first(documents: DataFrame, id_column: str = "doc_id", text: str = "tex
     Which rows stay is decided by `deduplicate`; of rows that repeat both id and text, the first by the hash of all
     their columns stays.
     """
-    names = documents.columns
-    digest = F.lower(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     kept = deduplicate(documents, id_column, text).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), (F.col("group_size") > 1).alias("_many")
+        F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"), (F.col("group_size") > 1).alias("many")
     )
-    rows = documents.withColumn("_sha", digest)
-    chosen = rows.join(
-        kept, F.col(id_column).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_sha").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    repeated = chosen.filter("_many").withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*names)
-    return chosen.filter(~F.col("_many")).select(*names).unionByName(repeated)
+    rows = packed(documents, F.col(id_column).alias("id"), digest.alias("sha"))
+    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")))
+    order = Window.partitionBy("sha").orderBy(F.xxhash64("row"))
+    first = chosen.filter("many").withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return chosen.filter(~F.col("many")).select("row.*").unionByName(first.select("row.*"))

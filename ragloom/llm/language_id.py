@@ -222,11 +222,11 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*(model.languages if model else []), UNKNOWN], object)
         for whole in batches:
-            for batch in pieces(whole, "_bytes", PIECE_BYTES):
-                known = batch.column("_letters").to_numpy(zero_copy_only=False)
+            for batch in pieces(whole, len(kept), PIECE_BYTES):
+                known = batch.column(len(kept) + 1).to_numpy(zero_copy_only=False)
                 number, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
                 if model is not None and known.any():
-                    texts, offsets = buffers(batch.column("_bytes"))
+                    texts, offsets = buffers(batch.column(len(kept)))
                     best, sure = classify(model, texts, offsets)
                     number, score = np.where(known, best, number), np.where(known, sure, 0.0)
                 columns = [batch.column(n) for n in range(len(kept))]

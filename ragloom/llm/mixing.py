@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import fits_broadcast, join_hot
-from ragloom.llm.common import WORDS, Scratch
+from ragloom.llm.common import WORDS, Scratch, packed
 
 HASH_BITS = 48
 LEVEL_BITS = 12
@@ -143,16 +143,15 @@ def mix(
 
 def apply_mix(documents: DataFrame, **options) -> DataFrame:
     """The documents with their own columns, each as often as the mix takes it."""
-    names = documents.columns
     id_column, text, source = (options.get(k, d) for k, d in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
     chosen = mix(documents, **options).filter("times > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("times").cast("int").alias("_times"),
+        F.col("doc_id").alias("chosen_id"), F.col("source").alias("chosen_source"), F.col("size").alias("chosen_size"),
+        F.col("times").cast("int").alias("times"),
     ).distinct()
-    rows = documents.withColumn("_words", words(text))
+    rows = packed(documents, F.col(id_column).alias("id"), F.col(source).alias("source"), words(text).alias("size"))
     same = (
-        F.col(id_column).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
+        F.col("id").eqNullSafe(F.col("chosen_id")) & F.col("source").eqNullSafe(F.col("chosen_source"))
+        & (F.col("size") == F.col("chosen_size"))
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return rows.join(chosen, same).withColumn("_copy", copies).select(*names)
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return rows.join(chosen, same).select("row", copies.alias("copy")).select("row.*")

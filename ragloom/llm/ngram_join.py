@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ragloom.llm.common import Scratch, components, join_groups, mix64, pieces
+from ragloom.llm.common import Scratch, components, join_groups, mix64, packed, pieces
 
 GROUPS = 256
 LEAF = 32
@@ -499,8 +500,6 @@ def near_duplicates(
         F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     )
     kind = sent.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     everything = scratch.write(
         "profiles", sent.mapInArrow(_profile(words, to_arrow_type(kind)), PROFILES.format(id=kind.simpleString()))
     )
@@ -563,5 +562,6 @@ def keep_one(
     Documents without an id, and rows that repeat the smallest id of their component, all stay.
     """
     found = near_duplicates(documents, words, percent, id_column, text)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(dropped, F.col(id_column) == F.col("_dropped"), "left_anti")
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped")).distinct()
+    rows = packed(documents, F.col(id_column).alias("id"))
+    return rows.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")

@@ -322,9 +322,9 @@ def encode(
         if lattices is None:
             lattices = _KEPT[pieces_.key] = _Lattices(pieces_)
         for whole in batches:
-            for batch in pieces(whole, "_text", PART_CHARS):
-                seeds = batch.column("_seed").to_numpy().view(np.uint64)
-                ids, sizes = encode_texts(lattices, batch.column("_text").to_pylist(), seeds)
+            for batch in pieces(whole, len(kept), PART_CHARS):
+                seeds = batch.column(len(kept) + 1).to_numpy().view(np.uint64)
+                ids, sizes = encode_texts(lattices, batch.column(len(kept)).to_pylist(), seeds)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 columns = [batch.column(n) for n in range(len(kept))]
