@@ -50,9 +50,10 @@ def normalise_tags(tags: Column, is_array: bool) -> Column:
 
 
 def reindex(chunks: DataFrame, vectors: DataFrame, semantic_source: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows of the new table, one row with `processed` and `skipped`).
+    """(rows of the new table, one row with `processed`, `skipped` and `unvectored`).
 
-    Blank chunks are skipped, ids are kept, the page number becomes text for semantic sources.
+    Blank chunks are skipped, ids are kept, the page number becomes text for semantic sources. A chunk without a vector
+    has no row in the new table and counts as unvectored; `processed` counts the rows written.
     """
     is_array = dict(chunks.dtypes)["tags"].startswith("array")
     rows = chunks.filter(~blank(F.col("text"))).withColumn("tags", normalise_tags(F.col("tags"), is_array))
@@ -61,8 +62,12 @@ def reindex(chunks: DataFrame, vectors: DataFrame, semantic_source: bool = True)
     renewed = rows.join(vectors.select("chunk_id", "embedding"), "chunk_id").withColumn(
         "point_id", uuid5(F.col("chunk_id"))
     )
-    skipped = F.sum(blank(F.col("text")).cast("long"))
-    counts = chunks.agg((F.count(F.lit(1)) - skipped).alias("processed"), skipped.alias("skipped"))
+    found = vectors.select("chunk_id").distinct().withColumn("_found", F.lit(True))
+    empty = blank(F.col("text"))
+    counts = chunks.select("chunk_id", "text").join(found, "chunk_id", "left").agg(
+        F.count_if(~empty & F.col("_found")).alias("processed"), F.count_if(empty).alias("skipped"),
+        F.count_if(~empty & F.col("_found").isNull()).alias("unvectored"),
+    )
     return renewed, counts
 
 

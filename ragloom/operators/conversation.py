@@ -202,9 +202,9 @@ def apply_verdicts(classified: DataFrame, verdicts: DataFrame, mode: Column | st
     """Fold recorded model outputs (request_id, classification, verification) into the intents.
 
     mode: a literal or column of 'hybrid', 'llm_only', 'disabled'. An ambiguous request takes the named intent at 0.85
-    or process at 0.5. A request that needs verification keeps its intent on CONFIRM (0.1 more, at most 0.95), becomes
-    process at 0.8 on OVERRIDE, at 0.6 if the verdict is unclear, at 0.5 if there is none. Model-only mode uses the
-    named intent, else process at 0.6; disabled mode is process at 1.0.
+    or process at 0.5. A request that needs verification, among them those with a named intent other than process, keeps
+    its intent on CONFIRM (0.1 more, at most 0.95), becomes process at 0.8 on OVERRIDE, at 0.6 if the verdict is unclear,
+    at 0.5 if there is none. Model-only mode uses the named intent, else process at 0.6; disabled mode is process at 1.0.
     """
     chosen = F.lit(mode) if isinstance(mode, str) else mode
     rows = classified.join(verdicts, "request_id", "left")
@@ -219,9 +219,14 @@ def apply_verdicts(classified: DataFrame, verdicts: DataFrame, mode: Column | st
             named.isNotNull(), F.struct(named.alias("intent"), F.lit(0.85).alias("confidence"))
         ).otherwise(_verdict("process_related", fallback))
 
+    guessed = F.col("intent") == "ambiguous"
+    given = F.struct(F.col("intent").alias("intent"), F.col("confidence").alias("confidence"))
+    rows = rows.withColumn("_base", F.when(guessed, named_or(0.5)).otherwise(given))
+    base = F.col("_base")
+    doubtful = (base["intent"] != "process_related") & (base["confidence"] < VERIFY_BELOW)
     confirmed = F.struct(
-        F.col("intent").alias("intent"),
-        F.least(F.col("confidence") + 0.1, F.lit(0.95)).alias("confidence"),
+        base["intent"].alias("intent"),
+        F.least(base["confidence"] + 0.1, F.lit(0.95)).alias("confidence"),
     )
     verified = (
         F.when(spoken.isNull(), _verdict("process_related", 0.5))
@@ -232,15 +237,14 @@ def apply_verdicts(classified: DataFrame, verdicts: DataFrame, mode: Column | st
     final = (
         F.when(chosen == "disabled", _verdict("process_related", 1.0))
         .when(chosen == "llm_only", named_or(0.6))
-        .when(F.col("intent") == "ambiguous", named_or(0.5))
-        .when(needs, verified)
-        .otherwise(F.struct(F.col("intent").alias("intent"), F.col("confidence").alias("confidence")))
+        .when(F.when(guessed, doubtful).otherwise(needs), verified)
+        .otherwise(base)
     )
     return (
         rows.withColumn("_final", final)
         .withColumn("intent", F.col("_final.intent"))
         .withColumn("confidence", F.col("_final.confidence"))
-        .drop("_final", "classification", "verification")
+        .drop("_final", "_base", "classification", "verification")
     )
 
 

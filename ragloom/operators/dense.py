@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import fits_broadcast, top_k
-from ragloom.functions.vectors import cosine
-from ragloom.operators.lexical import allowed, query_filters
+from ragloom.functions.scale import top_k
+from ragloom.operators.lexical import query_filters
 
 SCORE_DIGITS = 9
 BLOCK_VECTORS = 2_048
-QUERY_VECTORS = 20_000
-QUERY_BYTES = 128 << 20
+#: Bounds of a slice of queries that every task holds: its rows and the numbers in its vectors.
+SLICE_QUERIES = 8_192
+SLICE_VALUES = 4 << 20
 QUERY_SLICE = 256
 
 
@@ -65,15 +65,20 @@ def vector_topk(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> D
     """Best `k` chunks per query by cosine similarity: (query_pk, chunk_id, score, rank).
 
     query_vectors: query_pk, embedding[, filter_process, filter_tags]; chunk_vectors: chunk_id, embedding
-    [, process_name, tags]. A query side that measures small travels to the tasks and the corpus is not shuffled;
-    a larger one is cut into blocks that meet every corpus block.
+    [, process_name, tags]. A filter on a column that the chunks don't have filters nothing. Queries are cut into slices
+    of bounded size that travel to the tasks, one pass over the chunks for each; the chunks are never shuffled, and a
+    task returns k rows per query whatever it has read.
     """
     wanted = query_vectors.filter(F.col("embedding").isNotNull()).select(
         "query_pk", "embedding", *query_filters(query_vectors)
     )
-    hits = _scan_topk(wanted, chunk_vectors, k) if fits_broadcast(
-        wanted, QUERY_VECTORS, QUERY_BYTES
-    ) else _grid_topk(wanted, chunk_vectors, k)
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("values")).first()
+    slices = max(1, -(-size["n"] // SLICE_QUERIES), -(-(size["values"] or 0) // SLICE_VALUES))
+    hits = None
+    for number in range(slices):
+        part = wanted if slices == 1 else wanted.filter(F.pmod(F.xxhash64("query_pk"), F.lit(slices)) == number)
+        found = _scan_topk(part, chunk_vectors, k)
+        hits = found if hits is None else hits.unionByName(found)
     return top_k(hits, ["query_pk"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
@@ -83,7 +88,7 @@ def _hit_schema(query_vectors: DataFrame, chunk_vectors: DataFrame) -> str:
 
 
 def _scan_topk(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    """One pass over the corpus; each Arrow batch yields at most k rows per query."""
+    """One pass over the chunks; each task keeps the best k of every query so far and yields them at its end."""
     local = wanted.toArrow().combine_chunks()
     if local.num_rows == 0:
         return wanted.sparkSession.createDataFrame([], _hit_schema(wanted, chunk_vectors))
@@ -100,83 +105,41 @@ def _scan_topk(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix, processes, tag_sets = queries.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in (part for whole in batches for part in _parts(whole, BLOCK_VECTORS)):
             ids = np.array(batch.column("chunk_id").to_pylist())
             vectors = _unit(batch.column("embedding").flatten(), batch.num_rows)
             names = {c: np.array(batch.column(c).to_pylist(), dtype=object) for c in keep}
             for start in range(0, len(keys), QUERY_SLICE):
                 similarity = np.round(matrix[start : start + QUERY_SLICE] @ vectors.T, SCORE_DIGITS)
-                found: tuple[list, list, list] = ([], [], [])
                 for row, scores in enumerate(similarity, start):
                     if processes[row] and "process_name" in names:
                         scores = np.where(names["process_name"] == processes[row], scores, -np.inf)
                     if tag_sets[row] and "tags" in names:
                         scores = np.where(np.isin(names["tags"].astype(str), tag_sets[row]), scores, -np.inf)
-                    best = _best(scores, ids, k)
-                    found[0].extend([keys[row]] * len(best))
-                    found[1].extend(ids[best].tolist())
-                    found[2].extend(scores[best].tolist())
-                yield _batch(*found, types, ["query_pk", "chunk_id", "score"])
+                    found = _best(scores, ids, k)
+                    scores, near = scores[found], ids[found]
+                    if row in best and len(found):
+                        scores, near = np.concatenate([best[row][0], scores]), np.concatenate([best[row][1], near])
+                        found = _best(scores, near, k)
+                        scores, near = scores[found], near[found]
+                    if len(found):
+                        best[row] = scores, near
+        if best:
+            yield _batch(
+                [keys[row] for row, (_, near) in best.items() for _ in near],
+                [v for _, near in best.values() for v in near.tolist()],
+                [v for scores, _ in best.values() for v in scores.tolist()],
+                types, ["query_pk", "chunk_id", "score"],
+            )
 
     vectors = chunk_vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *keep)
     return vectors.mapInArrow(scan, _hit_schema(wanted, chunk_vectors))
 
 
-def _grid_topk(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    """Every block of queries meets every block of chunks; filtered queries are grouped by their filter first."""
-    hits = None
-    plain = F.col("_process").isNull() & (F.coalesce(F.size("_tags"), F.lit(0)) <= 0)
-    for filtered in (False, True):
-        side = wanted.filter(~plain if filtered else plain).select("query_pk", "embedding", "_process", "_tags")
-        if filtered and not {"process_name", "tags"} & set(chunk_vectors.columns):
-            continue
-        pairs = _filtered_scores(side, chunk_vectors) if filtered else _grid_scores(side, chunk_vectors, k)
-        hits = pairs if hits is None else hits.unionByName(pairs)
-    return hits
-
-
-def _filtered_scores(wanted: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
-    """Filtered queries only meet chunks of their process or tag, through an equi-join."""
-    by_process = wanted.filter(F.col("_process").isNotNull()).withColumn("_key", F.col("_process"))
-    by_tag = wanted.filter(F.col("_process").isNull()).withColumn("_key", F.explode(F.array_distinct("_tags")))
-    parts = []
-    for side, field in ((by_process, "process_name"), (by_tag, "tags")):
-        chunks = chunk_vectors.withColumnRenamed("embedding", "_other").withColumn("_key", F.col(field))
-        joined = chunks.join(side, "_key").filter(allowed(F.col("process_name"), F.col("tags")))
-        score = F.round(cosine(F.col("embedding"), F.col("_other")), SCORE_DIGITS)
-        parts.append(joined.select("query_pk", "chunk_id", score.alias("score")))
-    return parts[0].unionByName(parts[1])
-
-
-def _grid_scores(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    queries, query_blocks = vector_blocks(wanted, "query_pk")
-    left = queries.select(
-        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")
-    )
-    chunks, _ = vector_blocks(chunk_vectors, "chunk_id")
-    right = chunks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    types = _arrow_type(wanted, "query_pk"), _arrow_type(chunk_vectors, "chunk_id")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = np.array(batch.column("q_ids")[i].as_py())
-                ids = np.array(batch.column("ids")[i].as_py())
-                a = _unit(batch.column("q_flat")[i].values, len(keys))
-                b = _unit(batch.column("flat")[i].values, len(ids))
-                similarity = np.round(a @ b.T, SCORE_DIGITS)
-                best = [_best(row, ids, k) for row in similarity]
-                yield _batch(
-                    np.repeat(keys, [len(x) for x in best]).tolist(),
-                    [v for x in best for v in ids[x].tolist()],
-                    [float(v) for row, x in zip(similarity, best) for v in row[x]],
-                    types,
-                    ["query_pk", "chunk_id", "score"],
-                )
-
-    return right.join(left, "q_block").mapInArrow(multiply, _hit_schema(wanted, chunk_vectors))
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def similar_pairs(vectors: DataFrame, key: str, threshold: float, rows: int = BLOCK_VECTORS) -> DataFrame:

@@ -130,23 +130,20 @@ def paired_bootstrap(
     numbered = cut_lineage(
         ranked.join(means.select(*keys, "n"), keys).select(*keys, "n", (F.col("_place") - 1).alias("idx"), "diff")
     )
-    # A fixed number of tasks: the few numbered rows grow into all draws after the shuffle.
-    batch, tasks = 64, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Draws depend on n only, so pairs with the same n share them; few rows grow into all draws after the shuffle.
+    batch = 64
     grid = (
-        numbered.select(
-            *keys, "n", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g")
-        )
-        .repartition(tasks, *keys, "_g", F.pmod("j", F.lit(16)))
-        .select(*keys, "n", "j", F.explode(F.sequence(F.col("_g") * batch, F.least(
+        numbered.select("n", F.col("idx").alias("j")).distinct()
+        .select("n", "j", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g"))
+        .repartition("n", "_g", F.pmod("j", F.lit(16)))
+        .select("n", "j", F.explode(F.sequence(F.col("_g") * batch, F.least(
             F.col("_g") * batch + batch - 1, F.lit(iters - 1)))).alias("i"))
     )
     name = F.concat_ws(":", F.lit(str(seed)), F.col("i"), F.col("j"))
     drawn = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n")
-    draws = grid.select(*keys, "i", drawn.alias("idx"))
-    boots = join_hot(
-        draws, numbered.drop("n"), [*keys, "idx"], ["i"], fits_broadcast(numbered)
-    ).groupBy(*keys, "i").agg(
-        F.round(F.avg("diff"), 9).alias("boot")
+    draws = grid.groupBy("n", "i", drawn.alias("idx")).agg(F.count(F.lit(1)).alias("_times"))
+    boots = join_hot(draws, numbered, ["n", "idx"], ["i"], fits_broadcast(numbered)).groupBy(*keys, "n", "i").agg(
+        F.round(F.sum(F.col("diff") * F.col("_times")) / F.col("n"), 9).alias("boot")
     )
     # One row per iteration: a group is as large as `iters`, whatever the number of queries.
     ordered = boots.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("boot", "i")) - 1)

@@ -285,10 +285,10 @@ def _old_chunks(spark, d) -> DataFrame:
     "reindex",
     f"""SELECT doc_id::VARCHAR || ':0' AS chunk_id, md5(text) AS text, (doc_id % 10)::VARCHAR AS page_number,
   CASE doc_id % 4 WHEN 0 THEN lang || ',x' WHEN 1 THEN NULL ELSE lang END AS tags, label::BIGINT AS label
-FROM documents JOIN embeddings ON vec_id = doc_id WHERE trim({_BLANKED}, ' ' || chr(10) || chr(9) || chr(13)) <> ''""",
+FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) WHERE trim({_BLANKED}, ' ' || chr(10) || chr(9) || chr(13)) <> ''""",
 )
 def reindex(spark, d) -> DataFrame:
-    vectors = data.vectors(spark, d).withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit(":0")))
+    vectors = data.chunk_vectors(spark, d)
     rows = chunks.reindex(_old_chunks(spark, d), vectors)[0].join(vectors.select("chunk_id", "label"), "chunk_id")
     return rows.select(
         "chunk_id", F.md5("text").alias("text"), "page_number", "tags", F.col("label").cast("long").alias("label")
@@ -297,8 +297,10 @@ def reindex(spark, d) -> DataFrame:
 
 @query(
     "reindex_counts",
-    f"""SELECT count(*) FILTER (NOT b) AS processed, count(*) FILTER (b) AS skipped FROM (
-  SELECT trim({_BLANKED}, ' ' || chr(10) || chr(9) || chr(13)) = '' AS b FROM documents)""",
+    f"""SELECT count(*) FILTER (NOT b AND v) AS processed, count(*) FILTER (b) AS skipped,
+  count(*) FILTER (NOT b AND NOT v) AS unvectored FROM (
+  SELECT trim({_BLANKED}, ' ' || chr(10) || chr(9) || chr(13)) = '' AS b, doc_id IN (SELECT vec_id FROM embeddings) AS v
+  FROM documents)""",
 )
 def reindex_counts(spark, d) -> DataFrame:
     vectors = data.vectors(spark, d).withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit(":0")))

@@ -114,13 +114,14 @@ _VERDICTS = ["CONFIRM", "override it", "perhaps"]
   CASE WHEN (conv_id + turn) % 7 <> 0 THEN {_list(_VERDICTS)}[1 + (conv_id + turn) % 3] END AS v FROM ctx),
 named AS (SELECT *, CASE c WHEN 'off topic' THEN 'off_topic' WHEN 'It is PROCESS RELATED.' THEN 'process_related'
   WHEN 'followup' THEN 'followup' WHEN 'GREETING or CHITCHAT' THEN 'greeting' END AS nm FROM said),
+basis AS (SELECT *, CASE WHEN intent = 'ambiguous' THEN coalesce(nm, 'process_related') ELSE intent END AS bi,
+  CASE WHEN intent = 'ambiguous' THEN CASE WHEN nm IS NULL THEN 0.5 ELSE 0.85 END ELSE confidence END AS bc FROM named),
 folded AS (SELECT request_id, CASE WHEN mode = 'disabled' THEN 'process_related|1.0'
   WHEN mode = 'llm_only' THEN coalesce(nm || '|0.85', 'process_related|0.6')
-  WHEN intent = 'ambiguous' THEN coalesce(nm || '|0.85', 'process_related|0.5')
-  WHEN intent <> 'process_related' AND confidence < 0.9 THEN CASE WHEN v IS NULL THEN 'process_related|0.5'
-    WHEN v = 'override it' THEN 'process_related|0.8' WHEN v = 'CONFIRM' THEN intent || '|' || least(confidence + 0.1, 0.95)
+  WHEN bi <> 'process_related' AND bc < 0.9 THEN CASE WHEN v IS NULL THEN 'process_related|0.5'
+    WHEN v = 'override it' THEN 'process_related|0.8' WHEN v = 'CONFIRM' THEN bi || '|' || least(bc + 0.1, 0.95)
     ELSE 'process_related|0.6' END
-  ELSE intent || '|' || confidence END AS f FROM named)
+  ELSE bi || '|' || bc END AS f FROM basis)
 SELECT request_id, split_part(f, '|', 1) AS intent, round(split_part(f, '|', 2)::DOUBLE, 6) AS confidence FROM folded""",
 )
 def apply_verdicts(spark, d) -> DataFrame:

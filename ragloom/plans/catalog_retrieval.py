@@ -187,25 +187,23 @@ def rrf_weights(spark, d) -> DataFrame:
 
 
 def _text_queries(spark, d) -> DataFrame:
-    """Benchmark texts with their vectors."""
-    return data.queries(spark, d).join(
-        data.query_vectors(spark, d).select("query_pk", "embedding"), "query_pk"
-    )
+    return data.text_queries(spark, d)
 
 
 def _corpus_vectors(spark, d) -> DataFrame:
-    """Vectors of the documents that have one: document n uses vector n."""
-    return data.vectors(spark, d).select(
-        F.concat(F.col("chunk_id").cast("string"), F.lit(":0")).alias("chunk_id"), "embedding"
-    )
+    return data.chunk_vectors(spark, d).select("chunk_id", "embedding")
 
 
 def hybrid_sql(k: int, fetch: int | None = None, keep: int | None = None) -> str:
     fetch, keep = fetch or 5 * k, keep or k
-    return f"""{bm25_sql(BENCHMARK, fetch)}, {dense_sql(1000000, "dense0")},
-dense AS (SELECT * FROM (SELECT query_pk, chunk_id::VARCHAR || ':0' AS chunk_id, score,
-   row_number() OVER (PARTITION BY query_pk ORDER BY score DESC, chunk_id::VARCHAR || ':0') AS rank FROM dense0)
-   WHERE rank <= {fetch}),
+    return f"""{bm25_sql(BENCHMARK, fetch)}, {VECTORS},
+cv AS (SELECT doc_id::VARCHAR || ':0' AS chunk_id, v FROM documents
+   JOIN vecs ON vecs.chunk_id = doc_id % (SELECT count(*) FROM vecs)),
+tv AS (SELECT item_id AS query_pk, v AS tv FROM benchmark JOIN vecs ON chunk_id = item_id % (SELECT count(*) FROM vecs)),
+near AS (SELECT query_pk, chunk_id, round(list_dot_product(tv, v)
+   / (sqrt(list_dot_product(tv, tv)) * sqrt(list_dot_product(v, v))), 9) AS score FROM tv, cv),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_pk ORDER BY score DESC, chunk_id) AS rank
+   FROM near) WHERE rank <= {fetch}),
 fused AS (SELECT coalesce(b.query_pk, e.query_pk) AS query_pk, coalesce(b.chunk_id, e.chunk_id) AS chunk_id,
    b.rank AS br, e.rank AS er,
    coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + e.rank), 0) AS score
@@ -263,26 +261,32 @@ def search_vector_only(spark, d) -> DataFrame:
     return hits.withColumn("rrf_score", F.round("rrf_score", 9)).withColumn("rank", F.col("rank").cast("long"))
 
 
-_HYDRATED = """, hydrated AS (
+def hydrated_sql(where: str = "TRUE") -> str:
+    return f""", hydrated AS (
   SELECT query_pk, h.chunk_id, score AS rrf_score, text, process_name,
          row_number() OVER (PARTITION BY query_pk ORDER BY rank) AS rank
-  FROM hybrid h JOIN chunks USING (chunk_id) WHERE process_name <> 'src3')"""
+  FROM hybrid h JOIN chunks USING (chunk_id) WHERE {where})"""
+
 
+_HYDRATED = hydrated_sql()
 
-def _hydrated(spark, d, **options) -> DataFrame:
+
+def _hydrated(spark, d, gone: str | None = None, **options) -> DataFrame:
+    """Hits with their chunks; with `gone`, the chunks of that process have vanished since they were indexed."""
     hits = fusion.hybrid_search(
         _text_queries(spark, d), lexical.postings(data.chunks(spark, d)), _corpus_vectors(spark, d), 10, **options
     )
-    return fusion.hydrate(hits, data.chunks(spark, d).filter(F.col("process_name") != "src3"))
+    there = data.chunks(spark, d)
+    return fusion.hydrate(hits, there if gone is None else there.filter(F.col("process_name") != gone))
 
 
 @query(
     "hydrate",
-    f"""WITH {hybrid_sql(10)}{_HYDRATED}
+    f"""WITH {hybrid_sql(10)}{hydrated_sql("process_name <> 'src3'")}
 SELECT query_pk, chunk_id, length(text) AS n_chars, process_name, rank FROM hydrated""",
 )
 def hydrate(spark, d) -> DataFrame:
-    return _hydrated(spark, d).select(
+    return _hydrated(spark, d, "src3").select(
         "query_pk", "chunk_id", F.length("text").cast("long").alias("n_chars"), "process_name",
         F.col("rank").cast("long"),
     )

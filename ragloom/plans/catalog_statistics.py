@@ -104,9 +104,11 @@ def repeat_breakdown(spark, d) -> DataFrame:
     return rows.select("group", "run", F.round("`recall@5`", 6).alias("recall@5"))
 
 
-ITERS = 200
+ITERS = 10_000
+STUDY_ITERS = 2_000
 
-def boot_sql(baseline: str) -> str:
+
+def boot_sql(baseline: str, iters: int = ITERS) -> str:
     """CTEs that end in `res`(run_a, run_b, metric, n, delta, half, p) for `scores`(run, query_pk, metric, value)."""
     return f"""pairs AS (SELECT '{baseline}' AS run_a, run AS run_b, metric FROM (SELECT DISTINCT run, metric FROM scores)
   WHERE run <> '{baseline}'),
@@ -116,15 +118,15 @@ diffs AS (SELECT run_a, run_b, p.metric, b.value - a.value AS diff, row_number()
   JOIN scores b ON b.run = run_b AND b.metric = p.metric AND b.query_pk = a.query_pk),
 means AS (SELECT run_a, run_b, metric, count(*) AS n, avg(diff) AS delta FROM diffs GROUP BY ALL),
 draws AS (SELECT run_a, run_b, metric, i, ('0x' || substr(md5('42:' || i || ':' || j), 1, 8))::BIGINT % n AS idx
-  FROM means, range({ITERS}) x(i), range(n) y(j)),
+  FROM means, range({iters}) x(i), range(n) y(j)),
 boots AS (SELECT run_a, run_b, metric, i, round(avg(diff), 9) AS boot FROM draws JOIN diffs USING (run_a, run_b, metric, idx)
   GROUP BY ALL),
 ob AS (SELECT *, row_number() OVER (PARTITION BY run_a, run_b, metric ORDER BY boot, i) - 1 AS r FROM boots),
 counted AS (SELECT run_a, run_b, metric, count(*) FILTER (boot <= 0) AS le, count(*) FILTER (boot >= 0) AS ge,
-  (max(boot) FILTER (r = {int(0.975 * ITERS) - 1}) - max(boot) FILTER (r = {int(0.025 * ITERS)})) / 2 AS half
+  (max(boot) FILTER (r = {int(0.975 * iters) - 1}) - max(boot) FILTER (r = {int(0.025 * iters)})) / 2 AS half
   FROM ob GROUP BY ALL),
 res AS (SELECT run_a, run_b, metric, n, delta, half,
-  least(1.0, 2.0 * CASE WHEN delta >= 0 THEN le ELSE ge END / {ITERS})::DOUBLE AS p
+  least(1.0, 2.0 * CASE WHEN delta >= 0 THEN le ELSE ge END / {iters})::DOUBLE AS p
   FROM counted JOIN means USING (run_a, run_b, metric))"""
 
 
@@ -150,7 +152,7 @@ _STUDY = """study AS (SELECT r.run_b AS variant, r.metric, r.metric = 'value' AS
   b.value - a.value AS delta, p,
   CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS mark
   FROM res r JOIN agg a ON a.run = r.run_a AND a.metric = r.metric JOIN agg b ON b.run = r.run_b AND b.metric = r.metric
-  WHERE run_b IN ('error', 'view')),
+  ),
 labelled AS (SELECT *, CASE WHEN abs(delta) < 0.001 THEN '≈0' WHEN metric <> 'h2_error_rate' THEN
     CASE WHEN delta > 0 THEN '↑ +' ELSE '↓ ' END || printf('%.4f', delta)
   ELSE CASE WHEN delta < 0 THEN '↓ ' ELSE '↑ +' END || printf('%.4f', delta) END AS label FROM study)"""
@@ -158,15 +160,15 @@ labelled AS (SELECT *, CASE WHEN abs(delta) < 0.001 THEN '≈0' WHEN metric <> '
 
 @query(
     "study_comparison",
-    f"""WITH {_SCORES}, {_AGG}, {_BOOT}, {_STUDY} SELECT variant, metric, is_primary, round(baseline, 6) AS baseline,
+    f"""WITH {_SCORES}, {_AGG}, {boot_sql("click", STUDY_ITERS)}, {_STUDY} SELECT variant, metric, is_primary, round(baseline, 6) AS baseline,
   round(value, 6) AS value, round(delta, 6) AS delta, round(p, 6) AS p_value, mark, label FROM labelled
-UNION ALL SELECT unnest(['error', 'view']), 'recall@5', FALSE, 0, 0, 0, NULL, '', '≈0'""",
+UNION ALL SELECT unnest(['error', 'purchase', 'signup', 'view']), 'recall@5', FALSE, 0, 0, 0, NULL, '', '≈0'""",
 )
 def study_comparison(spark, d) -> DataFrame:
     scores = _scores(spark, d)
     rows = statistics.study_comparison(
-        statistics.aggregate_runs(scores), scores, "click", ["error", "view"], ["value"], ["h2_error_rate", "recall@5"],
-        ITERS,
+        statistics.aggregate_runs(scores), scores, "click", ["error", "purchase", "signup", "view"], ["value"],
+        ["h2_error_rate", "recall@5"], STUDY_ITERS,
     )
     return _rounded(rows, "baseline", "value", "delta", "p_value")
 
@@ -270,7 +272,7 @@ gold AS (SELECT query_pk, chunk_id, max(relevance) AS relevance FROM (
     WHERE contains(d.text, b.text)
   UNION ALL SELECT query_pk, chunk_id::VARCHAR || ':0', 1 FROM qv JOIN vecs ON label = q_label) GROUP BY ALL),
 {METRICS}, scores AS (SELECT run_id AS run, query_pk, metric, value FROM long
-  WHERE metric IN ('recall@5', 'ndcg@5', 'mrr@5')), {_AGG}, {boot_sql("HYBRID")}"""
+  WHERE metric IN ('recall@5', 'ndcg@5', 'mrr@5')), {_AGG}, {boot_sql("HYBRID", STUDY_ITERS)}"""
 
 
 @query(
@@ -303,7 +305,7 @@ def retrieval_study(spark, d) -> DataFrame:
     return _rounded(
         statistics.study_comparison(
             statistics.aggregate_runs(scores), scores, "HYBRID", ["BM25_ONLY", "VECTOR_ONLY"], ["recall@5", "ndcg@5"],
-            ["mrr@5"], ITERS,
+            ["mrr@5"], STUDY_ITERS,
         ),
         "baseline", "value", "delta", "p_value",
     )

@@ -140,12 +140,19 @@ def read_queries(spark, d) -> DataFrame:
 
 
 def _qrels_path(spark, d) -> str:
-    """Per text: a graded line with gating, a second one with other gating, a negative one, one of an unknown query."""
+    """Per text: an empty gating, a graded line with gating, a second one with other gating, relevances of every kind,
+    one of an unknown query.
+    """
     n = F.col("item_id")
     query_id = F.concat(F.lit("q"), n.cast("string"))
     gating = lambda lane: F.struct(F.array(lane).alias("expected_lane_ids"))
+    nothing = F.struct(F.lit(None).cast("array<string>").alias("expected_lane_ids"))
     lines = F.concat_ws(
         "\n",
+        _json(query_id=query_id, chunk_id=F.lit("d"), relevance=F.lit(2.7), gating=nothing),
+        _json(query_id=query_id, chunk_id=F.lit("e"), relevance=F.lit("2.7")),
+        _json(query_id=query_id, chunk_id=F.lit("f"), relevance=F.lit(2.0)),
+        _json(query_id=query_id, chunk_id=F.lit("g"), relevance=F.lit("2")),
         _json(query_id=query_id, chunk_id=F.lit("a"), relevance=n % 4, gating=gating(F.concat(F.lit("L"), query_id))),
         _json(query_id=query_id, chunk_id=F.lit("b"), relevance=F.lit("much"), gating=gating(F.lit("late"))),
         _json(query_id=query_id, chunk_id=F.lit("c"), relevance=F.lit(-1)),
@@ -156,7 +163,8 @@ def _qrels_path(spark, d) -> str:
 
 @query(
     "read_qrels",
-    """SELECT 'q' || item_id AS query_id, unnest(['a', 'b', 'c']) AS chunk_id, unnest([item_id % 4, 1, 0])::BIGINT AS relevance,
+    """SELECT 'q' || item_id AS query_id, unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g']) AS chunk_id,
+  unnest([item_id % 4, 1, 0, 2, 1, 2, 2])::BIGINT AS relevance,
   'semantic' AS qrels_version FROM benchmark
 UNION ALL SELECT 'xq' || item_id, 'a', 2, 'rejected' FROM benchmark""",
 )
@@ -167,7 +175,8 @@ def read_qrels(spark, d) -> DataFrame:
         "query_id", "chunk_id", F.col("relevance").cast("long").alias("relevance"), "qrels_version"
     )
     return kept.unionByName(rejects.select(
-        "query_id", "chunk_id", F.col("relevance").cast("long").alias("relevance"), F.lit("rejected").alias("qrels_version")
+        "query_id", "chunk_id", F.expr("variant_get(relevance, '$', 'bigint')").alias("relevance"),
+        F.lit("rejected").alias("qrels_version"),
     ))
 
 

@@ -80,6 +80,25 @@ def query_vectors(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def chunk_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """A vector for every document's chunk: document n uses vector n modulo the number of vectors."""
+    return _vector_of(spark, directory, table(spark, directory, "documents").select("doc_id"), "doc_id").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), "embedding", "label"
+    )
+
+
+def text_queries(spark: SparkSession, directory: str) -> DataFrame:
+    """The benchmark texts, each with a vector chosen like those of the chunks."""
+    found = _vector_of(spark, directory, queries(spark, directory), "query_pk")
+    return found.select("query_pk", "query_id", "text", "embedding")
+
+
+def _vector_of(spark: SparkSession, directory: str, rows: DataFrame, key: str) -> DataFrame:
+    vectors = table(spark, directory, "embeddings")
+    count = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rows.withColumn("vec_id", F.col(key) % count).join(vectors, "vec_id")
+
+
 def qrels(spark: SparkSession, directory: str) -> DataFrame:
     """Relevance 3 where a document contains a benchmark text verbatim.
 

@@ -14,9 +14,8 @@ current_node_id string, definition_id string, query_type string, expected_source
 
 GATING_FIELDS = "expected_lane_ids expected_node_ids expected_lane_names expected_task_names".split()
 
-QRELS_FIELDS = "query_id string, chunk_id string, relevance string, gating struct<{}>".format(
-    ", ".join(f"{name}: array<string>" for name in GATING_FIELDS)
-)
+QRELS_FIELDS = "query_id string, chunk_id string, relevance variant, gating string"
+GATING_TYPE = "struct<{}>".format(", ".join(f"{name}: array<string>" for name in GATING_FIELDS))
 
 # Keys of the evaluation tables, and the columns that keep their old value when an update brings null.
 TABLE_KEYS = {
@@ -59,10 +58,11 @@ def read_queries(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 
 def parse_qrels(lines: DataFrame, queries: DataFrame, version: str = "1800") -> tuple[DataFrame, DataFrame]:
-    """(qrels, rejected lines) from (query_id, chunk_id, relevance as text[, _line]).
+    """(qrels, rejected lines) from (query_id, chunk_id, relevance as text or variant[, _line]).
 
-    Lines of unknown queries are rejected. A relevance that is no integer counts as 1, a negative one as 0. Lines
-    without a chunk id carry no judgement.
+    Lines of unknown queries are rejected. A relevance that is a number loses its fraction, text must be an integer, a
+    truth value is 1 or 0; anything else counts as 1, and a negative relevance as 0. Lines without a chunk id carry no
+    judgement.
     """
     known = queries.select("query_id", "query_pk")
     rejects = lines.join(known, "query_id", "left_anti").drop("_line")
@@ -71,7 +71,7 @@ def parse_qrels(lines: DataFrame, queries: DataFrame, version: str = "1800") ->
         "query_pk",
         "chunk_id",
         F.lit(None).cast("string").alias("document_id"),
-        F.greatest(F.coalesce(F.expr("try_cast(relevance as int)"), F.lit(1)), F.lit(0)).alias("relevance"),
+        F.greatest(F.coalesce(_grade(lines), F.lit(1)), F.lit(0)).alias("relevance"),
         F.lit(version).alias("qrels_version"),
         *(["_line"] if "_line" in lines.columns else []),
     )
@@ -80,6 +80,19 @@ def parse_qrels(lines: DataFrame, queries: DataFrame, version: str = "1800") ->
     return qrels, rejects
 
 
+def _grade(lines: DataFrame) -> Column:
+    """Relevance as an integer, or null where it is none."""
+    if dict(lines.dtypes)["relevance"] != "variant":
+        return F.expr("try_cast(trim(cast(relevance as string)) as int)")
+    return (
+        F.when(F.expr("schema_of_variant(relevance) = 'STRING'"), F.expr(
+            "try_cast(trim(try_variant_get(relevance, '$', 'string')) as int)"
+        ))
+        .when(F.expr("schema_of_variant(relevance) = 'BOOLEAN'"), F.expr("try_variant_get(relevance, '$', 'boolean')").cast("int"))
+        .otherwise(F.expr("try_cast(try_variant_get(relevance, '$', 'double') as int)"))
+    )
+
+
 def read_qrels(
     spark: SparkSession, path: str, queries: DataFrame, version: str = "1800"
 ) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +100,10 @@ def read_qrels(
 
 
 def read_gold_gating(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """Expected gating elements embedded in qrels lines; the first line that has them wins per query."""
-    lines = _lines(spark, path, QRELS_FIELDS).filter(F.col("gating").isNotNull())
-    first = top_k(lines, ["query_id"], [F.col("_line").asc()], 1)
+    """Expected gating elements embedded in qrels lines; the first line with a payload that is not empty wins."""
+    lines = _lines(spark, path, QRELS_FIELDS).drop("relevance")
+    filled = lines.filter(F.col("gating").isNotNull() & ~F.col("gating").rlike(r"^\s*(\{\s*\}|null|false|0|\[\s*\])?\s*$"))
+    first = top_k(filled, ["query_id"], [F.col("_line").asc()], 1).withColumn("gating", F.from_json("gating", GATING_TYPE))
     empty = F.array().cast("array<string>")
     return first.join(queries.select("query_id", "query_pk"), "query_id").select(
         "query_pk", *[F.coalesce(F.col(f"gating.{name}"), empty).alias(name) for name in GATING_FIELDS]

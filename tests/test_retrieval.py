@@ -79,10 +79,16 @@ def test_vector_search_against_brute_force(spark, vectors, monkeypatch, large):
         "filter_tags", F.when(F.col("query_pk") % 4 == 2, F.array(F.lit("t1")))
     )
     if large:
-        monkeypatch.setattr(dense, "fits_broadcast", lambda *a, **k: False)
-        monkeypatch.setattr(dense, "vector_blocks", lambda v, key, rows=64, _f=dense.vector_blocks: _f(v, key, 64))
+        monkeypatch.setattr(dense, "SLICE_QUERIES", 3)
     hits = dense.vector_topk(queries, vectors, 20).collect()
     assert {(r["query_pk"], r["chunk_id"], r["rank"]) for r in hits} == _brute(vectors, queries, 20)
+    # A filter on a column that isn't there filters nothing, however many slices there are.
+    plain = dense.vector_topk(queries, vectors.drop("process_name", "tags"), 5)
+    free = dense.vector_topk(queries.drop("filter_process", "filter_tags"), vectors, 5)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, free.collect()))
+    only_tags = dense.vector_topk(queries, vectors.drop("process_name"), 5)
+    tagged = dense.vector_topk(queries.drop("filter_process"), vectors, 5)
+    assert sorted(map(tuple, only_tags.collect())) == sorted(map(tuple, tagged.collect()))
 
 
 def test_similar_pairs_against_brute_force(vectors):
