@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
 # Stop words that content F1 ignores.
-STOP_WORDS = """
-der die das den dem des ein eine einer eines und oder aber wenn weil dass ob als wie ist sind war waren wird werden
-wurde wurden hat haben hatte hatten kann können muss müssen soll sollen will wollen darf dürfen ich du er sie es wir
-ihr mein dein sein unser euer dieser diese dieses jener jene jenes nicht auch nur noch schon sehr mehr mit von zu bei
-nach für aus an auf in über unter vor hinter neben zwischen durch gegen ohne um hier dort da wo wann warum was wer
-welche welcher so also doch ja nein vielleicht etwa wohl
-""".split()
+STOP_WORDS = [
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einer", "eines", "und", "oder", "aber", "wenn",
+    "weil", "dass", "ob", "als", "wie", "ist", "sind", "war", "waren", "wird", "werden", "wurde", "wurden",
+    "hat", "haben", "hatte", "hatten", "kann", "können", "muss", "müssen", "soll", "sollen", "will", "wollen",
+    "darf", "dürfen", "ich", "du", "er", "sie", "es", "wir", "ihr", "mein", "dein", "sein", "unser", "euer",
+    "dieser", "diese", "dieses", "jener", "jene", "jenes", "nicht", "auch", "nur", "noch", "schon", "sehr",
+    "mehr", "mit", "von", "zu", "bei", "nach", "für", "aus", "an", "auf", "in", "über", "unter", "vor",
+    "hinter", "neben", "zwischen", "durch", "gegen", "ohne", "um", "hier", "dort", "da", "wo", "wann", "warum",
+    "was", "wer", "welche", "welcher", "so", "also", "doch", "ja", "nein", "vielleicht", "etwa", "wohl",
+]
 
 
 def tokens(text: Column) -> Column:

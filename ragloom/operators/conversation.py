@@ -12,7 +12,9 @@ from ragloom.functions.scale import BLOCK_ROWS, blocked_row_number, blocked_scan
 from ragloom.functions.text import blank, strip
 
 # Intents in the order in which a verdict is searched for them.
-INTENTS = "process_related followup feedback greeting chitchat off_topic unclear".split()
+INTENTS = [
+    "process_related", "followup", "feedback", "greeting", "chitchat", "off_topic", "unclear",
+]
 
 # Phrases of the rule cascade.
 GREETINGS = [

@@ -28,6 +28,11 @@ UNKNOWN_DOCUMENT = "Unbekanntes Dokument"
 PROCESS_CONTEXT = "Prozesskontext"
 PROCESS_FILE = "BPMN-Prozess: "
 PROCESS_TITLE = "Prozessmodell: "
+STREAMED_CHUNK = "Chunk"
+STREAMED_DOCUMENT = "Dokument"
+STREAMED_RULE = "\n\n---\n\n"
+
+EVIDENCE_META = ["tags", "page_number", "section_title"]
 
 SOURCE_LABELS = {"hybrid": "rrf", "vector_only": "vector", "bm25_only": "bm25"}
 
@@ -153,11 +158,19 @@ def chunk_confidence(rerank_score: Column, score: Column, logistic: bool = True)
     )
 
 
-def answer_confidence(hits: DataFrame, logistic: bool = True) -> DataFrame:
-    """Highest confidence per query and its level: (query_pk, confidence, level)."""
+def answer_confidence(hits: DataFrame, logistic: bool = True, queries: DataFrame | None = None) -> DataFrame:
+    """Highest confidence per query and its level: (query_pk, confidence, level).
+
+    With `queries` (query_pk), those without a hit are there too, with confidence 0.
+    """
     per_chunk = chunk_confidence(F.col("rerank_score"), F.col("score"), logistic)
     # The maximum of the three highest is the maximum.
     best = hits.groupBy("query_pk").agg(F.max(per_chunk).alias("confidence"))
+    if queries is not None:
+        found = best.withColumn("_hit", F.lit(True))
+        best = queries.select("query_pk").join(found, "query_pk", "left").select(
+            "query_pk", F.when(F.col("_hit").isNull(), 0.0).otherwise(F.col("confidence")).alias("confidence")
+        )
     level = (
         F.when(F.col("confidence") >= CONFIDENCE_HIGH, "high")
         .when(F.col("confidence") >= CONFIDENCE_MEDIUM, "medium")
@@ -166,11 +179,29 @@ def answer_confidence(hits: DataFrame, logistic: bool = True) -> DataFrame:
     return best.withColumn("level", level)
 
 
-def context_block(hits: DataFrame) -> DataFrame:
-    """Numbered chunks in rank order as one text per query; a query has at most its k hits."""
+def first_confidence(hits: DataFrame) -> DataFrame:
+    """Confidence that is recorded with a run: (query_pk, confidence).
+
+    Logistic of the cross-encoder score of the first hit that has one, else the clipped cosine of the first dense hit,
+    else null. hits: query_pk, rank, rerank_score, score.
+    """
+    scored = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("rank")))
+    first = hits.groupBy("query_pk").agg(scored("rerank_score").alias("_model"), scored("score").alias("_dense"))
+    return first.select("query_pk", chunk_confidence(F.col("_model"), F.col("_dense")).alias("confidence"))
+
+
+def context_block(hits: DataFrame, streamed: bool = False) -> DataFrame:
+    """Numbered chunks in rank order as one text per query; a query has at most its k hits.
+
+    `streamed` gives the form that answers are streamed with: chunks named by their files, between rules.
+    """
+    number, text = F.col("rank").cast("string"), F.coalesce("text", F.lit(""))
+    if streamed:
+        file_name = F.coalesce("file_name", F.lit(STREAMED_DOCUMENT))
+        entry = F.concat(F.lit(f"[{STREAMED_CHUNK} "), number, F.lit(f"] {SOURCE_LABEL}: "), file_name, F.lit("\n"), text)
+        return hits.groupBy("query_pk").agg(joined_in_order(F.col("rank"), entry, STREAMED_RULE).alias("context"))
     entry = F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit(f"] ({SOURCE_LABEL}: "),
-        F.coalesce("chunk_id", F.lit(UNKNOWN_SOURCE)), F.lit(")\n"), F.coalesce("text", F.lit("")),
+        F.lit("["), number, F.lit(f"] ({SOURCE_LABEL}: "), F.coalesce("chunk_id", F.lit(UNKNOWN_SOURCE)), F.lit(")\n"), text,
     )
     return hits.groupBy("query_pk").agg(joined_in_order(F.col("rank"), entry, "\n\n").alias("context"))
 
@@ -179,8 +210,11 @@ def evidence_rows(hits: DataFrame, gated: DataFrame) -> DataFrame:
     """Rows for display; the process model comes first where a gating context is on.
 
     hits: query_pk, rank, chunk_id, text, rrf_score, rerank_score and chunk columns; gated: query_pk, mode,
-    process_id, process_name, hint.
+    process_id, process_name, hint. Tags, page number and section title come from the chunk; the model has none.
     """
+    def meta(name: str) -> Column:
+        return (F.col(name) if name in hits.columns else F.lit(None)).cast("string").alias(name)
+
     def shown(name: str) -> Column:
         return F.when(F.col(name) != 0, F.round(name, DISPLAY_DIGITS)).alias(
             "score" if name == "rrf_score" else name
@@ -195,7 +229,7 @@ def evidence_rows(hits: DataFrame, gated: DataFrame) -> DataFrame:
         "query_pk", F.col("rank").alias("position"), "chunk_id",
         F.substring("text", 1, DISPLAY_CHARS).alias("text"),
         shown("rrf_score"), shown("rerank_score"),
-        "process_name", file_name.alias("filename"), "title",
+        "process_name", file_name.alias("filename"), "title", *[meta(name) for name in EVIDENCE_META],
     )
     model = gated.filter(F.col("mode").isin("process", "gating") & (F.length("process_name") > 0)).select(
         "query_pk", F.lit(0).alias("position"),
@@ -205,5 +239,6 @@ def evidence_rows(hits: DataFrame, gated: DataFrame) -> DataFrame:
         "process_name",
         F.concat(F.lit(PROCESS_FILE), F.col("process_name")).alias("filename"),
         F.concat(F.lit(PROCESS_TITLE), F.col("process_name")).alias("title"),
+        *[F.lit(None).cast("string").alias(name) for name in EVIDENCE_META],
     )
     return model.unionByName(chunks)

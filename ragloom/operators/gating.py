@@ -44,6 +44,7 @@ OTHER_GATEWAY = "Verzweigung"
 # Wording of the hints.
 UNNAMED_ROLE = "Unbenannte Rolle"
 DEFAULT_BRANCH = "Standard"
+NO_OVERVIEW = "Die Frage bezieht sich auf den Prozess '"
 OVERVIEW_HEAD = "## Prozess: "
 OVERVIEW_LANES = "\n### Rollen und ihre Aufgaben:"
 OVERVIEW_FLOWS = "\n### Prozessablauf:"
@@ -403,8 +404,12 @@ def gating_hint(gated: GatedPosition) -> DataFrame:
     )
 
 
-def overview_hint(overview: dict[str, DataFrame]) -> DataFrame:
-    """Hint text per process from `graph.overview_full`; one text is one prompt, so a process is put together whole."""
+def overview_hint(overview: dict[str, DataFrame], asked: DataFrame | None = None) -> DataFrame:
+    """Hint text per process from `graph.overview_full`; one text is one prompt, so a process is put together whole.
+
+    The heading of the lanes is there as soon as the process has one, with or without tasks. `asked` (process_id, name)
+    names further processes; those without an overview get a sentence with their name.
+    """
     entry = F.concat(_quoted(_display()), _typed(F.col("type")))
     lanes = (
         overview["lane_nodes"].filter(F.col("node_id").isNotNull())
@@ -435,20 +440,28 @@ def overview_hint(overview: dict[str, DataFrame]) -> DataFrame:
     gateway_text = decisions.groupBy("process_id").agg(
         joined_in_order(F.col("gateway_id"), decision, "").alias("_gateways")
     )
+    with_lanes = overview["lane_nodes"].filter(F.col("lane_id").isNotNull()).select("process_id").distinct().withColumn(
+        "_has_lanes", F.lit(True)
+    )
     rows = overview["processes"]
-    for part in (lane_text, flow_text, gateway_text):
+    for part in (lane_text, flow_text, gateway_text, with_lanes):
         rows = rows.join(part, "process_id", "left")
-    return rows.select(
+    hints = rows.select(
         "process_id",
         F.concat_ws(
             "\n",
             F.concat(F.lit(OVERVIEW_HEAD), F.col("name")),
-            F.concat(F.lit(OVERVIEW_LANES), F.col("_lanes")),
+            F.when(F.col("_has_lanes"), F.concat(F.lit(OVERVIEW_LANES), F.coalesce("_lanes", F.lit("")))),
             F.concat(F.lit(OVERVIEW_FLOWS + "\n"), F.col("_flows")),
             F.concat(F.lit(OVERVIEW_GATEWAYS), F.col("_gateways")),
             F.lit(OVERVIEW_TAIL),
         ).alias("hint"),
     )
+    if asked is None:
+        return hints
+    unknown = asked.select("process_id", "name").join(hints.select("process_id"), "process_id", "left_anti")
+    sentence = F.concat(F.lit(NO_OVERVIEW), F.col("name"), F.lit("'."))
+    return hints.unionByName(unknown.select("process_id", sentence.alias("hint")))
 
 
 _PREDICTED = """allowed_lane_ids array<string>, allowed_node_ids array<string>, allowed_task_names array<string>,

@@ -546,6 +546,8 @@ gt AS (SELECT process_id, string_agg(chr(10) || '- **' || name || '** (Entweder-
   SELECT g.process_id, g.node_id, g.name, string_agg(coalesce('''' || coalesce(f.name, condition) || ''' → ', '→ ')
     || b.name, '; ' ORDER BY flow_id) AS v FROM nodes g LEFT JOIN flows f ON f.source_id = g.node_id
     LEFT JOIN nodes b ON b.node_id = f.target_id WHERE g.type LIKE '%Gateway%' GROUP BY ALL) GROUP BY 1)
+SELECT 'none' || conv_id AS process_id, md5('Die Frage bezieht sich auf den Prozess ''lost ' || conv_id || '''.') AS hint
+FROM conversations GROUP BY conv_id UNION ALL
 SELECT process_id, md5(concat_ws(chr(10), '## Prozess: ' || p.name, chr(10) || '### Rollen und ihre Aufgaben:' || lt.v,
   chr(10) || '### Prozessablauf:' || chr(10) || ft.v, chr(10) || '### Entscheidungspunkte:' || gt.v,
   chr(10) || '{gating.OVERVIEW_TAIL.strip()}')) AS hint
@@ -553,7 +555,11 @@ FROM procs p LEFT JOIN lt USING (process_id) LEFT JOIN ft USING (process_id) LEF
 )
 def overview_hint(spark, d) -> DataFrame:
     full = graph.overview_full(data.process_graph(spark, d))
-    return gating.overview_hint(full).withColumn("hint", F.md5("hint"))
+    conversation = F.col("conv_id").cast("string")
+    lost = data.turns(spark, d).select(
+        F.concat(F.lit("none"), conversation).alias("process_id"), F.concat(F.lit("lost "), conversation).alias("name")
+    ).distinct()
+    return gating.overview_hint(full, lost).withColumn("hint", F.md5("hint"))
 
 
 @query(

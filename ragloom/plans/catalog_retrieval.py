@@ -328,11 +328,16 @@ def rerank(spark, d) -> DataFrame:
     "answer_confidence",
     f"""WITH {_RERANKED}, conf AS (SELECT query_pk, max(1.0 / (1.0 + exp(-rerank_score))) AS c FROM final GROUP BY 1)
 SELECT query_pk, round(c, 6) AS confidence,
-  CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM conf""",
+  CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM conf
+UNION ALL SELECT -1 - item_id, 0, 'low' FROM benchmark""",
 )
 def answer_confidence(spark, d) -> DataFrame:
     hits = _reranked(spark, d).withColumn("score", F.lit(None).cast("double"))
-    return fusion.answer_confidence(hits).withColumn("confidence", F.round("confidence", 6))
+    asked = data.queries(spark, d).select("query_pk")
+    without = asked.select((-1 - F.col("query_pk")).alias("query_pk"))  # queries that nothing was found for
+    return fusion.answer_confidence(hits, queries=asked.unionByName(without)).withColumn(
+        "confidence", F.round("confidence", 6)
+    )
 
 
 @query(
@@ -345,18 +350,47 @@ def context_block(spark, d) -> DataFrame:
     return fusion.context_block(_hydrated(spark, d)).withColumn("context", F.md5("context"))
 
 
+@query(
+    "context_block_streamed",
+    f"""WITH {hybrid_sql(10)}{_HYDRATED}
+SELECT query_pk, md5(string_agg('[Chunk ' || rank || '] Quelle: ' || process_name || '.pdf' || chr(10) || text,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM hydrated GROUP BY 1""",
+)
+def context_block_streamed(spark, d) -> DataFrame:
+    return fusion.context_block(_hydrated(spark, d), streamed=True).withColumn("context", F.md5("context"))
+
+
+@query(
+    "first_confidence",
+    f"""WITH {_RERANKED}, first AS (SELECT query_pk, arg_min(rerank_score, rank) FILTER (source = 'ce') AS m FROM final GROUP BY 1)
+SELECT f.query_pk, round(CASE WHEN m IS NOT NULL THEN 1.0 / (1.0 + exp(-m)) ELSE greatest(0, least(1, n.score)) END, 6)
+  AS confidence FROM first f LEFT JOIN dense n ON n.query_pk = f.query_pk AND n.rank = 1""",
+)
+def first_confidence(spark, d) -> DataFrame:
+    """Queries without a cross-encoder score fall back on their first dense hit."""
+    model = _reranked(spark, d).withColumn("rerank_score", F.when(F.col("source") == "ce", F.col("rerank_score")))
+    near = dense.vector_topk(_text_queries(spark, d), _corpus_vectors(spark, d), 1)
+    none = F.lit(None).cast("double")
+    hits = model.select("query_pk", "rank", "rerank_score", none.alias("score")).unionByName(
+        near.select("query_pk", "rank", none.alias("rerank_score"), "score")
+    )
+    return fusion.first_confidence(hits).withColumn("confidence", F.round("confidence", 6))
+
+
 @query(
     "evidence_rows",
     f"""WITH {_RERANKED}, shown AS (
   SELECT query_pk, rank AS position, chunk_id, substr(text, 1, 300) AS text, round(rrf_score, 4) AS score,
-    round(rerank_score, 4) AS rerank_score, process_name, process_name || '.pdf' AS filename FROM final
+    round(rerank_score, 4) AS rerank_score, process_name, process_name || '.pdf' AS filename,
+    (SELECT lang FROM documents WHERE doc_id = split_part(chunk_id, ':', 1)::BIGINT) AS tags FROM final
   UNION ALL SELECT item_id, 0, 'bpmn_' || item_id, 'Prozesskontext', NULL, NULL, 'src' || item_id,
-    'BPMN-Prozess: src' || item_id FROM benchmark WHERE item_id % 3 <> 0)
-SELECT query_pk, position, chunk_id, md5(text) AS text, score, rerank_score, process_name, filename FROM shown""",
+    'BPMN-Prozess: src' || item_id, NULL FROM benchmark WHERE item_id % 3 <> 0)
+SELECT query_pk, position, chunk_id, md5(text) AS text, score, rerank_score, process_name, filename, tags,
+  NULL::VARCHAR AS page_number, NULL::VARCHAR AS section_title FROM shown""",
 )
 def evidence_rows(spark, d) -> DataFrame:
     pid = F.col("query_pk").cast("string")
-    gated = data.query_vectors(spark, d).select(
+    gated = data.queries(spark, d).select(
         "query_pk",
         F.when(F.col("query_pk") % 3 == 0, "none").when(F.col("query_pk") % 3 == 1, "gating").otherwise("process")
         .alias("mode"),
@@ -367,5 +401,5 @@ def evidence_rows(spark, d) -> DataFrame:
     rows = fusion.evidence_rows(_reranked(spark, d), gated)
     return rows.select(
         "query_pk", F.col("position").cast("long"), "chunk_id", F.md5("text").alias("text"), "score", "rerank_score",
-        "process_name", "filename",
+        "process_name", "filename", "tags", "page_number", "section_title",
     )

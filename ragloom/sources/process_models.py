@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The BPMN tags that are flow nodes.
-NODE_TAGS = """
-task userTask serviceTask scriptTask manualTask receiveTask sendTask businessRuleTask callActivity subProcess
-startEvent endEvent intermediateCatchEvent intermediateThrowEvent boundaryEvent
-exclusiveGateway parallelGateway inclusiveGateway eventBasedGateway
-""".split()
+NODE_TAGS = [
+    "task", "userTask", "serviceTask", "scriptTask", "manualTask", "receiveTask", "sendTask",
+    "businessRuleTask", "callActivity", "subProcess", "startEvent", "endEvent", "intermediateCatchEvent",
+    "intermediateThrowEvent", "boundaryEvent", "exclusiveGateway", "parallelGateway", "inclusiveGateway",
+    "eventBasedGateway",
+]
 
 _ELEMENT_SCHEMA = """file string, kind string, definition_id string, process_id string, id string, name string,
 type string, source_id string, target_id string, condition string, filename string, has_diagram boolean, error string"""
