@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -25,12 +27,15 @@ HEADLINE = [
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="ragloom-bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("ragloom-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -51,6 +56,7 @@ def main() -> None:
         "sf": os.path.basename(os.path.normpath(directory)).removeprefix("sf"),
     }))
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import fits_broadcast, join_hot, top_k
+from ragloom.functions.scale import cut_lineage, fits_broadcast, join_hot, top_k
 from ragloom.functions.text import tokens
 
 # BM25 parameters and field boosts.
@@ -18,6 +18,9 @@ BOOSTS = {"text": 3.0, "process_name": 5.0, "tags": 2.0}
 # Sums of doubles depend on their order, and copies of a text must tie: scores are ranked at this precision.
 SCORE_DIGITS = 9
 
+#: Terms of queries that are broadcast at once.
+SLICE_TERMS = 200_000
+
 
 class TextIndex(NamedTuple):
     """What BM25 reads. Write the tables once (`write_index`) when many query batches hit one corpus."""
@@ -28,9 +31,12 @@ class TextIndex(NamedTuple):
 
 def postings(chunks: DataFrame) -> TextIndex:
     """Term and length statistics of (chunk_id, text, process_name, tags)."""
+    # Dealt by chunk once; counting words and summing scores per chunk then need no further shuffle.
+    dealt = chunks.select("chunk_id", "process_name", "tags", "text").repartition("chunk_id")
     # An outer explode: for a plain one Spark would add a filter that tokenises every text a second time.
-    words = chunks.select("chunk_id", "process_name", "tags", tokens(F.col("text")).alias("_words"))
-    documents = words.select("chunk_id", "process_name", "tags", F.size("_words").cast("long").alias("length"))
+    words = dealt.select("chunk_id", "process_name", "tags", tokens(F.col("text")).alias("_words"))
+    length = F.size(tokens(F.col("text"))).cast("long")
+    documents = chunks.select("chunk_id", "process_name", "tags", length.alias("length"))
     terms = (
         words.select(
             "chunk_id", "process_name", "tags", F.size("_words").cast("long").alias("length"),
@@ -105,6 +111,10 @@ def bm25_topk(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
     queries: query_pk, text[, filter_process, filter_tags]. The text field sums over distinct query terms, a repeated
     term counts as often as it occurs; the keyword fields match on the whole query string. The best field wins.
     Statistics are index-wide, filters only cut the hits.
+
+    The rows of a chunk stay together from the postings to its score, so scores of (query, chunk) pairs are never
+    shuffled: a task passes on the k best of each query. Query terms with their weights travel to the tasks in slices of
+    bounded size.
     """
     base = queries.select("query_pk", "text", *query_filters(queries))
     query_terms = (
@@ -113,31 +123,36 @@ def bm25_topk(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
         .groupBy("query_pk", "_process", "_tags", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    small = fits_broadcast(query_terms)
+    slices = max(1, -(-query_terms.count() // SLICE_TERMS))
     vocabulary = query_terms.select("term").distinct()
     # The semi join moves below the postings aggregation: only words some query asks for are ever counted.
-    matched = index.terms.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    total = index.documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mean_length = index.documents.agg(F.avg("length").alias("a")).scalar()
-    # Counting over tf and length keeps this branch equal to the scoring branch, so both read one shuffle.
-    having = matched.groupBy("term").agg(
-        F.count(F.when((F.col("tf") > 0) & (F.col("length") > 0), F.lit(1))).alias("_df")
-    )
+    matched = index.terms.join(F.broadcast(vocabulary) if fits_broadcast(vocabulary) else vocabulary, "term", "left_semi")
+    corpus = index.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("a")).first()
+    total, mean_length = F.lit(corpus["n"]), F.lit(corpus["a"])
+    having = matched.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     weighted = query_terms.join(having, "term").withColumn("_w", F.col("qtf") * idf(total, F.col("_df"))).drop("_df")
-    tf = F.col("tf")
-    part = F.col("_w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
-    text_hits = (
-        join_hot(matched, weighted, ["term"], ["chunk_id"], small)
-        .filter(allowed(F.col("process_name"), F.col("tags")))
-        .select("query_pk", "chunk_id", (part * BOOSTS["text"]).alias("_text"), F.lit(None).cast("double").alias("_keyword"))
-    )
-    hits = text_hits
+    if slices > 1:
+        weighted = cut_lineage(weighted)
+    order = [F.col("score").desc(), F.col("chunk_id")]
+    best = None
+    for number in range(slices):
+        part = weighted if slices == 1 else weighted.filter(F.pmod(F.xxhash64("query_pk"), F.lit(slices)) == number)
+        tf = F.col("tf")
+        value = F.col("_w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
+        scores = (
+            matched.join(F.broadcast(part), "term")
+            .filter(allowed(F.col("process_name"), F.col("tags")))
+            .groupBy("query_pk", "chunk_id")
+            .agg(F.round(F.sum(value * BOOSTS["text"]), SCORE_DIGITS).alias("score"))
+        )
+        found = top_k(scores, ["query_pk"], order, k).drop("rank")
+        best = found if best is None else best.unionByName(found)
+    # A chunk whose best field is a keyword is among the first by that keyword; the same holds for the text.
+    small = fits_broadcast(base)
     for field in ("process_name", "tags"):
-        hits = hits.unionByName(_keyword_hits(base, index.documents, field, small))
-    scores = hits.groupBy("query_pk", "chunk_id").agg(
-        F.round(F.greatest(F.sum("_text"), F.max("_keyword")), SCORE_DIGITS).alias("score")
-    )
-    return top_k(scores, ["query_pk"], [F.col("score").desc(), F.col("chunk_id")], k)
+        best = best.unionByName(top_k(_keyword_hits(base, index.documents, field, small), ["query_pk"], order, k).drop("rank"))
+    merged = best.groupBy("query_pk", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(merged, ["query_pk"], order, k)
 
 
 def _keyword_hits(queries: DataFrame, documents: DataFrame, field: str, small: bool) -> DataFrame:
@@ -150,5 +165,5 @@ def _keyword_hits(queries: DataFrame, documents: DataFrame, field: str, small: b
     return (
         join_hot(keyed, weighted, ["_key"], ["chunk_id"], small)
         .filter(allowed(F.col("process_name"), F.col("tags")))
-        .select("query_pk", "chunk_id", F.lit(None).cast("double").alias("_text"), F.col("_w").alias("_keyword"))
+        .select("query_pk", "chunk_id", F.round("_w", SCORE_DIGITS).alias("score"))
     )

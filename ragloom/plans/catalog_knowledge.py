@@ -174,7 +174,7 @@ def match_contexts(spark, d) -> DataFrame:
 SELECT chunk_id, length(text) AS n_chars FROM firsts WHERE length(text) >= 400""",
 )
 def sample_chunks(spark, d) -> DataFrame:
-    rows = tables.sample_chunks(data.chunks(spark, d))
+    rows = tables.sample_chunks(data.chunks(spark, d), 300)
     return rows.select("chunk_id", F.length("text").cast("long").alias("n_chars"))
 
 

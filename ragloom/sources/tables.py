@@ -13,8 +13,8 @@ REQUIRED_TABLES = (
 ).split()
 
 
-def sample_chunks(chunks: DataFrame, cap: int = 300, min_len: int = 400) -> DataFrame:
-    """The first `cap` chunks by id, without those shorter than `min_len` characters."""
+def sample_chunks(chunks: DataFrame, cap: int, min_len: int = 400) -> DataFrame:
+    """A sample of at most `cap` chunks: the first by id, without those shorter than `min_len` characters."""
     return chunks.orderBy("chunk_id").limit(cap).filter(F.length("text") >= min_len)
 
 
@@ -60,17 +60,18 @@ def run_csv(aggregates: DataFrame, baseline: DataFrame | None = None) -> DataFra
 
 
 def write_run_csv(aggregates: DataFrame, path: str, baseline: DataFrame | None = None) -> None:
-    run_csv(aggregates, baseline).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """Part files in the order of their names hold the rows in order."""
+    run_csv(aggregates, baseline).write.mode("overwrite").csv(path, header=True)
 
 
-def study_csv(aggregates: DataFrame, baseline_run: str, metrics: Sequence[str] | None = None) -> DataFrame:
-    """One row per run, one text column per metric.
+def study_csv(aggregates: DataFrame, baseline_run: str, metrics: Sequence[str]) -> DataFrame:
+    """One row per run, one text column for each of `metrics`.
 
     aggregates: run_name, metric, value.
     """
     wide = (
         aggregates.groupBy("run_name")
-        .pivot("metric", sorted(metrics) if metrics else None)
+        .pivot("metric", sorted(metrics))
         .agg(F.format_string("%.6f", F.first("value")))
     )
     names = sorted(c for c in wide.columns if c != "run_name")
@@ -81,5 +82,5 @@ def study_csv(aggregates: DataFrame, baseline_run: str, metrics: Sequence[str] |
     )
 
 
-def write_study_csv(aggregates: DataFrame, path: str, baseline_run: str) -> None:
-    study_csv(aggregates, baseline_run).orderBy("run_name").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_study_csv(aggregates: DataFrame, path: str, baseline_run: str, metrics: Sequence[str]) -> None:
+    study_csv(aggregates, baseline_run, metrics).orderBy("run_name").write.mode("overwrite").csv(path, header=True)

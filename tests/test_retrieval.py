@@ -33,6 +33,7 @@ def test_bm25_without_broadcast_gives_the_same(spark, corpus, monkeypatch):
     queries = spark.createDataFrame([(1, "beta delta"), (2, "alpha"), (3, "p1")], "query_pk long, text string")
     small = lexical.bm25_topk(queries, lexical.postings(corpus), 3)
     monkeypatch.setattr(lexical, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(lexical, "SLICE_TERMS", 1)
     large = lexical.bm25_topk(queries, lexical.postings(corpus), 3)
     assert small.exceptAll(large).isEmpty() and small.count() == large.count()
 

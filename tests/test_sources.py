@@ -160,7 +160,7 @@ def test_exports(spark, tmp_path):
     rows = spark.read.csv(f"{tmp_path}/run", header=True).collect()
     assert [r["metric"] for r in rows] == ["m", "none"]
     assert rows[0]["mean"] == "1.500000" and rows[0]["delta"] == "-2.500000" and rows[1]["n"] == "0"
-    tables.write_study_csv(agg.withColumnRenamed("run", "run_name"), f"{tmp_path}/study", "a")
+    tables.write_study_csv(agg.withColumnRenamed("run", "run_name"), f"{tmp_path}/study", "a", ["m", "none"])
     rows = spark.read.csv(f"{tmp_path}/study", header=True).collect()
     assert [(r["run_name"], r["is_baseline"], r["m"]) for r in rows] == [("a", "true", "1.500000"), ("b", "false", "4.000000")]
 
