@@ -18,11 +18,13 @@ els AS (SELECT document_id, pos, text, row_number() OVER (PARTITION BY document_
   length(text) < 30 AS title, pos // 5 + 1 AS page FROM lines
   WHERE trim(text, ' ' || chr(9) || chr(13) || chr(160)) <> '')"""
 
-SIMS = f"""{LINES}, vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-ev AS (SELECT document_id, idx, text, e FROM els JOIN vec ON vec_id = (document_id + idx) % (SELECT count(*) FROM vec)),
-sims AS (SELECT a.document_id, a.idx, list_dot_product(a.e, b.e)
-  / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM ev a
-  JOIN ev b ON b.document_id = a.document_id AND b.idx = a.idx + 1)"""
+SIMS = f"""{LINES}, vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+nxt AS MATERIALIZED (SELECT a.vec_id, list_dot_product(a.e, b.e)
+  / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s
+  FROM vec a JOIN vec b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vec)),
+ev AS (SELECT document_id, idx, lead(idx) OVER (PARTITION BY document_id ORDER BY idx) AS follows, s
+  FROM els JOIN nxt ON vec_id = (document_id + idx) % (SELECT count(*) FROM vec)),
+sims AS (SELECT document_id, idx, s FROM ev WHERE follows IS NOT NULL)"""
 
 BREAKS = f"""{SIMS}, drops AS (SELECT a.document_id, a.idx, a.s - b.s AS v FROM sims a
   JOIN sims b ON b.document_id = a.document_id AND b.idx = a.idx + 1),

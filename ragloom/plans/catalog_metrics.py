@@ -120,13 +120,16 @@ def content_f1(spark, d) -> DataFrame:
     return scored.select("conv_id", "turn", F.round("content_f1", 6).alias("content_f1"))
 
 
-@query(
-    "rouge_l",
-    f"""WITH {_PAIRS}, lcs AS (SELECT conv_id, turn, len(pw)::DOUBLE AS np, len(gw)::DOUBLE AS ng, list_last(list_reduce(
+_LCS = """lcs AS (SELECT conv_id, turn, len(pw)::DOUBLE AS np, len(gw)::DOUBLE AS ng, list_last(list_reduce(
   list_transform(range(1, len(pw) + 1), lambda i: [i]), lambda acc, x: list_transform(range(1, len(gw) + 1),
     lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN gw[i] = pw[x[1]]
       THEN coalesce(CASE WHEN i > 1 THEN acc[i - 1] END, 0) + 1 ELSE acc[i] END))),
-  list_transform(gw, lambda e: 0::BIGINT)))::DOUBLE AS c FROM words)
+  list_transform(gw, lambda e: 0::BIGINT)))::DOUBLE AS c FROM words)"""
+
+
+@query(
+    "rouge_l",
+    f"""WITH {_PAIRS}, {_LCS}
 SELECT conv_id, turn, round(c / np, 6) AS rouge_l_precision, round(c / ng, 6) AS rouge_l_recall,
   round(CASE WHEN c = 0 THEN 0 ELSE 2.0 * (c / np) * (c / ng) / (c / np + c / ng) END, 6) AS rouge_l_f1 FROM lcs""",
 )
@@ -330,11 +333,12 @@ def judge_by_query_type(spark, d) -> DataFrame:
 @query(
     "score_runs",
     f"""WITH {_ITEMS}, vi AS (SELECT *, CASE run_id WHEN 1 THEN 'semantic' ELSE '1800' END AS version FROM items
-  WHERE answer_text <> ''), {_CITATION}, {_PAIRS}, {_F1}, {_SAID},
+  WHERE answer_text <> ''), {_CITATION}, {_PAIRS}, {_F1}, {_LCS}, {_SAID},
 ranking AS (SELECT run_id, query_pk AS qpk, CASE run_id WHEN 1 THEN 'semantic' ELSE '1800' END || '|' || query_pk AS query_pk,
   ((query_pk // 100 + i) % 5) || ':0' AS chunk_id, i AS position FROM items, range(1, 6) r(i)),
 gold AS (SELECT version || '|' || query_pk AS query_pk, chunk_id, relevance FROM agold), {METRICS},
-ans AS (SELECT i.*, EXISTS (SELECT 1 FROM f1 WHERE f1.conv_id = i.conv_id AND f1.turn = i.turn) AS has_gold,
+vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ans AS (SELECT i.*, (SELECT count(*) FROM embeddings) AS nv, EXISTS (SELECT 1 FROM f1 WHERE f1.conv_id = i.conv_id AND f1.turn = i.turn) AS has_gold,
   EXISTS (SELECT 1 FROM cited c WHERE c.query_pk = i.query_pk AND c.text IS NOT NULL) AS texts, conv_id % 2 = 0 AS hinted
   FROM items i WHERE answer_text <> ''),
 j AS (SELECT m.*, a.has_gold, a.texts, a.hinted FROM meant m JOIN ans a USING (run_id, query_pk) WHERE run_id <> 3),
@@ -354,14 +358,17 @@ judged AS (
     WHERE judge = 'gray_zone' AND run_id = 1),
 everything AS (SELECT run_id, split_part(query_pk, '|', 2)::BIGINT AS query_pk, metric, value FROM long
   UNION ALL SELECT run_id, query_pk, metric, value FROM citm UNION ALL SELECT * FROM judged
-  UNION ALL SELECT a.run_id, a.query_pk, 'content_f1', v FROM f1 JOIN ans a USING (conv_id, turn))
+  UNION ALL SELECT a.run_id, a.query_pk, 'content_f1', v FROM f1 JOIN ans a USING (conv_id, turn)
+  UNION ALL SELECT a.run_id, a.query_pk, 'rouge_l_recall', coalesce(c / nullif(ng, 0), 0) FROM lcs JOIN ans a USING (conv_id, turn)
+  UNION ALL SELECT a.run_id, a.query_pk, 'semantic_sim', CASE WHEN trim(pred) = '' OR trim(gold) = '' THEN 0
+    ELSE greatest(0, list_dot_product(x.e, y.e) / ((sqrt(list_dot_product(x.e, x.e)) + 1e-9)
+    * (sqrt(list_dot_product(y.e, y.e)) + 1e-9))) END FROM pairs JOIN ans a USING (conv_id, turn)
+    JOIN vecs x ON x.vec_id = a.query_pk % a.nv JOIN vecs y ON y.vec_id = (a.query_pk + 1) % a.nv)
 SELECT run_id, query_pk, metric, round(value, 6) AS value FROM everything""",
 )
 def score_runs(spark, d) -> DataFrame:
     rows = scoring.score_runs(
         data.runs(spark), data.run_items(spark, d), data.answer_logs(spark, d), data.answer_qrels(spark, d),
-        data.gold_answers(spark, d), data.judge_outputs(spark, d),
+        data.gold_answers(spark, d), data.judge_outputs(spark, d), data.pair_vectors(spark, d),
     )
-    # ROUGE-L has its own query; SQL needs a quadratic list fold for it.
-    kept = rows.filter(F.col("metric") != "rouge_l_recall")
-    return kept.select("run_id", "query_pk", "metric", F.round("value", 6).alias("value"))
+    return rows.select("run_id", "query_pk", "metric", F.round("value", 6).alias("value"))

@@ -326,6 +326,17 @@ def judge_outputs(spark: SparkSession, directory: str) -> DataFrame:
     return rows.withColumn("raw", forms[pick.cast("int")])
 
 
+def pair_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """Vectors of each answer and its reference: those numbered query_pk and query_pk + 1, modulo their number."""
+    items = run_items(spark, directory).select("run_id", "query_pk", (F.col("query_pk") + 1).alias("_next"))
+    answer = _vector_of(spark, directory, items, "query_pk").select(
+        "run_id", "query_pk", "_next", F.col("embedding").alias("answer_vector")
+    )
+    return _vector_of(spark, directory, answer, "_next").select(
+        "run_id", "query_pk", "answer_vector", F.col("embedding").alias("gold_vector")
+    )
+
+
 def gold_answers(spark: SparkSession, directory: str) -> DataFrame:
     return answer_pairs(spark, directory).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("query_pk"), F.array("gold").alias("answers")
