@@ -240,7 +240,8 @@ def _model_files(spark, d) -> DataFrame:
         "file",
         F.concat(
             F.lit("<"), root, F.lit(' xmlns:b="urn:x" xmlns="urn:y" id="D'), F.col("file"), F.lit('"><b:process id="P'),
-            F.col("file"), F.lit('">'), F.col("body"), F.lit("</b:process></"), root, F.lit(">"),
+            F.col("file"), F.lit('">'), F.col("body"), F.lit('</b:process><b:collaboration id="C"><b:participant id="X'),
+            F.col("file"), F.lit('" processRef="P'), F.col("file"), F.lit('"/></b:collaboration></'), root, F.lit(">"),
         ).alias("xml"),
     )
 
@@ -255,6 +256,7 @@ UNION ALL SELECT 'nodes', k, role, CASE WHEN turn % 3 = 0 THEN 'exclusiveGateway
 UNION ALL SELECT 'flows', 'f' || a.k, b.k, 'if ' || a.turn FROM ok a JOIN ok b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
 UNION ALL SELECT 'lanes', k || 'L', role, 'P' || file FROM ok
 UNION ALL SELECT 'lane_members', k || 'L', k, '' FROM ok
+UNION ALL SELECT DISTINCT 'participants', 'X' || file, 'P' || file, 'D' || file FROM ok
 UNION ALL SELECT DISTINCT 'rejects', file, 'missing definitions root', '' FROM m WHERE conv_id % 7 = 0""",
 )
 def read_process_models(spark, d) -> DataFrame:
@@ -266,6 +268,7 @@ def read_process_models(spark, d) -> DataFrame:
         "flows": ("flow_id", "target_id", F.col("condition")),
         "lanes": ("lane_id", "name", F.col("process_id")),
         "lane_members": ("lane_id", "node_id", F.lit("")),
+        "participants": ("participant_id", "process_id", F.col("definition_id")),
         "rejects": ("file", "error", F.lit("")),
     }
     result = None

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import cut_lineage
+
 # The BPMN tags that are flow nodes.
 NODE_TAGS = [
     "task", "userTask", "serviceTask", "scriptTask", "manualTask", "receiveTask", "sendTask",
@@ -98,8 +100,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parse_process_models(files: DataFrame) -> dict[str, DataFrame]:
-    """Graph tables of (file, xml) rows; one small file per row. Rejected files are in `rejects`."""
-    parsed = files.select("file", "xml").mapInPandas(_parse, _ELEMENT_SCHEMA)
+    """Graph tables of (file, xml) rows; one small file per row. Rejected files are in `rejects`.
+
+    Each file is parsed once; its elements are stored and all tables read them.
+    """
+    parsed = cut_lineage(files.select("file", "xml").mapInPandas(_parse, _ELEMENT_SCHEMA))
 
     def of(kind: str, *columns) -> DataFrame:
         return parsed.filter(F.col("kind") == kind).select(*columns).distinct()

@@ -15,8 +15,7 @@ from ragloom.operators.elements import prepare_elements
 EVENT_FIELDS = """document_id string, file_name string, path string, source string, tags string, process_name string,
 chunking_strategy string"""
 
-# Events taken per poll, and the strategy used for unknown names.
-EVENTS_PER_POLL = 10
+# Fixed value: the strategy used for unknown names.
 DEFAULT_STRATEGY = "by_title"
 
 CHUNK_COLUMNS = """chunk_id document_id pos point_id text page_number section_title element_type roles table_html
@@ -33,14 +32,22 @@ def chunk_events(events: DataFrame, elements: DataFrame) -> tuple[DataFrame, Dat
     """(chunks, indexed, failed) of a batch of upload events.
 
     elements: path, pos, element_type, text, page, section_title, table_html, embedding - what a layout parser made of
-    each uploaded file. A file without elements has failed; failures are reported and not tried again.
+    each uploaded file; only those of the batch's paths are read, once. A file without elements has failed; failures are
+    reported, every one of them, and not tried again. Of several events of a document whose files are there the last one
+    counts: by `_order`, where events have that column, else by the values of all columns.
     """
     known = F.col("chunking_strategy").isin(*STRATEGIES)
-    batch = events.dropDuplicates(["document_id"]).withColumn(
+    batch = events.withColumn(
         "chunking_strategy", F.when(known, F.col("chunking_strategy")).otherwise(DEFAULT_STRATEGY)
     )
-    found = batch.join(elements.select("path"), "path", "left_semi")
-    failed = batch.join(elements.select("path"), "path", "left_anti").select(
+    elements = cut_lineage(elements.join(batch.select("path").distinct(), "path", "left_semi"))
+    there = elements.select("path").distinct()
+    names = [c for c in batch.columns if c not in ("_order", "document_id")]
+    order = F.struct(*(["_order"] if "_order" in batch.columns else []), *names)
+    present = batch.join(there, "path", "left_semi")
+    latest = present.groupBy("document_id").agg(F.max_by(F.struct(*names), order).alias("_event"))
+    found = latest.select("document_id", "_event.*")
+    failed = batch.join(there, "path", "left_anti").select(
         "document_id", F.concat(F.lit("Upload file missing: "), F.coalesce("path", F.lit(""))).alias("error")
     )
     meta = found.select("document_id", "process_name", "tags", "file_name")
@@ -65,18 +72,30 @@ def chunk_events(events: DataFrame, elements: DataFrame) -> tuple[DataFrame, Dat
 
 
 def ingest_stream(
-    spark: SparkSession, events_path: str, elements: DataFrame, output: str, checkpoint: str, available_now: bool = True
+    spark: SparkSession,
+    events_path: str,
+    elements: DataFrame,
+    output: str,
+    checkpoint: str,
+    available_now: bool = True,
+    files_per_batch: int = 10_000,
 ) -> StreamingQuery:
     """Start the consumer: JSON event files in, tables `chunks`, `indexed` and `failed` under `output`.
 
-    Every batch overwrites its own partition, so a batch that is run again after a failure leaves no duplicates.
+    Every batch overwrites its own partition, so a batch that is run again after a failure leaves no duplicates. Files
+    are ordered by their time of change and name, events by their place in a file; `elements` is best partitioned by path.
     """
-    events = (
-        spark.readStream.schema(EVENT_FIELDS).option("maxFilesPerTrigger", EVENTS_PER_POLL).json(events_path)
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
     )
+    source = spark.readStream.schema(EVENT_FIELDS).option("maxFilesPerTrigger", files_per_batch).json(events_path)
+    events = source.select("*", place.alias("_place"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        for name, rows in zip(("chunks", "indexed", "failed"), chunk_events(cut_lineage(batch), elements)):
+        order = F.struct(F.col("_place"), F.monotonically_increasing_id().alias("row"))
+        ordered = cut_lineage(batch.withColumn("_order", order).drop("_place"))
+        for name, rows in zip(("chunks", "indexed", "failed"), chunk_events(ordered, elements)):
             rows.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
 
     writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
