@@ -21,6 +21,11 @@ def stored(spark: SparkSession, directory: str, name: str, build: Callable[[], D
     return _STORED[key]
 
 
+def clear_stored() -> None:
+    """Forget the stored tables, so that the next query derives them anew from its inputs."""
+    _STORED.clear()
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{directory}/{name}.parquet")
     return spread(rows) if name in ("documents", "conversations", "embeddings") else rows
