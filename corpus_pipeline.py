@@ -14,7 +14,7 @@ from ragloom.llm import exact_dedup, language_id, mixing, ngram_join, sentencepi
 from ragloom.llm.common import packed
 
 #: A text is rejected when no language is at least this probable.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations (`ids`) of all texts, and whether they decode to the same bytes."""
     pieces = sentencepiece_codec.load_pieces()
-    encoded = sentencepiece_codec.encode(docs, pieces)
-    same = F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return sentencepiece_codec.decode(encoded, pieces).withColumn("lossless", same).drop("decoded")
+    return sentencepiece_codec.round_trip(docs, pieces)
 
 
 STAGES = [

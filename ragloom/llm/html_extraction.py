@@ -59,15 +59,15 @@ TEXT = GROUPS["#text"]
 NAMES = [
     re.compile(p)
     for p in (
-        r"\b(nav|navbar|navigation|menu|breadcrumbs?|toc|pagination|pager|tabs?)\b",
-        r"\b(footer|copyright|contentinfo|imprint|legal|colophon)\b",
-        r"\b(header|masthead|banner|logo|topbar|branding)\b",
-        r"\b(sidebar|aside|widgets?|related|recommended|recommendations?|trending|popular|teasers?|complementary|rail)\b",
-        r"\b(ads?|adverts?|advertisements?|advertising|adsense|promos?|promotions?|sponsor(s|ed)?|sponsorship|commercial)\b",
-        r"\b(cookies?|consent|notices?|notification|popup|modal|overlay|alert|dialog|gdpr|disclaimer|paywall)\b",
-        r"\b(comments?|repl(y|ies)|disqus|discussions?|respond|responses?|feedback|reviews?|guestbook)\b",
-        r"\b(share|sharing|social|follow|newsletter|subscribe|subscription|signup|login|search|form|toolbar|buttons?)\b",
-        r"\b(content|article|post|entry|story|text|main|body|prose|hentry)\b",
+        r"\b(nav|navbar|navs|menus?|toc|pager|tabs?)\b|\b(navigation|breadcrumb|pagination|topnav|sitenav|mainmenu)",
+        r"\b(footer|copyright|contentinfo|imprint|colophon|bottombar)|\blegal\b",
+        r"\b(header|masthead|banner|topbar|branding)|\blogo\b",
+        r"\b(sidebar|sidenav|widget|related|recommend|trending|teaser|complementary)|\b(aside|popular|rail)\b",
+        r"\b(ads?|adsense|adbox|adslot)\b|\b(advert|promo|sponsor|commercial|doubleclick)",
+        r"\b(cookie|consent|notice|notif|popup|modal|overlay|dialog|disclaimer|paywall|gdpr)|\balerts?\b",
+        r"\b(comment|disqus|discussion|respond|response|feedback|guestbook|reply|replies)|\breviews?\b",
+        r"\b(share|sharing|social|newsletter|subscri|signup|login|toolbar)|\b(follow|search|form|buttons?)\b",
+        r"\b(content|articles?|posts?|entry|story|text|main|body|prose|hentry)\b",
     )
 ]
 FEATURES = OTHER + 1 + len(NAMES) + 7

@@ -20,6 +20,8 @@ NOISE = [
     '<div id="consent" class="notice" y="0">{s} <a href="/privacy">{w}</a></div>',
     '<div class="alert popup" role="alert" y="0"><p>{s}</p></div>',
     '<div class="cookie-notice" role="dialog" y="0">{s} {s}</div>',
+    '<div id="cookieBar" y="0"><p>{s} {s}</p></div>',
+    '<p class="notification" y="0">{s}</p>',
     '<div class="ad" y="0">{s}</div>',
     '<div class="ads" y="0">{s} {s}</div>',
     '<div class="advert sponsored" y="0"><p>{s}</p><p>{s}</p></div>',
