@@ -98,36 +98,44 @@ def prefix_length(size: int, percent: int) -> int:
 
 # ---- passes over the documents -------------------------------------------------------------------------------------
 
-PROFILES = "doc_id {id}, n_shingles long, node long, part int, lane int, counts binary"
+PROFILES = (
+    "doc_id {id}, n_shingles long, node long, point binary, excess long, part int, lane int, counts binary"
+)
+
+
+def point_of(own: np.ndarray) -> tuple[bytes, int]:
+    """Counts of a set's n-grams by group, at most 255 each, and what is beyond that in all groups together."""
+    counts = np.bincount(((own >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return low.tobytes(), int((counts - low).sum())
 
 
 def _profile(words: int, kind: pa.DataType):
-    """Per document its set's size and number; per task the frequencies of all its n-grams by group."""
+    """Per document its set's size, number and point; per task the frequencies of all its n-grams by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, ids, sizes, nodes = np.zeros(FREQUENCY_GROUPS, np.int64), [], [], []
-        names = ["doc_id", "n_shingles", "node", "part", "lane", "counts"]
+        counts, ids, sizes, nodes, points = np.zeros(FREQUENCY_GROUPS, np.int64), [], [], [], []
+        names = ["doc_id", "n_shingles", "node", "point", "excess", "part", "lane", "counts"]
 
         def batch_of() -> pa.RecordBatch:
             blank = pa.nulls(len(ids), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), blank, blank,
-                 pa.nulls(len(ids), pa.binary())], names,
+                [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array([x for x, _ in points], pa.binary()), pa.array([x for _, x in points], pa.int64()),
+                 blank, blank, pa.nulls(len(ids), pa.binary())], names,
             )
 
         for batch, n, own, node in _sets(batches, words):
             ids.append(batch.column("doc_id")[n].as_py())
             sizes.append(len(own))
             nodes.append(node)
-            counts += np.bincount((own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64), minlength=FREQUENCY_GROUPS) \
-                if len(own) > FREQUENCY_GROUPS // 16 else 0
-            if len(own) <= FREQUENCY_GROUPS // 16:
-                np.add.at(counts, (own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64), 1)
+            points.append(point_of(own))
+            np.add.at(counts, (own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64), 1)
             if len(ids) >= 10_000:
                 yield batch_of()
-                ids, sizes, nodes = [], [], []
+                ids, sizes, nodes, points = [], [], [], []
         if ids:
             yield batch_of()
         if counts.any():
@@ -135,7 +143,8 @@ def _profile(words: int, kind: pa.DataType):
             parts = [x.tobytes() for x in np.split(counts, FREQUENCY_PARTS)]
             blank = pa.nulls(FREQUENCY_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(FREQUENCY_PARTS, kind), blank, blank, pa.array(range(FREQUENCY_PARTS), pa.int32()),
+                [pa.nulls(FREQUENCY_PARTS, kind), blank, blank, pa.nulls(FREQUENCY_PARTS, pa.binary()), blank,
+                 pa.array(range(FREQUENCY_PARTS), pa.int32()),
                  pa.array([number] * FREQUENCY_PARTS, pa.int32()), pa.array(parts, pa.binary())], names,
             )
 
@@ -174,26 +183,31 @@ def frequencies(profiles: DataFrame) -> np.ndarray:
 
 
 def _postings(words: int, percent: int, order):
-    """(cell, node): each set goes to the cells of its rarest n-grams; a task sends each set once."""
+    """(cell, n, node): each set goes to the cells of its rarest n-grams; a task sends each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = order.value
         seen: set[int] = set()
-        cells, nodes, held = [], [], 0
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            columns = (np.concatenate(x) for x in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "n", "node"])
+
         for _, _, own, node in _sets(batches, words):
             if not len(own) or node in seen:
                 continue
             seen.add(node)
             rank = frequency[(own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64)]
             cell = own[np.lexsort((own, rank))[: prefix_length(len(own), percent)]]
-            cells.append(cell.view(np.int64))
-            nodes.append(np.full(len(cell), node, np.int64))
+            rows.append((cell.view(np.int64), np.full(len(cell), len(own), np.int32), np.full(len(cell), node, np.int64)))
             held += len(cell)
             if held >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, nodes)], ["cell", "node"])
-                cells, nodes, held = [], [], 0
-        if cells:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, nodes)], ["cell", "node"])
+                yield batch_of()
+                rows, held = [], 0
+        if rows:
+            yield batch_of()
 
     return run
 
@@ -203,53 +217,63 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
 
-def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (cell, node): the members of cells with several, with a signature of the members."""
+def _shared_cells(percent: int):
+    """From rows sorted by (cell, n, node): the members of each cell that have another of a similar size there, with a
+    signature of the members.
+    """
     names = ["signature", "cell", "node"]
 
-    def rows(cell: np.ndarray, node: np.ndarray, signed: bool) -> pa.RecordBatch | None:
+    def rows(cell: np.ndarray, size: np.ndarray, node: np.ndarray, signed: bool) -> pa.RecordBatch | None:
         fresh = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
-        cell, node = cell[fresh], node[fresh]
-        starts = _runs(cell)
-        sizes = np.diff(starts)
-        keep = np.repeat(sizes > 1, sizes)
+        cell, size, node = cell[fresh], size[fresh].astype(np.int64), node[fresh]
+        # Members are in order of size: the next one decides, and the one before.
+        close = (cell[1:] == cell[:-1]) & (size[1:] * percent <= size[:-1] * 100)
+        keep = np.append(False, close) | np.append(close, False)
         if not keep.any():
             return None
+        cell, node = cell[keep], node[keep]
+        starts = _runs(cell)
+        sizes = np.diff(starts)
         if signed:
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(mix64(node.view(np.uint64)), starts[:-1])
             mark = np.repeat(mix64(sums + sizes.astype(np.uint64)).view(np.int64), sizes)
         else:
             mark = cell
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (mark, cell, node)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (mark, cell, node)], names)
 
-    held_cell, held_node, open_run = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        cell = np.concatenate([held_cell, batch.column("cell").to_numpy()])
-        node = np.concatenate([held_node, batch.column("node").to_numpy()])
-        if not len(cell):
-            continue
-        last = int(_runs(cell)[-2])
-        if last and open_run:  # the end of a run that was too long to hold
-            end = int(_runs(cell)[1])
-            if (out := rows(cell[:end], node[:end], False)) is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_run = None, False
+        for batch in batches:
+            new = [batch.column(n).to_numpy() for n in range(3)]
+            now = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(now[0]):
+                continue
+            starts = _runs(now[0])
+            if open_run and len(starts) > 2:  # the end of a run that was too long to hold
+                end = int(starts[1])
+                if (out := rows(*[x[:end] for x in now], False)) is not None:
+                    yield out
+                now, open_run = [x[end:] for x in now], False
+                starts = starts[1:] - end
+            last = int(starts[-2])
+            if last > 0 and (out := rows(*[x[:last] for x in now], True)) is not None:
                 yield out
-            cell, node, last, open_run = cell[end:], node[end:], last - end, False
-        if last > 0 and (out := rows(cell[:last], node[:last], True)) is not None:
+            held = [x[last:] for x in now]
+            if len(held[0]) > SIGNED_MEMBERS:
+                # One member is held back for those that follow.
+                if (out := rows(*held, False)) is not None:
+                    yield out
+                held, open_run = [x[-1:] for x in held], True
+        if held is not None and len(held[0]) and (out := rows(*held, not open_run)) is not None:
             yield out
-        held_cell, held_node = cell[last:], node[last:]
-        if len(held_cell) > SIGNED_MEMBERS:
-            # One member is held back, so that what follows isn't alone.
-            if (out := rows(held_cell, held_node, False)) is not None:
-                yield out
-            held_cell, held_node, open_run = held_cell[-1:], held_node[-1:], True
-    if len(held_cell) and (out := rows(held_cell, held_node, not open_run)) is not None:
-        yield out
+
+    return run
 
 
 def _needed_sets(words: int, bits):
-    """(node, n, counts, excess, members) of the sets that pass the filter; a task sends each set once."""
-    schema = ["node", "n", "counts", "excess", "members"]
+    """(node, members) of the sets that pass the filter; a task sends each set once."""
+    schema = ["node", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(bits.value, np.uint8)
@@ -263,9 +287,7 @@ def _needed_sets(words: int, bits):
             bit = node % FILTER_BITS
             if not filter_[bit >> 3] >> (bit & 7) & 1:
                 continue
-            counts = np.bincount(((own >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-            low = np.minimum(counts, 255).astype(np.uint8)
-            rows.append((node, len(own), low.tobytes(), int((counts - low).sum()), own.tobytes()))
+            rows.append((node, own.tobytes()))
             held += 8 * len(own)
             if held >= PART_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema)
@@ -355,74 +377,97 @@ class Tree:
         return left[a], right[b]
 
 
-def _groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of a sorted partition, group by group."""
+def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a sorted partition, as many as have come together, and where they start and end."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        marks = np.zeros(held.num_rows, bool)
-        for key in keys:
-            column = held.column(key).to_numpy()
-            marks[1:] |= column[1:] != column[:-1]
-        starts = np.append(0, np.flatnonzero(marks))
-        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            yield held.slice(low, high - low)
-        held = held.slice(int(starts[-1])) if held.num_rows else None
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if held.num_rows:
+            starts = _starts(held, keys)
+            if len(starts) > 1:
+                yield held.slice(0, int(starts[-1])), starts
+                held = held.slice(int(starts[-1])).combine_chunks()
     if held is not None and held.num_rows:
-        yield held
+        yield held, np.append(_starts(held, keys), held.num_rows)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    marks = np.zeros(table.num_rows, bool)
+    marks[0] = True
+    for key in keys:
+        column = table.column(key).to_numpy()
+        marks[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(marks)
 
 
-def _points(table: pa.Table):
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
-    return table.column("n").to_numpy(), counts, table.column("excess").to_numpy()
+def _leaf_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside groups of at most LEAF rows, whose tree is a single leaf."""
+    first, second = [], []
+    for size in np.unique(sizes).tolist():
+        if size > 1:
+            a, b = np.triu_indices(size, 1)
+            base = starts[sizes == size][:, None]
+            first.append((base + a).reshape(-1))
+            second.append((base + b).reshape(-1))
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _search(percent: int, first_only: bool):
-    """Candidate pairs of each block or pair of blocks.
+    """Candidate pairs of each block or pair of blocks, and rows (a, a) for all points that are in some candidate pair.
 
     With `first_only` each point is paired with the first of its group only, in order of node, that the tree finds for
     it; a group of copies then gives as many pairs as it has points. Points with equal labels are never paired.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
-        for table in _groups_of(batches, ["cell", "block", "block2"]):
-            nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
-            own = table.column("own").to_numpy()
-            if len(nodes) < 2 or (labels == labels[0]).all():
-                continue
-            sizes, counts, excess = _points(table)
-            two = own != own[0]
-            if two.any():
-                here, there = np.flatnonzero(~two), np.flatnonzero(two)
+        for table, starts in _chunks(batches, ["cell", "block", "block2"]):
+            nodes, labels, own, sizes, excess = (
+                table.column(c).to_numpy() for c in ("node", "label", "own", "n", "excess")
+            )
+            counts = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            bounds = np.append(starts, table.num_rows) if starts[-1] != table.num_rows else starts
+            lengths = np.diff(bounds)
+            group = np.repeat(np.arange(len(lengths)), lengths)
+            blocked = np.bincount(group, weights=own != own[bounds[:-1]][group]) > 0
+            leaves = (lengths <= LEAF) & ~blocked
+            a, b = _leaf_pairs(bounds[:-1][leaves], lengths[leaves])
+            low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            near = (low * 100 >= high * percent) & (labels[a] != labels[b])
+            a, b = a[near], b[near]
+            hits = [np.zeros(0, bool)]
+            for start in range(0, len(a), 4_096):
+                x, y = a[start : start + 4_096], b[start : start + 4_096]
+                bound = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) + np.minimum(excess[x], excess[y])
+                hits.append(bound >= required(sizes[x], sizes[y], percent))
+            hit = np.concatenate(hits)
+            found = [(a[hit], b[hit])]
+            for n in np.flatnonzero(~leaves & (lengths > 1)).tolist():
+                rows = np.arange(bounds[n], bounds[n + 1])
+                if (labels[rows] == labels[rows[0]]).all():
+                    continue
+                here, there = rows, rows
+                if blocked[n]:
+                    two = own[rows] != own[rows[0]]
+                    here, there = rows[~two], rows[two]
                 left = Tree(sizes[here], counts[here], excess[here], percent)
-                right = Tree(sizes[there], counts[there], excess[there], percent)
-                found = left.meet(right)
-            else:
-                here = there = np.arange(len(nodes))
-                left = Tree(sizes, counts, excess, percent)
-                found = left.meet(left)
-            pairs = [(here[a], there[b]) for a, b in found]
-            if not pairs:
-                continue
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                right = Tree(sizes[there], counts[there], excess[there], percent) if blocked[n] else left
+                found += [(here[x], there[y]) for x, y in left.meet(right)]
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             other = labels[a] != labels[b]
-            a, b = nodes[a[other]], nodes[b[other]]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            if first_only and len(a):
-                order = np.lexsort((a, b))
-                a, b = a[order], b[order]
-                lead = np.append(True, b[1:] != b[:-1])
+            a, b = a[other], b[other]
+            if not len(a):
+                continue
+            of, a, b = group[a], np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
+            needed = np.unique(np.concatenate([a, b]))
+            if first_only:
+                order = np.lexsort((a, b, of))
+                of, a, b = of[order], a[order], b[order]
+                lead = np.append(True, (b[1:] != b[:-1]) | (of[1:] != of[:-1]))
                 a, b = a[lead], b[lead]
-            out_a.append(a)
-            out_b.append(b)
-            held += len(a)
-            if held >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
-                out_a, out_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, needed])), pa.array(np.concatenate([b, needed]))], ["a", "b"]
+            )
 
     return run
 
@@ -447,38 +492,34 @@ def _verify(percent: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar."""
-    members = sets.select("node", "members")
     rows = (
-        pairs.distinct()
-        .join(members.select(F.col("node").alias("a"), F.col("members").alias("left_members")).hint("merge"), "a")
-        .join(members.select(F.col("node").alias("b"), F.col("members").alias("right_members")).hint("merge"), "b")
+        pairs.filter("a <> b").distinct()
+        .join(sets.select(F.col("node").alias("a"), F.col("members").alias("left_members")).hint("merge"), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("members").alias("right_members")).hint("merge"), "b")
     )
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _round(members: DataFrame, points: DataFrame, labels: DataFrame | None, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs of differently labelled members of the same cell.
-
-    Within blocks each point is paired once; with `across`, all pairs within and between the blocks of a cell are found.
-    """
+def _round(
+    members: DataFrame, points: DataFrame, labels: DataFrame | None, percent: int, first_only: bool
+) -> DataFrame:
+    """Candidate pairs of differently labelled members of the same cell, within and between its blocks."""
     rows = members.join(points.hint("merge"), "node")
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(
         labels.select("node", F.col("component").alias("label")).hint("merge"), "node", "left"
     ).withColumn("label", F.coalesce("label", "node"))
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("blocks", count).withColumn("own", own)
-    if across:
-        partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.withColumn("partner", partner).withColumn("block", F.least("own", "partner")).withColumn(
-            "block2", F.greatest("own", "partner")
-        )
-    else:
-        rows = rows.withColumn("block", F.col("own")).withColumn("block2", F.col("own"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    )
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("partner", partner).withColumn("block", F.least("own", "partner")).withColumn(
+        "block2", F.greatest("own", "partner")
+    )
     keys = ["cell", "block", "block2"]
-    rows = rows.select(*keys, "own", "node", "label", "n", "counts", "excess")
+    rows = rows.select(*keys, "own", "node", "label", "n", "point", "excess")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "own", "node")
-    return dealt.mapInArrow(_search(percent, not across), "a long, b long").distinct()
+    return dealt.mapInArrow(_search(percent, first_only), "a long, b long").distinct()
 
 
 # ---- the operator --------------------------------------------------------------------------------------------------
@@ -504,39 +545,44 @@ def near_duplicates(
         "profiles", sent.mapInArrow(_profile(words, to_arrow_type(kind)), PROFILES.format(id=kind.simpleString()))
     )
     order = spark.sparkContext.broadcast(frequencies(everything))
-    profiles = everything.filter("part IS NULL").select("doc_id", "n_shingles", "node")
+    profiled = everything.filter("part IS NULL")
+    profiles = profiled.select("doc_id", "n_shingles", "node")
 
     only_text = sent.select("text")
-    postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, node long")
-    dealt = postings.repartition("cell").sortWithinPartitions("cell", "node")
-    shared = scratch.write("shared", dealt.mapInArrow(_shared_cells, "signature long, cell long, node long"))
+    postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, n int, node long")
+    dealt = postings.repartition("cell").sortWithinPartitions("cell", "n", "node")
+    shared = scratch.write("shared", dealt.mapInArrow(_shared_cells(percent), "signature long, cell long, node long"))
     # Of cells with the same members one is enough.
     kept = shared.groupBy("signature").agg(F.min("cell").alias("cell"))
-    members = shared.join(kept, ["signature", "cell"], "left_semi").select("cell", "node")
+    members = shared.join(kept.hint("merge"), ["signature", "cell"], "left_semi")
+    members = members.select("cell", "node")
     cells = members.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
     members = scratch.write("members", members.join(cells.hint("merge"), "cell"))
     scratch.drop("shared")
 
-    needed = members.select("node").distinct()
+    point = F.first(F.struct(F.col("n_shingles").alias("n"), "point", "excess")).alias("p")
+    points = profiled.filter("n_shingles > 0").groupBy("node").agg(point).select("node", "p.*")
+    stars = scratch.write("stars", _round(members, points, None, percent, True))
+    # Only sets with a candidate partner are needed from here on.
+    needed = scratch.write("needed", stars.filter("a = b").select(F.col("a").alias("node")))
+    members = scratch.write("close", members.join(needed.hint("merge"), "node", "left_semi"))
+    points = scratch.write("points", points.join(needed.hint("merge"), "node", "left_semi"))
     bits = spark.sparkContext.broadcast(_filter_of(needed))
-    schema = "node long, n long, counts binary, excess long, members binary"
-    found = only_text.mapInArrow(_needed_sets(words, bits), schema)
+    found = only_text.mapInArrow(_needed_sets(words, bits), "node long, members binary")
     # Several tasks may have met the same set.
-    sets = scratch.write("sets", found.join(needed, "node", "left_semi").groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("n", "counts", "excess", "members")]
+    sets = scratch.write("sets", found.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(
+        F.first("members").alias("members")
     ))
-    points = sets.drop("members")
 
-    stars = scratch.write("stars", _round(members, points, None, percent, False))
     links = scratch.write("links1", _linked(stars, sets, percent))
     labels = scratch.write("labels1", components(links, "a", "b"))
-    stars = scratch.write("stars2", _round(members, points, labels, percent, False))
-    more = scratch.write("links2", _linked(stars, sets, percent))
-    links = links.unionByName(more)
+    stars = scratch.write("stars2", _round(members, points, labels, percent, True))
+    links = links.unionByName(scratch.write("links2", _linked(stars, sets, percent)))
     labels = scratch.write("labels2", components(links, "a", "b"))
-    rest = scratch.write("rest", _round(members, points, labels, percent, True))
+    rest = scratch.write("rest", _round(members, points, labels, percent, False))
     links = links.unionByName(scratch.write("links3", _linked(rest, sets, percent)))
     labels = scratch.write("labels", components(links, "a", "b"))
+    scratch.drop("sets", "points", "close", "members", "stars", "stars2", "rest")
 
     least = F.min("doc_id").alias("least")
     of_node = profiles.filter("n_shingles > 0").groupBy("node").agg(least, F.count(F.lit(1)).alias("n_documents"))
