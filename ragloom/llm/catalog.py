@@ -64,11 +64,9 @@ def op7_exact_topk(spark: SparkSession, directory: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
     documents = _table(spark, directory, "documents")
     pieces = sentencepiece_codec.load_pieces(sentencepiece_codec.DEFAULT_MODEL)
-    encoded = sentencepiece_codec.encode(documents.select("doc_id", "text"), pieces)
-    return sentencepiece_codec.decode(encoded, pieces).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
-        F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("lossless"),
+    coded = sentencepiece_codec.round_trip(documents.select("doc_id", "text"), pieces)
+    return coded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "decoded_sha256", "lossless"
     )
 
 

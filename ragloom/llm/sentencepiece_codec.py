@@ -10,6 +10,7 @@ words. Each different word is filtered once and kept; paths of many words are dr
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import mix64, pieces
+from ragloom.llm.common import buffers, mix64, pieces
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -31,8 +32,8 @@ UNIT_START = re.compile("(?<=[^ ]) ")
 #: Characters of text and words in work at a time; words whose lattices a worker keeps.
 PART_CHARS = 1 << 20
 FLUSH_UNITS = 100_000
-KEPT_WORDS = 300_000
-KEPT_EDGES = 8_000_000
+KEPT_WORDS = 200_000
+KEPT_EDGES = 5_000_000
 
 
 @dataclass
@@ -76,10 +77,10 @@ def load_pieces(model_file: str = DEFAULT_MODEL, exponent: float = 1.0) -> Piece
 
 
 class _Growing:
-    """A numpy array that grows at its end."""
+    """A numpy array that grows at its end; memory that was never written isn't there yet."""
 
-    def __init__(self, kind):
-        self.data, self.size = np.empty(1024, kind), 0
+    def __init__(self, kind, room: int):
+        self.data, self.size = np.empty(room, kind), 0
 
     def extend(self, values: np.ndarray) -> None:
         need = self.size + len(values)
@@ -98,6 +99,9 @@ class _Lattices:
     def __init__(self, vocabulary: Pieces):
         self.vocabulary = vocabulary
         self.chars = {p for p in vocabulary.ids if len(p) == 1}
+        self.table = np.frombuffer(b"".join(vocabulary.spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in vocabulary.spelled], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
         self._build_trie()
         self.clear()
 
@@ -106,6 +110,9 @@ class _Lattices:
         self.char_id = np.zeros(0x110000, np.int32)
         for c, n in alphabet.items():
             self.char_id[ord(c)] = n
+        for byte in range(128):  # what ASCII has no piece for is one byte
+            if byte != 32 and self.char_id[byte] == 0:
+                self.char_id[byte] = alphabet.get(chr(BYTE + byte), 0)
         self.width = len(alphabet) + 1
         edges: dict[int, int] = {}
         ends: dict[int, tuple[int, float]] = {}
@@ -122,9 +129,11 @@ class _Lattices:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.base, self.length = _Growing(np.int64), _Growing(np.int32)
-        self.first = _Growing(np.int64)
-        self.upto, self.piece, self.back = _Growing(np.float64), _Growing(np.int32), _Growing(np.int32)
+        self.base, self.length = _Growing(np.int64, 2 * KEPT_WORDS), _Growing(np.int32, 2 * KEPT_WORDS)
+        self.first = _Growing(np.int32, KEPT_EDGES)
+        self.upto, self.piece, self.back = (
+            _Growing(kind, KEPT_EDGES + KEPT_EDGES // 2) for kind in (np.float32, np.int32, np.int32)
+        )
         self.nodes = 0
 
     def _spelled(self, word: str) -> str:
@@ -219,6 +228,13 @@ class _Lattices:
         self.length.extend(length)
         self.nodes += total
 
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts with these numbers of ids, one after the other, and where each ends."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        out = self.table[np.repeat(self.places[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return out, np.append(0, ends)[np.cumsum(counts)]
+
     def sample(self, words: np.ndarray, seeds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all words in order, and how many each word has. `starts`: position of each word in its text."""
         base, at = self.base.view()[words], self.length.view()[words].astype(np.int64)
@@ -228,7 +244,7 @@ class _Lattices:
         while len(active):
             place = (starts[active] + at).astype(np.uint64)
             draw = (mix64(seeds[active] ^ mix64(place * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(12)) * 2.0**-52
-            edge = first[base[active] + at]
+            edge = first[base[active] + at].astype(np.int64)
             late = np.flatnonzero(upto[edge] <= draw)  # the last edge of a node has 1
             while len(late):
                 edge[late] += 1
@@ -299,6 +315,29 @@ def encode_texts(lattices: _Lattices, texts: Sequence[str], seeds: np.ndarray) -
     return (np.concatenate(found) if found else np.zeros(0, np.int32)), sizes
 
 
+def _sent(documents: DataFrame, kept: list[str], text: str, key: str, seed: int) -> DataFrame:
+    return documents.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias("_seed"),
+    )
+
+
+def _lattices_of(vocabulary: Pieces) -> _Lattices:
+    if vocabulary.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[vocabulary.key] = _Lattices(vocabulary)
+    return _KEPT[vocabulary.key]
+
+
+def _encoded(lattices: _Lattices, batch: pa.RecordBatch, at: int):
+    """Ids of the texts in column `at` (seeds follow it), how many each has, and the same as a list column."""
+    seeds = batch.column(at + 1).to_numpy().view(np.uint64)
+    ids, sizes = encode_texts(lattices, batch.column(at).to_pylist(), seeds)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return ids, sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+
+
 def encode(
     documents: DataFrame, vocabulary: Pieces, text: str = "text", key: str = "doc_id", seed: int = 0
 ) -> DataFrame:
@@ -308,27 +347,57 @@ def encode(
     its own; rows that repeat a key and text get equal ids. A column named ids is replaced.
     """
     kept = [c for c in documents.columns if c != "ids"]
-    sent = documents.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias("_seed"),
-    )
+    sent = _sent(documents, kept, text, key, seed)
     schema = T.StructType([*sent.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_ = shared.value
-        lattices = _KEPT.get(pieces_.key)
-        if lattices is None:
-            lattices = _KEPT[pieces_.key] = _Lattices(pieces_)
+        lattices = _lattices_of(shared.value)
+        for whole in batches:
+            for batch in pieces(whole, len(kept), PART_CHARS):
+                *_, lists = _encoded(lattices, batch, len(kept))
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(len(kept))], lists], [*kept, "ids"])
+
+    return sent.mapInArrow(run, schema)
+
+
+def round_trip(
+    documents: DataFrame, vocabulary: Pieces, text: str = "text", key: str = "doc_id", seed: int = 0
+) -> DataFrame:
+    """What `encode` gives, decoded again in the same task: further columns n_bytes and decoded_sha256 of the decoded
+    bytes, and lossless, which tells whether they are the text's own. Columns of these names are replaced.
+    """
+    added = ["ids", "n_bytes", "decoded_sha256", "lossless"]
+    kept = [c for c in documents.columns if c not in added]
+    sent = _sent(documents, kept, text, key, seed)
+    schema = T.StructType([
+        *sent.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("n_bytes", T.LongType()), T.StructField("decoded_sha256", T.StringType()),
+        T.StructField("lossless", T.BooleanType()),
+    ])
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = _lattices_of(shared.value)
         for whole in batches:
             for batch in pieces(whole, len(kept), PART_CHARS):
-                seeds = batch.column(len(kept) + 1).to_numpy().view(np.uint64)
-                ids, sizes = encode_texts(lattices, batch.column(len(kept)).to_pylist(), seeds)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                columns = [batch.column(n) for n in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, "ids"])
+                ids, sizes, lists = _encoded(lattices, batch, len(kept))
+                decoded, ends = lattices.decode(ids, sizes)
+                data, offsets = buffers(batch.column(len(kept)))
+                counts, digests, same, start = [], [], [], 0
+                for n, end in enumerate(ends.tolist()):
+                    value = decoded[start:end].tobytes().removeprefix(b" ")
+                    counts.append(len(value))
+                    digests.append(hashlib.sha256(value).hexdigest())
+                    same.append(value == data[offsets[n] : offsets[n + 1]].tobytes())
+                    start = end
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(n) for n in range(len(kept))], lists, pa.array(counts, pa.int64()),
+                        pa.array(digests, pa.string()), pa.array(same, pa.bool_()),
+                    ],
+                    [*kept, *added],
+                )
 
     return sent.mapInArrow(run, schema)
 
