@@ -37,6 +37,14 @@ def packed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, made longer until no column is called so, in any case of letters."""
+    known = {t.lower() for t in taken}
+    while name in known:
+        name += "_"
+    return name
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Give every row the values of its group, where one group may hold any share of the rows.
 
@@ -115,5 +123,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 __all__ = [
-    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "join_groups", "mix64", "packed", "pieces",
+    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "fresh", "join_groups", "mix64", "packed", "pieces",
 ]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import buffers, pieces
+from ragloom.llm.common import buffers, fresh, pieces
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -212,8 +212,8 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = documents.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"),
-        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias(fresh("_bytes", kept)),
+        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(fresh("_letters", kept)),
     )
     schema = T.StructType(
         [*sent.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

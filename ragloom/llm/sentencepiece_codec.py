@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import buffers, mix64, pieces
+from ragloom.llm.common import buffers, fresh, mix64, pieces
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -318,8 +318,8 @@ def encode_texts(lattices: _Lattices, texts: Sequence[str], seeds: np.ndarray) -
 def _sent(documents: DataFrame, kept: list[str], text: str, key: str, seed: int) -> DataFrame:
     return documents.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias("_seed"),
+        F.coalesce(F.col(text), F.lit("")).alias(fresh("_text", kept)),
+        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias(fresh("_seed", kept)),
     )
 
 

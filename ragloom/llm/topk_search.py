@@ -45,7 +45,7 @@ def _matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(column.offsets.to_numpy())
     at = np.flatnonzero(lengths == dim)
     taken = column.take(pa.array(at)) if len(at) < len(column) else column
-    return taken.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), at
+    return taken.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim), at
 
 
 def _product(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
