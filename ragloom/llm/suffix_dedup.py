@@ -8,8 +8,8 @@ them by then share at least that much.
 Texts are dealt to blocks so that equal strings always meet. A window of the minimum length is known by the smallest
 hash of the k-grams inside; equal windows have equal ones. Neighbouring windows with the same hash are one segment. A
 hash that no other segment has needs no work, equal segments are repeats as a whole, and only segments that share a hash
-and differ go to blocks, one copy of each. Where very many different segments share a hash, their windows are grouped by
-content instead, so that no block grows with the corpus.
+and differ go to blocks, one copy of each. Where very many different segments share a hash, they are cut anew by longer
+k-grams, down to whole windows if need be, so that no block grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from ragloom.llm.common import Scratch, buffers, mix64, pieces
 
 LENGTH = 200
 GRAM = 64
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+BASE = np.uint64(0x9E3779B97F4A7C15)
 PIECE_BYTES = 1 << 20
 #: Bytes of a block, and of the different segments of one hash that may share a block.
 BLOCK_BYTES = 1 << 20
@@ -57,19 +57,19 @@ class _Powers:
             self.size = size
 
 
-_POWERS = [_Powers(b) for b in BASES]
+_POWERS = _Powers(BASE)
 
 
-def _prefix(text: np.ndarray, which: int) -> np.ndarray:
+def _prefix(text: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash; `_span` gives the hash of any part."""
-    _POWERS[which].grow(len(text) + 1)
+    _POWERS.grow(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _POWERS[which].up[: len(text)], out=sums[1:])
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _POWERS.up[: len(text)], out=sums[1:])
     return sums
 
 
-def _span(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    return mix64((sums[end] - sums[start]) * _POWERS[which].down[start])
+def _span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix64((sums[end] - sums[start]) * _POWERS.down[start])
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -94,9 +94,9 @@ def segments(text: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     total = len(text)
     if total < length:
         return empty
-    sums = _prefix(text, 0)
+    sums = _prefix(text)
     at = np.arange(total - gram + 1)
-    grams = _span(sums, at, at + gram, 0)
+    grams = _span(sums, at, at + gram)
     least = _sliding(grams, length - gram + 1, np.minimum)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     first = np.arange(len(least))
@@ -114,7 +114,7 @@ def segments(text: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     span = length - gram + 1
     wide = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
     chosen = np.flatnonzero(_sliding(wide, span, np.maximum)[: len(grams)] == grams)
-    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) < span))
+    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= span))
     inside = np.zeros(len(starts), bool)
     if len(twice):
         left, right = chosen[twice], chosen[twice + 1]
@@ -126,7 +126,7 @@ def segments(text: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             n = np.clip(low + step, 0, len(starts) - 1)
             hit = (starts[n] <= right) & (ends[n] + length - gram > left) & (least[starts[n]] == grams[left])
             inside[n[hit]] = True
-    content = _span(sums, starts, ends + length - 1, 0) ^ (ends - starts).astype(np.uint64)
+    content = _span(sums, starts, ends + length - 1) ^ (ends - starts).astype(np.uint64)
     return row[starts], starts - offsets[row[starts]], ends - starts, least[starts], mix64(content), inside
 
 
@@ -166,7 +166,7 @@ def _records(length: int, gram: int):
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From records sorted by (hash, content), column `kind`: 0 repeated as a whole; to be searched: 1 unknown, 2 repeated
-    already, for the others to be compared with.
+    already, for the others to be compared with. Records that come with a kind are 1 or 2.
     """
 
     def judged(table: pa.Table, mixed: bool) -> pa.RecordBatch | None:
@@ -181,15 +181,17 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = np.bincount(group) > 1
         search |= np.bincount(group, weights=place[starts] & 1) > 0
         searched = search[group] | mixed
-        known = sizes > 1
-        covered = np.flatnonzero(np.repeat(known, sizes))
+        own = table.column("kind").to_numpy() == 2 if "kind" in table.column_names else np.zeros(len(key), bool)
+        covered = np.flatnonzero(np.repeat(sizes > 1, sizes) & ~own)
+        known = (sizes > 1) | own[starts]
         asked = starts[searched]
         rows = np.concatenate([covered, asked])
         if not len(rows):
             return None
         kind = np.concatenate([np.zeros(len(covered), np.int8), np.where(known[searched], 2, 1).astype(np.int8)])
-        taken = table.take(pa.array(rows)).combine_chunks().append_column("kind", pa.array(kind))
-        return taken.to_batches()[0]
+        taken = table.take(pa.array(rows)).combine_chunks()
+        taken = taken.drop_columns(["kind"]) if "kind" in taken.column_names else taken
+        return taken.append_column("kind", pa.array(kind)).to_batches()[0]
 
     held: pa.Table | None = None
     open_key = None
@@ -389,26 +391,27 @@ def _cut(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """Two hashes of every window of the segments."""
-    names = ["first", "second", "doc_id", "th", "start", "kind"]
+def _resegment(length: int, gram: int):
+    """Cut segments anew by longer k-grams: records as `_records` gives, with the kind and the bytes they have."""
+    names = ["hash", "content", "doc_id", "th", "place", "kind", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "bytes", PIECE_BYTES // 4):
+            for batch in pieces(whole, "bytes", PIECE_BYTES):
                 data, offsets = buffers(batch.column("bytes"))
                 text, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-                counts = np.diff(offsets) - length + 1
-                row = np.repeat(np.arange(len(counts)), counts)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = offsets[row] + inside
-                hashes = [_span(_prefix(text, n), at, at + length, n).view(np.int64) for n in (0, 1)]
+                row, at, windows, least, content, inside = segments(text, offsets, length, gram)
                 take = pa.array(row)
-                start = (batch.column("place").to_numpy() >> 25)[row] + inside
+                outer = batch.column("hash").to_numpy().view(np.uint64)[row]
+                start = offsets[row] + at
+                end = start + windows + length - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes[0]), pa.array(hashes[1]), batch.column("doc_id").take(take),
-                        batch.column("th").take(take), pa.array(start), batch.column("kind").take(take),
+                        pa.array(mix64(outer + least).view(np.int64)), pa.array(content.view(np.int64)),
+                        batch.column("doc_id").take(take), batch.column("th").take(take),
+                        pa.array(_pack((batch.column("place").to_numpy() >> 25)[row] + at, windows, inside)),
+                        batch.column("kind").take(take),
+                        pa.array([text[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()),
                     ],
                     names,
                 )
@@ -436,11 +439,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     records = documents.mapInArrow(_records(length, gram), record)
     dealt = records.repartition("hash").sortWithinPartitions("hash", "content")
     judged = scratch.write("judged", dealt.mapInArrow(_classify, f"{record}, kind byte"))
-    windows = F.col("place").bitwiseAND(F.lit((1 << 25) - 1))
-    covered = judged.filter("kind = 0").select(
-        "doc_id", "th", F.shiftright("place", 25).alias("start"),
-        (F.shiftright(windows, 1) + F.lit(length - 1)).cast("long").alias("bytes"),
-    )
+    covered = _whole(judged.filter("kind = 0"), length)
     # One copy of each segment that is asked about, with its bytes.
     asked = judged.filter("kind > 0").groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("hash", "place", "kind")).alias("asked")
@@ -450,23 +449,40 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     searched = scratch.write("searched", texts.mapInArrow(
         _cut(length), f"hash long, doc_id {id_type}, th long, place long, kind byte, bytes binary"
     ).dropDuplicates(["hash", "doc_id", "th", "place"]))
-    sizes = searched.groupBy("hash").agg(F.sum(F.octet_length("bytes")).alias("n"))
-    many = scratch.write("many", sizes.filter(F.col("n") > HASH_BYTES).select("hash"))
-    few = searched.join(many, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash")
-    found = few.mapInArrow(_search(length, to_arrow_type(kind)), _spans_schema(kind))
-    # The windows of a hash with many different segments are compared by content; no task holds them together.
-    each = scratch.write("windows", searched.join(many, "hash", "left_semi").mapInArrow(
-        _window_hashes(length), f"first long, second long, doc_id {id_type}, th long, start long, kind byte"
-    ))
-    twice = each.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first", "second")
-    by_window = each.filter("kind = 1").join(twice.hint("merge"), ["first", "second"]).select(
-        "doc_id", "th", "start", F.lit(length).cast("long").alias("bytes")
-    )
-    spans = scratch.write("spans", covered.unionByName(found).unionByName(by_window))
-    scratch.drop("judged", "searched", "windows", "many")
+    parts = [covered]
+    # A hash with many different segments is cut anew by longer k-grams, which fewer of them share, down to whole
+    # windows; so what blocks have to hold doesn't grow with the corpus.
+    for step, span in enumerate(((length - gram) // 4, (length - gram) // 16, 0)):
+        sizes = searched.groupBy("hash").agg(F.sum(F.octet_length("bytes")).alias("n"))
+        many = scratch.write(f"many{step}", sizes.filter(F.col("n") > HASH_BYTES).select("hash"))
+        few = searched.join(many, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash")
+        parts.append(few.mapInArrow(_search(length, to_arrow_type(kind)), _spans_schema(kind)))
+        if many.isEmpty():
+            break
+        finer = searched.join(many, "hash", "left_semi").mapInArrow(
+            _resegment(length, length - span), f"{record}, kind byte, bytes binary"
+        )
+        dealt = finer.repartition("hash").sortWithinPartitions("hash", "content")
+        judged = scratch.write(f"finer{step}", dealt.mapInArrow(_classify, f"{record}, bytes binary, kind byte"))
+        # Segments of whole windows that share a hash are equal, but for how often they repeat themselves.
+        parts.append(_whole(judged.filter("kind < 2" if span == 0 else "kind = 0"), length))
+        searched = judged.filter("kind > 0")
+    spans = parts[0]
+    for part in parts[1:]:
+        spans = spans.unionByName(part)
+    spans = scratch.write("spans", spans)
+    scratch.drop(*[name for name in scratch.paths if name != "spans"])
     return spans
 
 
+def _whole(records: DataFrame, length: int) -> DataFrame:
+    """The spans of segments that are repeated as a whole."""
+    windows = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 25) - 1)), 1)
+    return records.select(
+        "doc_id", "th", F.shiftright("place", 25).alias("start"), (windows + F.lit(length - 1)).cast("long").alias("bytes")
+    )
+
+
 def _remove(kept: list[str]):
     names = [*kept, "n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
