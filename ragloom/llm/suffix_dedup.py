@@ -29,9 +29,9 @@ LENGTH = 200
 GRAM = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PIECE_BYTES = 1 << 20
-#: Bytes of a block, and of the different segments of one hash that may share a block.
+#: Bytes of a block, and of the different segments of one hash that are searched in a block.
 BLOCK_BYTES = 1 << 20
-HASH_BYTES = 1 << 17
+HASH_BYTES = BLOCK_BYTES
 #: Records of one hash that are looked at together.
 HELD_RECORDS = 1 << 20
 SYMBOL_BITS = 9
