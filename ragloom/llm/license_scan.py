@@ -8,6 +8,7 @@ template inside a band around the diagonal of the hits. Texts are independent, s
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -138,6 +139,34 @@ def _regions(hits: list[tuple[int, int]], length: int) -> Iterator[int]:
     yield group[len(group) // 2]
 
 
+def _alignments(template: np.ndarray, text: np.ndarray, diagonal: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """All matches inside the band that don't overlap, with at least `least` words: matched words, first and last word.
+
+    The best alignment cuts the text in two; what lies before and after it is aligned again while enough words are common.
+    """
+    rest = [(max(diagonal - BAND, 0), min(diagonal + len(template) + BAND, len(text)))]
+    while rest:
+        low, high = rest.pop()
+        near = text[low:high]
+        if low >= high or _common(near, template) < least:  # no alignment here can match enough words
+            continue
+        _, matched, first, last = align(template, near, diagonal - low)
+        if not matched:
+            continue
+        if matched >= least:
+            yield matched, low + first, low + last
+        rest += [(low, low + first), (low + last + 1, high)]
+
+
+def _characters(raw: bytes, places: set[int]) -> dict[int, int]:
+    """How many characters of UTF-8 lie before each byte position."""
+    data, found, count, at = np.frombuffer(raw, np.uint8), {}, 0, 0
+    for place in sorted(places):
+        count, at = count + int(np.count_nonzero((data[at:place] & 0xC0) != 0x80)), place
+        found[place] = count
+    return found
+
+
 def scan_text(index: Index, text: str, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, float]]:
     """Matches (template, start, end, matched words, coverage) in one text; offsets count characters."""
     lowered = text.encode("utf-8", "surrogatepass").lower()  # of bytes, A-Z only
@@ -152,11 +181,16 @@ def scan_text(index: Index, text: str, min_coverage: float = MIN_COVERAGE) -> li
         back = lowered.rfind(b" ", start, start + PART_BYTES - 64 * (index.longest + 2 * BAND))
         start = back if back > start else start + PART_BYTES // 2
     best: list[tuple[int, int, int, int]] = []
-    for one in sorted(found, key=lambda x: (x[0], -x[3], x[1], x[2])):
-        if not any(o[0] == one[0] and o[1] < one[2] and one[1] < o[2] for o in best[-64:]):
+    kept: list[tuple[int, int]] = []  # spans of the same template, by position
+    for one in sorted(found, key=lambda x: (x[0], -x[3], x[2] - x[1], x[1])):
+        if best and best[-1][0] != one[0]:
+            kept = []
+        at = bisect(kept, one[1:3])
+        if (at == 0 or kept[at - 1][1] <= one[1]) and (at == len(kept) or one[2] <= kept[at][0]):
+            kept.insert(at, one[1:3])
             best.append(one)
-    chars = (lambda at: at) if text.isascii() else (lambda at: len(lowered[:at].decode("utf-8", "surrogatepass")))
-    return sorted((index.names[t], chars(a), chars(b), m, m / len(index.templates[t])) for t, a, b, m in best)
+    chars = _characters(lowered, {at for one in best for at in one[1:3]})
+    return sorted((index.names[t], chars[a], chars[b], m, m / len(index.templates[t])) for t, a, b, m in best)
 
 
 def _scan_part(index: Index, text: bytes, min_coverage: float) -> Iterator[tuple[int, int, int, int]]:
@@ -179,11 +213,7 @@ def _scan_part(index: Index, text: bytes, min_coverage: float) -> Iterator[tuple
     for template, places in hits.items():
         own = index.templates[template]
         for diagonal in _regions(places, len(own)):
-            near = numbers[max(diagonal - BAND, 0) : max(diagonal + len(own) + BAND, 0)]
-            if _common(near, own) < min_coverage * len(own):  # no alignment here can match enough words
-                continue
-            _, matched, first, last = align(own, numbers, diagonal)
-            if matched >= min_coverage * len(own) and matched:
+            for matched, first, last in _alignments(own, numbers, diagonal, min_coverage * len(own)):
                 spans = spans or [m.span() for m in WORD.finditer(text)]
                 yield template, spans[first][0], spans[last][1], matched
 
@@ -198,8 +228,8 @@ def scan(
     """One row per match: doc_id, license, span_start, span_end (characters), matched_words, coverage.
 
     A match has at least `min_coverage` of the template's words in order. Case and punctuation don't count; letters
-    other than A-Z separate words. Of overlapping matches of one template, that with most words is reported. Null and
-    empty texts have none; every row is scanned on its own, so repeated ids and texts give repeated matches.
+    other than A-Z separate words. A template that is repeated gives a match each time; of overlapping matches of one
+    template, that with most words (then the shortest) is reported. Null and empty texts have none; every row is scanned on its own, so repeated ids and texts give repeated matches.
     """
     index = build_index(templates)
     sent = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -222,6 +222,28 @@ def test_license_edges(spark, odd, nothing):
     assert found.coverage > 0.95 and text[found.span_start : found.span_end] == changed.rstrip(".")
 
 
+@pytest.mark.parametrize("name", ["MIT notice", "Apache-2.0 notice", "CC-BY-NC-4.0 notice", "CC-BY-4.0 notice", "GPL-3.0 notice", "MIT"])
+def test_repeated_notices_are_all_found(name):
+    index, notice = license_scan.build_index(), license_scan.TEMPLATES[name]
+    for between in range(13):
+        for count in (1, 2, 3, 50):
+            text, spans = "é ", []
+            for n in range(count):
+                text += " ".join(f"foo{n}x{k}" for k in range(between)) + "\n"
+                spans.append((len(text), len(text) + len(notice.rstrip("."))))
+                text += notice
+            found = [(m[1], m[2]) for m in license_scan.scan_text(index, text) if m[0] == name and m[4] == 1]
+            assert found == spans
+
+
+def test_many_notices_across_parts(monkeypatch):
+    index, notice = license_scan.build_index(), license_scan.TEMPLATES["MIT notice"]
+    text = "".join(f"lib{n} {n}.0 {notice}\n" for n in range(2_000))
+    whole = license_scan.scan_text(index, text)
+    monkeypatch.setattr(license_scan, "PART_BYTES", 40_000)
+    assert [m[3] for m in whole] == [5] * 2_000 and license_scan.scan_text(index, text) == whole
+
+
 def test_topk_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
