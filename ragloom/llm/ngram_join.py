@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragloom.llm.common import Scratch, components, join_groups, mix64, packed, pieces
+from ragloom.llm.common import HOT_SHARE, Scratch, components, join_groups, mix64, packed, pieces
 
 GROUPS = 256
 LEAF = 32
@@ -99,7 +99,7 @@ def prefix_length(size: int, percent: int) -> int:
 # ---- passes over the documents -------------------------------------------------------------------------------------
 
 PROFILES = (
-    "doc_id {id}, n_shingles long, node long, point binary, excess long, part int, lane int, counts binary"
+    "doc_id {id}, mark binary, n_shingles long, node long, point binary, excess long, part int, lane int, counts binary"
 )
 
 
@@ -116,26 +116,27 @@ def _profile(words: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, ids, sizes, nodes, points = np.zeros(FREQUENCY_GROUPS, np.int64), [], [], [], []
-        names = ["doc_id", "n_shingles", "node", "point", "excess", "part", "lane", "counts"]
+        counts, ids, marks, sizes, nodes, points = np.zeros(FREQUENCY_GROUPS, np.int64), [], [], [], [], []
+        names = ["doc_id", "mark", "n_shingles", "node", "point", "excess", "part", "lane", "counts"]
 
         def batch_of() -> pa.RecordBatch:
             blank = pa.nulls(len(ids), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                [pa.array(ids, kind), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array([x for x, _ in points], pa.binary()), pa.array([x for _, x in points], pa.int64()),
                  blank, blank, pa.nulls(len(ids), pa.binary())], names,
             )
 
         for batch, n, own, node in _sets(batches, words):
             ids.append(batch.column("doc_id")[n].as_py())
+            marks.append(batch.column("mark")[n].as_py())
             sizes.append(len(own))
             nodes.append(node)
             points.append(point_of(own))
             np.add.at(counts, (own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64), 1)
             if len(ids) >= 10_000:
                 yield batch_of()
-                ids, sizes, nodes, points = [], [], [], []
+                ids, marks, sizes, nodes, points = [], [], [], [], []
         if ids:
             yield batch_of()
         if counts.any():
@@ -143,7 +144,7 @@ def _profile(words: int, kind: pa.DataType):
             parts = [x.tobytes() for x in np.split(counts, FREQUENCY_PARTS)]
             blank = pa.nulls(FREQUENCY_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(FREQUENCY_PARTS, kind), blank, blank, pa.nulls(FREQUENCY_PARTS, pa.binary()), blank,
+                [pa.nulls(FREQUENCY_PARTS, kind), pa.nulls(FREQUENCY_PARTS, pa.binary()), blank, blank, pa.nulls(FREQUENCY_PARTS, pa.binary()), blank,
                  pa.array(range(FREQUENCY_PARTS), pa.int32()),
                  pa.array([number] * FREQUENCY_PARTS, pa.int32()), pa.array(parts, pa.binary())], names,
             )
@@ -536,9 +537,24 @@ def near_duplicates(
     component. Null ids take part and are larger than all others: component_id is null where no id is reachable. Rows
     that repeat an id are documents of their own. Sets and n-grams are told apart by 64-bit hashes.
     """
+    return _named(documents, words, percent, id_column, text, False).select("doc_id", "n_shingles", "component_id")
+
+
+def _mark(text: str) -> Column:
+    """Digest of a text; a null text counts as the empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def _named(documents: DataFrame, words: int, percent: int, id_column: str, text: str, choose: bool) -> DataFrame:
+    """The rows of `near_duplicates`; with `choose` also each text's `mark`, and `chosen`.
+
+    `chosen` is (unnamed, doc_id, node, mark) of the document that stands for the component: the smallest id, nulls
+    last, then the smallest number of the set and digest of the text. It is null for documents without words.
+    """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     sent = documents.select(
-        F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+        F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        (_mark(text) if choose else F.lit(None).cast("binary")).alias("mark"),
     )
     kind = sent.schema["doc_id"].dataType
     everything = scratch.write(
@@ -546,7 +562,7 @@ def near_duplicates(
     )
     order = spark.sparkContext.broadcast(frequencies(everything))
     profiled = everything.filter("part IS NULL")
-    profiles = profiled.select("doc_id", "n_shingles", "node")
+    profiles = profiled.select("doc_id", "n_shingles", "node", *["mark"] * choose)
 
     only_text = sent.select("text")
     postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, n int, node long")
@@ -584,30 +600,52 @@ def near_duplicates(
     labels = scratch.write("labels", components(links, "a", "b"))
     scratch.drop("sets", "points", "close", "members", "stars", "stars2", "rest")
 
-    least = F.min("doc_id").alias("least")
-    of_node = profiles.filter("n_shingles > 0").groupBy("node").agg(least, F.count(F.lit(1)).alias("n_documents"))
+    least = [F.min("doc_id").alias("least")]
+    if choose:
+        least.append(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "mark")).alias("best"))
+    with_set = profiles.filter("n_shingles > 0")
+    of_node = with_set.groupBy("node").agg(*least, F.count(F.lit(1)).alias("n_documents"))
     of_node = of_node.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = scratch.write("nodes", of_node)
+    named = [F.min("least").alias("component_id"), *[F.min("best").alias("chosen")] * choose]
     of_component = scratch.write("components", of_node.groupBy("component").agg(
-        F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_nodes")
-    ))
-    of_node = scratch.write("named", join_groups(of_node, of_component, "component", "n_nodes").select(
-        "node", "component_id", "n_documents"
+        *named, F.count(F.lit(1)).alias("n_nodes")
     ))
-    with_words = join_groups(profiles.filter("n_shingles > 0"), of_node, "node", "n_documents")
-    columns = ["doc_id", "n_shingles", "component_id"]
+    chosen = ["chosen"] * choose
+    of_node = scratch.write("named", join_groups(
+        of_node.select("node", "component", "n_documents"), of_component, "component", "n_nodes"
+    ).select("node", "component_id", "n_documents", *chosen))
+    found = join_groups(with_set, of_node, "node", "n_documents")
     without = profiles.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return with_words.select(*columns).unionByName(without.select(*columns))
+    if choose:
+        without = without.withColumn("chosen", F.lit(None).cast(of_node.schema["chosen"].dataType))
+    columns = ["doc_id", "n_shingles", "component_id", *["mark"] * choose, *chosen]
+    return found.select(*columns).unionByName(without.select(*columns))
 
 
 def keep_one(
     documents: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The documents with their own columns, one of each component: that with the smallest id.
+    """The documents with their own columns, one of each component: that with the smallest id, null ids last.
 
-    Documents without an id, and rows that repeat the smallest id of their component, all stay.
+    Among rows that repeat that id the text decides, by hashes; of rows that repeat both, the first by the hash of all
+    their columns stays. Documents without words or text all stay.
     """
-    found = near_duplicates(documents, words, percent, id_column, text)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped")).distinct()
-    rows = packed(documents, F.col(id_column).alias("id"))
-    return rows.join(dropped, F.col("id") == F.col("dropped"), "left_anti").select("row.*")
+    scratch = Scratch(documents.sparkSession)
+    found = _named(documents, words, percent, id_column, text, True).filter("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("mark") == F.col("chosen.mark"))
+    key = F.struct(F.col("doc_id").alias("id"), "mark").alias("key")  # fields of structs are equal where both are null
+    keys = found.select(key, stays.alias("stays")).groupBy("key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    # All that doesn't simply stay: dropped ones, and chosen ones that several rows repeat.
+    keys = scratch.write("keys", keys.filter(~F.col("stays") | (F.col("n") > 1)))
+    total = keys.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = keys.filter(F.col("n") > total // HOT_SHARE).select("key")
+    rows = packed(documents, F.struct(F.col(id_column).alias("id"), _mark(text).alias("mark")).alias("key"))
+    single = rows.join(F.broadcast(hot), "key", "left_anti").join(
+        keys.filter(F.col("n") <= total // HOT_SHARE).select("key").hint("merge"), "key", "left_anti"
+    ).select("row.*")
+    repeated = scratch.write("repeated", keys.filter("stays").select("key", "n"))
+    if repeated.isEmpty():
+        return single
+    first = join_groups(rows, repeated, "key", "n").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.unionByName(first.select("row.*"))

@@ -124,6 +124,21 @@ def test_near_duplicate_edges(odd, nothing):
     assert kept.columns == odd.columns
 
 
+def test_one_row_of_each_component_stays(spark, odd, nothing):
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.keep_one(odd, 3, 90).collect())
+    near = "one two three four five six seven eight nine ten " * 4
+    assert got == collections.Counter([
+        (1, "alpha beta gamma delta"), (2, None), (None, None), (3, ""), (4, " \n\t"), (5, near), (7, "123 456"),
+        (8, LONG), (10, "Ünïcode ▁ \U0001f600 text\x00"),
+    ])
+    base, other = " ".join(f"a{n}" for n in range(60)), " ".join(f"b{n}" for n in range(60))
+    rows = [(1, base), (5, base + " x"), (5, other), (7, other), (None, base + " y"), (9, "c d e f g"), (9, "c d e f g"), (9, "C d e f g")]
+    rows += [(None, "h i j k l")] * 300 + [(None, "H i j k l")]
+    kept = ngram_join.keep_one(table(spark, [(d, t, "en", "a") for d, t in rows]), 5, 80).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "h i j k l"), (1, base), (5, other), (9, "c d e f g")]
+    assert ngram_join.keep_one(nothing).collect() == []
+
+
 @pytest.mark.parametrize("block", [4, 2_048])
 def test_near_copies_in_large_groups(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
