@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,16 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 DROPPED = set("script style noscript template title textarea iframe svg math object canvas audio video".split())
+#: Those of them that hold no elements: they end at their first end tag.
+RAW = set("script style noscript title textarea iframe".split())
+#: Those that HTML parsers leave at the start tags of LEAVES, or where an element around them ends, unless inside HOSTS.
+FOREIGN = {"svg", "math"}
+HOSTS = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+LEAVES = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var article section main header footer nav aside "
+    "figure form".split()
+)
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var button br img wbr input select option".split()
@@ -110,8 +121,43 @@ def _attributes(rest: str) -> tuple[str, str, bool]:
     return re.sub(r"[^a-z]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names)).lower()), label, hidden
 
 
-def parse(source: str) -> Page:
-    """Build the tree; markup may be broken or cut anywhere."""
+def _after(source: str, at: int, tag: str, around: set[str]) -> int:
+    """Where the page goes on after a dropped element whose start tag ends at `at`, inside open elements `around`."""
+    size = len(source)
+    if tag in RAW:
+        close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+        return close.end() if close else size
+    inside, count = [tag], Counter([tag])
+    while (start := source.find("<", at)) >= 0:
+        m = TOKEN.match(source, start)
+        at = m.end() if m else start + 1
+        if m is None or m["tag"] is None:
+            continue
+        name = m["tag"].lower()
+        foreign = tag in FOREIGN and not any(count[h] for h in HOSTS)
+        if m["end"]:
+            if count[name]:
+                while (last := inside.pop()) != name:
+                    count[last] -= 1
+                count[name] -= 1
+                if not inside:
+                    return at
+            elif foreign and name in around:
+                return start
+        elif foreign and name in LEAVES:
+            return start
+        elif m["rest"].endswith("/") or name in VOID:
+            continue
+        elif name in RAW and not foreign:
+            at = _after(source, at, name, around)
+        else:
+            inside.append(name)
+            count[name] += 1
+    return size
+
+
+def parse(source: str, labelled: bool = False) -> Page:
+    """Build the tree; markup may be broken or cut anywhere. Only training pages are `labelled`, by an attribute `y`."""
     page = Page()
     root = page.add(-1, GROUPS["#root"], "", 0)
     stack: list[tuple[str, int, int]] = [("#root", root, 0)]  # tag, node, label
@@ -162,8 +208,7 @@ def parse(source: str) -> Page:
             continue
         if tag in DROPPED:
             if not m["rest"].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = close.end() if close else size
+                at = _after(source, at, tag, {t for t, _, _ in stack} if tag in FOREIGN else set())
             continue
         if tag == "br":
             text(" ")
@@ -189,7 +234,7 @@ def parse(source: str) -> Page:
         if hidden:
             names += " notice"
         _, parent, label = stack[-1]
-        if label_name:
+        if labelled and label_name:
             label = int(label_name)
         if tag in INLINE and not names.strip() and tag not in ("button", "label", "select", "option"):
             node = parent
@@ -283,7 +328,7 @@ def _with_elements(page: Page) -> np.ndarray:
 
 def train(sources: list[str] | None = None, steps: int = 300, decay: float = 1e-3) -> Model:
     """Fit all potentials to labelled pages by the gradient of the log likelihood: observed less expected counts."""
-    pages = [parse(s) for s in (labelled_pages() if sources is None else sources)]
+    pages = [parse(s, labelled=True) for s in (labelled_pages() if sources is None else sources)]
     x, parents, groups = _features(pages)
     y = np.concatenate([_with_elements(p) for p in pages])
     weights, pair = np.zeros(FEATURES), np.zeros((OTHER + 1, 2, 2))

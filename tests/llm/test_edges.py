@@ -295,6 +295,29 @@ def test_page_edges(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_dropped_elements_end_where_parsers_end_them():
+    def read(source):
+        return " ".join("".join("".join(t) for t in html_extraction.parse(source).texts if t is not None).split())
+
+    assert read('<svg><svg><text>a</text></svg><rect y="1.5"/><text y="10%">b</text></svg><p>kept</p>') == "kept"
+    assert read('<p y="1.5">one</p><div y="x"> two</div>') == "one two"
+    assert read("<div><svg><path d='M0'><p>first</p> second</div> third") == "first second third"
+    assert read("<div><math><mrow><mfrac>x</div><p>after</p>") == "after"
+    assert read("<svg><foreignObject><div>in</div></foreignObject><title>t</title></svg>out") == "out"
+    assert read("<svg><!-- <svg> --><g><a><b/></a></g></svg>out") == "out"
+    assert read("<object><object>a</object>b</object>c<template><script>'</template>'</script>d</template>e") == "ce"
+    assert read("<script>'<script>'</script>x<style>a<style></style>y") == "xy"
+    assert read("<svg/>x<video><source><svg><p>fallback</p></video>y<svg>never closed") == "xy"
+
+
+def test_values_of_y_on_given_pages(spark):
+    page = "<body><article><p>A sentence that stays, whatever comes next.</p>{}</article></body>"
+    marked = ['<svg><svg></svg><rect y="1.5"/></svg>', '<svg><g><rect y="10%"></g>', '<p y="none"></p>', '<math><mi y="2">']
+    rows = [(n, "u", page.format(m)) for n, m in enumerate(["", *marked])]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"A sentence that stays, whatever comes next."} and len(got) == len(rows)
+
+
 def test_messages_are_exact():
     """Marginals of a small tree against the sum over all labellings."""
     rng = np.random.default_rng(1)
