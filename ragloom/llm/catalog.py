@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm import (
+    collocations,
     exact_dedup,
+    hard_negatives,
     html_extraction,
     language_id,
     license_scan,
     mixing,
     ngram_join,
+    personal_data,
     sentencepiece_codec,
     suffix_dedup,
     topk_search,
@@ -80,11 +83,25 @@ def op10_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, directory: str) -> DataFrame:
+    return personal_data.find(_table(spark, directory, "documents"), keep=["doc_id"])
+
+
+def op12_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.mine(_table(spark, directory, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, directory, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_source_mixing, op6_exact_dedup,
-        op7_exact_topk, op8_sentencepiece, op9_html_text, op10_suffix_dedup,
+        op7_exact_topk, op8_sentencepiece, op9_html_text, op10_suffix_dedup, op11_pii, op12_collocations,
+        op13_hard_negatives,
     )
 }
 
@@ -162,4 +179,64 @@ ORACLES = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), lists AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+        ), occurrences AS (
+            SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM lists, range(1, 6) AS sizes(k)
+        ), f AS (
+            SELECT lang, k, phrase, count(*)::BIGINT AS a FROM occurrences GROUP BY ALL
+        ), c AS (
+            SELECT * FROM f WHERE k >= 2 AND a >= 100
+        ), kept AS (
+            SELECT * FROM c WHERE NOT EXISTS (
+                SELECT 1 FROM c AS q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.a >= 100 * c.a
+                    AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))
+        ), cuts AS (
+            SELECT lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[:cut], ' ') AS head,
+                array_to_string(string_split(phrase, ' ')[cut + 1 :], ' ') AS tail
+            FROM kept, range(1, 5) AS places(cut) WHERE cut < k
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, cut, h.a AS l, t.a AS r, n,
+                ((1000::HUGEINT * cuts.a * n) // (h.a::HUGEINT * t.a))::BIGINT AS score
+            FROM cuts JOIN f AS h ON h.lang = cuts.lang AND h.phrase = head
+            JOIN f AS t ON t.lang = cuts.lang AND t.phrase = tail JOIN totals ON totals.lang = cuts.lang
+        ), best AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best WHERE place = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [floor(256 * x::DOUBLE) FOR x IN embedding] AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_inner_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+            FROM s WHERE same
+        ), n AS (
+            SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND place <= 5
+                AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 5
+    """,
 }

@@ -7,7 +7,7 @@ lists of the shards are merged in a tree of bounded fan-in. Vectors are never sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,15 @@ FAN_IN = 32
 SCHEMA = "query_id long, shard int, vec_id long, score long"
 
 
-def quantised(vectors: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, x): floor(scale * component) as doubles, for vectors without null or non-finite components."""
+def quantised(vectors: DataFrame, id_column: str, vector: str, scale: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(vec_id, x, *keep): floor(scale * component) as doubles, for vectors without null or non-finite components."""
     x = F.col(vector)
     fine = x.isNotNull() & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))
     )
     values = F.transform(x, lambda v: _floor(v, scale))
     return vectors.filter(fine & F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("vec_id"), values.alias("x")
+        F.col(id_column).cast("long").alias("vec_id"), values.alias("x"), *keep
     )
 
 
