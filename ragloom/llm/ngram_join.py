@@ -184,17 +184,19 @@ def frequencies(profiles: DataFrame) -> np.ndarray:
 
 
 def _postings(words: int, percent: int, order):
-    """(cell, n, node): each set goes to the cells of its rarest n-grams; a task sends each set once."""
+    """(cell, n, node, place): each set goes to the cells of its rarest n-grams, of which the cell's is number `place`;
+    a task sends each set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = order.value
         seen: set[int] = set()
-        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def batch_of() -> pa.RecordBatch:
             columns = (np.concatenate(x) for x in zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "n", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "n", "node", "place"])
 
         for _, _, own, node in _sets(batches, words):
             if not len(own) or node in seen:
@@ -202,7 +204,8 @@ def _postings(words: int, percent: int, order):
             seen.add(node)
             rank = frequency[(own & np.uint64(FREQUENCY_GROUPS - 1)).astype(np.int64)]
             cell = own[np.lexsort((own, rank))[: prefix_length(len(own), percent)]]
-            rows.append((cell.view(np.int64), np.full(len(cell), len(own), np.int32), np.full(len(cell), node, np.int64)))
+            size, place = np.full(len(cell), len(own), np.int32), np.arange(len(cell), dtype=np.int32)
+            rows.append((cell.view(np.int64), size, np.full(len(cell), node, np.int64), place))
             held += len(cell)
             if held >= 100_000:
                 yield batch_of()
@@ -222,17 +225,17 @@ def _shared_cells(percent: int):
     """From rows sorted by (cell, n, node): the members of each cell that have another of a similar size there, with a
     signature of the members.
     """
-    names = ["signature", "cell", "node"]
+    names = ["signature", "node", "place"]
 
-    def rows(cell: np.ndarray, size: np.ndarray, node: np.ndarray, signed: bool) -> pa.RecordBatch | None:
+    def rows(cell: np.ndarray, size: np.ndarray, node: np.ndarray, place: np.ndarray, signed: bool) -> pa.RecordBatch | None:
         fresh = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
-        cell, size, node = cell[fresh], size[fresh].astype(np.int64), node[fresh]
+        cell, size, node, place = cell[fresh], size[fresh].astype(np.int64), node[fresh], place[fresh]
         # Members are in order of size: the next one decides, and the one before.
         close = (cell[1:] == cell[:-1]) & (size[1:] * percent <= size[:-1] * 100)
         keep = np.append(False, close) | np.append(close, False)
         if not keep.any():
             return None
-        cell, node = cell[keep], node[keep]
+        cell, node, place = cell[keep], node[keep], place[keep]
         starts = _runs(cell)
         sizes = np.diff(starts)
         if signed:
@@ -241,12 +244,12 @@ def _shared_cells(percent: int):
             mark = np.repeat(mix64(sums + sizes.astype(np.uint64)).view(np.int64), sizes)
         else:
             mark = cell
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (mark, cell, node)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (mark, node, place)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_run = None, False
         for batch in batches:
-            new = [batch.column(n).to_numpy() for n in range(3)]
+            new = [batch.column(n).to_numpy() for n in range(4)]
             now = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(now[0]):
                 continue
@@ -317,9 +320,10 @@ def _filter_of(nodes: DataFrame) -> bytes:
 class Tree:
     """R-tree over count vectors, packed by splitting at the median of the widest coordinate down to LEAF points."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, excess: np.ndarray, percent: int):
-        self.sizes, self.counts, self.excess, self.percent = sizes, counts, excess, percent
-        self.boxes: list[tuple[np.ndarray, int, int, int]] = []  # maximum corner, most excess, least and most points
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, excess: np.ndarray, rests: np.ndarray, percent: int):
+        self.sizes, self.counts, self.excess, self.rests, self.percent = sizes, counts, excess, rests, percent
+        # Maximum corner, most excess, least and largest size, most n-grams from the cell's on.
+        self.boxes: list[tuple[np.ndarray, int, int, int, int]] = []
         self.children: list[tuple[int, int] | np.ndarray] = []
         self.root = self._pack(np.arange(len(sizes)))
 
@@ -337,16 +341,17 @@ class Tree:
             content = (self._pack(order[:half]), self._pack(order[half:]))
         self.boxes.append((
             self.counts[points].max(0).astype(np.int32), int(self.excess[points].max()),
-            int(self.sizes[points].min()), int(self.sizes[points].max()),
+            int(self.sizes[points].min()), int(self.sizes[points].max()), int(self.rests[points].max()),
         ))
         self.children.append(content)
         return len(self.boxes) - 1
 
     def _may_meet(self, a: int, other: Tree, b: int) -> bool:
-        (corner, excess, least, most), (corner2, excess2, least2, most2) = self.boxes[a], other.boxes[b]
+        corner, excess, least, most, rest = self.boxes[a]
+        corner2, excess2, least2, most2, rest2 = other.boxes[b]
         if most * 100 < least2 * self.percent or most2 * 100 < least * self.percent:
             return False
-        bound = int(np.minimum(corner, corner2).sum()) + min(excess, excess2)
+        bound = min(int(np.minimum(corner, corner2).sum()) + min(excess, excess2), rest, rest2)
         return bound >= required(least, least2, self.percent)
 
     def meet(self, other: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -370,6 +375,7 @@ class Tree:
     def _survivors(self, left: np.ndarray, other: Tree, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         bound = np.minimum(self.counts[left][:, None, :], other.counts[right][None, :, :]).sum(2, dtype=np.int32)
         bound = bound + np.minimum(self.excess[left][:, None], other.excess[right][None, :])
+        bound = np.minimum(bound, np.minimum(self.rests[left][:, None], other.rests[right][None, :]))
         need = required(self.sizes[left][:, None], other.sizes[right][None, :], self.percent)
         hit = bound >= need
         if same:
@@ -414,18 +420,45 @@ def _leaf_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _search(percent: int, first_only: bool):
-    """Candidate pairs of each block or pair of blocks, and rows (a, a) for all points that are in some candidate pair.
+def _fine_codes(members: pa.ChunkedArray) -> list[np.ndarray]:
+    """For each set its n-grams by 65,536 groups, equal ones numbered, as sorted codes: common codes are a fine bound."""
+    codes = []
+    for one in members.to_pylist():
+        value = np.frombuffer(one, np.uint16).astype(np.int64)
+        start = np.append(True, value[1:] != value[:-1])
+        run = np.maximum.accumulate(np.where(start, np.arange(len(value)), 0))
+        codes.append((value << 32) | (np.arange(len(value)) - run))
+    return codes
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of equal entries of two sorted arrays without repeats."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.count_nonzero(b[at] == a))
+
+
+#: What `_search` returns: for each point its first partner in the order of nodes (a group of copies then gives as many
+#: pairs as it has points), the points that have any partner with their cells, or all pairs that pass the fine bound too.
+FIRST, POINTS, ALL = "first", "points", "all"
 
-    With `first_only` each point is paired with the first of its group only, in order of node, that the tree finds for
-    it; a group of copies then gives as many pairs as it has points. Points with equal labels are never paired.
+
+def _search(percent: int, mode: str):
+    """Candidate pairs (a, b) of each block or pair of blocks, by `mode`; FIRST adds (a, a) for all points in some pair.
+
+    Points with equal labels are never paired.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _chunks(batches, ["cell", "block", "block2"]):
-            nodes, labels, own, sizes, excess = (
-                table.column(c).to_numpy() for c in ("node", "label", "own", "n", "excess")
+            nodes, labels, own, sizes, excess, place = (
+                table.column(c).to_numpy() for c in ("node", "label", "own", "n", "excess", "place")
             )
+            # Two sets that have nothing rarer in common than the cell's n-gram share at most what comes from it on; that
+            # is so in the first of their common cells, and being found there is enough.
+            rests = sizes - place
             counts = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             bounds = np.append(starts, table.num_rows) if starts[-1] != table.num_rows else starts
             lengths = np.diff(bounds)
@@ -440,6 +473,7 @@ def _search(percent: int, first_only: bool):
             for start in range(0, len(a), 4_096):
                 x, y = a[start : start + 4_096], b[start : start + 4_096]
                 bound = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) + np.minimum(excess[x], excess[y])
+                bound = np.minimum(bound, np.minimum(rests[x], rests[y]))
                 hits.append(bound >= required(sizes[x], sizes[y], percent))
             hit = np.concatenate(hits)
             found = [(a[hit], b[hit])]
@@ -451,17 +485,33 @@ def _search(percent: int, first_only: bool):
                 if blocked[n]:
                     two = own[rows] != own[rows[0]]
                     here, there = rows[~two], rows[two]
-                left = Tree(sizes[here], counts[here], excess[here], percent)
-                right = Tree(sizes[there], counts[there], excess[there], percent) if blocked[n] else left
+                left = Tree(sizes[here], counts[here], excess[here], rests[here], percent)
+                right = Tree(sizes[there], counts[there], excess[there], rests[there], percent) if blocked[n] else left
                 found += [(here[x], there[y]) for x, y in left.meet(right)]
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             other = labels[a] != labels[b]
             a, b = a[other], b[other]
             if not len(a):
                 continue
+            if mode == ALL:
+                row, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+                fine = _fine_codes(table.column("fine").take(pa.array(row)))
+                first, second = codes[: len(a)], codes[len(a) :]
+                bound = np.array([_common(fine[x], fine[y]) for x, y in zip(first, second, strict=True)])
+                near = bound >= required(sizes[a], sizes[b], percent)
+                a, b = nodes[a[near]], nodes[b[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                continue
+            if mode == POINTS:
+                row = np.unique(np.concatenate([a, b]))
+                cell = table.column("cell").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell[row]), pa.array(nodes[row]), pa.array(place[row])], ["cell", "node", "place"]
+                )
+                continue
             of, a, b = group[a], np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
             needed = np.unique(np.concatenate([a, b]))
-            if first_only:
+            if mode == FIRST:
                 order = np.lexsort((a, b, of))
                 of, a, b = of[order], a[order], b[order]
                 lead = np.append(True, (b[1:] != b[:-1]) | (of[1:] != of[:-1]))
@@ -481,9 +531,7 @@ def _verify(percent: int):
             for n in range(batch.num_rows):
                 a = np.frombuffer(left[n].as_py(), np.uint64)
                 b = np.frombuffer(right[n].as_py(), np.uint64)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int(np.count_nonzero(b[at] == a))
+                common = _common(a, b)
                 similar[n] = 100 * common >= percent * (len(a) + len(b) - common)
             keep = pa.array(similar)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
@@ -502,9 +550,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _round(
-    members: DataFrame, points: DataFrame, labels: DataFrame | None, percent: int, first_only: bool
+    members: DataFrame, points: DataFrame, labels: DataFrame | None, percent: int, mode: str = FIRST
 ) -> DataFrame:
-    """Candidate pairs of differently labelled members of the same cell, within and between its blocks."""
+    """What `_search` finds among differently labelled members of the same cell, within and between its blocks."""
     rows = members.join(points.hint("merge"), "node")
     rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(
         labels.select("node", F.col("component").alias("label")).hint("merge"), "node", "left"
@@ -518,9 +566,31 @@ def _round(
         "block2", F.greatest("own", "partner")
     )
     keys = ["cell", "block", "block2"]
-    rows = rows.select(*keys, "own", "node", "label", "n", "point", "excess")
+    rows = rows.select(*keys, "own", "node", "label", "n", "point", "excess", "place", *["fine"] * (mode == ALL))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "own", "node")
-    return dealt.mapInArrow(_search(percent, first_only), "a long, b long").distinct()
+    schema = "cell long, node long, place int" if mode == POINTS else "a long, b long"
+    return dealt.mapInArrow(_search(percent, mode), schema).distinct()
+
+
+def _last_round(
+    scratch: Scratch, members: DataFrame, points: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """All pairs of differently labelled members that can be similar.
+
+    A group of documents just below the threshold has many pairs that pass the bound of the points. So only its members
+    are noted first, and search again with the first 16 bits of all their n-grams, which leave hardly any but similar pairs.
+    """
+    near = scratch.write("near", _round(members, points, labels, percent, POINTS))
+    cells = scratch.write("near_cells", near.groupBy("cell").agg(F.count(F.lit(1)).alias("members")))
+    fine = sets.mapInArrow(_fine, "node long, fine binary")
+    return _round(join_groups(near, cells, "cell", "members"), points.join(fine.hint("merge"), "node"), labels, percent, ALL)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first 16 bits of the hashes of each set, in order."""
+    for batch in batches:
+        short = [(np.frombuffer(x, np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for x in batch.column("members").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], ["node", "fine"])
 
 
 # ---- the operator --------------------------------------------------------------------------------------------------
@@ -565,20 +635,18 @@ def _named(documents: DataFrame, words: int, percent: int, id_column: str, text:
     profiles = profiled.select("doc_id", "n_shingles", "node", *["mark"] * choose)
 
     only_text = sent.select("text")
-    postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, n int, node long")
+    postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, n int, node long, place int")
     dealt = postings.repartition("cell").sortWithinPartitions("cell", "n", "node")
-    shared = scratch.write("shared", dealt.mapInArrow(_shared_cells(percent), "signature long, cell long, node long"))
-    # Of cells with the same members one is enough.
-    kept = shared.groupBy("signature").agg(F.min("cell").alias("cell"))
-    members = shared.join(kept.hint("merge"), ["signature", "cell"], "left_semi")
-    members = members.select("cell", "node")
-    cells = members.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-    members = scratch.write("members", members.join(cells.hint("merge"), "cell"))
-    scratch.drop("shared")
+    shared = dealt.mapInArrow(_shared_cells(percent), "signature long, node long, place int")
+    # Cells with the same members become one; the least place keeps its bound true for all of them.
+    shared = scratch.write("shared", shared.groupBy(F.col("signature").alias("cell"), "node").agg(F.min("place").alias("place")))
+    cells = scratch.write("cells", shared.groupBy("cell").agg(F.count(F.lit(1)).alias("members")))
+    members = scratch.write("members", join_groups(shared, cells, "cell", "members"))
+    scratch.drop("shared", "cells")
 
     point = F.first(F.struct(F.col("n_shingles").alias("n"), "point", "excess")).alias("p")
     points = profiled.filter("n_shingles > 0").groupBy("node").agg(point).select("node", "p.*")
-    stars = scratch.write("stars", _round(members, points, None, percent, True))
+    stars = scratch.write("stars", _round(members, points, None, percent))
     # Only sets with a candidate partner are needed from here on.
     needed = scratch.write("needed", stars.filter("a = b").select(F.col("a").alias("node")))
     members = scratch.write("close", members.join(needed.hint("merge"), "node", "left_semi"))
@@ -592,13 +660,13 @@ def _named(documents: DataFrame, words: int, percent: int, id_column: str, text:
 
     links = scratch.write("links1", _linked(stars, sets, percent))
     labels = scratch.write("labels1", components(links, "a", "b"))
-    stars = scratch.write("stars2", _round(members, points, labels, percent, True))
+    stars = scratch.write("stars2", _round(members, points, labels, percent))
     links = links.unionByName(scratch.write("links2", _linked(stars, sets, percent)))
     labels = scratch.write("labels2", components(links, "a", "b"))
-    rest = scratch.write("rest", _round(members, points, labels, percent, False))
+    rest = scratch.write("rest", _last_round(scratch, members, points, labels, sets, percent))
     links = links.unionByName(scratch.write("links3", _linked(rest, sets, percent)))
     labels = scratch.write("labels", components(links, "a", "b"))
-    scratch.drop("sets", "points", "close", "members", "stars", "stars2", "rest")
+    scratch.drop("sets", "points", "close", "members", "stars", "stars2", "near", "near_cells", "rest")
 
     least = [F.min("doc_id").alias("least")]
     if choose:
