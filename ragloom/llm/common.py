@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,22 @@ class Scratch:
             drop_work(self.session, self.paths.pop(name))
 
 
+def tidy(run):
+    """A task function that gives memory back to the system when it ends: Python workers serve many tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def packed(df: DataFrame, *columns: Column) -> DataFrame:
     """The rows in one struct `row`, which no column of the caller's can clash with, and further columns."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
@@ -123,5 +141,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 __all__ = [
-    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "fresh", "join_groups", "mix64", "packed", "pieces",
+    "HOT_SHARE", "WORDS", "Scratch", "buffers", "components", "fresh", "join_groups", "mix64", "packed", "pieces", "tidy",
 ]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import buffers, fresh, pieces
+from ragloom.llm.common import buffers, fresh, pieces, tidy
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: Bounds of the training sample: languages (the most frequent), documents of each, windows of each document.
 MAX_LANGUAGES = 256
 DOCUMENTS = 300
+#: Parts of a language in which the sample is cut first.
+PARTS = 64
 WINDOWS = 12
 STEPS = 700
 BATCH = 128
@@ -148,24 +150,28 @@ def train(
 ) -> Model | None:
     """Fit the network on a bounded sample: of each of the `max_languages` most frequent languages the `documents`
     documents with the smallest text hash, of each at most WINDOWS windows. Rows without text, letters or language are
-    left out. None where nothing is left.
+    left out. None where nothing is left. The sample, at most max_languages * documents * WINDOWS windows of WINDOW bytes,
+    reaches the driver.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     order = Window.partitionBy("lang").orderBy("place_hash", "bytes")
-    # The cut to `documents` per language is made on hashes; then only those texts travel.
+    parted = Window.partitionBy("lang", "part").orderBy("place_hash", "bytes")
+    # The cut to `documents` per language is made on hashes, in parts of a language first, so that a frequent one is no
+    # single task; then only those texts travel.
     hashed = rows.select("lang", F.xxhash64("text").alias("place_hash"), F.octet_length("text").alias("bytes")).distinct()
     chosen = (
-        hashed.join(F.broadcast(frequent), "lang").withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= documents)
+        hashed.join(F.broadcast(frequent), "lang").withColumn("part", F.pmod("place_hash", F.lit(PARTS)))
+        .withColumn("place", F.row_number().over(parted)).filter(F.col("place") <= documents)
+        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= documents).drop("part")
     )
     # At most max_languages x documents rows.
     texts = rows.withColumn("place_hash", F.xxhash64("text")).withColumn("bytes", F.octet_length("text")).join(
         F.broadcast(chosen), ["lang", "place_hash", "bytes"]
     ).select("lang", "place", F.col("text").cast("binary").alias("text"))
-    sample = texts.mapInArrow(_sampled_windows, "lang string, place int, number int, window binary").distinct().toPandas()
+    sample = texts.mapInArrow(tidy(_sampled_windows), "lang string, place int, number int, window binary").distinct().toPandas()
     if sample.empty:
         return None
     sample = sample.sort_values(["lang", "place", "number", "window"])
@@ -235,4 +241,4 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
                     [*kept, "lang_pred", "score"],
                 )
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidy(run), schema)

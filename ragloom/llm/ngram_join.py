@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragloom.llm.common import HOT_SHARE, Scratch, components, join_groups, mix64, packed, pieces
+from ragloom.llm.common import HOT_SHARE, Scratch, components, join_groups, mix64, packed, pieces, tidy
 
 GROUPS = 256
 LEAF = 32
@@ -35,7 +35,7 @@ LANES = 256
 FILTER_BITS = 1 << 26
 #: Trees with more members than this are not compared with others by their members.
 SIGNED_MEMBERS = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 PIECE_BYTES = 2 << 20
 PART_BYTES = 4 << 20
 
@@ -546,7 +546,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.select(F.col("node").alias("a"), F.col("members").alias("left_members")).hint("merge"), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("members").alias("right_members")).hint("merge"), "b")
     )
-    return rows.mapInArrow(_verify(percent), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def _round(
@@ -569,7 +569,7 @@ def _round(
     rows = rows.select(*keys, "own", "node", "label", "n", "point", "excess", "place", *["fine"] * (mode == ALL))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "own", "node")
     schema = "cell long, node long, place int" if mode == POINTS else "a long, b long"
-    return dealt.mapInArrow(_search(percent, mode), schema).distinct()
+    return dealt.mapInArrow(tidy(_search(percent, mode)), schema).distinct()
 
 
 def _last_round(
@@ -628,16 +628,16 @@ def _named(documents: DataFrame, words: int, percent: int, id_column: str, text:
     )
     kind = sent.schema["doc_id"].dataType
     everything = scratch.write(
-        "profiles", sent.mapInArrow(_profile(words, to_arrow_type(kind)), PROFILES.format(id=kind.simpleString()))
+        "profiles", sent.mapInArrow(tidy(_profile(words, to_arrow_type(kind))), PROFILES.format(id=kind.simpleString()))
     )
     order = spark.sparkContext.broadcast(frequencies(everything))
     profiled = everything.filter("part IS NULL")
     profiles = profiled.select("doc_id", "n_shingles", "node", *["mark"] * choose)
 
     only_text = sent.select("text")
-    postings = only_text.mapInArrow(_postings(words, percent, order), "cell long, n int, node long, place int")
+    postings = only_text.mapInArrow(tidy(_postings(words, percent, order)), "cell long, n int, node long, place int")
     dealt = postings.repartition("cell").sortWithinPartitions("cell", "n", "node")
-    shared = dealt.mapInArrow(_shared_cells(percent), "signature long, node long, place int")
+    shared = dealt.mapInArrow(tidy(_shared_cells(percent)), "signature long, node long, place int")
     # Cells with the same members become one; the least place keeps its bound true for all of them.
     shared = scratch.write("shared", shared.groupBy(F.col("signature").alias("cell"), "node").agg(F.min("place").alias("place")))
     cells = scratch.write("cells", shared.groupBy("cell").agg(F.count(F.lit(1)).alias("members")))
@@ -652,7 +652,7 @@ def _named(documents: DataFrame, words: int, percent: int, id_column: str, text:
     members = scratch.write("close", members.join(needed.hint("merge"), "node", "left_semi"))
     points = scratch.write("points", points.join(needed.hint("merge"), "node", "left_semi"))
     bits = spark.sparkContext.broadcast(_filter_of(needed))
-    found = only_text.mapInArrow(_needed_sets(words, bits), "node long, members binary")
+    found = only_text.mapInArrow(tidy(_needed_sets(words, bits)), "node long, members binary")
     # Several tasks may have met the same set.
     sets = scratch.write("sets", found.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(
         F.first("members").alias("members")

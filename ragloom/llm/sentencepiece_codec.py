@@ -5,7 +5,8 @@ to each position, backward sampling draws one path from the end, each step with
 random numbers hash the row's key and the position, so a row gets the same segmentation wherever it is encoded.
 
 Pieces never reach over the start of a word's leading spaces, so the lattice of a text is a chain of the lattices of its
-words. Each different word is filtered once and kept; paths of many words are drawn together.
+words. Each different word is filtered once a task and kept; paths of many words are drawn together. A very long word is
+filtered in blocks: only the weights at the ends of blocks are kept, and a block is filtered again when its path is drawn.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import buffers, fresh, mix64, pieces
+from ragloom.llm.common import buffers, fresh, mix64, pieces, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -29,11 +30,14 @@ SPACE = "▁"
 BYTE = 0xF0000
 UNIT = re.compile(" *[^ ]+| +")
 UNIT_START = re.compile("(?<=[^ ]) ")
-#: Characters of text and words in work at a time; words whose lattices a worker keeps.
-PART_CHARS = 1 << 20
-FLUSH_UNITS = 100_000
-KEPT_WORDS = 200_000
-KEPT_EDGES = 5_000_000
+#: Characters of text and words in work at a time; words whose lattices a task keeps.
+PART_CHARS = 1 << 19
+FLUSH_UNITS = 50_000
+KEPT_WORDS = 60_000
+KEPT_EDGES = 1_500_000
+#: A longer word is filtered on its own, in blocks of so many characters.
+LONG_WORD = 1 << 14
+LONG_BLOCK = 1 << 11
 
 
 @dataclass
@@ -228,6 +232,65 @@ class _Lattices:
         self.length.extend(length)
         self.nodes += total
 
+    def _edges(self, ids: np.ndarray, start: int, stop: int) -> list[list[tuple[int, float, int]]]:
+        """For the nodes start + 1 .. stop of one word: (first node, weight, id) of the pieces that end there, short ones first."""
+        longest = self.vocabulary.longest
+        at = np.arange(max(start - longest + 1, 0), stop)
+        symbol, state, found = at, np.zeros(len(at), np.int64), []
+        for step in range(longest):
+            key = state * self.width + ids[symbol]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[place] == key
+            at, symbol, state = at[hit], symbol[hit] + 1, self.child[place[hit]]
+            whole = (self.ends[state] >= 0) & (symbol > start)
+            found.append((symbol[whole], at[whole], state[whole]))
+            more = symbol < stop
+            at, symbol, state = at[more], symbol[more], state[more]
+        edges: list[list[tuple[int, float, int]]] = [[] for _ in range(stop - start)]
+        for ends, firsts, states in found:
+            for end, first, weight, piece in zip(
+                ends.tolist(), firsts.tolist(), self.end_weight[states].tolist(), self.ends[states].tolist(), strict=True
+            ):
+                edges[end - start - 1].append((first, weight, piece))
+        return edges
+
+    def _weights(self, edges: list[list[tuple[int, float, int]]], start: int, known: list[float]) -> list[float]:
+        """Path weights of the nodes from start - longest on; `known` has those up to `start`. Only ratios matter."""
+        alpha, base = list(known), start + 1 - len(known)
+        for n, own in enumerate(edges):
+            alpha.append(sum(alpha[first - base] * weight for first, weight, _ in own))
+            if n % 16 == 15 and not 1e-100 < alpha[-1] < 1e100:
+                top = max(alpha[-self.vocabulary.longest - 16 :]) or 1.0
+                alpha = [a / top for a in alpha]
+        return alpha
+
+    def sample_long(self, word: str, seed: int, start: int) -> np.ndarray:
+        """Piece ids of one word of any length; memory beyond the word itself is that of one block."""
+        codes, length = self._codes([word])
+        ids, size, longest = self.char_id[codes].astype(np.int64), int(length[0]), self.vocabulary.longest
+        blocks, kept = list(range(0, size, LONG_BLOCK)), [[1.0]]
+        for low in blocks[:-1]:
+            alpha = self._weights(self._edges(ids, low, low + LONG_BLOCK), low, kept[-1])[-longest:]
+            top = max(alpha) or 1.0
+            kept.append([a / top for a in alpha])
+        found, node = [], size
+        for low in reversed(blocks):
+            known = kept.pop()
+            edges = self._edges(ids, low, min(low + LONG_BLOCK, size))
+            alpha, base = self._weights(edges, low, known), low + 1 - len(known)
+            place = (start + np.arange(low, low + len(edges) + 1)).astype(np.uint64)
+            draws = ((mix64(np.uint64(seed) ^ mix64(place * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(12)) * 2.0**-52).tolist()
+            while node > low:
+                own = edges[node - low - 1]
+                shares = [alpha[first - base] * weight for first, weight, _ in own]
+                left, chosen = draws[node - low] * sum(shares), 0
+                while chosen < len(own) - 1 and left >= shares[chosen]:
+                    left -= shares[chosen]
+                    chosen += 1
+                found.append(own[chosen][2])
+                node = own[chosen][0]
+        return np.array(found[::-1], np.int32)
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts with these numbers of ids, one after the other, and where each ends."""
         sizes = self.sizes[ids]
@@ -306,6 +369,17 @@ def encode_texts(lattices: _Lattices, texts: Sequence[str], seeds: np.ndarray) -
         at = 0
         for part in _parts(" " + text) if text else ():
             units = UNIT.findall(part)
+            if len(part) > LONG_WORD and max(map(len, units)) > LONG_WORD:
+                for unit in units:
+                    if len(unit) <= LONG_WORD:
+                        waiting.append((n, at, [unit]))
+                    else:
+                        if waiting:
+                            flush()
+                        found.append(lattices.sample_long(unit, seeds[n], at * 4))
+                        sizes[n] += len(found[-1])
+                    at += len(unit)
+                continue
             if waiting and count + len(units) > FLUSH_UNITS:
                 flush()
             waiting.append((n, at, units))
@@ -353,12 +427,14 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices_of(shared.value)
+        lattices.clear()
         for whole in batches:
             for batch in pieces(whole, len(kept), PART_CHARS):
                 *_, lists = _encoded(lattices, batch, len(kept))
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(len(kept))], lists], [*kept, "ids"])
+        lattices.clear()
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidy(run), schema)
 
 
 def round_trip(
@@ -379,6 +455,7 @@ def round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices_of(shared.value)
+        lattices.clear()
         for whole in batches:
             for batch in pieces(whole, len(kept), PART_CHARS):
                 ids, sizes, lists = _encoded(lattices, batch, len(kept))
@@ -398,8 +475,9 @@ def round_trip(
                     ],
                     [*kept, *added],
                 )
+        lattices.clear()
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(vocabulary: Pieces, ids: Sequence[int]) -> bytes:
