@@ -31,11 +31,11 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-DROPPED = set("script style noscript template title textarea iframe svg math object canvas audio video".split())
+DROPPED = set("script style template title textarea iframe svg canvas audio video".split())
 #: Those of them that hold no elements: they end at their first end tag.
-RAW = set("script style noscript title textarea iframe".split())
+RAW = set("script style title textarea iframe".split())
 #: Those that HTML parsers leave at the start tags of LEAVES, or where an element around them ends, unless inside HOSTS.
-FOREIGN = {"svg", "math"}
+FOREIGN = {"svg"}
 HOSTS = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 LEAVES = set(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
@@ -161,6 +161,7 @@ def parse(source: str, labelled: bool = False) -> Page:
     page = Page()
     root = page.add(-1, GROUPS["#root"], "", 0)
     stack: list[tuple[str, int, int]] = [("#root", root, 0)]  # tag, node, label
+    opened: Counter[str] = Counter()  # how often each tag is in the stack
     leaves: dict[tuple[int, int], int] = {}
     block, links, at, size = 0, 0, 0, len(source)
 
@@ -180,6 +181,7 @@ def parse(source: str, labelled: bool = False) -> Page:
         nonlocal links, block
         while len(stack) > depth:
             tag, _, _ = stack.pop()
+            opened[tag] -= 1
             links -= tag == "a"
             block += tag not in INLINE
 
@@ -199,16 +201,17 @@ def parse(source: str, labelled: bool = False) -> Page:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-            else:
+            if not opened[tag]:
                 block += tag not in INLINE
+                continue
+            depth = len(stack) - 1
+            while stack[depth][0] != tag:
+                depth -= 1
+            pop_to(depth)
             continue
         if tag in DROPPED:
             if not m["rest"].endswith("/"):
-                at = _after(source, at, tag, {t for t, _, _ in stack} if tag in FOREIGN else set())
+                at = _after(source, at, tag, {t for t, n in opened.items() if n} if tag in FOREIGN else set())
             continue
         if tag == "br":
             text(" ")
@@ -219,7 +222,7 @@ def parse(source: str, labelled: bool = False) -> Page:
         if tag not in INLINE:
             block += 1
             shut, bounds = CLOSES.get(tag, ({"p"}, {"td", "th", "li", "div", "article", "section", "blockquote"}))
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in shut) else ():
                 if stack[depth][0] in shut:
                     pop_to(depth)
                     break
@@ -240,11 +243,12 @@ def parse(source: str, labelled: bool = False) -> Page:
             node = parent
         else:
             own = "#inline" if tag in INLINE and tag not in GROUPS else tag
-            if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
+            if tag == "header" and (opened["article"] or opened["main"]):
                 own = "#inner-header"
             node = page.add(parent, GROUPS.get(own, OTHER), names, label)
         if not m["rest"].endswith("/"):
             stack.append((tag, node, label))
+            opened[tag] += 1
             links += tag == "a"
     return page
 

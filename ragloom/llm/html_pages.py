@@ -44,6 +44,16 @@ NOISE = [
     '<div class="site-footer" y="0"><p>{s}</p></div>',
     '<div id="footer" role="contentinfo" y="0">&copy; {w} {s}</div>',
 ]
+#: What stands between the paragraphs of an article without being part of it.
+INNER = [
+    '<p class="notice" y="0">{s}</p>', '<p class="comment" y="0">{s}</p>', '<p class="advert" y="0">{s}</p>',
+    '<p class="cookie" y="0">{s} {s}</p>', '<p class="share" y="0"><a href="/t">{w}</a></p>', '<div class="ad" y="0">{s}</div>',
+    '<div class="comment" y="0"><p>{s}</p></div>', '<div class="notice" y="0"><p>{s} {s}</p></div>', '<footer y="0">{s}</footer>',
+    '<aside y="0"><p>{s}</p></aside>', '<div class="related" y="0"><a href="/1">{s}</a></div>', '<p class="promo" y="0">{s}</p>',
+    '<form y="0"><p>{s}</p><input><button>{w}</button></form>', '<nav y="0"><a href="/a">{w}</a> <a href="/b">{w}</a></nav>',
+    '<p class="copyright" y="0">&copy; {w} {s}</p>', '<section class="comments" y="0"><p class="comment">{s}</p></section>',
+    '<p class="newsletter" y="0">{s}</p>', '<p class="sidebar" y="0">{s}</p>', '<p class="reply" y="0">{s}</p>',
+]
 WRAPPERS = [
     '<article y="1">{body}</article>',
     '<article class="post" y="1"><header><h1>{w} {w}</h1></header>{body}</article>',
@@ -63,7 +73,7 @@ CONTENT = [
 ]
 
 
-def labelled_pages(count: int = 160, seed: int = 3) -> list[str]:
+def labelled_pages(count: int = 320, seed: int = 3) -> list[str]:
     """Pages put together from the parts above; the same arguments give the same pages."""
     rng = random.Random(seed)
 
@@ -89,6 +99,10 @@ def labelled_pages(count: int = 160, seed: int = 3) -> list[str]:
             body.append(rng.choice(CONTENT))
             if rng.random() < 0.15:
                 body.append(rng.choice([n for n in NOISE if not n.startswith("<header")]))
+        if rng.random() < 0.5:  # short articles with a lot in between
+            body = body[: rng.randint(1, 4)] if rng.random() < 0.6 else body
+            for _ in range(rng.randint(1, 5)):
+                body.insert(rng.randint(0, len(body)), rng.choice(INNER))
         middle = WRAPPERS[number % len(WRAPPERS)].replace("{body}", "".join(body))
         inner = "".join([*before, middle, *after])
         if rng.random() < 0.3:
