@@ -121,10 +121,10 @@ ORACLES = {
     """,
     "op5_source_mixing": """
         WITH sized AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+            SELECT doc_id, source, md5(coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
             FROM documents
         ), hashed AS (
-            SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 12))::BIGINT AS h
+            SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || mark), 1, 12))::BIGINT AS h
             FROM sized
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

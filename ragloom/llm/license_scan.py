@@ -1,8 +1,8 @@
 """Licence scan: winnowed fingerprints pick candidates, banded alignment measures them.
 
 The fingerprints of all templates are an inverted index of bounded size that every task has. A text's own winnowed
-fingerprints are looked up in it; hits of a template near each other make a candidate region, which is aligned with the
-template inside a band around the diagonal of the hits. Texts are independent, so nothing is shuffled.
+grams are looked up in it; hits of a template near each other make a candidate region, which is aligned with the template
+inside a band around the diagonals of the hits. Texts are independent, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ WORD = re.compile(rb"[a-z0-9]+")
 #: Words of a fingerprint, and fingerprints of which the smallest is kept: a run of GRAM + WINNOW - 1 common words meets.
 GRAM = 3
 WINNOW = 2
+#: Templates below these lengths have all their fingerprints in the index, the shortest ones those of two words: with four
+#: fifths of its words a template of n words keeps a run of four from 20 words on, of three from 6 on, and of two before.
+WINNOWED, PAIRED = 20, 10
+#: Diagonals on both sides of those of the hits.
 BAND = 12
 MIN_COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -46,13 +50,13 @@ class Index:
     longest: int
 
 
-def _grams(numbers: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of GRAM words; runs with a word that no template has (0) get NEVER."""
-    count = len(numbers) - GRAM + 1
+def _grams(numbers: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of all runs of `size` words; runs with a word that no template has (0) get NEVER."""
+    count = len(numbers) - size + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    value, known = np.zeros(count, np.uint64), np.ones(count, bool)
-    for j in range(GRAM):
+    value, known = np.full(count, size, np.uint64), np.ones(count, bool)
+    for j in range(size):
         part = numbers[j : j + count]
         value = mix64(value + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         known &= part > 0
@@ -79,23 +83,23 @@ def build_index(templates: Mapping[str, str] = TEMPLATES) -> Index:
     numbers = [np.array([words[w] for w in ws], np.int64) for ws in split.values()]
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for t, ids in enumerate(numbers):
-        grams = _grams(ids)
-        for at in winnow(grams).tolist():
+        grams = _grams(ids, GRAM if len(ids) >= PAIRED else 2)
+        for at in winnow(grams).tolist() if len(ids) >= WINNOWED else range(len(grams)):
             places[int(grams[at])].append((t, at))
     keys = np.array(sorted(places), np.uint64)
     return Index(list(split), words, numbers, keys, dict(places), max(map(len, numbers)))
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
     """Best local alignment of the template with the text inside the band: score, matched words, first and last word.
 
-    Row i of the band holds the text positions i + diagonal - BAND .. i + diagonal + BAND.
+    Row i of the band holds the text positions i + diagonal - band .. i + diagonal + band.
     """
-    width = 2 * BAND + 1
+    width = 2 * band + 1
     offsets = np.arange(width)
     score = np.zeros((len(template) + 1, width), np.int32)
     for i, word in enumerate(template.tolist()):
-        at = i + diagonal - BAND + offsets
+        at = i + diagonal - band + offsets
         inside = (at >= 0) & (at < len(text))
         same = inside & (text[np.where(inside, at, 0)] == word)
         row = score[i] + np.where(same, MATCH, MISMATCH)
@@ -105,7 +109,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
     i, b = np.unravel_index(int(score.argmax()), score.shape)
     best, matched, first, last = int(score[i, b]), 0, -1, -1
     while i > 0 and score[i, b] > 0:
-        at = int(i) - 1 + diagonal - BAND + int(b)
+        at = int(i) - 1 + diagonal - band + int(b)
         same = 0 <= at < len(text) and text[at] == template[i - 1]
         if score[i, b] == score[i - 1, b] + (MATCH if same else MISMATCH):
             if same:
@@ -126,31 +130,37 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size))[1:].sum())
 
 
-def _regions(hits: list[tuple[int, int]], length: int) -> Iterator[int]:
-    """Diagonals (text position less template position) of groups of hits that one band covers."""
-    diagonals = sorted(d - t for d, t in hits)
-    start = diagonals[0]
-    group = [start]
-    for diagonal in diagonals[1:]:
-        if diagonal - start > BAND:
-            yield group[len(group) // 2]
-            start, group = diagonal, []
-        group.append(diagonal)
-    yield group[len(group) // 2]
+def _regions(hits: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Pieces of the text with hits (text position, template position): first and last word, diagonal and half width.
+
+    What a match skips costs one a word and what it matches brings two, so it spans less than three times its template.
+    Pieces of six lengths, three apart, hold every match whole; the band covers the diagonals of all hits in the piece.
+    """
+    reach = 3 * length
+    pieces_: dict[int, list[int]] = defaultdict(list)
+    for d, t in hits:
+        for n in {d // reach, max(d // reach - 1, 0)}:
+            pieces_[n].append(d - t)
+    for n, diagonals in pieces_.items():
+        low, high = min(diagonals), max(diagonals)
+        yield n * reach, (n + 2) * reach, (low + high) // 2, (high - low + 1) // 2 + BAND
 
 
-def _alignments(template: np.ndarray, text: np.ndarray, diagonal: int, least: float) -> Iterator[tuple[int, int, int]]:
-    """All matches inside the band that don't overlap, with at least `least` words: matched words, first and last word.
+def _alignments(
+    template: np.ndarray, text: np.ndarray, region: tuple[int, int, int, int], least: float
+) -> Iterator[tuple[int, int, int]]:
+    """All matches in the region that don't overlap, with at least `least` words: matched words, first and last word.
 
     The best alignment cuts the text in two; what lies before and after it is aligned again while enough words are common.
     """
-    rest = [(max(diagonal - BAND, 0), min(diagonal + len(template) + BAND, len(text)))]
+    start, end, diagonal, band = region
+    rest = [(start, min(end, len(text)))]
     while rest:
         low, high = rest.pop()
         near = text[low:high]
         if low >= high or _common(near, template) < least:  # no alignment here can match enough words
             continue
-        _, matched, first, last = align(template, near, diagonal - low)
+        _, matched, first, last = align(template, near, diagonal - low, band)
         if not matched:
             continue
         if matched >= least:
@@ -178,7 +188,7 @@ def scan_text(index: Index, text: str, min_coverage: float = MIN_COVERAGE) -> li
         if start + PART_BYTES >= len(lowered):
             break
         # The next part repeats more than any match can span.
-        back = lowered.rfind(b" ", start, start + PART_BYTES - 64 * (index.longest + 2 * BAND))
+        back = lowered.rfind(b" ", start, start + PART_BYTES - 16 * 3 * (index.longest + BAND))
         start = back if back > start else start + PART_BYTES // 2
     best: list[tuple[int, int, int, int]] = []
     kept: list[tuple[int, int]] = []  # spans of the same template, by position
@@ -197,23 +207,21 @@ def _scan_part(index: Index, text: bytes, min_coverage: float) -> Iterator[tuple
     get = index.words.get
     words = WORD.findall(text)
     numbers = np.array([get(w, 0) for w in words], np.int64)
-    if np.count_nonzero(numbers) < GRAM:
-        return
-    grams = _grams(numbers)
-    at = winnow(grams)
-    place = np.minimum(np.searchsorted(index.keys, grams[at]), len(index.keys) - 1)
-    at = at[index.keys[place] == grams[at]]
-    if not len(at):
+    if np.count_nonzero(numbers) < 2 or not len(index.keys):
         return
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for position in at.tolist():
-        for template, place in index.places[int(grams[position])]:
-            hits[template].append((position, place))
+    for size in (2, GRAM):
+        grams = _grams(numbers, size)
+        at = np.flatnonzero(grams != NEVER)
+        place = np.minimum(np.searchsorted(index.keys, grams[at]), len(index.keys) - 1)
+        for position in at[index.keys[place] == grams[at]].tolist():
+            for template, place_ in index.places[int(grams[position])]:
+                hits[template].append((position, place_))
     spans = None
     for template, places in hits.items():
         own = index.templates[template]
-        for diagonal in _regions(places, len(own)):
-            for matched, first, last in _alignments(own, numbers, diagonal, min_coverage * len(own)):
+        for region in _regions(places, len(own)):
+            for matched, first, last in _alignments(own, numbers, region, min_coverage * len(own)):
                 spans = spans or [m.span() for m in WORD.finditer(text)]
                 yield template, spans[first][0], spans[last][1], matched
 
@@ -227,8 +235,9 @@ def scan(
 ) -> DataFrame:
     """One row per match: doc_id, license, span_start, span_end (characters), matched_words, coverage.
 
-    A match has at least `min_coverage` of the template's words in order. Case and punctuation don't count; letters
-    other than A-Z separate words. A template that is repeated gives a match each time; of overlapping matches of one
+    A match has at least `min_coverage` of the template's words in order, and skips or changes at most half as many words
+    as it matches twice over (an alignment with 2 for a match, -1 for a word skipped or changed). Case and punctuation
+    don't count; letters other than A-Z separate words. A template that is repeated gives a match each time; of overlapping matches of one
     template, that with most words (then the shortest) is reported. Null and empty texts have none; every row is scanned on its own, so repeated ids and texts give repeated matches.
     """
     index = build_index(templates)

@@ -29,13 +29,17 @@ def hash48(*columns: Column) -> Column:
 
 def sized(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, key, size, h); `key` stands for the source and is never null."""
-    rows = documents.select(
+    return documents.select(
         F.col(id_column).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("key"),
         words(text).alias("size"),
+        _hash(id_column, text).alias("h"),
     )
-    return rows.withColumn("h", hash48(F.col("doc_id"), F.col("size")))
+
+
+def _hash(id_column: str, text: str) -> Column:
+    return hash48(F.col(id_column), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def cycled_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -119,9 +123,16 @@ def mix(
     document (0 to `repeats`), `taken` the words that makes. Sources may hold any share of the rows; there is one row
     per source in the tables that are sorted, and one per source and 4,096 hash buckets in those that are summed.
 
-    Null texts have size 0. A null source is a source of its own. Documents that repeat id and size have one hash and
-    are taken together. A source whose words all lie in one document gets a whole multiple of it.
+    Null texts have size 0. A null source is a source of its own. Rows that repeat id and text have one hash and are
+    taken together. A source whose words all lie in one document gets a whole multiple of it.
     """
+    return _mixed(documents, weights, repeats, cycle, id_column, text, source).select(
+        "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
+    )
+
+
+def _mixed(documents, weights, repeats, cycle, id_column, text, source) -> DataFrame:
+    """The rows of `sized` with the figures of their source and `times`."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.write("sized", sized(documents, id_column, text, source))
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
@@ -136,22 +147,23 @@ def mix(
     found = join_hot(rows, cuts, ["key"], ["doc_id", "h"], fits_broadcast(cuts))
     once_more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("last"))
     times = F.least(F.col("whole") + once_more.cast("long"), F.lit(repeats).cast("long"))
-    return found.withColumn("times", times).select(
-        "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
-    )
+    return found.withColumn("times", times)
 
 
-def apply_mix(documents: DataFrame, **options) -> DataFrame:
+def apply_mix(
+    documents: DataFrame,
+    weights: DataFrame | None = None,
+    repeats: int = 3,
+    cycle: int = 3,
+    id_column: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
     """The documents with their own columns, each as often as the mix takes it."""
-    id_column, text, source = (options.get(k, d) for k, d in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
-    chosen = mix(documents, **options).filter("times > 0").select(
-        F.col("doc_id").alias("chosen_id"), F.col("source").alias("chosen_source"), F.col("size").alias("chosen_size"),
-        F.col("times").cast("int").alias("times"),
+    chosen = _mixed(documents, weights, repeats, cycle, id_column, text, source).filter("times > 0").select(
+        "h", F.col("key").alias("of"), F.col("times").cast("int").alias("times")
     ).distinct()
-    rows = packed(documents, F.col(id_column).alias("id"), F.col(source).alias("source"), words(text).alias("size"))
-    same = (
-        F.col("id").eqNullSafe(F.col("chosen_id")) & F.col("source").eqNullSafe(F.col("chosen_source"))
-        & (F.col("size") == F.col("chosen_size"))
-    )
+    own = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+    rows = packed(documents, _hash(id_column, text).alias("h"), own.alias("of"))
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return rows.join(chosen, same).select("row", copies.alias("copy")).select("row.*")
+    return rows.join(chosen, ["h", "of"]).select("row", copies.alias("copy")).select("row.*")
