@@ -13,20 +13,21 @@ from ragloom.functions.scale import work_path
 from ragloom.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
 from ragloom.llm.common import packed
 
-#: A text is rejected when no language is at least this probable.
-LEAST_SCORE = 0.35
+#: A text is rejected when no language is at least so many times as probable as chance (1 / number of languages).
+LEAST_ODDS = 1.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those for which the network is not sure of any language.
+    """Drop documents without letters and those that the network finds no more like any language than chance would.
 
-    The network learns from the labelled documents of the stage's own input; without any, nothing is rejected.
+    Even mixtures of some of the languages stay. The network learns from the labelled documents of the stage's own input; without any, nothing is rejected.
     """
     model = language_id.train(docs.filter(F.col("lang").isNotNull()))
     if model is None:
         return docs
     judged = language_id.predict(packed(docs, F.col("text")), model, keep=["row"])
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    least = LEAST_ODDS / len(model.languages) if len(model.languages) > 1 else 0.0
+    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
