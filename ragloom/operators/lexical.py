@@ -1,13 +1,23 @@
-"""Full-text search for whole tables of queries: postings and BM25."""
+"""Full-text search for whole tables of queries: postings in blocks and BM25 that skips blocks.
+
+An index is stored in blocks of neighbouring chunks. For every term of a block it also holds what bounds the term's
+weight in any of the block's chunks, so that a query's best possible score in a block is known before a posting is read.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ragloom.functions.scale import cut_lineage, fits_broadcast, join_hot, top_k
+from ragloom.functions.scale import cut_lineage, fits_broadcast, join_hot, spread, top_k, work_path
 from ragloom.functions.text import tokens
 
 # BM25 parameters and field boosts.
@@ -18,51 +28,104 @@ BOOSTS = {"text": 3.0, "process_name": 5.0, "tags": 2.0}
 # Sums of doubles depend on their order, and copies of a text must tie: scores are ranked at this precision.
 SCORE_DIGITS = 9
 
-#: Terms of queries that are broadcast at once.
+#: Terms of queries that are sent to the tasks at once.
 SLICE_TERMS = 200_000
+#: Chunks of a block, blocks that share a folder, and blocks each query reads before it chooses among the others.
+BLOCK_CHUNKS = 64
+SHELF_BLOCKS = 64
+PROBES = 2
 
 
 class TextIndex(NamedTuple):
-    """What BM25 reads. Write the tables once (`write_index`) when many query batches hit one corpus."""
-
-    terms: DataFrame  # chunk_id, process_name, tags, length, term, tf
-    documents: DataFrame  # chunk_id, process_name, tags, length
-
-
-def postings(chunks: DataFrame) -> TextIndex:
-    """Term and length statistics of (chunk_id, text, process_name, tags)."""
-    # Dealt by chunk once; counting words and summing scores per chunk then need no further shuffle.
-    dealt = chunks.select("chunk_id", "process_name", "tags", "text").repartition("chunk_id")
-    # An outer explode: for a plain one Spark would add a filter that tokenises every text a second time.
-    words = dealt.select("chunk_id", "process_name", "tags", tokens(F.col("text")).alias("_words"))
-    length = F.size(tokens(F.col("text"))).cast("long")
-    documents = chunks.select("chunk_id", "process_name", "tags", length.alias("length"))
-    terms = (
-        words.select(
-            "chunk_id", "process_name", "tags", F.size("_words").cast("long").alias("length"),
-            F.explode_outer("_words").alias("term"),
-        )
-        .filter(F.col("term").isNotNull())
-        .groupBy("chunk_id", "process_name", "tags", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """What BM25 reads: a stored table with one row per block (`postings`; `write_index` and `read_index` to keep one)."""
+
+    blocks: DataFrame
+
+    @property
+    def terms(self) -> DataFrame:
+        """(block, term, chunks that have it, total_tf)"""
+        return self.blocks.select("block", F.inline(F.arrays_zip(F.col("terms").alias("term"), "chunks", "total_tf")))
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.blocks.select(F.inline(F.arrays_zip("chunk_id", "process_name", "tags", "length")))
+
+
+def _lists(values: pa.Array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of chunks with their words: the chunks, their terms, what bounds these, and the postings."""
+    from pyspark import TaskContext
+
+    task, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK_CHUNKS):
+            part = batch.slice(start, BLOCK_CHUNKS)
+            words = part.column(3)
+            length = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(part.num_rows), length)
+            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * BLOCK_CHUNKS + row, return_counts=True)
+            code, row = np.divmod(key, BLOCK_CHUNKS)
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            columns = [_lists(part.column(n), [part.num_rows]) for n in range(3)] + [_lists(pa.array(length), [part.num_rows])]
+            of_terms = [
+                coded.dictionary.take(pa.array(code[first])), pa.array(np.diff(np.append(first, len(code)))),
+                *[
+                    pa.array(fold.reduceat(x, first) if len(first) else x[:0])
+                    for fold, x in ((np.add, tf), (np.maximum, tf), (np.minimum, length[row] / tf))
+                ],
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(task << 32) | number]), *columns, *[_lists(x, [len(first)]) for x in of_terms],
+                    pa.array([row.astype(np.uint16).tobytes()]), pa.array([tf.astype(np.int32).tobytes()]),
+                    pa.array([(task << 32) | (number // SHELF_BLOCKS)]),
+                ],
+                _BLOCK,
+            )
+            number += 1
+
+
+_BLOCK = [
+    "block", "chunk_id", "process_name", "tags", "length", "terms", "chunks", "total_tf", "most_tf", "least_ratio", "rows",
+    "tfs", "shelf",
+]
+
+
+def _block_schema(chunks: DataFrame) -> T.StructType:
+    own = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in chunks.schema.fields[:3]]
+    long, double, text = (T.ArrayType(t()) for t in (T.LongType, T.DoubleType, T.StringType))
+    kinds = [long, text, long, long, long, double, T.BinaryType(), T.BinaryType(), T.LongType()]
+    return T.StructType([
+        T.StructField("block", T.LongType()), *own, *[T.StructField(n, k) for n, k in zip(_BLOCK[4:], kinds, strict=True)]
+    ])
+
+
+def write_index(chunks: DataFrame, path: str) -> TextIndex:
+    """Store term and length statistics of (chunk_id, text, process_name, tags) under `path`.
+
+    A chunk is one row, so its words are counted where it is read: no text and no posting is shuffled. Blocks are runs of
+    neighbouring rows; a table that is stored by topic or source gives blocks that queries can skip.
+    """
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    sent = spread(chunks.select("chunk_id", "process_name", "tags", "text")).select(
+        "chunk_id", "process_name", "tags", words.alias("words")
     )
-    return TextIndex(terms, documents)
-
+    schema = _block_schema(sent)
+    sent.mapInArrow(_counted, schema).write.mode("overwrite").partitionBy("shelf").parquet(path)
+    return TextIndex(chunks.sparkSession.read.schema(schema).parquet(path))
 
-def write_index(index: TextIndex, path: str, partitions: int = 200) -> None:
-    """Store an index; postings are clustered by term so a query batch reads few row groups.
 
-    Rows of one term are spread by chunk over several files, as a frequent term can hold a large share of them.
-    """
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(16))
-    index.terms.repartition(partitions, "term", spread).sortWithinPartitions("term").write.mode("overwrite").parquet(
-        f"{path}/terms"
-    )
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+def postings(chunks: DataFrame) -> TextIndex:
+    """An index in the shared folder of the session."""
+    return write_index(chunks, work_path(chunks.sparkSession))
 
 
 def read_index(spark, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/documents"))
+    return TextIndex(spark.read.parquet(path))
 
 
 def idf(total: Column, having: Column) -> Column:
@@ -112,49 +175,231 @@ def bm25_topk(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
     term counts as often as it occurs; the keyword fields match on the whole query string. The best field wins.
     Statistics are index-wide, filters only cut the hits.
 
-    The rows of a chunk stay together from the postings to its score, so scores of (query, chunk) pairs are never
-    shuffled: a task passes on the k best of each query. Query terms with their weights travel to the tasks in slices of
-    bounded size.
+    A term's weight grows with its count in a chunk and falls with the chunk's length, so the most it can be in a block
+    follows from the block's largest count and smallest ratio of length to count. Each query reads the PROBES blocks with
+    the highest sum of these first; its k-th score there is a threshold, and blocks whose sum is below it are left out.
+
+    Scores of (query, chunk) pairs are never shuffled: a task passes on the k best of each query. Query terms travel to the
+    tasks in slices of bounded size.
     """
     base = queries.select("query_pk", "text", *query_filters(queries))
-    query_terms = (
+    counted = cut_lineage(
         base.select("query_pk", "_process", "_tags", F.explode_outer(tokens(F.col("text"))).alias("term"))
         .filter(F.col("term").isNotNull())
         .groupBy("query_pk", "_process", "_tags", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    slices = max(1, -(-query_terms.count() // SLICE_TERMS))
-    vocabulary = query_terms.select("term").distinct()
-    # The semi join moves below the postings aggregation: only words some query asks for are ever counted.
-    matched = index.terms.join(F.broadcast(vocabulary) if fits_broadcast(vocabulary) else vocabulary, "term", "left_semi")
-    corpus = index.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("a")).first()
-    total, mean_length = F.lit(corpus["n"]), F.lit(corpus["a"])
-    having = matched.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    weighted = query_terms.join(having, "term").withColumn("_w", F.col("qtf") * idf(total, F.col("_df"))).drop("_df")
-    if slices > 1:
-        weighted = cut_lineage(weighted)
+    slices = max(1, -(-counted.count() // SLICE_TERMS))
     order = [F.col("score").desc(), F.col("chunk_id")]
-    best = None
+    hits = T.StructType([
+        queries.schema["query_pk"], T.StructField("chunk_id", index.blocks.schema["chunk_id"].dataType.elementType),
+        T.StructField("score", T.DoubleType()),
+    ])
+    best = queries.sparkSession.createDataFrame([], hits)
     for number in range(slices):
-        part = weighted if slices == 1 else weighted.filter(F.pmod(F.xxhash64("query_pk"), F.lit(slices)) == number)
-        tf = F.col("tf")
-        value = F.col("_w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
-        scores = (
-            matched.join(F.broadcast(part), "term")
-            .filter(allowed(F.col("process_name"), F.col("tags")))
-            .groupBy("query_pk", "chunk_id")
-            .agg(F.round(F.sum(value * BOOSTS["text"]), SCORE_DIGITS).alias("score"))
-        )
-        found = top_k(scores, ["query_pk"], order, k).drop("rank")
-        best = found if best is None else best.unionByName(found)
+        # About SLICE_TERMS rows.
+        part = counted.filter(F.pmod(F.xxhash64("query_pk"), F.lit(slices)) == number).toPandas()
+        if len(part):
+            best = best.unionByName(_search_blocks(index.blocks, Asked(part, k), hits, order))
     # A chunk whose best field is a keyword is among the first by that keyword; the same holds for the text.
+    documents = index.documents
+    keywords = F.explode(F.array("process_name", "tags")).alias("text")
+    known = base.join(documents.select(keywords).distinct(), "text", "left_semi")
     small = fits_broadcast(base)
-    for field in ("process_name", "tags"):
-        best = best.unionByName(top_k(_keyword_hits(base, index.documents, field, small), ["query_pk"], order, k).drop("rank"))
+    for field in ("process_name", "tags") if not known.isEmpty() else ():
+        best = best.unionByName(top_k(_keyword_hits(base, documents, field, small), ["query_pk"], order, k).drop("rank"))
     merged = best.groupBy("query_pk", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(merged, ["query_pk"], order, k)
 
 
+class Asked:
+    """A slice of queries: their terms with weights, filters and thresholds."""
+
+    def __init__(self, rows, k: int):
+        self.k, self.flat, self.steep = k, K1 * (1 - B), 0.0
+        self.queries, query = np.unique(rows["query_pk"].to_numpy(), return_inverse=True)
+        terms, term = np.unique(rows["term"].to_numpy(object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        self.terms, self.query, self.term = pa.array(terms, pa.string()), query[order], term[order]
+        self.qtf = rows["qtf"].to_numpy(float)[order]
+        self.first = np.searchsorted(self.term, np.arange(len(terms) + 1))
+        one = rows.drop_duplicates("query_pk").set_index("query_pk").loc[self.queries]
+        self.filters = [
+            (p if isinstance(p, str) else None, frozenset(t) if t is not None and len(t) else None)
+            for p, t in zip(one["_process"], one["_tags"], strict=True)
+        ]
+        self.weight = self.qtf
+        self.least = np.full(len(self.queries), -np.inf)
+        self.read: dict[int, list[int]] = {}
+
+    def weigh(self, having: np.ndarray, total: int, words: int) -> None:
+        """Weights from how many of all chunks have each term, and how many words these have together."""
+        self.steep = K1 * B * total / max(words, 1)
+        self.weight = self.qtf * BOOSTS["text"] * np.log(1 + (total - having + 0.5) / (having + 0.5))[self.term]
+
+    def matched(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the block and here of the terms that both have."""
+        here = pa.compute.index_in(terms, value_set=self.terms)
+        at = np.flatnonzero(here.is_valid().to_numpy(zero_copy_only=False))
+        return at, here.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def spread(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For terms with these numbers: which of them, and which of our rows (query and weight), for all their queries."""
+        sizes = self.first[number + 1] - self.first[number]
+        of = np.repeat(np.arange(len(number)), sizes)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[number][of]
+
+    def part(self, tf: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+        """A term's share of the score by its count and the ratio of the chunk's length to that."""
+        return (K1 + 1) / (1 + self.flat / tf + self.steep * ratio)
+
+    def reach(self, batch: pa.RecordBatch, n: int) -> np.ndarray:
+        """The most that each query can score in a block."""
+        at, number = self.matched(batch.column("terms")[n].values)
+        most, ratio = (batch.column(c)[n].values.to_numpy()[at] for c in ("most_tf", "least_ratio"))
+        of, row = self.spread(number)
+        # Sums of doubles may differ in their last digits.
+        return np.bincount(self.query[row], self.weight[row] * self.part(most, ratio)[of], len(self.queries)) + 1e-6
+
+    def scores(self, batch: pa.RecordBatch, n: int, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query number, chunk numbers, scores) in a block, for the wanted queries."""
+        at, number = self.matched(batch.column("terms")[n].values)
+        chunks = batch.column("chunks")[n].values.to_numpy()
+        rows = np.frombuffer(batch.column("rows")[n].as_buffer(), np.uint16).astype(np.int64)
+        tfs = np.frombuffer(batch.column("tfs")[n].as_buffer(), np.int32)
+        length = batch.column("length")[n].values.to_numpy()
+        sizes, first = chunks[at], (np.cumsum(chunks) - chunks)[at]
+        term = np.repeat(np.arange(len(at)), sizes)
+        place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[term]
+        share = self.part(tfs[place], length[rows[place]] / tfs[place])
+        ends = np.cumsum(sizes)
+        of, row = self.spread(number)
+        keep = wanted[self.query[row]]
+        of, row = of[keep], row[keep]
+        order = np.argsort(self.query[row], kind="stable")
+        of, row = of[order], row[order]
+        cuts = np.flatnonzero(np.diff(self.query[row], prepend=-1))
+        for low, high in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
+            own = of[low:high]
+            hits = np.concatenate([np.arange(ends[t] - sizes[t], ends[t]) for t in own])
+            weights = np.repeat(self.weight[row[low:high]], sizes[own])
+            found = np.bincount(rows[place[hits]], weights * share[hits], len(length))
+            have = np.flatnonzero(np.bincount(rows[place[hits]], minlength=len(length)))
+            yield int(self.query[row[low]]), have, np.round(found[have], SCORE_DIGITS)
+
+
+def _frequencies(asked: Asked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having = np.zeros(len(asked.terms) + 2, np.int64)  # and all chunks and words
+        for batch in batches:
+            for n in range(batch.num_rows):
+                at, number = asked.matched(batch.column("terms")[n].values)
+                having[number] += batch.column("chunks")[n].values.to_numpy()[at]
+                length = batch.column("length")[n].values.to_numpy()
+                having[-2:] += len(length), length.sum()
+        found = np.flatnonzero(having)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(having[found])], ["number", "chunks"])
+
+    return run
+
+
+def _promising(asked: Asked):
+    """For each query the blocks in which it can score most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(asked.queries), PROBES))
+        blocks, shelves = np.zeros(best.shape, np.int64), np.zeros(best.shape, np.int64)
+        for batch in batches:
+            for n in range(batch.num_rows):
+                reach = asked.reach(batch, n)
+                slot = best.argmin(1)
+                better = np.flatnonzero(reach > best[np.arange(len(best)), slot])
+                best[better, slot[better]] = reach[better]
+                blocks[better, slot[better]] = batch.column("block")[n].as_py()
+                shelves[better, slot[better]] = batch.column("shelf")[n].as_py()
+        query, slot = np.nonzero(best > 2e-6)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query), *[pa.array(x[query, slot]) for x in (best, blocks, shelves)]],
+            ["query", "reach", "block", "shelf"],
+        )
+
+    return run
+
+
+def _within_reach(asked: Asked):
+    """Shelves with a block that some query has to read still."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for batch in batches:
+            for n in range(batch.num_rows):
+                wanted = asked.reach(batch, n) >= np.maximum(asked.least, 2e-6)
+                wanted[asked.read.get(batch.column("block")[n].as_py(), [])] = False
+                if wanted.any():
+                    found.add(batch.column("shelf")[n].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["shelf"])
+
+    return run
+
+
+def _scored(asked: Asked, early: bool, names: list[str], kinds: list[pa.DataType]):
+    """The `k` best chunks of each query in the blocks it reads: `early` those noted, else the others within its reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for n in range(batch.num_rows):
+                noted = asked.read.get(batch.column("block")[n].as_py(), [])
+                wanted = np.zeros(len(asked.queries), bool) if early else asked.reach(batch, n) >= np.maximum(asked.least, 2e-6)
+                wanted[noted] = early
+                if not wanted.any():
+                    continue
+                ids = batch.column("chunk_id")[n].values.to_pylist()
+                process, tags = (np.array(batch.column(c)[n].values.to_pylist(), object) for c in ("process_name", "tags"))
+                masks: dict[tuple, np.ndarray] = {}
+                for query, have, scores in asked.scores(batch, n, wanted):
+                    own = asked.filters[query]
+                    if own not in masks:
+                        fine = np.ones(len(ids), bool) if own[0] is None else process == own[0]
+                        masks[own] = fine if own[1] is None else fine & np.array([t in own[1] for t in tags], bool)
+                    fine = masks[own][have]
+                    held = best.setdefault(query, [])
+                    held += [(-s, ids[c]) for s, c in zip(scores[fine].tolist(), have[fine].tolist(), strict=True)]
+                    if len(held) > 4 * asked.k + BLOCK_CHUNKS:
+                        held.sort()
+                        del held[asked.k :]
+        rows = [(asked.queries[q], c, -s) for q, held in best.items() for s, c in sorted(held)[: asked.k]]
+        columns = zip(*rows, strict=True) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run
+
+
+def _search_blocks(blocks: DataFrame, asked: Asked, hits: T.StructType, order: list[Column]) -> DataFrame:
+    """The best `k` chunks of each query of the slice by the text field."""
+    names, kinds = hits.names, [to_arrow_type(f.dataType) for f in hits.fields]
+    having = np.zeros(len(asked.terms) + 2)
+    frequencies = blocks.select("terms", "chunks", "length").mapInArrow(_frequencies(asked), "number long, chunks long")
+    for row in frequencies.groupBy("number").agg(F.sum("chunks").alias("chunks")).collect():  # one row per term
+        having[row["number"]] = row["chunks"]
+    asked.weigh(having[:-2], *having[-2:])
+    bounds = blocks.select("block", "shelf", "terms", "most_tf", "least_ratio")
+    promising = bounds.mapInArrow(_promising(asked), "query long, reach double, block long, shelf long")
+    # PROBES rows per query.
+    probed = top_k(promising, ["query"], [F.col("reach").desc(), F.col("block")], PROBES).collect()
+    for row in probed:
+        asked.read.setdefault(row["block"], []).append(row["query"])
+    nearby = blocks.filter(F.col("shelf").isin(sorted({r["shelf"] for r in probed})) & F.col("block").isin(sorted(asked.read)))
+    early = cut_lineage(top_k(nearby.mapInArrow(_scored(asked, True, names, kinds), hits), ["query_pk"], order, asked.k).drop("rank"))
+    known = early.groupBy("query_pk").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    for row in known.filter(F.col("n") >= asked.k).collect():  # one row per query
+        asked.least[np.searchsorted(asked.queries, row["query_pk"])] = row["least"]
+    shelves = [r["shelf"] for r in bounds.mapInArrow(_within_reach(asked), "shelf long").distinct().collect()]
+    near = blocks.filter(F.col("shelf").isin(shelves))
+    late = near.mapInArrow(_scored(asked, False, names, kinds), hits)
+    return early.unionByName(top_k(late, ["query_pk"], order, asked.k).drop("rank"))
+
+
 def _keyword_hits(queries: DataFrame, documents: DataFrame, field: str, small: bool) -> DataFrame:
     """Chunks whose keyword equals the query string; every keyword has frequency and length one."""
     wanted = queries.withColumnRenamed("text", "_key")

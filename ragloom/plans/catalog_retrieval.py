@@ -68,7 +68,7 @@ def dense_sql(keep: int, name: str = "dense", where: str = "TRUE") -> str:
 )
 def postings_term_statistics(spark, d) -> DataFrame:
     index = lexical.postings(data.chunks(spark, d))
-    return index.terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_tf"))
+    return index.terms.groupBy("term").agg(F.sum("chunks").alias("doc_freq"), F.sum("total_tf").alias("total_tf"))
 
 
 @query(

@@ -40,10 +40,49 @@ def test_bm25_without_broadcast_gives_the_same(spark, corpus, monkeypatch):
 
 def test_stored_index(spark, corpus, tmp_path):
     queries = spark.createDataFrame([(1, "beta delta")], "query_pk long, text string")
-    index = lexical.postings(corpus)
-    lexical.write_index(index, str(tmp_path), 4)
+    lexical.write_index(corpus, str(tmp_path))
     stored = lexical.bm25_topk(queries, lexical.read_index(spark, str(tmp_path)), 5)
-    assert stored.exceptAll(lexical.bm25_topk(queries, index, 5)).isEmpty()
+    assert stored.exceptAll(lexical.bm25_topk(queries, lexical.postings(corpus), 5)).isEmpty()
+
+
+def test_blocks_below_the_threshold_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 10)
+    monkeypatch.setattr(lexical, "SHELF_BLOCKS", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(800):  # stored by topic, with a common word everywhere
+        topic = n // 100
+        words = [f"t{topic}w{int(w)}" for w in rng.integers(0, 30, int(rng.integers(5, 40)))] + ["common"] * int(rng.integers(0, 3))
+        rows.append((f"d{n:04d}", " ".join(words), "p", "t"))
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, process_name string, tags string").coalesce(1)
+    queries = spark.createDataFrame([(1, "common t3w1 t3w2"), (2, "t5w7 t5w8 t5w9 common")], "query_pk long, text string")
+    index = lexical.write_index(chunks.sort("chunk_id").coalesce(1), lexical.work_path(spark))
+    seen = spark.sparkContext.accumulator(0)
+    scores = lexical.Asked.scores
+
+    def counting(self, batch, n, wanted):
+        seen.add(int(wanted.sum()))
+        return scores(self, batch, n, wanted)
+
+    monkeypatch.setattr(lexical.Asked, "scores", counting)
+    hits = {(r["query_pk"], r["chunk_id"]): r["score"] for r in lexical.bm25_topk(queries, index, 3).collect()}
+    lengths = {c: len(t.split()) for c, t, _, _ in rows}
+    mean, df = sum(lengths.values()) / 800, {}
+    for _, t, _, _ in rows:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    for q, text in ((1, "common t3w1 t3w2"), (2, "t5w7 t5w8 t5w9 common")):
+        scores = {}
+        for c, t, _, _ in rows:
+            words = t.split()
+            s = sum(
+                np.log(1 + (800 - df[w] + 0.5) / (df[w] + 0.5)) * words.count(w) * 2.2
+                / (words.count(w) + 1.2 * (0.25 + 0.75 * lengths[c] / mean)) for w in text.split() if w in words
+            )
+            scores[c] = round(3 * s, 9)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert {c for (n, c) in hits if n == q} == {c for c, _ in best}
+        assert all(hits[q, c] == pytest.approx(s, abs=1e-8) for c, s in best)
 
 
 @pytest.fixture(scope="module")
