@@ -5,16 +5,17 @@ Run columns are called `run` here: an id or a name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import (
     blocked_row_number,
     cut_lineage,
-    fits_broadcast,
-    join_hot,
     order_statistics,
     percentile_linear,
 )
@@ -28,6 +29,11 @@ SEED = 42
 LEVELS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
 NO_DELTA = 0.001
 
+#: Differences that are sent to the tasks at once, iterations of one task, and draws that a task holds.
+SLICE_DIFFS = 2_000_000
+TASK_ITERATIONS = 256
+HELD_DRAWS = 2_000_000
+
 # Metric groups with their primary metric, and metrics of which less is better.
 METRIC_GROUPS = {
     "retrieval": (
@@ -114,6 +120,9 @@ def paired_bootstrap(
     scores: run, query_pk, metric, value; pairs: run_a, run_b, metric. A pair without common queries has n = 0 and
     nulls. Draw j of iteration i takes the difference numbered md5(seed:i:j) modulo n, so that results do not depend
     on partitions. Differences are numbered in the order of md5(query_pk).
+
+    A task draws its iterations once for all pairs and counts how often each number comes; these rows of counts times the
+    differences of all pairs with the same n are the sums of the iterations. Differences travel in slices of bounded size.
     """
     keys = ["run_a", "run_b", "metric"]
     side = lambda name: scores.select(
@@ -128,40 +137,86 @@ def paired_bootstrap(
         digest, keys, F.substring("_h", 1, 3), [F.col("_h"), F.col("query_pk")], "_place"
     )
     numbered = cut_lineage(
-        ranked.join(means.select(*keys, "n"), keys).select(*keys, "n", (F.col("_place") - 1).alias("idx"), "diff")
-    )
-    # Draws depend on n only, so pairs with the same n share them; few rows grow into all draws after the shuffle.
-    batch = 64
-    grid = (
-        numbered.select("n", F.col("idx").alias("j")).distinct()
-        .select("n", "j", F.explode(F.sequence(F.lit(0), F.lit((iters - 1) // batch))).alias("_g"))
-        .repartition("n", "_g", F.pmod("j", F.lit(16)))
-        .select("n", "j", F.explode(F.sequence(F.col("_g") * batch, F.least(
-            F.col("_g") * batch + batch - 1, F.lit(iters - 1)))).alias("i"))
-    )
-    name = F.concat_ws(":", F.lit(str(seed)), F.col("i"), F.col("j"))
-    drawn = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n")
-    draws = grid.groupBy("n", "i", drawn.alias("idx")).agg(F.count(F.lit(1)).alias("_times"))
-    boots = join_hot(draws, numbered, ["n", "idx"], ["i"], fits_broadcast(numbered)).groupBy(*keys, "n", "i").agg(
-        F.round(F.sum(F.col("diff") * F.col("_times")) / F.col("n"), 9).alias("boot")
+        ranked.join(means.select(*keys, "n"), keys)
+        .select(F.xxhash64(*keys).alias("pair"), "n", (F.col("_place") - 1).alias("idx"), "diff")
+        .withColumn("part", F.floor(F.col("idx") / SLICE_DIFFS).cast("long"))
     )
+    slices = max(1, -(-numbered.count() // SLICE_DIFFS))
+    sums = None
+    for number in range(slices):
+        # About SLICE_DIFFS rows: a pair's differences beyond that are cut by number.
+        own = numbered.filter(F.pmod(F.xxhash64("pair", "part"), F.lit(slices)) == number).drop("part").toPandas()
+        if len(own):
+            grid = scores.sparkSession.range(0, iters, TASK_ITERATIONS, -(-iters // TASK_ITERATIONS))
+            shared = scores.sparkSession.sparkContext.broadcast(_matrices(own))
+            part = grid.mapInArrow(_iteration_sums(shared, iters, seed), "pair long, n long, i long, total double")
+            sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        sums = scores.sparkSession.createDataFrame([], "pair long, n long, i long, total double")
+    if slices > 1:
+        sums = sums.groupBy("pair", "n", "i").agg(F.sum("total").alias("total"))
+    boots = sums.withColumn("boot", F.round(F.col("total") / F.col("n"), 9))
     # One row per iteration: a group is as large as `iters`, whatever the number of queries.
-    ordered = boots.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("boot", "i")) - 1)
+    ordered = boots.withColumn("_r", F.row_number().over(Window.partitionBy("pair").orderBy("boot", "i")) - 1)
     low, high = int(LOWER_BOUND * iters), int(UPPER_BOUND * iters) - 1
-    spread = ordered.groupBy(*keys).agg(
+    spread = ordered.groupBy("pair").agg(
         F.count_if(F.col("boot") <= 0).alias("_le"),
         F.count_if(F.col("boot") >= 0).alias("_ge"),
         F.max(F.when(F.col("_r") == low, F.col("boot"))).alias("_lo"),
         F.max(F.when(F.col("_r") == high, F.col("boot"))).alias("_hi"),
     )
     tail = F.when(F.col("delta_mean") >= 0, F.col("_le")).otherwise(F.col("_ge")) / iters
-    result = means.join(spread, keys).select(
+    result = means.withColumn("pair", F.xxhash64(*keys)).join(spread, "pair").select(
         *keys, "n", "delta_mean", F.least(F.lit(1.0), 2.0 * tail).alias("p_value"),
         ((F.col("_hi") - F.col("_lo")) / 2.0).alias("half_width"),
     )
     return asked.join(result, keys, "left").fillna(0, ["n"])
 
 
+def _matrices(rows) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(n, first number, pairs, differences by number and pair) for the pairs with the same n, from a slice of rows."""
+    found = []
+    for (n, block), own in rows.assign(block=rows["idx"] // SLICE_DIFFS).groupby(["n", "block"]):
+        low = int(own["idx"].min())
+        pairs, column = np.unique(own["pair"].to_numpy(), return_inverse=True)
+        matrix = np.zeros((int(own["idx"].max()) - low + 1, len(pairs)))
+        matrix[own["idx"].to_numpy() - low, column] = own["diff"].to_numpy(float)
+        found.append((int(n), low, pairs, matrix))
+    return found
+
+
+def _iteration_sums(shared, iters: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices = shared.value
+        most = max(n for n, *_ in matrices)
+        step = max(1, HELD_DRAWS // most)
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                end = min(first + TASK_ITERATIONS, iters)
+                for low in range(first, end, step):
+                    high = min(low + step, end)
+                    drawn = np.array([
+                        int.from_bytes(hashlib.md5(b"%d:%d:%d" % (seed, i, j)).digest()[:4], "big")
+                        for i in range(low, high) for j in range(most)
+                    ], np.int64).reshape(high - low, most)
+                    for n, start, pairs, matrix in matrices:
+                        at = drawn[:, :n] % n - start
+                        inside = (at >= 0) & (at < len(matrix))
+                        cell = at + len(matrix) * np.arange(high - low)[:, None]
+                        times = np.bincount(cell[inside], minlength=(high - low) * len(matrix)).reshape(high - low, -1)
+                        sums = times.astype(float) @ matrix
+                        count = sums.size
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.tile(pairs, high - low)), pa.array(np.full(count, n)),
+                                pa.array(np.repeat(np.arange(low, high), len(pairs))), pa.array(sums.reshape(-1)),
+                            ],
+                            ["pair", "n", "i", "total"],
+                        )
+
+    return run
+
+
 def higher_is_better(metric: Column) -> Column:
     return ~metric.isin(*LOWER_IS_BETTER)
 

@@ -128,17 +128,14 @@ _REACH = """fwd AS (
 @query(
     "neighbourhood",
     f"""WITH RECURSIVE {GRAPH}, {_REACH.format(depth=3)},
-sides AS (SELECT node_id AS start, 'current' AS side, 0 AS hops, node_id FROM nodes WHERE type = 'exclusiveGateway'
-  UNION ALL SELECT start, 'successor', min(h), cur FROM fwd JOIN nodes n ON n.node_id = start
-    WHERE n.type = 'exclusiveGateway' GROUP BY start, cur
-  UNION ALL SELECT cur, 'predecessor', min(h), start FROM fwd JOIN nodes n ON n.node_id = cur
-    WHERE n.type = 'exclusiveGateway' GROUP BY start, cur)
+sides AS (SELECT node_id AS start, 'current' AS side, 0 AS hops, node_id FROM nodes
+  UNION ALL SELECT start, 'successor', min(h), cur FROM fwd GROUP BY start, cur
+  UNION ALL SELECT cur, 'predecessor', min(h), start FROM fwd GROUP BY start, cur)
 SELECT start, side, hops::BIGINT AS hops, node_id, name, type, lane_id, lane_name FROM sides JOIN nl USING (node_id)""",
 )
 def neighbourhood(spark, d) -> DataFrame:
     g = data.process_graph(spark, d)
-    starts = g["nodes"].filter(F.col("type") == "exclusiveGateway").select("process_id", "node_id")
-    return _long(graph.neighbourhood(g, starts, 3), "hops")
+    return _long(graph.neighbourhood(g, g["nodes"].select("process_id", "node_id"), 3), "hops")
 
 
 @query(

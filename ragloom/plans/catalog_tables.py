@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import cut_lineage, work_path
+from ragloom.operators.elements import prepare_elements
+from ragloom.plans import catalog_chunking, registry  # noqa: F401
 from ragloom.plans import datasets as data
 from ragloom.plans.registry import query
 from ragloom.sources import evaluation, process_models, tables
@@ -278,12 +280,27 @@ def read_process_models(spark, d) -> DataFrame:
     return result
 
 
+def _chunk_counts(name: str, swaps: dict[str, str]) -> str:
+    """Chunks per document by the SQL of a chunking query, with the sizes that uploads use."""
+    text = registry.ORACLES[name]
+    for old, new in swaps.items():
+        assert old in text
+        text = text.replace(old, new)
+    return f"SELECT document_id, '{name.removeprefix('chunk_')}' AS strategy, count(*) AS chunks FROM ({text}) GROUP BY 1"
+
+
 @query(
     "upload_outcomes",
-    """WITH e AS (SELECT doc_id, ['by_title', 'semantic', 'sentence_semantic', 'by_title'][1 + doc_id % 4] AS strategy,
-  doc_id % 10 = 9 AS missing FROM documents)
+    f"""WITH e AS (SELECT doc_id, ['by_title', 'semantic', 'sentences', 'by_title'][1 + doc_id % 4] AS strategy,
+  doc_id % 10 = 9 AS missing FROM documents),
+c AS (SELECT * FROM ({_chunk_counts("chunk_by_title", {"> 500": "> 1800", "> 300": "> 1350", "* 420, 500": "* 1575, 1800",
+  "- 80) / 420.0": "- 225) / 1575.0"})})
+  UNION ALL SELECT * FROM ({_chunk_counts("chunk_semantic", {"> 600": "> 2400"})})
+  UNION ALL SELECT * FROM ({_chunk_counts("chunk_sentences", {"* 500, 500": "* 2400, 2400", "* 500 <": "* 2400 <"})}))
 SELECT doc_id AS document_id, CASE WHEN missing THEN 'failed' ELSE 'indexed' END AS outcome,
-  CASE WHEN missing THEN 'Upload file missing: f' || doc_id ELSE strategy END AS detail FROM e""",
+  CASE WHEN missing THEN 'Upload file missing: f' || doc_id ELSE replace(e.strategy, 'sentences', 'sentence_semantic') END AS detail,
+  CASE WHEN NOT missing THEN coalesce(chunks, 0) END::BIGINT AS chunks
+FROM e LEFT JOIN c ON c.document_id = doc_id AND c.strategy = e.strategy""",
 )
 def upload_outcomes(spark, d) -> DataFrame:
     doc = F.col("doc_id")
@@ -293,9 +310,12 @@ def upload_outcomes(spark, d) -> DataFrame:
         doc.alias("document_id"), path(doc).alias("path"), F.lit("P").alias("process_name"), F.lit("").alias("tags"),
         F.lit("f").alias("file_name"), names[(doc % 4).cast("int")].alias("chunking_strategy"),
     )
-    parsed = data.elements(spark, d).filter(F.col("document_id") % 10 != 9).withColumn("idx", F.col("pos"))
-    elements = cut_lineage(data.with_embeddings(parsed, spark, d).withColumn("path", path(F.col("document_id"))))
-    _, indexed, failed = ingest.chunk_events(events, elements.drop("document_id", "idx"))
-    return indexed.select("document_id", F.lit("indexed").alias("outcome"), F.col("chunking_strategy").alias("detail")).unionByName(
-        failed.select("document_id", F.lit("failed").alias("outcome"), F.col("error").alias("detail"))
-    )
+    parsed = prepare_elements(data.elements(spark, d).filter(F.col("document_id") % 10 != 9))
+    embedded = data.with_embeddings(parsed, spark, d).withColumn("path", path(F.col("document_id")))
+    read = ["path", "pos", "element_type", "text", "page", "section_title", "table_html", "embedding"]
+    _, indexed, failed = ingest.chunk_events(events, cut_lineage(embedded.select(*read)))
+    return indexed.select(
+        "document_id", F.lit("indexed").alias("outcome"), F.col("chunking_strategy").alias("detail"), "chunks"
+    ).unionByName(failed.select(
+        "document_id", F.lit("failed").alias("outcome"), F.col("error").alias("detail"), F.lit(None).cast("long").alias("chunks")
+    ))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import cut_lineage, spread
+from ragloom.functions.scale import cut_lineage, fits_broadcast, spread
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -108,7 +108,8 @@ def qrels(spark: SparkSession, directory: str) -> DataFrame:
     """Relevance 3 where a document contains a benchmark text verbatim.
 
     A contained text brings along its inner words, so documents and texts meet on the text's longest inner word before
-    the containment itself is tested.
+    the containment itself is tested. Texts of one or two words have no inner one; they are tested against each document
+    while it is read.
     """
     words = F.split("text", r"\s+")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
@@ -122,6 +123,11 @@ def qrels(spark: SparkSession, directory: str) -> DataFrame:
         .join(items, "_word")
         .join(documents, "doc_id")
     )
+    short = items.filter(F.col("_word").isNull()).select("query_pk", "_item")
+    short = F.broadcast(short) if fits_broadcast(short) else short
+    candidates = candidates.select("query_pk", "doc_id", "text", "_item").unionByName(
+        documents.join(short, F.contains("text", F.col("_item"))).select("query_pk", "doc_id", "text", "_item")
+    )
     return candidates.filter(F.contains("text", F.col("_item"))).select(
         "query_pk",
         F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"),
