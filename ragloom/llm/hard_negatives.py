@@ -230,7 +230,7 @@ def _tiles(slice_: Slice, batches: Iterator[pa.RecordBatch]):
             for start in range(0, len(at), BLOCK):
                 part = at[start : start + BLOCK]
                 low, high = (
-                    np.array([np.frombuffer(batch.column(c)[int(n)].as_buffer(), np.float64) for n in part]).reshape(-1, own)
+                    np.array([np.frombuffer(batch.column(c)[int(n)].as_buffer(), np.float64) for n in part]).reshape(len(part), own)
                     for c in ("low", "high")
                 )
                 yield batch, part, int(own), labels[part], low, high

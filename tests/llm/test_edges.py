@@ -2,7 +2,9 @@
 
 import collections
 import gzip
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,19 +13,22 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ragloom.functions.scale import work_path
 from ragloom.llm import (
+    collocations,
     common,
     exact_dedup,
+    hard_negatives,
     html_extraction,
     language_id,
     license_scan,
     mixing,
     ngram_join,
+    personal_data,
     sentencepiece_codec,
     suffix_dedup,
     topk_search,
     warc,
 )
-from tests.llm.test_catalog import covered, linked, shingles
+from tests.llm.test_catalog import covered, linked, plain_personal, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label long, size string, key string, row int"
 LONG = " ".join(f"word{n % 977} and{n % 31}" for n in range(60_000))
@@ -163,9 +168,11 @@ def test_tree_finds_all_pairs():
     base = rng.integers(0, 9, (12, ngram_join.GROUPS))
     counts = np.clip(np.repeat(base, 20, 0) + (rng.random((240, ngram_join.GROUPS)) < 0.03), 0, 255).astype(np.uint8)
     sizes, excess = counts.sum(1).astype(np.int64), rng.integers(0, 3, 240)
-    tree = ngram_join.Tree(sizes, counts, excess, 90)
+    rests = sizes - rng.integers(0, 9, 240)
+    tree = ngram_join.Tree(sizes, counts, excess, rests, 90)
     got = {tuple(sorted(p)) for a, b in tree.meet(tree) for p in zip(a.tolist(), b.tolist(), strict=True)}
     bound = np.minimum(counts[:, None], counts[None]).sum(2, dtype=int) + np.minimum(excess[:, None], excess[None])
+    bound = np.minimum(bound, np.minimum(rests[:, None], rests[None]))
     hit = bound >= ngram_join.required(sizes[:, None], sizes[None], 90)
     hit &= (sizes[:, None] * 100 >= sizes[None] * 90) & (sizes[None] * 100 >= sizes[:, None] * 90) | hit
     assert got == {(a, b) for a, b in zip(*np.nonzero(np.triu(hit, 1)), strict=True)}
@@ -451,3 +458,225 @@ def test_pipeline_edges(spark, odd, nothing):
             if name != "sentencepiece":
                 assert rows.columns == columns
             docs = spark.createDataFrame(rows.collect(), rows.schema)
+
+
+# ---- personal data ---------------------------------------------------------------------------------------------------
+
+
+def test_personal_data_edges(spark, odd, nothing):
+    rows = personal_data.find(odd).collect()
+    assert len(rows) == odd.count() and all(r.n_email == 0 and r.spans == "" for r in rows)
+    assert personal_data.find(nothing).collect() == []
+    clash = odd.withColumn("spans", F.lit(1)).withColumn("_bytes", F.lit(b"")).withColumn("n_ip", F.lit("s"))
+    assert personal_data.find(clash).count() == odd.count()
+    text = "x " * 400_000 + "ann@example.com " + "7" * 100_000 + " +49 (30) 123-4567 and 4111 1111 1111 1111"
+    got = personal_data.find(table(spark, [(1, text, "en", "a"), (1, text, "en", "a")]), keep=["doc_id"]).collect()
+    assert [(r.n_email, r.n_phone, r.n_card) for r in got] == [(1, 1, 1)] * 2
+
+
+def test_fixed_patterns_against_the_definition():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["a", "B", "7", "12", "255", "256", ".", "..", "@", "-", " ", "+", "(", ")", "_", "ü"]) for _ in range(30))
+        assert personal_data.base_spans(text) == plain_personal(text)
+
+
+def test_network_gradient_and_decoding():
+    classes, tags, _ = personal_data.labelled_windows(3, 12, 5)
+    model = personal_data.Model.new(2, hidden=3)
+    model.params = [p.astype(np.float64) for p in model.params]
+    _, grads = personal_data.loss_and_gradients(model, classes, tags)
+    rng = np.random.default_rng(1)
+    for p, g in zip(model.params, grads, strict=True):
+        for at in {int(a) for a in rng.choice(np.flatnonzero(g.reshape(-1)), 3)}:
+            flat, step = p.reshape(-1), 1e-2
+            before = flat[at]
+            flat[at] = before + step
+            high, _ = personal_data.loss_and_gradients(model, classes, tags)
+            flat[at] = before - step
+            low, _ = personal_data.loss_and_gradients(model, classes, tags)
+            flat[at] = before
+            assert (high - low) / (2 * step) == pytest.approx(g.reshape(-1)[at], rel=0.03, abs=3e-3)
+    emission = rng.normal(size=(4, 2, personal_data.TAGS)).astype(np.float32)
+    moved, first = model.params[6] + personal_data.MOVES, model.params[7] + personal_data.START
+    got = personal_data.viterbi(model, emission)
+    for n in range(2):
+        score = lambda y: first[y[0]] + sum(emission[t, n, y[t]] for t in range(4)) + sum(moved[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        assert tuple(got[n]) == max(itertools.product(range(personal_data.TAGS), repeat=4), key=score)
+
+
+def test_network_on_held_out_spans():
+    model = personal_data.train()
+    right = wrong = missed = 0
+    _, _, texts = personal_data.labelled_windows(150, 300, 99)
+    classes, tags, _ = personal_data.labelled_windows(150, 300, 99)
+    for text, row, y in zip(texts, classes, tags, strict=True):
+        found = personal_data.viterbi(model, personal_data.emissions(model, row[None]))[0]
+        spans = lambda z: {(m.start(), m.end(), m.group()[0]) for m in re.finditer(r"ab*|cd*|ef*|gh*", "".join("-abcdefgh"[v] for v in z))}
+        a, b = spans(found), spans(y)
+        right, wrong, missed = right + len(a & b), wrong + len(a - b), missed + len(b - a)
+    assert right >= 0.9 * (right + wrong) and right >= 0.9 * (right + missed)
+
+
+def test_added_spans(spark):
+    text = "Call 0049 30 1234 567 or write to ann.lee (at) example (dot) com, server 10[.]20[.]30[.]40. " * 2
+    clean = "Version 3.1.2 of 2024-01-15 12:30:00, order 1234567890123456, pages 10-20, 3,000,000 readers. " * 20
+    rows = personal_data.find(table(spark, [(1, text, "en", "a"), (2, clean, "en", "a")]), keep=["doc_id"]).collect()
+    found = {r.doc_id: r for r in rows}
+    assert found[1].n_added >= 2 and found[2].n_added == 0
+    assert personal_data.reconcile([(0, 0, 9, 2.0), (5, 0, 12, 1.0), (11, 1, 15, 1.0), (20, 2, 30, 1.0)]) == [(0, 0, 12), (20, 2, 30)]
+    for length in (0, 1, 64, 65, 256, 257, 1_000, 5_000):
+        starts = personal_data.window_starts(length)
+        for at in range(0, max(length - personal_data.OVERLAP, 0), 7):
+            assert ((starts <= at) & (at + personal_data.OVERLAP <= starts + personal_data.WINDOW)).any()
+
+
+# ---- collocations ----------------------------------------------------------------------------------------------------
+
+
+def plain_collocations(docs, least):
+    low = {n: n + 32 for n in range(65, 91)}
+    f, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(low)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, 6):
+                f[lang].update(tuple(words[n : n + k]) for n in range(len(words) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        wanted = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        inside = {
+            q[n : n + k] for q, a in wanted.items() for k in range(2, len(q)) for n in range(len(q) - k + 1)
+            if 100 * a >= 100 * wanted.get(q[n : n + k], 1 << 60)
+        }
+        rows = []
+        for p, a in wanted.items():
+            if p not in inside:
+                score, k = min((1_000 * a * total[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((score, a, " ".join(p), counts[p[:k]], counts[p[k:]]))
+        rows.sort(key=lambda r: (-r[0], -r[1], r[2].encode()))
+        out += [(lang, n, r[2], r[1], r[3], r[4], total[lang], r[0]) for n, r in enumerate(rows[:2_000], start=1)]
+    return sorted(out)
+
+
+def test_collocations(spark, odd, nothing, monkeypatch):
+    assert collocations.mine(nothing).collect() == []
+    rng = random.Random(2)
+    rows = [(n, " ".join(rng.choice(["a", "B", "c", "d", "é", "a.", "b,", "\t", "x\u00a0y"]) for _ in range(80)), rng.choice(["en", None, ""]), "s") for n in range(60)]
+    rows += [(1, "one two three four five six. " * 40, "en", "s")] * 3 + [(2, None, "en", "s"), (3, "", None, "s"), (4, ".,;", "fr", "s")]
+    docs = table(spark, rows)
+    expected = plain_collocations([(t, lang) for _, t, lang, _ in rows], 6)
+    assert sorted(tuple(r) for r in collocations.mine(docs, min_count=6).collect()) == expected
+    for name, value in (("SHARD", 16), ("SHARDS_A_PASS", 2), ("HELD", 50), ("CHUNK", 40), ("PIECE_BYTES", 300)):
+        monkeypatch.setattr(collocations, name, value)
+    assert sorted(tuple(r) for r in collocations.mine(docs, min_count=6).collect()) == expected
+
+
+def test_double_array():
+    rng = np.random.default_rng(0)
+    keys = np.unique((rng.zipf(1.3, 40_000) % 900) * 10_000 + rng.zipf(1.2, 40_000) % 6_000)
+    state, word = (keys // 10_000).astype(np.int32), (keys % 10_000).astype(np.int32)
+    trie = collocations.DoubleArray.unpacked(collocations.DoubleArray.build(state, word).packed())
+    assert (trie.step(state, word) == np.arange(len(keys))).all()
+    other = rng.integers(0, 1_000, 20_000).astype(np.int32), rng.integers(0, 6_100, 20_000).astype(np.int32)
+    known = set(keys.tolist())
+    assert ((trie.step(*other) >= 0) == np.array([a * 10_000 + b in known for a, b in zip(*(x.tolist() for x in other), strict=True)])).all()
+
+
+# ---- hard negatives --------------------------------------------------------------------------------------------------
+
+
+def plain_negatives(rows):
+    fine = [(i, v, lab) for i, v, lab in rows if i is not None and v is not None and lab is not None and all(x is not None and np.isfinite(x) for x in v)]
+    q = [(i, [int(np.floor(256 * x)) for x in v], lab) for i, v, lab in fine]
+    out = []
+    for i, v, lab in q:
+        if i % 10 == 0:
+            scores = [(-sum(a * b for a, b in zip(v, w, strict=True)), j, other) for j, w, other in q if j != i and len(w) == len(v)]
+            for s, p, _ in sorted(x for x in scores if x[2] == lab)[:5]:
+                near = sorted(x for x in scores if x[2] != lab and 80 * -s <= 100 * -x[0] <= 100 * -s)[:5]
+                out += [(i, p, n, j, -s, -t) for n, (t, j, _) in enumerate(near, start=1)]
+    return sorted(out)
+
+
+def test_hard_negatives(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(n, [float(x) for x in rng.normal(size=6).round(2)], int(rng.integers(0, 3))) for n in range(300)]
+    rows += [(n, rows[0][1], n % 3) for n in range(300, 420)]  # copies of one vector
+    rows += [(500, None, 1), (510, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (520, [float("nan")] * 6, 1), (530, [1.0] * 6, None),
+             (None, [1.0] * 6, 1), (540, [0.5, 0.25], 1), (541, [0.5, 0.5], 1), (542, [0.4, 0.4], 2), (550, [], 2), (551, [], 2), (552, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("x", F.lit(1)).withColumn("anchor", F.lit("a"))
+    expected = plain_negatives(rows)
+    mine = lambda d: sorted(tuple(r) for r in hard_negatives.mine(d, F.col("vec_id") % 10 == 0).collect())
+    assert expected and mine(df) == expected
+    for name, value in (("BLOCK", 7), ("SHELF", 3), ("SLICE", 11), ("TILE", 4)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    assert mine(df.repartition(5)) == expected
+    assert mine(df.limit(0)) == [] and mine(df.filter("vec_id % 10 = 3")) == []
+
+
+def test_curve_and_bounds():
+    points = np.array(list(itertools.product(range(8), repeat=3)))
+    key = hard_negatives.hilbert_keys(points, 3)
+    assert sorted(key.tolist()) == list(range(512))
+    assert (np.abs(np.diff(points[np.argsort(key)], axis=0)).sum(1) == 1).all()
+    rng = np.random.default_rng(6)
+    x, block = rng.integers(-50, 50, (9, 5)).astype(float), rng.integers(-50, 50, (30, 5)).astype(float)
+    one = hard_negatives.Slice(np.arange(9), np.array(["a"] * 9, object), {5: (np.arange(9), x)}, True, 5, *[np.zeros((9, 1))] * 3)
+    _, least, most = one.bounds(5, block.min(0)[None], block.max(0)[None])
+    scores = x @ block.T
+    assert (least <= scores).all() and (scores <= most).all()
+
+
+# ---- mended cases ----------------------------------------------------------------------------------------------------
+
+
+def test_articles_with_noise_between_paragraphs():
+    model = html_extraction.train()
+    line = "The long river ran past the old mill and the town beyond it, while people watched from the bridge."
+    noise = ['<p class="notice">Note this.</p>', '<p class="comment">I like it.</p>', '<div class="ad">Buy this.</div>', "<footer>Foot.</footer>",
+             "<aside><p>More here.</p></aside>", "<nav><a href='/'>Home</a></nav>"]
+    for wrap, count, size in itertools.product(("<article>{}</article>", '<div id="content">{}</div>'), range(5), (1, 3, 5)):
+        for between in itertools.combinations(noise, count):
+            parts = [f"<p>{n} {line}</p>" + (between[n] if n < count else "") for n in range(size)] + list(between[size:])
+            page = f"<html><body><header><a href='/'>Site</a></header>{wrap.format(''.join(parts))}<footer>&copy; x</footer></body></html>"
+            assert html_extraction.texts_of(model, [page]) == [" ".join(f"{n} {line}" for n in range(size))]
+    page = "<article><p>One <math><mi>x</mi></math> two.</p><noscript><p>Three.</p></noscript><object>four</object></article>"
+    assert html_extraction.texts_of(model, [page])[0].split() == ["One", "x", "two.", "Three.", "four"]
+
+
+def test_licences_with_words_inserted_or_changed():
+    index = license_scan.build_index()
+    words = license_scan.TEMPLATES["MIT"].split()
+    longer = " ".join([*words[:80], *[f"extra{n}" for n in range(14)], *words[80:]])
+    assert [m[0] for m in license_scan.scan_text(index, longer)] == ["MIT"]
+    for text in ("Released under our MIT License.", "Released under the new MIT License."):
+        assert [m[0] for m in license_scan.scan_text(index, text)] == ["MIT notice"]
+    for count, gap in itertools.product((2, 3, 50), (0, 1, 5, 12)):
+        text = " ".join(["Released under the MIT License." + " word" * gap] * count)
+        assert len(license_scan.scan_text(index, text)) == count
+
+
+def test_mixing_without_ids(spark):
+    rows = [(n if n % 3 else None, f"w{n} b c d e f g h i j", "en", "xy"[n % 2]) for n in range(3_000)]
+    taken = collections.Counter()
+    for r in mixing.mix(table(spark, rows)).collect():
+        taken[r.source] += r.taken
+        target = {"x": 10_000, "y": 20_000}[r.source]
+        assert r.target == pytest.approx(target)
+    assert taken == {"x": 10_000, "y": 20_000}
+
+
+def test_a_long_word_in_blocks(monkeypatch):
+    lattices = sentencepiece_codec._lattices_of(sentencepiece_codec.load_pieces())
+    text = "".join(random.Random(3).choice("etaoinshr") for _ in range(60_000))
+    seeds = np.array([7, 8], np.uint64)
+    ids, sizes = sentencepiece_codec.encode_texts(lattices, [text, "and a short one"], seeds)
+    data, ends = lattices.decode(ids, sizes)
+    assert data[: ends[0]].tobytes().decode() == " " + text and data[ends[0] :].tobytes() == b" and a short one"
+    plain = sentencepiece_codec.encode_texts(lattices, ["wonderfully"], seeds)[0]
+    monkeypatch.setattr(sentencepiece_codec, "LONG_WORD", 3)
+    monkeypatch.setattr(sentencepiece_codec, "LONG_BLOCK", 2)
+    assert sentencepiece_codec.encode_texts(lattices, ["wonderfully"], seeds)[0].tolist() == plain.tolist()
