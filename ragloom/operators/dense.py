@@ -1,4 +1,4 @@
-"""Exact vector search and similarity joins in numpy blocks.
+"""Exact vector search in numpy blocks.
 
 Spark partitions the vectors; a task multiplies one block with another and returns only what survives, so the pairs of
 a block are never rows.
@@ -49,18 +49,6 @@ def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return pa.string() if dict(df.dtypes)[name] == "string" else pa.int64()
 
 
-def vector_blocks(vectors: DataFrame, key: str, rows: int = BLOCK_VECTORS) -> tuple[DataFrame, int]:
-    """Pack (key, embedding) into blocks of about `rows` vectors: ((block, ids, flat), number of blocks)."""
-    blocks = max(1, -(-vectors.count() // rows))
-    packed = (
-        vectors.filter(F.col("embedding").isNotNull())
-        .withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").alias("v"))).alias("_rows"))
-    )
-    return packed.select("block", F.col("_rows.id").alias("ids"), F.flatten("_rows.v").alias("flat")), blocks
-
-
 def vector_topk(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
     """Best `k` chunks per query by cosine similarity: (query_pk, chunk_id, score, rank).
 
@@ -140,39 +128,3 @@ def _scan_topk(wanted: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame
 def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
-
-
-def similar_pairs(vectors: DataFrame, key: str, threshold: float, rows: int = BLOCK_VECTORS) -> DataFrame:
-    """All pairs a < b with cosine similarity of at least `threshold`: (a, b, similarity).
-
-    Exact: each pair of blocks is one matrix product in one task, and only pairs above the threshold leave it.
-    """
-    key_type = dict(vectors.dtypes)[key]
-    packed, count = vector_blocks(vectors, key, rows)
-    blocks = packed.withColumnRenamed("block", "left_block")
-    schema = f"a {key_type}, b {key_type}, similarity double"
-    types = _arrow_type(vectors, key), _arrow_type(vectors, key)
-    partners = blocks.withColumn("block", F.explode(F.sequence(F.col("left_block"), F.lit(count - 1))))
-    others = blocks.select(
-        F.col("left_block").alias("block"), F.col("ids").alias("other_ids"), F.col("flat").alias("other_flat")
-    )
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                left = np.array(batch.column("ids")[i].as_py())
-                right = np.array(batch.column("other_ids")[i].as_py())
-                a = _unit(batch.column("flat")[i].values, len(left))
-                b = _unit(batch.column("other_flat")[i].values, len(right))
-                similarity = np.round(a @ b.T, SCORE_DIGITS)
-                hit = similarity >= threshold
-                if batch.column("left_block")[i].as_py() == batch.column("block")[i].as_py():
-                    hit &= left[:, None] < right[None, :]
-                x, y = np.nonzero(hit)
-                one, other = left[x], right[y]
-                low, high = np.where(one < other, one, other), np.where(one < other, other, one)
-                yield _batch(low.tolist(), high.tolist(), similarity[x, y].tolist(), types, ["a", "b", "similarity"])
-
-    # A fixed number of tasks: the work is in the products, not in the bytes of the blocks.
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partners.join(others, "block").repartition(tasks, "left_block", "block").mapInArrow(multiply, schema)

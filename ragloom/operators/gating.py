@@ -174,19 +174,29 @@ def next_allowed(graph: Graph, allowed: DataFrame, positions: DataFrame, max_dep
     """Allowed nodes within 1..max_depth hops, one row per path; order by hops, name.
 
     allowed: see `allowed_union`; positions: request_id, process_id, node_id. A path uses no edge twice. Where types
-    are listed for the process, only those pass.
+    are listed for the process, only those pass. Only edges that can still lead to such a node are followed.
     """
     own = graph["nodes"].select("process_id", "node_id")
-    edges = graph["flows"].select(
-        F.col("source_id").alias("at"), F.col("target_id").alias("to"), "flow_id"
+    nodes = allowed.filter(F.col("kind") == "node").select("process_id", F.col("id").alias("node_id"))
+    typed = allowed.filter(F.col("kind") == "type")
+    restricted = typed.select("process_id", F.lit(True).alias("_restricted")).distinct()
+    matching = typed.select("process_id", F.col("id").alias("type"), F.lit(True).alias("_listed"))
+    targets = (
+        graph["nodes"].select("process_id", "node_id", "name", "type")
+        .join(nodes, ["process_id", "node_id"], "left_semi")
+        .join(restricted, "process_id", "left")
+        .join(matching, ["process_id", "type"], "left")
+        .filter(F.col("_restricted").isNull() | F.col("_listed"))
+        .select("process_id", "node_id", "name", "type")
     )
     paths = positions.join(own, ["process_id", "node_id"], "left_semi").select(
         "request_id", "process_id", F.col("node_id").alias("at"), F.array().cast("array<string>").alias("used")
     )
+    moves = _moves_to(targets, graph["flows"], max_depth)
     found = None
     for hop in range(1, max_depth + 1):
         paths = (
-            paths.join(edges, "at")
+            paths.join(moves.filter(F.col("left") <= max_depth - hop), ["process_id", "at"])
             .filter(~F.array_contains("used", F.col("flow_id")))
             .select(
                 "request_id", "process_id", F.col("to").alias("at"), F.array_append("used", F.col("flow_id")).alias("used")
@@ -194,21 +204,31 @@ def next_allowed(graph: Graph, allowed: DataFrame, positions: DataFrame, max_dep
         )
         ends = paths.select("request_id", "process_id", F.col("at").alias("node_id"), F.lit(hop).alias("hops"))
         found = ends if found is None else found.unionByName(ends)
-    nodes = allowed.filter(F.col("kind") == "node").select("process_id", F.col("id").alias("node_id"))
-    typed = allowed.filter(F.col("kind") == "type")
-    reached = found.join(nodes, ["process_id", "node_id"], "left_semi").join(
-        graph["nodes"].select("process_id", "node_id", "name", "type"), ["process_id", "node_id"]
-    )
-    restricted = typed.select("process_id", F.lit(True).alias("_restricted")).distinct()
-    matching = typed.select("process_id", F.col("id").alias("type"), F.lit(True).alias("_listed"))
-    return (
-        reached.join(restricted, "process_id", "left")
-        .join(matching, ["process_id", "type"], "left")
-        .filter(F.col("_restricted").isNull() | F.col("_listed"))
-        .select("request_id", "process_id", "node_id", "name", "type", "hops")
+    return found.join(targets, ["process_id", "node_id"]).select(
+        "request_id", "process_id", "node_id", "name", "type", "hops"
     )
 
 
+def _moves_to(targets: DataFrame, flows: DataFrame, max_depth: int) -> DataFrame:
+    """Edges from which a target may still be reached: process_id, at, to, flow_id, left (fewest edges from `to`).
+
+    The sets grow backwards from the targets, one join a hop, and hold each node once per process; a path follows only
+    edges whose `left` fits into the hops it has, so paths that lead nowhere are never built.
+    """
+    edges = flows.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), "flow_id")
+    ahead = targets.select("process_id", F.col("node_id").alias("to"), F.lit(0).alias("left")).distinct()
+    ends = edges.select("at").union(edges.select("to")).distinct()
+    back = edges.select("at", "to", F.lit(1).alias("cost")).distinct().union(ends.select("at", "at", F.lit(0)))
+    for _ in range(max_depth - 1):
+        ahead = (
+            ahead.join(back, "to")
+            .groupBy("process_id", F.col("at").alias("to"))
+            .agg(F.min(F.col("left") + F.col("cost")).alias("left"))
+        )
+    moves = edges.join(ahead, "to").select("process_id", "at", "to", "flow_id", "left")
+    return moves if max_depth == 1 else cut_lineage(moves)
+
+
 # ---- gating --------------------------------------------------------------------------------------------------------
 
 

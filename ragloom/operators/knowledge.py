@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import blank, strip
-from ragloom.operators.dense import similar_pairs
+from ragloom.operators.similarity_join import similar_pairs
 
 # Thresholds and fallbacks.
 SIMILARITY_THRESHOLD = 0.7

@@ -99,6 +99,27 @@ def similarity_edges(spark, d) -> DataFrame:
     return rows.select("src", "dst", "type", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "similarity_edges_topics",
+    """WITH v AS (SELECT vec_id, list_concat(list_transform(embedding::DOUBLE[], lambda x: x
+    / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))),
+  list_transform(range(10), lambda i: CASE WHEN label = i THEN 2.0 ELSE 0.0 END)) AS e FROM embeddings),
+sims AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e)
+  / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT src, dst, 'cosine_similarity' AS type, round(weight, 6) AS weight FROM sims WHERE weight >= 0.825""",
+)
+def similarity_edges_topics(spark, d) -> DataFrame:
+    """Vectors drawn together by their topic: a cluster a label, with thousands of edges inside."""
+    raw = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    topic = F.array(*[F.when(F.col("label") == i, 2.0).otherwise(0.0) for i in range(10)])
+    vectors = data.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("node_id"), F.concat(F.transform(raw, lambda x: x / norm), topic).alias("embedding")
+    )
+    rows = knowledge.similarity_edges(vectors, 0.825)
+    return rows.select("src", "dst", "type", F.round("weight", 6).alias("weight"))
+
+
 def _overlap_sql(items: str, kind: str, least: int) -> str:
     return f"""SELECT src, dst, '{kind}' AS type, count(*)::DOUBLE AS weight, string_agg(item, '|' ORDER BY item) AS items
 FROM (SELECT a.vec_id AS src, b.vec_id AS dst, a.item FROM ({items}) a JOIN ({items}) b ON a.item = b.item

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.operators import dense, fusion, lexical
+from ragloom.operators import dense, fusion, lexical, similarity_join
 
 
 @pytest.fixture(scope="module")
@@ -132,7 +132,7 @@ def test_vector_search_against_brute_force(spark, vectors, monkeypatch, large):
 
 
 def test_similar_pairs_against_brute_force(vectors):
-    pairs = dense.similar_pairs(vectors, "chunk_id", 0.8, rows=50).collect()
+    pairs = similarity_join.similar_pairs(vectors, "chunk_id", 0.8, rows=50).collect()
     data = vectors.toPandas()
     m = np.stack(data.embedding).astype(float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -142,6 +142,45 @@ def test_similar_pairs_against_brute_force(vectors):
     assert len(pairs) == len(expected)
 
 
+def _clustered(rng, spark):
+    """30 narrow clusters, a third of all rows copies of one vector, a zero, a null and a non-finite vector."""
+    centres = rng.normal(size=(30, 16))
+    rows = [centres[i % 30] + rng.normal(size=16) * 0.08 for i in range(600)] + [centres[0] + 0.01] * 300
+    table = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    table += [(900, [0.0] * 16), (901, None), (902, [float("nan")] * 16), (None, table[0][1])]
+    return spark.createDataFrame(table, "node_id long, embedding array<double>"), np.array(rows)
+
+
+@pytest.mark.parametrize("threshold, slab", [(0.9, 512), (0.97, 2), (1.0, 512), (-0.2, 3)])
+def test_blocks_meet_only_where_pivots_allow(spark, monkeypatch, threshold, slab):
+    monkeypatch.setattr(similarity_join, "SLAB_BLOCKS", slab)
+    table, m = _clustered(np.random.default_rng(3), spark)
+    if threshold <= 0:
+        m = np.vstack([m, np.zeros(16)])
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    s = np.round(unit @ unit.T, 9)
+    x, y = np.nonzero(np.triu(s >= threshold, 1))
+    rows = similarity_join.similar_pairs(table, "node_id", threshold, rows=20).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(zip(x.tolist(), y.tolist()))
+    assert all(r["similarity"] == pytest.approx(s[r["a"], r["b"]], abs=1e-8) for r in rows)
+    blocks, pairs = similarity_join.block_pairs(table, "node_id", threshold, rows=20)
+    sizes = {r["block"]: len(r["ids"]) for r in blocks.select("block", "ids").collect()}
+    assert sum(sizes.values()) == len(m) and max(sizes.values()) <= 60
+    met = [tuple(r) for r in pairs.collect()]
+    assert len(set(met)) == len(met) and all(a <= b for a, b in met)
+    tested = sum(sizes[a] * (sizes[a] - 1) / 2 if a == b else sizes[a] * sizes[b] for a, b in met)
+    if threshold >= 0.9:
+        # The copies alone are a ninth of all pairs.
+        assert tested < 0.3 * len(m) * (len(m) - 1) / 2
+
+
+def test_similar_pairs_of_nothing(spark):
+    for rows in ([], [(1, None)], [(1, [0.0, 0.0])], [(1, [1.0, 0.0]), (1, [1.0, 0.0])]):
+        table = spark.createDataFrame(rows, "node_id long, embedding array<double>")
+        assert similarity_join.similar_pairs(table, "node_id", 0.5).isEmpty()
+
+
 def test_fusion_ties(spark):
     ranked = "query_pk long, chunk_id string, rank int"
     text = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], ranked)

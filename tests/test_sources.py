@@ -147,6 +147,39 @@ def test_paths_do_not_reuse_edges(spark, models):
     assert [(r["node_id"], r["hops"]) for r in rows] == [("T1", 2)]
 
 
+def _plain_paths(flows, start, depth):
+    ends, paths = [], [(start, ())]
+    for hop in range(1, depth + 1):
+        paths = [(to, used + (f,)) for at, used in paths for f, source, to in flows if source == at and f not in used]
+        ends += [(node, hop) for node, _ in paths]
+    return ends
+
+
+def test_next_allowed_on_a_cyclic_graph_with_a_hub(spark):
+    """Hub H leads to 400 dead ends; only the cycles through A, B and T come back to an allowed node."""
+    flows = [("f1", "A", "H"), ("f2", "H", "A"), ("f3", "H", "B"), ("f4", "B", "T"), ("f5", "T", "A"), ("f6", "B", "B"),
+             ("f7", "T", "G")]
+    flows += [(f"d{i}", "H", f"D{i}") for i in range(400)] + [(f"e{i}", f"D{i}", f"D{i + 1}") for i in range(399)]
+    names = sorted({n for _, a, b in flows for n in (a, b)})
+    own = spark.createDataFrame([("P", n, n.lower(), "gate" if n == "G" else "task") for n in names],
+                                "process_id string, node_id string, name string, type string")
+    edges = spark.createDataFrame([(f, "P", a, b) for f, a, b in flows],
+                                  "flow_id string, process_id string, source_id string, target_id string")
+    allowed = spark.createDataFrame([("P", "node", "T"), ("P", "node", "A"), ("P", "node", "G"), ("P", "type", "task")],
+                                    "process_id string, kind string, id string")
+    starts = spark.createDataFrame([(n, "P", n) for n in ("A", "H", "D0", "T")],
+                                   "request_id string, process_id string, node_id string")
+    models = {"nodes": own, "flows": edges}
+    for depth in (1, 4):
+        rows = gating.next_allowed(models, allowed, starts, depth).collect()
+        expected = [(s, n, h) for s in ("A", "H", "D0", "T") for n, h in _plain_paths(flows, s, depth) if n in ("T", "A")]
+        assert sorted((r["request_id"], r["node_id"], r["hops"]) for r in rows) == sorted(expected)
+    # No edge into a dead end is followed.
+    targets = own.filter("node_id IN ('T', 'A')")
+    kept = {r["flow_id"] for r in gating._moves_to(targets, edges, 4).collect()}
+    assert kept == {"f1", "f2", "f3", "f4", "f5", "f6"}
+
+
 def test_exports(spark, tmp_path):
     samples = spark.createDataFrame([("s1", "q", "a", ["c1", "c2"])],
                                     "query_id string, query string, reference_answer string, reference_chunk_ids array<string>")
