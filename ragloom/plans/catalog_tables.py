@@ -55,6 +55,51 @@ def upsert_keeps_document_id(spark, d) -> DataFrame:
     return evaluation.upsert(old, rows, keys, evaluation.KEEP_IF_NULL["qrels"], event)
 
 
+#: Key columns of the evaluation tables as columns of the events, in Spark and in SQL alike.
+_KEY_OF = {
+    "name": "event_type", "dataset": "event_type", "query_id": "user_id", "run_id": "event_type", "query_pk": "user_id",
+    "rank": "event_id % 3", "source": "event_type", "metric": "event_type",
+}
+_UPSERTED = "runs queries run_items retrieval_logs aggregates gold_answers gold_gating".split()
+
+
+def _upsert_sql(table: str) -> str:
+    columns = list(dict.fromkeys(_KEY_OF[k] for k in evaluation.TABLE_KEYS[table]))
+    keys = " || '/' || ".join(f"({c})" for c in columns) if len(columns) > 1 else f"({columns[0]})::VARCHAR"
+    keeps = table in evaluation.KEEP_IF_NULL
+    kept = "coalesce(n.document_id, o.document_id)" if keeps else "CASE WHEN n.k IS NULL THEN o.document_id ELSE n.document_id END"
+    fold = "arg_max(doc, event_id)" if keeps else "arg_max_null(doc, event_id)"
+    return f"""SELECT '{table}' AS part, coalesce(n.k, o.k) AS key, {kept} AS document_id,
+  CASE WHEN n.k IS NULL THEN o.value ELSE n.value END AS value FROM (SELECT {keys} AS k, 'old' AS document_id, -1.0::DOUBLE AS value
+  FROM events WHERE user_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT k, {fold} AS document_id, arg_max_null(value, event_id) AS value
+  FROM (SELECT {keys} AS k, CASE WHEN event_id % 3 = 0 THEN 'new' || event_id END AS doc, value, event_id FROM events
+  WHERE user_id % 3 = 0) GROUP BY 1) n ON n.k = o.k"""
+
+
+@query("upsert_tables", " UNION ALL ".join(_upsert_sql(t) for t in _UPSERTED))
+def upsert_tables(spark, d) -> DataFrame:
+    """Every other table of the evaluation store, by its own key; logs keep a document id that an update lacks."""
+    events, out = _events(spark, d), None
+    for table in _UPSERTED:
+        keys = evaluation.TABLE_KEYS[table]
+        columns = [F.expr(_KEY_OF[k]).alias(k) for k in keys]
+        shown = {_KEY_OF[k]: k for k in reversed(keys)}
+        order = list(dict.fromkeys(_KEY_OF[k] for k in keys))
+        old = events.filter(F.col("user_id") % 2 == 0).select(
+            *columns, F.lit("old").alias("document_id"), F.lit(-1.0).alias("value")
+        ).distinct()
+        new = events.filter(F.col("user_id") % 3 == 0).select(
+            *columns, F.expr("CASE WHEN event_id % 3 = 0 THEN concat('new', event_id) END").alias("document_id"), "value",
+            F.col("event_id").alias("_event"),
+        )
+        rows = evaluation.upsert(old, new, keys, evaluation.KEEP_IF_NULL.get(table, ()), F.col("_event")).select(
+            F.lit(table).alias("part"),
+            F.concat_ws("/", *[F.col(shown[c]).cast("string") for c in order]).alias("key"), "document_id", "value",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _qrels_lines(spark, d) -> DataFrame:
     """Judgement lines per event with every form of relevance; every fifth user is unknown."""
     event = F.col("event_id")

@@ -21,7 +21,8 @@ NODE_TAGS = [
 ]
 
 _ELEMENT_SCHEMA = """file string, kind string, definition_id string, process_id string, id string, name string,
-type string, source_id string, target_id string, condition string, filename string, has_diagram boolean, error string"""
+type string, source_id string, target_id string, condition string, filename string, has_diagram boolean, target_namespace string,
+xml string, error string"""
 
 
 def _local(tag: object) -> str:
@@ -56,6 +57,8 @@ def _elements(file: str, xml: str) -> Iterator[dict]:
         "name": root.get("name") or filename,
         "filename": filename,
         "has_diagram": any(_local(el.tag) == "BPMNDiagram" for el in inside),
+        "target_namespace": root.get("targetNamespace"),
+        "xml": xml,
     }
     for place, el in enumerate(inside):
         if _local(el.tag) == "participant" and el.get("processRef"):
@@ -119,7 +122,9 @@ def parse_process_models(files: DataFrame) -> dict[str, DataFrame]:
     for end in ("source_id", "target_id"):
         flows = flows.join(known.withColumnRenamed("node_id", end), end, "left_semi")
     return {
-        "definitions": of("definition", "definition_id", "name", "filename", "has_diagram"),
+        "definitions": of(
+            "definition", "definition_id", "name", "filename", "has_diagram", "target_namespace", "xml"
+        ),
         "processes": of("process", "definition_id", "process_id", "name"),
         "nodes": nodes,
         "flows": flows.select("flow_id", "process_id", "source_id", "target_id", "condition", "name"),

@@ -65,7 +65,10 @@ def test_upsert_keeps_document_id_when_null(spark):
     ]
 
 
-HEAD = '<bpmn:definitions xmlns:bpmn="http://www.omg.org/spec/BPMN/20100524/MODEL" id="{id}" name="N">'
+HEAD = (
+    '<bpmn:definitions xmlns:bpmn="http://www.omg.org/spec/BPMN/20100524/MODEL" id="{id}" name="N" '
+    'targetNamespace="urn:{id}">'
+)
 
 LANED = HEAD.format(id="D1") + """
 <bpmn:collaboration id="c"><bpmn:participant id="pool" processRef="P1"/></bpmn:collaboration>
@@ -100,6 +103,8 @@ def test_process_models(models):
     rejected = {r["file"].rsplit("/", 1)[1] for r in models["rejects"].collect()}
     assert rejected == {"root.bpmn", "empty.bpmn", "bad.bpmn", "entity.bpmn"}
     assert {(r["definition_id"], r["has_diagram"]) for r in models["definitions"].collect()} == {("D1", True), ("D2", False)}
+    sources = {r["definition_id"]: (r["target_namespace"], r["xml"]) for r in models["definitions"].collect()}
+    assert sources == {"D1": ("urn:D1", LANED), "D2": ("urn:D2", LANELESS)}
     assert {r["node_id"] for r in models["nodes"].collect()} == {"S", "T1", "G", "T2", "E", "A", "B"}
     flows = {r["flow_id"]: (r["condition"], r["name"]) for r in models["flows"].collect()}
     assert set(flows) == {"f1", "f2", "f3", "f4", "f5"} and flows["f4"] == ("ok", None) and flows["f3"] == (None, "no")
@@ -135,7 +140,7 @@ def test_rules_and_positions_of_a_cyclic_model(spark, models):
 
 
 def test_definition_without_process_counts_zero(spark, models):
-    more = spark.createDataFrame([("D9", "zz", "z.bpmn", False)], models["definitions"].schema)
+    more = spark.createDataFrame([("D9", "zz", "z.bpmn", False, None, None)], models["definitions"].schema)
     rows = graph.list_definitions({**models, "definitions": models["definitions"].unionByName(more)}).collect()
     assert {r["definition_id"]: r["process_count"] for r in rows} == {"D1": 1, "D2": 1, "D9": 0}
 
