@@ -172,53 +172,102 @@ def halo_blocks(df: DataFrame, index: str, before: int, after: int, width: int =
     )
 
 
-def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, index: Column, share: float, out: str
-) -> DataFrame:
-    """Exact values at sorted positions floor(`index`) and floor(`index`)+1 of every key.
+def ordered_long(value: Column, dtype: T.DataType) -> Column:
+    """A long that sorts and ties as the number does: integers as they are, others by sign, exponent and mantissa.
 
-    `index` is an expression over the group size `n` near `share * n`. A mergeable quantile sketch gives bounds that
-    enclose the position; only rows between the bounds (all of a group below 10,000 rows, 0.1 % of a larger one) are
-    sorted, after equal values have been counted together. Returns keys, `n`, `{out}` and `{out}_next` (the value at
-    the last position where there is no next one).
+    NaN is the largest, above infinity, and -0.0 ties with 0.0, as in Spark's ORDER BY. Decimals are read as doubles.
+    Null stays null.
     """
-    slack = 0.0005
-    probabilities = [max(share - slack, 0.0), min(share + slack, 1.0)]
-    groups = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, probabilities, 10_000).alias("_q"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    small = F.col("n") < 10_000
-    groups = groups.select(
-        *keys,
-        "n",
-        F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
-        F.floor(index).cast("long").alias("_at"),
+    if isinstance(dtype, T.IntegralType):
+        return value.cast("long")
+    value = value.cast("double")
+    size = F.abs(value)
+    # The logarithm is a guess that may be one off next to a power of two; division by powers of two is exact.
+    guess = F.floor(F.log2(size))
+    guess = guess - (F.pow(F.lit(2.0), guess) > size).cast("long")
+    exponent = guess + (F.pow(F.lit(2.0), guess + 1) <= size).cast("long")
+    mantissa = size / F.pow(F.lit(2.0), exponent) - 1
+    bits = (
+        F.when(F.isnan(value), F.lit((2047 << 52) + 1))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size / F.lit(2.0**-1074)).cast("long"))
+        .otherwise((exponent + 1023) * F.lit(1 << 52) + (mantissa * 2.0**52).cast("long"))
     )
-    tagged = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).join(groups, list(keys))
-    below = F.col("_v") < F.col("_lo")
-    counted = (
-        tagged.filter(F.col("_v") <= F.col("_hi"))
-        .withColumn("_v", F.when(~below, F.col("_v")))
-        .groupBy(*keys, "n", "_at", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto)).filter(F.col("_v").isNotNull())
-    return ranked.groupBy(*keys, "n").agg(
-        F.min(F.when(F.col("_end") > F.col("_at"), F.col("_v"))).alias(out),
-        F.coalesce(
-            F.min(F.when(F.col("_end") > F.col("_at") + 1, F.col("_v"))), F.max("_v")
-        ).alias(f"{out}_next"),
+    return F.when(value < 0, -bits).when(value.isNotNull(), bits)
+
+
+def value_histograms(df: DataFrame, keys: Sequence[str], value: str) -> list[DataFrame]:
+    """Row counts per key and leading 16, 32, 48 and 64 bits of the ordered value: (keys, `_k`, `_c`), coarse first.
+
+    Each level is summed from the next finer one, the finest is stored, so rows are shuffled once, counted before.
+    A bucket has at most 65,536 children, which bounds every window over (keys, parent), however many rows a key holds.
+    """
+    bits = ordered_long(F.col(value), df.schema[value].dataType)
+    rows = df.select(*keys, F.coalesce(bits, F.lit((1 << 63) - 1)).alias("_k"), F.col(value).alias("_v"))
+    levels = [cut_lineage(rows.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v")))]
+    for _ in range(3):
+        finer = levels[0].groupBy(*keys, F.shiftright("_k", 16).alias("_k"))
+        levels.insert(0, finer.agg(F.sum("_c").alias("_c")))
+    return levels
+
+
+def _below(keys: Sequence[str]) -> Column:
+    """Rows of the same parent in smaller buckets."""
+    return F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_k")) - F.col("_c")
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, index: Column, out: str) -> DataFrame:
+    """Exact values at sorted positions floor(`index`) and floor(`index`)+1 of every key; nulls don't count.
+
+    `index` is an expression over the group size `n`. Both positions are followed down the histograms of
+    `value_histograms`: a level keeps the children of the one or two buckets that hold them. Returns keys, `n`, `{out}`
+    and `{out}_next` (the value at the last position where there is no next one).
+    """
+    levels = value_histograms(df.filter(F.col(value).isNotNull()), keys, value)
+    last = F.col("n") - 1
+    at = F.least(F.floor(index).cast("long"), last)
+    found = levels[0].groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("_p", F.lit(0).cast("long"))
+    found = found.withColumn("_seek", F.array(at, F.least(at + 1, last)))
+    for depth, level in enumerate(levels):
+        parent = F.shiftright("_k", 16) if depth else F.lit(0).cast("long")
+        children = level.withColumn("_p", parent).join(found, [*keys, "_p"]).withColumn("_begin", _below(keys))
+        # Where a position is not in this bucket its entry is null.
+        inside = F.transform(
+            "_seek",
+            lambda x: F.when((x >= F.col("_begin")) & (x < F.col("_begin") + F.col("_c")), x - F.col("_begin")),
+        )
+        kept = children.withColumn("_seek", inside).filter(F.size(F.array_compact("_seek")) > 0)
+        found = kept.drop("_p", "_c", "_begin").withColumnRenamed("_k", "_p")
+    hit = [F.max(F.when(F.col("_seek")[i].isNotNull(), F.col("_v"))) for i in (0, 1)]
+    return found.groupBy(*keys, "n").agg(hit[0].alias(out), hit[1].alias(f"{out}_next"))
+
+
+def value_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """`rank()` per key in ascending order of a number, nulls last, without a window over all rows of a key.
+
+    Rows below a bucket are those below its parent and those in its smaller siblings. A value that many rows share is
+    met by broadcast or over salts.
+    """
+    ranks = None
+    for level in value_histograms(df, keys, value):
+        if ranks is None:
+            level = level.withColumn("_p", F.lit(0).cast("long")).withColumn("_carry", F.lit(0).cast("long"))
+        else:
+            level = level.withColumn("_p", F.shiftright("_k", 16)).join(
+                ranks.select(*keys, F.col("_k").alias("_p"), F.col("_before").alias("_carry")), [*keys, "_p"]
+            )
+        ranks = level.withColumn("_before", F.col("_carry") + _below(keys))
+    ranks = cut_lineage(ranks.select(*keys, "_k", (F.col("_before") + 1).alias(out)))
+    bits = F.coalesce(ordered_long(F.col(value), df.schema[value].dataType), F.lit((1 << 63) - 1))
+    flat = [c for c in df.columns if not _is_nested(df, c)]
+    return join_hot(df.withColumn("_k", bits), ranks, [*keys, "_k"], flat, fits_broadcast(ranks)).select(
+        *df.columns, out
     )
 
 
 def percentile_linear(df: DataFrame, keys: Sequence[str], value: str, share: float, out: str) -> DataFrame:
     """Exact percentile with linear interpolation between the two nearest positions."""
     position = F.lit(share) * (F.col("n") - 1)
-    stats = order_statistics(df, keys, value, position, share, "_p")
+    stats = order_statistics(df, keys, value, position, "_p")
     part = position - F.floor(position)
     return stats.select(*keys, (F.col("_p") + (F.col("_p_next") - F.col("_p")) * part).alias(out))

@@ -18,6 +18,7 @@ from ragloom.functions.scale import (
     cut_lineage,
     order_statistics,
     percentile_linear,
+    value_rank,
 )
 
 # Normal quantile, bootstrap bounds and iterations, significance levels, smallest delta worth an arrow.
@@ -289,9 +290,9 @@ def study_comparison(
 
 
 def rank_runs(aggregates: DataFrame) -> DataFrame:
-    """Place of each run per metric, best first in the metric's direction; equal means share a place."""
+    """Place of each run per metric, best first in the metric's direction; equal means share a place, nulls are last."""
     signed = F.when(higher_is_better(F.col("metric")), -F.col("value")).otherwise(F.col("value"))
-    return aggregates.withColumn("place", F.rank().over(Window.partitionBy("metric").orderBy(signed)))
+    return value_rank(aggregates.withColumn("_signed", signed), ["metric"], "_signed", "place").drop("_signed")
 
 
 def repeat_breakdown(
@@ -321,7 +322,7 @@ def latency_summary(requests: DataFrame, keys: Sequence[str], total_seconds: Col
     )
     good = requests.filter("success")
     median = percentile_linear(good, keys, "latency", 0.5, "p50_latency")
-    p95 = order_statistics(good, keys, "latency", F.lit(0.95) * F.col("n"), 0.95, "p95_latency")
+    p95 = order_statistics(good, keys, "latency", F.lit(0.95) * F.col("n"), "p95_latency")
     return (
         counts.withColumn("failed", F.col("total_requests") - F.col("successful"))
         .withColumn("success_rate", F.col("successful") / F.col("total_requests") * 100)

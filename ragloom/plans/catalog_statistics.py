@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import cut_lineage
+from ragloom.functions.scale import cut_lineage, value_rank
 from ragloom.operators import fusion, lexical, metrics, statistics
 from ragloom.plans import datasets as data
 from ragloom.plans.catalog_metrics import METRICS
@@ -319,10 +319,9 @@ SELECT label::BIGINT AS query_pk, rank, CASE WHEN vec_id % 4 = 0 THEN 'ce' ELSE
     ELSE 1.0 / (60 + rank) END, 6) AS score FROM v""",
 )
 def retrieval_logs(spark, d) -> DataFrame:
-    v = data.table(spark, d, "embeddings")
+    v = data.table(spark, d, "embeddings").select("vec_id", "label")
     n = F.col("vec_id")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    hits = fusion.rrf(v.withColumn("rank", rank)).select(
+    hits = fusion.rrf(value_rank(v, ["label"], "vec_id", "rank")).select(
         F.lit(1).alias("run_id"), F.col("label").cast("long").alias("query_pk"), F.col("rank").cast("long").alias("rank"),
         F.when(n % 4 == 0, "ce").alias("source"), F.concat(n.cast("string"), F.lit(":0")).alias("chunk_id"),
         F.when(n % 4 == 0, F.when(n % 8 == 0, 0.0).otherwise((n % 16) / 16)).alias("rerank_score"),
