@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -680,3 +681,32 @@ def test_a_long_word_in_blocks(monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "LONG_WORD", 3)
     monkeypatch.setattr(sentencepiece_codec, "LONG_BLOCK", 2)
     assert sentencepiece_codec.encode_texts(lattices, ["wonderfully"], seeds)[0].tolist() == plain.tolist()
+
+
+def test_counts_of_tasks_are_summed_by_slices():
+    """Accepting states of two tries and three tasks, over more than one slice and with states no task meets."""
+    rng = np.random.default_rng(9)
+    size = 2 * collocations.SLICE + 7
+    plain, batches = {}, []
+
+    class Trie:
+        def __init__(self, shard):
+            self.value = collocations.DoubleArray.build(np.arange(size, dtype=np.int32) + 1, np.full(size, 5, np.int32)), (
+                rng.permutation(size).astype(np.int32) * 2 + shard + 1
+            )
+
+    tries = [(shard, Trie(shard)) for shard in (0, 1)]
+    for _ in range(3):
+        state = rng.integers(0, size // 2, 4_000).astype(np.int32)
+        words = np.full(len(state), 5, np.int32)
+        given = pa.RecordBatch.from_pydict(
+            {"words": [words.tobytes()], "before": [state.tobytes()], "state": pa.nulls(1, pa.binary())}
+        )
+        out = list(collocations._advance(tries, 2, False)(iter([given])))
+        batches += [b for b in out if b.column("shard").null_count == 0]
+        for s in state[:-1][state[:-1] > 0]:
+            for _, trie in tries:
+                number = int(trie.value[1][s - 1])
+                plain[number] = plain.get(number, 0) + 1
+    found = [row for b in collocations._sum_slices(iter(batches)) for row in b.to_pylist()]
+    assert {r["state"]: r["a"] for r in found} == plain and len(found) == len(plain)
