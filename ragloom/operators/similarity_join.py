@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.scale import cut_lineage
-from ragloom.operators.dense import BLOCK_VECTORS, SCORE_DIGITS, _arrow_type, _batch, _unit
+from ragloom.operators.dense import BLOCK_VECTORS, SCORE_DIGITS, _arrow_type, _unit
 
 #: Pivots at most, the sectors of the angle to a pivot in which vectors are counted, and blocks compared at once.
 PIVOTS = 128
 RINGS = 256
 SLAB_BLOCKS = 512
-#: Rows that a task of packed blocks or of block pairs should have: about 64 MB of vectors.
-TASK_BLOCKS = 64
+#: Blocks that a task packs, and that a band holds on average: about 16 MB of vectors.
+TASK_BLOCKS = 16
+#: Bands at least (if there are as many blocks), and tasks that multiply pairs of bands at most.
+BANDS = 16
+BAND_TASKS = 4_096
+#: Rows and columns of a block pair that are multiplied at once.
+TILE_ROWS, TILE_COLUMNS = 256, 2_048
 #: Added to the widest angle of a similar pair, against the rounding of angles (radians).
 SLACK = 2e-6
 #: Blocks of a cell have numbers from cell * CELL on.
@@ -184,6 +189,21 @@ def block_pairs(
     return blocks, cut_lineage(chosen)
 
 
+def banded(pairs: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """(low, high, block, partners) for the pairs among `count` blocks, and the number of bands.
+
+    Blocks are dealt to bands and a task multiplies two bands, so a block is shuffled once per band at most and not once
+    per block that it meets. A block is multiplied with its partners there; one without partners is there for others.
+    """
+    bands = max(min(BANDS, count), -(-count // TASK_BLOCKS))
+    left, right = F.col("left_block"), F.col("block")
+    one, other = (F.pmod(F.xxhash64(x), F.lit(bands)).cast("int") for x in (left, right))
+    side = lambda block, partner: F.struct(block.alias("block"), partner.alias("partner"))
+    sides = F.inline(F.array(side(left, right), side(right, F.lit(None).cast("long"))))
+    keyed = pairs.select(F.least(one, other).alias("low"), F.greatest(one, other).alias("high"), sides)
+    return keyed.groupBy("low", "high", "block").agg(F.collect_list("partner").alias("partners")), bands
+
+
 def similar_pairs(vectors: DataFrame, key: str, threshold: float, rows: int = BLOCK_VECTORS) -> DataFrame:
     """All pairs a < b with cosine similarity of at least `threshold`: (a, b, similarity).
 
@@ -196,29 +216,55 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float, rows: int = BL
     if dealt is None:
         return vectors.sparkSession.createDataFrame([], schema)
     blocks, pairs = dealt
-    left = blocks.select(F.col("block").alias("left_block"), "ids", "flat")
-    right = blocks.select("block", F.col("ids").alias("other_ids"), F.col("flat").alias("other_flat"))
+    int_key = key_type != "string"
     types = _arrow_type(vectors, key), _arrow_type(vectors, key)
 
+    needed, bands = banded(pairs, blocks.count())
+
+    def keys_of(ids: pa.Array) -> np.ndarray:
+        return ids.to_numpy(zero_copy_only=False) if int_key else np.array(ids.to_pylist())
+
+    def products(met: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        for block, (all_ids, all_units, partners) in met.items():
+            for partner in partners:
+                same = partner == block
+                for i in range(0, len(all_ids), TILE_ROWS):
+                    one_ids, a = all_ids[i : i + TILE_ROWS], all_units[i : i + TILE_ROWS]
+                    for j in range(0, len(met[partner][0]), TILE_COLUMNS):
+                        other_ids, b = (x[j : j + TILE_COLUMNS] for x in met[partner][:2])
+                        similarity = np.round(a @ b.T, SCORE_DIGITS)
+                        hit = similarity >= threshold
+                        if same:
+                            hit &= one_ids[:, None] < other_ids[None, :]
+                        x, y = np.nonzero(hit)
+                        one, other = one_ids[x], other_ids[y]
+                        different = one != other
+                        x, y, one, other = x[different], y[different], one[different], other[different]
+                        if len(x):
+                            low, high = np.where(one < other, one, other), np.where(one < other, other, one)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(low, types[0]), pa.array(high, types[1]), pa.array(similarity[x, y])],
+                                names=["a", "b", "similarity"],
+                            )
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, met = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                one_ids = np.array(batch.column("ids")[i].as_py())
-                other_ids = np.array(batch.column("other_ids")[i].as_py())
-                a = _unit(batch.column("flat")[i].values, len(one_ids))
-                b = _unit(batch.column("other_flat")[i].values, len(other_ids))
-                similarity = np.round(a @ b.T, SCORE_DIGITS)
-                hit = similarity >= threshold
-                if batch.column("left_block")[i].as_py() == batch.column("block")[i].as_py():
-                    hit &= one_ids[:, None] < other_ids[None, :]
-                x, y = np.nonzero(hit)
-                one, other = one_ids[x], other_ids[y]
-                different = one != other
-                x, y, one, other = x[different], y[different], one[different], other[different]
-                low, high = np.where(one < other, one, other), np.where(one < other, other, one)
-                yield _batch(low.tolist(), high.tolist(), similarity[x, y].tolist(), types, ["a", "b", "similarity"])
-
-    # The work is in the products, not in the bytes of the blocks, so the tasks are counted by pairs.
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_BLOCKS))
-    met = pairs.join(left, "left_block").join(right, "block")
-    return met.repartition(tasks, "left_block", "block").mapInArrow(multiply, schema)
+                own = batch.column("low")[i].as_py(), batch.column("high")[i].as_py()
+                if own != pair:
+                    yield from products(met)
+                    pair, met = own, {}
+                ids = keys_of(batch.column("ids")[i].values).copy()
+                unit = _unit(batch.column("flat")[i].values, len(ids))
+                met[batch.column("block")[i].as_py()] = ids, unit, batch.column("partners")[i].as_py()
+        yield from products(met)
+
+    wanted = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(wanted, min(bands * (bands + 1) // 2, BAND_TASKS))
+    return (
+        needed.join(blocks.select("block", "ids", "flat"), "block")
+        .repartition(tasks, "low", "high")
+        .sortWithinPartitions("low", "high")
+        .mapInArrow(multiply, schema)
+    )

@@ -175,6 +175,25 @@ def test_blocks_meet_only_where_pivots_allow(spark, monkeypatch, threshold, slab
         assert tested < 0.3 * len(m) * (len(m) - 1) / 2
 
 
+def test_blocks_that_all_meet_are_sent_once_per_band(spark):
+    number = spark.range(200)
+    pairs = number.select(F.col("id").alias("left_block")).join(number.select(F.col("id").alias("block")), F.col("left_block") <= F.col("block"))
+    sides, bands = similarity_join.banded(pairs, 200)
+    rows = sides.collect()
+    assert len(rows) <= 200 * bands < 2 * 20_100 / 10
+    place = {(r["low"], r["high"], r["block"]) for r in rows}
+    met = sorted((r["block"], p) for r in rows for p in r["partners"] if (r["low"], r["high"], p) in place)
+    assert met == [(i, j) for i in range(200) for j in range(i, 200)]
+
+
+def test_similar_copies_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(similarity_join, "TILE_ROWS", 7)
+    monkeypatch.setattr(similarity_join, "TILE_COLUMNS", 11)
+    table = spark.range(60).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    found = similarity_join.similar_pairs(table, "id", 0.9, rows=25).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
 def test_similar_pairs_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, [0.0, 0.0])], [(1, [1.0, 0.0]), (1, [1.0, 0.0])]):
         table = spark.createDataFrame(rows, "node_id long, embedding array<double>")
