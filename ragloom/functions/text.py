@@ -33,7 +33,7 @@ def strip(text: Column) -> Column:
 
 def blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(F.length(strip(text)), F.lit(0)) == 0
+    return ~F.coalesce(F.rlike(text, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def or_null(text: Column) -> Column:
@@ -43,8 +43,10 @@ def or_null(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Drop soft hyphens, re-join words split at a line end, strip blanks before a newline."""
-    joined = F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), r"(?U)-\n(\w)", "$1")
-    return F.regexp_replace(joined, r"[ \t]+\n", "\n")
+    bare = F.replace(text, F.lit("­"), F.lit(""))
+    joined = F.regexp_replace(bare, r"(?U)-\n(\w)", "$1")
+    # Both patterns need a newline, which most lines don't have.
+    return F.when(F.contains(bare, F.lit("\n")), F.regexp_replace(joined, r"[ \t]+\n", "\n")).otherwise(bare)
 
 
 def joined_in_order(order: Column, text: Column, separator: str) -> Column:

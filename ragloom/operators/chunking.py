@@ -211,18 +211,24 @@ def split_long_segments(
     block by block over many tasks. The lengths are read several times, so they should come from a stored table.
     """
     rows = lengths.select("document_id", "seg", "idx", F.col("length").cast("long").alias("length"))
-    sizes = rows.groupBy("document_id", "seg").agg((F.count(F.lit(1)) > BLOCK_ROWS).alias("_hot"))
-    tagged = rows.join(sizes, ["document_id", "seg"])
+    keys = ["document_id", "seg"]
+    rows = rows.dropna(subset=keys)
+    # One segment per BLOCK_ROWS rows at most.
+    hot = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK_ROWS).select(*keys))
+    some = not hot.isEmpty()
     ordered = (
-        tagged.filter(~F.col("_hot")).drop("_hot")
-        .repartition("document_id", "seg")
-        .sortWithinPartitions("document_id", "seg", "idx")
+        (rows.join(F.broadcast(hot), keys, "left_anti") if some else rows)
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "idx")
     )
     kind = lengths.schema["document_id"].dataType.simpleString()
     short = ordered.mapInPandas(
         _pack(max_chars, soft_chars, separator), f"document_id {kind}, seg long, idx long, part long"
     )
-    return short.unionByName(_split_hot(tagged.filter("_hot").drop("_hot"), max_chars, soft_chars, separator))
+    if not some:
+        return short
+    long_rows = cut_lineage(rows.join(F.broadcast(hot), keys, "left_semi"))
+    return short.unionByName(_split_hot(long_rows, max_chars, soft_chars, separator))
 
 
 def merge_metadata(separator: str = SEPARATOR) -> list[Column]:

@@ -26,9 +26,13 @@ def clean_elements(elements: DataFrame) -> DataFrame:
 
 def tag_roles(elements: DataFrame, hints: Sequence[str] = ROLE_HINTS) -> DataFrame:
     """Add `roles`, the hints contained in the upper-cased text."""
+    none = F.array().cast("array<string>")
+    if not hints:
+        return elements.withColumn("roles", none)
+    # Outside a lambda the upper-cased text is computed once a row and not once a hint.
     upper = F.upper(F.coalesce("text", F.lit("")))
-    found = F.filter(F.array(*[F.lit(h) for h in hints]), lambda hint: F.contains(upper, hint))
-    return elements.withColumn("roles", found)
+    found = [F.when(F.contains(upper, F.lit(hint)), F.array(F.lit(hint))).otherwise(none) for hint in hints]
+    return elements.withColumn("roles", F.flatten(F.array(*found)))
 
 
 def _cell_text(cell: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import cut_lineage
 from ragloom.functions.text import clean
 from ragloom.operators import chunking, chunks, elements
 from ragloom.plans import datasets as data
@@ -168,7 +169,7 @@ def chunk_semantic(spark, d) -> DataFrame:
 def split_long_segments(spark, d) -> DataFrame:
     prepared = _prepared(spark, d)
     breaks = prepared.filter((F.col("idx") > 0) & (F.col("idx") % 20 == 0)).select("document_id", "idx")
-    return chunking.split_long_segments(chunking.segments(prepared, breaks), 400)
+    return chunking.split_long_segments(cut_lineage(chunking.segments(prepared, breaks)), 400)
 
 
 _TITLED = f"""{LINES}, brk AS (SELECT document_id, idx FROM els WHERE title), {_SEGMENTED},

@@ -153,3 +153,23 @@ def test_hot_segment_equals_one_pass(spark, soft, limit):
     frame = spark.createDataFrame(rows, "document_id long, seg long, idx long, length long")
     found = chunking.split_long_segments(frame, limit, soft).collect()
     assert {r["idx"]: r["part"] for r in found} == expected and len(found) == len(rows)
+
+
+def test_roles_are_found_outside_a_lambda(spark):
+    rows = spark.createDataFrame([("der Senat und das Dekanat",), (None,), ("x",)], "text string")
+    tagged = elements.tag_roles(rows)
+    assert [r["roles"] for r in tagged.collect()] == [["DEKANAT", "SENAT"], [], []]
+    assert "lambda" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert elements.tag_roles(rows, []).first()["roles"] == []
+
+
+def test_short_segments_are_packed_without_blocks(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("no segment is longer than a block")
+
+    monkeypatch.setattr(chunking, "_split_hot", never)
+    rows = spark.range(30).select(
+        F.lit(1).alias("document_id"), F.floor(F.col("id") / 10).alias("seg"), F.col("id").alias("idx"), F.lit(4).alias("length")
+    )
+    parts = {r["idx"]: r["part"] for r in chunking.split_long_segments(rows, 10).collect()}
+    assert parts == {i: i % 10 // 2 for i in range(30)}
