@@ -6,6 +6,7 @@ Run columns are called `run` here: an id or a name.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,10 +31,15 @@ SEED = 42
 LEVELS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
 NO_DELTA = 0.001
 
-#: Differences that are sent to the tasks at once, iterations of one task, and draws that a task holds.
+#: Differences that are collected at once, slices of these for which a task draws once, and iterations of one task.
 SLICE_DIFFS = 2_000_000
-TASK_ITERATIONS = 256
+PASS_SLICES = 4
+TASK_ITERATIONS = 64
+#: Counts that a task holds unless STEP_ITERATIONS take more, draws of one iteration it has at once, and digests together.
 HELD_DRAWS = 2_000_000
+STEP_ITERATIONS = 8
+DRAWN = 1 << 18
+DIGESTS = 1 << 13
 
 # Metric groups with their primary metric, and metrics of which less is better.
 METRIC_GROUPS = {
@@ -143,15 +149,18 @@ def paired_bootstrap(
         .withColumn("part", F.floor(F.col("idx") / SLICE_DIFFS).cast("long"))
     )
     slices = max(1, -(-numbered.count() // SLICE_DIFFS))
-    sums = None
+    sent = []
     for number in range(slices):
         # About SLICE_DIFFS rows: a pair's differences beyond that are cut by number.
         own = numbered.filter(F.pmod(F.xxhash64("pair", "part"), F.lit(slices)) == number).drop("part").toPandas()
         if len(own):
-            grid = scores.sparkSession.range(0, iters, TASK_ITERATIONS, -(-iters // TASK_ITERATIONS))
-            shared = scores.sparkSession.sparkContext.broadcast(_matrices(own))
-            part = grid.mapInArrow(_iteration_sums(shared, iters, seed), "pair long, n long, i long, total double")
-            sums = part if sums is None else sums.unionByName(part)
+            sent.append(scores.sparkSession.sparkContext.broadcast(_matrices(own)))
+    sums = None
+    for first in range(0, len(sent), PASS_SLICES):
+        grid = scores.sparkSession.range(0, iters, TASK_ITERATIONS, -(-iters // TASK_ITERATIONS))
+        drawn = _iteration_sums(sent[first : first + PASS_SLICES], iters, seed)
+        part = grid.mapInArrow(drawn, "pair long, n long, i long, total double")
+        sums = part if sums is None else sums.unionByName(part)
     if sums is None:
         sums = scores.sparkSession.createDataFrame([], "pair long, n long, i long, total double")
     if slices > 1:
@@ -186,26 +195,83 @@ def _matrices(rows) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return found
 
 
-def _iteration_sums(shared, iters: int, seed: int):
+class _Draws:
+    """First four bytes, as a big-endian number, of md5("seed:i:j") for one i and neighbouring j at a time."""
+
+    def __init__(self, seed: int, low: int, high: int):
+        self.seed, self.numbers, self.blocks = seed, [b"%d" % j for j in range(low, high)], {}
+
+    def _block(self, lead: int) -> np.ndarray:
+        """The padded messages, which are one md5 block each, with room for `lead` bytes in front."""
+        if lead not in self.blocks:
+            raw = b"".join(
+                bytes(lead) + n + b"\x80" + bytes(55 - lead - len(n)) + (8 * (lead + len(n))).to_bytes(8, "little")
+                for n in self.numbers
+            )
+            self.blocks[lead] = np.frombuffer(bytearray(raw), np.uint8).reshape(-1, 64)
+        return self.blocks[lead]
+
+    def of(self, i: int) -> np.ndarray:
+        lead = b"%d:%d:" % (self.seed, i)
+        if len(lead) + len(self.numbers[-1]) > 55:  # more than one md5 block
+            heads = [hashlib.md5(lead + n).digest()[:4] for n in self.numbers]
+            return np.frombuffer(b"".join(heads), ">u4").astype(np.int64)
+        block = self._block(len(lead))
+        block[:, : len(lead)] = np.frombuffer(lead, np.uint8)
+        return np.concatenate([_md5_heads(block[k : k + DIGESTS]) for k in range(0, len(block), DIGESTS)]).astype(np.int64)
+
+
+def _md5_heads(block: np.ndarray) -> np.ndarray:
+    """First four bytes of the digests of padded messages, one row each."""
+    words = np.ascontiguousarray(block.view("<u4").T)
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _MD5_START)
+    for k in range(64):
+        if k < 16:
+            mixed, word = d ^ (b & (c ^ d)), k
+        elif k < 32:
+            mixed, word = c ^ (d & (b ^ c)), (5 * k + 1) % 16
+        elif k < 48:
+            mixed, word = b ^ c ^ d, (3 * k + 5) % 16
+        else:
+            mixed, word = c ^ (b | ~d), 7 * k % 16
+        mixed += a
+        mixed += words[word]
+        mixed += _MD5_SINES[k]
+        turn = _MD5_TURNS[k // 16][k % 4]
+        a, d, c, b = d, c, b, b + ((mixed << turn) | (mixed >> (32 - turn)))
+    return (a + np.uint32(_MD5_START[0])).byteswap()
+
+
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_SINES = np.array([int(abs(math.sin(k + 1)) * 2**32) for k in range(64)], np.uint32)
+_MD5_TURNS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32)
+
+
+def _iteration_sums(shared: list, iters: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrices = shared.value
+        matrices = [m for one in shared for m in one.value]
         most = max(n for n, *_ in matrices)
-        step = max(1, HELD_DRAWS // most)
+        # Counts of all matrices are held for some iterations; draws come in pieces.
+        step = max(STEP_ITERATIONS, HELD_DRAWS // sum(len(m) for *_, m in matrices))
+        pieces = range(0, most, DRAWN)
+        kept = _Draws(seed, 0, most) if len(pieces) == 1 else None
         for batch in batches:
             for first in batch.column("id").to_pylist():
                 end = min(first + TASK_ITERATIONS, iters)
                 for low in range(first, end, step):
                     high = min(low + step, end)
-                    drawn = np.array([
-                        int.from_bytes(hashlib.md5(b"%d:%d:%d" % (seed, i, j)).digest()[:4], "big")
-                        for i in range(low, high) for j in range(most)
-                    ], np.int64).reshape(high - low, most)
-                    for n, start, pairs, matrix in matrices:
-                        at = drawn[:, :n] % n - start
-                        inside = (at >= 0) & (at < len(matrix))
-                        cell = at + len(matrix) * np.arange(high - low)[:, None]
-                        times = np.bincount(cell[inside], minlength=(high - low) * len(matrix)).reshape(high - low, -1)
-                        sums = times.astype(float) @ matrix
+                    times = [np.zeros((high - low, len(m)), np.int32) for *_, m in matrices]
+                    for begin in pieces:
+                        draws = kept or _Draws(seed, begin, min(begin + DRAWN, most))
+                        for i in range(low, high):
+                            drawn = draws.of(i)
+                            for (n, start, _, matrix), held in zip(matrices, times, strict=True):
+                                at = drawn[: max(0, n - begin)] % n - start
+                                if start or len(matrix) < n:
+                                    at = at[(at >= 0) & (at < len(matrix))]
+                                held[i - low] += np.bincount(at, minlength=len(matrix)).astype(np.int32)
+                    for (n, _, pairs, matrix), held in zip(matrices, times, strict=True):
+                        sums = held.astype(float) @ matrix
                         count = sums.size
                         yield pa.RecordBatch.from_arrays(
                             [

@@ -1,5 +1,9 @@
 """Edge cases of metrics, judges, statistics, conversation rules and the knowledge graph."""
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -143,3 +147,34 @@ def test_overlap_with_a_hot_item_against_brute_force(spark, monkeypatch):
             (i, j): sorted(items[i] & items[j]) for i in items for j in items if i < j and len(items[i] & items[j]) >= least
         }
         assert found == expected
+
+
+def test_draws_are_md5_in_pieces(monkeypatch):
+    monkeypatch.setattr(statistics, "DIGESTS", 100)
+    for seed, i, low, high in ((42, 0, 0, 1_234), (42, 9_999, 995, 1_010), (10**50, 3, 0, 20)):
+        expected = [
+            int.from_bytes(hashlib.md5(b"%d:%d:%d" % (seed, i, j)).digest()[:4], "big") for j in range(low, high)
+        ]
+        assert statistics._Draws(seed, low, high).of(i).tolist() == expected
+
+
+def test_slices_share_their_draws(monkeypatch):
+    """Two slices of one pair: each number is drawn once per iteration, in pieces, whatever the slices are."""
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    made = []
+    draw = statistics._Draws.of
+    monkeypatch.setattr(statistics._Draws, "of", lambda self, i: made.append(len(self.numbers)) or draw(self, i))
+    monkeypatch.setattr(statistics, "DRAWN", 30)
+    values, pairs = np.arange(100.0)[:, None], np.array([5])
+    sent = [Sent([(100, 0, pairs, values[:60])]), Sent([(100, 60, pairs, values[60:])])]
+    batches = statistics._iteration_sums(sent, 10, 42)(iter([pa.RecordBatch.from_arrays([pa.array([0])], ["id"])]))
+    total = {}
+    for r in pa.Table.from_batches(batches).to_pylist():
+        total[r["i"]] = total.get(r["i"], 0) + r["total"]
+    assert sum(made) == 10 * 100
+    for i in range(10):
+        drawn = [int.from_bytes(hashlib.md5(b"42:%d:%d" % (i, j)).digest()[:4], "big") % 100 for j in range(100)]
+        assert total[i] == sum(drawn)
