@@ -710,3 +710,34 @@ def test_counts_of_tasks_are_summed_by_slices():
                 plain[number] = plain.get(number, 0) + 1
     found = [row for b in collocations._sum_slices(iter(batches)) for row in b.to_pylist()]
     assert {r["state"]: r["a"] for r in found} == plain and len(found) == len(plain)
+
+
+def test_counts_of_words_and_neighbours_travel_as_arrays(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 64)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"W{n}\u00e4" for n in rng.zipf(1.5, 300).clip(0, 400)) + f". {n}" for n in range(20)]
+    langs = ["en", "de"] * 10
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    batch = pa.RecordBatch.from_arrays([column, pa.array(langs)], ["text", "lang"])
+    out = pa.Table.from_batches(collocations._read_texts(4)(iter([batch, batch])))
+    rows = out.filter(pa.compute.is_null(out.column("words")))
+    assert len(rows) <= 2 * 4 * 2 and out.num_rows - len(rows) >= 2  # languages, buckets, batches
+    want = collections.Counter((lang, w.lower()) for t, lang in zip(texts, langs) for w in t.replace(".", " ").split() * 2)
+    assert sum(rows.column("total").to_pylist()) == sum(want.values())
+    got = {}
+    for bucket in set(rows.column("bucket").to_pylist()):
+        for r in collocations._sum_words(10)(rows.filter(pa.compute.equal(rows.column("bucket"), bucket))).to_pylist():
+            assert (r["lang"], r["word"].decode()) not in got
+            got[r["lang"], r["word"].decode()] = r["a"]
+    assert got == {k: n for k, n in want.items() if n >= 10}
+
+    states = [rng.integers(0, 40, 500).astype(np.int32) for _ in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in states], pa.binary())], ["state"])
+    out = pa.Table.from_batches(collocations._neighbours(3)(iter([batch])))
+    pairs = collections.Counter((a, b) for s in states for a, b in zip(s.tolist(), s[1:].tolist()) if a and b)
+    assert 3 < len(out) <= 3 * 6  # handed on inside a batch, one row a bucket
+    got = set()
+    for bucket in range(3):
+        summed = collocations._sum_pairs(3)(out.filter(pa.compute.equal(out.column("bucket"), bucket)))
+        got |= {(r["prefix"], r["suffix"]) for r in summed.to_pylist()}
+    assert got == {k for k, n in pairs.items() if n >= 3}
