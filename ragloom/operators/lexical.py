@@ -30,6 +30,8 @@ SCORE_DIGITS = 9
 
 #: Terms of queries that are sent to the tasks at once.
 SLICE_TERMS = 200_000
+#: Queries scored together in a block.
+QUERY_SLICE = 256
 #: Chunks of a block, blocks that share a folder, and blocks each query reads before it chooses among the others.
 BLOCK_CHUNKS = 64
 SHELF_BLOCKS = 64
@@ -44,7 +46,8 @@ class TextIndex(NamedTuple):
     @property
     def terms(self) -> DataFrame:
         """(block, term, chunks that have it, total_tf)"""
-        return self.blocks.select("block", F.inline(F.arrays_zip(F.col("terms").alias("term"), "chunks", "total_tf")))
+        term = F.when(F.length("terms") > 0, F.split("terms", " ")).otherwise(F.array().cast("array<string>"))
+        return self.blocks.select("block", F.inline(F.arrays_zip(term.alias("term"), "chunks", "total_tf")))
 
     @property
     def documents(self) -> DataFrame:
@@ -71,17 +74,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, row = np.divmod(key, BLOCK_CHUNKS)
             first = np.flatnonzero(np.diff(code, prepend=-1))
             columns = [_lists(part.column(n), [part.num_rows]) for n in range(3)] + [_lists(pa.array(length), [part.num_rows])]
-            of_terms = [
-                coded.dictionary.take(pa.array(code[first])), pa.array(np.diff(np.append(first, len(code)))),
-                *[
-                    pa.array(fold.reduceat(x, first) if len(first) else x[:0])
-                    for fold, x in ((np.add, tf), (np.maximum, tf), (np.minimum, length[row] / tf))
-                ],
-            ]
+            total, most, ratio = (
+                fold.reduceat(x, first) if len(first) else x[:0]
+                for fold, x in ((np.add, tf), (np.maximum, tf), (np.minimum, length[row] / tf))
+            )
+            having = np.diff(np.append(first, len(code)))
+            # Words hold no space: as one string they are read and written at a fraction of the time.
+            joined = pa.compute.binary_join(_lists(coded.dictionary.take(pa.array(code[first])), [len(first)]), " ")
+            counts = [_lists(pa.array(x), [len(first)]) for x in (having, total)]
+            numbers = having, most, ratio, row, tf
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(task << 32) | number]), *columns, *[_lists(x, [len(first)]) for x in of_terms],
-                    pa.array([row.astype(np.uint16).tobytes()]), pa.array([tf.astype(np.int32).tobytes()]),
+                    pa.array([(task << 32) | number]), *columns, joined, *counts,
+                    *[pa.array([x.astype(kind).tobytes()]) for x, kind in zip(numbers, _PACKED.values(), strict=True)],
                     pa.array([(task << 32) | (number // SHELF_BLOCKS)]),
                 ],
                 _BLOCK,
@@ -89,16 +94,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
-_BLOCK = [
-    "block", "chunk_id", "process_name", "tags", "length", "terms", "chunks", "total_tf", "most_tf", "least_ratio", "rows",
-    "tfs", "shelf",
-]
+#: What only searches read, as the bytes of numbers.
+_PACKED = {"having": np.int32, "most_tf": np.int32, "least_ratio": np.float64, "rows": np.uint16, "tfs": np.int32}
+_BLOCK = ["block", "chunk_id", "process_name", "tags", "length", "terms", "chunks", "total_tf", *_PACKED, "shelf"]
+
+
+def _terms(batch: pa.RecordBatch, n: int) -> pa.Array:
+    joined = batch.column("terms").slice(n, 1)
+    return pa.compute.split_pattern(joined, " ").values if joined[0].as_py() else pa.array([], pa.string())
+
+
+def _packed(batch: pa.RecordBatch, name: str, n: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[n].as_buffer(), _PACKED[name])
 
 
 def _block_schema(chunks: DataFrame) -> T.StructType:
     own = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in chunks.schema.fields[:3]]
-    long, double, text = (T.ArrayType(t()) for t in (T.LongType, T.DoubleType, T.StringType))
-    kinds = [long, text, long, long, long, double, T.BinaryType(), T.BinaryType(), T.LongType()]
+    long = T.ArrayType(T.LongType())
+    kinds = [long, T.StringType(), long, long, *[T.BinaryType()] * len(_PACKED), T.LongType()]
     return T.StructType([
         T.StructField("block", T.LongType()), *own, *[T.StructField(n, k) for n, k in zip(_BLOCK[4:], kinds, strict=True)]
     ])
@@ -228,6 +241,8 @@ class Asked:
             (p if isinstance(p, str) else None, frozenset(t) if t is not None and len(t) else None)
             for p, t in zip(one["_process"], one["_tags"], strict=True)
         ]
+        numbers = {own: n for n, own in enumerate(dict.fromkeys(self.filters))}
+        self.filter = np.array([numbers[own] for own in self.filters], np.int64)
         self.weight = self.qtf
         self.least = np.full(len(self.queries), -np.inf)
         self.read: dict[int, list[int]] = {}
@@ -255,37 +270,43 @@ class Asked:
 
     def reach(self, batch: pa.RecordBatch, n: int) -> np.ndarray:
         """The most that each query can score in a block."""
-        at, number = self.matched(batch.column("terms")[n].values)
-        most, ratio = (batch.column(c)[n].values.to_numpy()[at] for c in ("most_tf", "least_ratio"))
+        at, number = self.matched(_terms(batch, n))
+        most, ratio = (_packed(batch, c, n)[at] for c in ("most_tf", "least_ratio"))
         of, row = self.spread(number)
         # Sums of doubles may differ in their last digits.
         return np.bincount(self.query[row], self.weight[row] * self.part(most, ratio)[of], len(self.queries)) + 1e-6
 
-    def scores(self, batch: pa.RecordBatch, n: int, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query number, chunk numbers, scores) in a block, for the wanted queries."""
-        at, number = self.matched(batch.column("terms")[n].values)
-        chunks = batch.column("chunks")[n].values.to_numpy()
-        rows = np.frombuffer(batch.column("rows")[n].as_buffer(), np.uint16).astype(np.int64)
-        tfs = np.frombuffer(batch.column("tfs")[n].as_buffer(), np.int32)
-        length = batch.column("length")[n].values.to_numpy()
-        sizes, first = chunks[at], (np.cumsum(chunks) - chunks)[at]
-        term = np.repeat(np.arange(len(at)), sizes)
-        place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[term]
-        share = self.part(tfs[place], length[rows[place]] / tfs[place])
-        ends = np.cumsum(sizes)
+    def scores(self, batch: pa.RecordBatch, n: int, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query numbers, their scores of all chunks) in a block, for the wanted queries; 0 where a chunk has no term."""
+        at, number = self.matched(_terms(batch, n))
         of, row = self.spread(number)
         keep = wanted[self.query[row]]
         of, row = of[keep], row[keep]
-        order = np.argsort(self.query[row], kind="stable")
-        of, row = of[order], row[order]
-        cuts = np.flatnonzero(np.diff(self.query[row], prepend=-1))
-        for low, high in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
-            own = of[low:high]
-            hits = np.concatenate([np.arange(ends[t] - sizes[t], ends[t]) for t in own])
-            weights = np.repeat(self.weight[row[low:high]], sizes[own])
-            found = np.bincount(rows[place[hits]], weights * share[hits], len(length))
-            have = np.flatnonzero(np.bincount(rows[place[hits]], minlength=len(length)))
-            yield int(self.query[row[low]]), have, np.round(found[have], SCORE_DIGITS)
+        used, of = np.unique(of, return_inverse=True)
+        chunks = _packed(batch, "having", n).astype(np.int64)
+        rows, tfs = _packed(batch, "rows", n).astype(np.int64), _packed(batch, "tfs", n)
+        length = batch.column("length")[n].values.to_numpy()
+        sizes, first = chunks[at[used]], (np.cumsum(chunks) - chunks)[at[used]]
+        term = np.repeat(np.arange(len(used)), sizes)
+        place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[term]
+        shares = np.zeros((len(used), len(length)))
+        shares[term, rows[place]] = self.part(tfs[place], length[rows[place]] / tfs[place])
+        queries, query = np.unique(self.query[row], return_inverse=True)
+        for start in range(0, len(queries), QUERY_SLICE):
+            own = queries[start : start + QUERY_SLICE]
+            mine = np.flatnonzero((query >= start) & (query < start + QUERY_SLICE))
+            cell = (query[mine] - start) * len(used) + of[mine]
+            weights = np.bincount(cell, self.weight[row[mine]], len(own) * len(used)).reshape(len(own), len(used))
+            yield own, weights @ shares
+
+    def passing(self, process: list, tags: list, queries: np.ndarray) -> np.ndarray:
+        """Which chunks of a block pass the filters of the queries."""
+        process, tags, masks = np.array(process, object), np.array(tags, object), {}
+        for query in queries[np.unique(self.filter[queries], return_index=True)[1]]:
+            own = self.filters[query]
+            fine = np.ones(len(process), bool) if own[0] is None else process == own[0]
+            masks[self.filter[query]] = fine if own[1] is None else fine & np.array([t in own[1] for t in tags], bool)
+        return np.array([masks[number] for number in self.filter[queries]], bool).reshape(len(queries), len(process))
 
 
 def _frequencies(asked: Asked):
@@ -293,8 +314,8 @@ def _frequencies(asked: Asked):
         having = np.zeros(len(asked.terms) + 2, np.int64)  # and all chunks and words
         for batch in batches:
             for n in range(batch.num_rows):
-                at, number = asked.matched(batch.column("terms")[n].values)
-                having[number] += batch.column("chunks")[n].values.to_numpy()[at]
+                at, number = asked.matched(_terms(batch, n))
+                having[number] += _packed(batch, "having", n)[at]
                 length = batch.column("length")[n].values.to_numpy()
                 having[-2:] += len(length), length.sum()
         found = np.flatnonzero(having)
@@ -343,31 +364,36 @@ def _within_reach(asked: Asked):
 
 
 def _scored(asked: Asked, early: bool, names: list[str], kinds: list[pa.DataType]):
-    """The `k` best chunks of each query in the blocks it reads: `early` those noted, else the others within its reach."""
+    """The `k` best chunks of each query in the blocks it reads: `early` those noted, else the others within its reach.
+
+    What a query has found in the task raises its threshold there, for hits and for blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple]] = {}
+        least = np.full(len(asked.queries), -np.inf) if early else asked.least.copy()
         for batch in batches:
             for n in range(batch.num_rows):
                 noted = asked.read.get(batch.column("block")[n].as_py(), [])
-                wanted = np.zeros(len(asked.queries), bool) if early else asked.reach(batch, n) >= np.maximum(asked.least, 2e-6)
+                wanted = np.zeros(len(asked.queries), bool) if early else asked.reach(batch, n) >= np.maximum(least, 2e-6)
                 wanted[noted] = early
                 if not wanted.any():
                     continue
-                ids = batch.column("chunk_id")[n].values.to_pylist()
-                process, tags = (np.array(batch.column(c)[n].values.to_pylist(), object) for c in ("process_name", "tags"))
-                masks: dict[tuple, np.ndarray] = {}
-                for query, have, scores in asked.scores(batch, n, wanted):
-                    own = asked.filters[query]
-                    if own not in masks:
-                        fine = np.ones(len(ids), bool) if own[0] is None else process == own[0]
-                        masks[own] = fine if own[1] is None else fine & np.array([t in own[1] for t in tags], bool)
-                    fine = masks[own][have]
-                    held = best.setdefault(query, [])
-                    held += [(-s, ids[c]) for s, c in zip(scores[fine].tolist(), have[fine].tolist(), strict=True)]
-                    if len(held) > 4 * asked.k + BLOCK_CHUNKS:
-                        held.sort()
-                        del held[asked.k :]
+                ids, process, tags = (batch.column(c)[n].values for c in ("chunk_id", "process_name", "tags"))
+                process, tags = process.to_pylist(), tags.to_pylist()
+                for queries, found in asked.scores(batch, n, wanted):
+                    scores = np.round(found, SCORE_DIGITS)
+                    fine = (found > 0) & (scores >= least[queries][:, None]) & asked.passing(process, tags, queries)
+                    hit, chunk = np.nonzero(fine)
+                    near = ids.take(pa.array(chunk)).to_pylist()
+                    for query, score, c in zip(queries[hit].tolist(), scores[hit, chunk].tolist(), near, strict=True):
+                        best.setdefault(query, []).append((-score, c))
+                    for query in set(queries[hit].tolist()):
+                        held = best[query]
+                        if len(held) >= (2 if least[query] > -np.inf else 1) * asked.k:
+                            held.sort()
+                            del held[asked.k :]
+                            least[query] = max(least[query], -held[-1][0])
         rows = [(asked.queries[q], c, -s) for q, held in best.items() for s, c in sorted(held)[: asked.k]]
         columns = zip(*rows, strict=True) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -379,7 +405,7 @@ def _search_blocks(blocks: DataFrame, asked: Asked, hits: T.StructType, order: l
     """The best `k` chunks of each query of the slice by the text field."""
     names, kinds = hits.names, [to_arrow_type(f.dataType) for f in hits.fields]
     having = np.zeros(len(asked.terms) + 2)
-    frequencies = blocks.select("terms", "chunks", "length").mapInArrow(_frequencies(asked), "number long, chunks long")
+    frequencies = blocks.select("terms", "having", "length").mapInArrow(_frequencies(asked), "number long, chunks long")
     for row in frequencies.groupBy("number").agg(F.sum("chunks").alias("chunks")).collect():  # one row per term
         having[row["number"]] = row["chunks"]
     asked.weigh(having[:-2], *having[-2:])
@@ -390,13 +416,15 @@ def _search_blocks(blocks: DataFrame, asked: Asked, hits: T.StructType, order: l
     for row in probed:
         asked.read.setdefault(row["block"], []).append(row["query"])
     nearby = blocks.filter(F.col("shelf").isin(sorted({r["shelf"] for r in probed})) & F.col("block").isin(sorted(asked.read)))
-    early = cut_lineage(top_k(nearby.mapInArrow(_scored(asked, True, names, kinds), hits), ["query_pk"], order, asked.k).drop("rank"))
+    read = [c for c in _BLOCK if c not in ("chunks", "total_tf", "shelf")]
+    found = nearby.select(*read).mapInArrow(_scored(asked, True, names, kinds), hits)
+    early = cut_lineage(top_k(found, ["query_pk"], order, asked.k).drop("rank"))
     known = early.groupBy("query_pk").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     for row in known.filter(F.col("n") >= asked.k).collect():  # one row per query
         asked.least[np.searchsorted(asked.queries, row["query_pk"])] = row["least"]
     shelves = [r["shelf"] for r in bounds.mapInArrow(_within_reach(asked), "shelf long").distinct().collect()]
     near = blocks.filter(F.col("shelf").isin(shelves))
-    late = near.mapInArrow(_scored(asked, False, names, kinds), hits)
+    late = near.select(*read).mapInArrow(_scored(asked, False, names, kinds), hits)
     return early.unionByName(top_k(late, ["query_pk"], order, asked.k).drop("rank"))
 
 

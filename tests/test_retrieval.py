@@ -1,6 +1,11 @@
 """Search, fusion and reranking on small literals, and the paths taken by large query tables."""
 
+import math
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +252,42 @@ def test_confidence_levels(spark):
     rows = {r["query_pk"]: (r["confidence"], r["level"]) for r in fusion.answer_confidence(hits).collect()}
     assert rows[1] == (pytest.approx(1 / (1 + np.exp(-2.0))), "high")
     assert rows[2] == (1.0, "high") and rows[3] == (0.0, "low") and rows[4] == (None, "low")
+
+
+def test_a_task_leaves_out_blocks_below_what_a_filtered_query_has_found(monkeypatch):
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = [["alpha"] * 3 + ["beta"]] * 64 + [["alpha"] + ["filler"] * (20 + n % 9) for n in range(256)] + [[]] * 64
+    columns = [[f"c{n:03}" for n in range(384)], [f"p{n % 20}" for n in range(384)], ["en"] * 384]
+    given = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.list_(pa.string()))], list("abcd"))
+    blocks = list(lexical._counted(iter([given])))
+    assert len(blocks) == 6
+    asked = lexical.Asked(pd.DataFrame({
+        "query_pk": [7, 7, 9], "term": ["alpha", "beta", "filler"], "qtf": [1, 2, 1], "_process": ["p3", "p3", None],
+        "_tags": [None, ["en"], ["en", "de"]],
+    }), 3)
+    next(lexical._frequencies(asked)(iter(blocks)))
+    having = {w: sum(w in x for x in words) for w in ("alpha", "beta", "filler")}
+    asked.weigh(np.array([having[w] for w in asked.terms.to_pylist()]), 384, sum(map(len, words)))
+    scored, real = [], lexical.Asked.scores
+    monkeypatch.setattr(lexical.Asked, "scores", lambda self, b, n, w: scored.append(w.tolist()) or real(self, b, n, w))
+    monkeypatch.setattr(lexical, "QUERY_SLICE", 1)
+    kinds = [pa.int64(), pa.string(), pa.float64()]
+    (out,) = lexical._scored(asked, False, ["query_pk", "chunk_id", "score"], kinds)(iter(blocks + blocks[1:]))
+    assert [w[0] for w in scored].count(True) <= 3  # nine blocks have its word
+
+    mean = sum(map(len, words)) / 384
+    def brute(terms, fine):
+        found = []
+        for n, x in enumerate(words):
+            tf = {w: x.count(w) for w in terms if w in x}
+            score = sum(
+                3 * terms[w] * math.log(1 + (384 - having[w] + 0.5) / (having[w] + 0.5)) * c * 2.2
+                / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in tf.items()
+            )
+            if tf and fine(n):
+                found.append((-round(score, 9), f"c{n:03}"))
+        return sorted(found)[:3]
+
+    got = sorted((r["query_pk"], -r["score"], r["chunk_id"]) for r in out.to_pylist())
+    assert [g[1:] for g in got if g[0] == 7] == brute({"alpha": 1, "beta": 2}, lambda n: n % 20 == 3)
+    assert {g[2] for g in got if g[0] == 9} <= {c for _, c in brute({"filler": 1}, lambda n: True)}
