@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import cut_lineage, top_k
+from ragloom.functions.scale import cut_lineage, fits_broadcast, top_k
 from ragloom.functions.text import blank, joined_in_order, or_null
 from ragloom.operators.dense import vector_topk
 from ragloom.operators.lexical import TextIndex, bm25_topk
@@ -111,8 +111,13 @@ def search_modes(
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk columns for the surviving hits only; a hit without a chunk row disappears, ranks close up."""
+    """Chunk columns for the surviving hits only; a hit without a chunk row disappears, ranks close up.
+
+    The hits are stored first: as long as they are few they go to the chunks, whose texts are not shuffled then.
+    """
     wanted = "chunk_id text document_id file_name process_name tags page_number section_title title".split()
+    hits = cut_lineage(hits)
+    hits = F.broadcast(hits) if fits_broadcast(hits) else hits
     rows = hits.join(chunks.select(*[c for c in wanted if c in chunks.columns]), "chunk_id")
     title = or_null(F.col("title")) if "title" in chunks.columns else F.lit(None).cast("string")
     section = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")

@@ -291,3 +291,21 @@ def test_a_task_leaves_out_blocks_below_what_a_filtered_query_has_found(monkeypa
     got = sorted((r["query_pk"], -r["score"], r["chunk_id"]) for r in out.to_pylist())
     assert [g[1:] for g in got if g[0] == 7] == brute({"alpha": 1, "beta": 2}, lambda n: n % 20 == 3)
     assert {g[2] for g in got if g[0] == 9} <= {c for _, c in brute({"filler": 1}, lambda n: True)}
+
+
+def test_hydrating_a_few_hits_does_not_shuffle_the_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.range(5_000).select(
+            F.concat(F.lit("c"), "id").alias("chunk_id"), F.repeat(F.lit("x"), 2_000).alias("text"),
+            F.lit(None).cast("string").alias("section_title"),
+        )
+        hits = spark.createDataFrame(
+            [(1, "c7", 1), (1, "gone", 2), (1, "c9", 3), (2, "c7", 1), (2, "c7", 2)], "query_pk long, chunk_id string, rank int"
+        )
+        found = fusion.hydrate(hits, chunks)
+        rows = sorted((r.query_pk, r["rank"], r.chunk_id, len(r.text)) for r in found.collect())
+        assert rows == [(1, 1, "c7", 2_000), (1, 2, "c9", 2_000), (2, 1, "c7", 2_000), (2, 2, "c7", 2_000)]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
