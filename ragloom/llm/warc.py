@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import work_path
+from ragloom.functions.scale import fits_broadcast, spread, work_path
 from ragloom.llm.common import Scratch, join_groups, pieces
 
 CHUNK = 1 << 16
@@ -252,9 +252,11 @@ def write(
     """Write a record per page to archives in `folder`; returns the manifest (archive, records, bytes), already stored.
 
     A null html is an empty payload, a null url leaves its header out. Rows that repeat id and payload are written alike.
+    While revisits are few they go to the pages, which are then written by the tasks that read them: payloads are not
+    shuffled, and there are no more archives than splits.
     """
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    rows = pages.select(
+    rows = spread(pages).select(
         F.col(id_column).alias("page_id"), F.col(url).alias("uri"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     )
@@ -262,7 +264,7 @@ def write(
         F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("refers_to").alias("_to")
     )
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (_digest("payload") == F.col("_digest"))
-    found = rows.join(repeats, same, "left")
+    found = rows.join(F.broadcast(repeats) if fits_broadcast(repeats) else repeats, same, "left")
     records = found.select(
         F.when(F.col("_to").isNotNull(), "revisit").otherwise("response").alias("kind"), urn("page_id").alias("record_id"),
         "uri", "payload", F.when(F.col("_to").isNotNull(), urn("_to")).alias("refers_to"),

@@ -741,3 +741,27 @@ def test_counts_of_words_and_neighbours_travel_as_arrays(monkeypatch):
         summed = collocations._sum_pairs(3)(out.filter(pa.compute.equal(out.column("bucket"), bucket)))
         got |= {(r["prefix"], r["suffix"]) for r in summed.to_pylist()}
     assert got == {k for k, n in pairs.items() if n >= 3}
+
+
+def test_few_revisits_leave_pages_where_they_are(spark, monkeypatch):
+    big = "y" * 2_000
+    rows = [(n, f"u{n}", big + str(n % 50)) for n in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    off = {
+        "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        few = warc.write(pages, work_path(spark))
+        assert few.count() <= 8  # an archive for each split, as nothing is dealt out again
+        monkeypatch.setattr(warc, "fits_broadcast", lambda df: False)
+        many = warc.write(pages, work_path(spark))
+        read = lambda m: sorted((r.record_id, r.record_type, r.refers_to_id or "", r.digest_ok) for r in warc.read(m).collect())
+        assert read(few) == read(many) and sum(r[1] == "revisit" for r in read(few)) == 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        for name in list(off)[1:]:
+            spark.conf.unset(name)
