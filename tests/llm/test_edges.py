@@ -743,6 +743,32 @@ def test_counts_of_words_and_neighbours_travel_as_arrays(monkeypatch):
     assert got == {k for k, n in pairs.items() if n >= 3}
 
 
+def test_collocations_store_no_hash_for_each_word(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(f"w{n}" for n in rng.integers(0, 5, 5_000)) + ". end", ("en", None)[n % 2]) for n in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t, _ in rows], pa.binary()), pa.array(["en"] * 8)], ["text", "lang"])
+    out = pa.Table.from_batches(collocations._read_texts(4, arrays=False)(iter([batch])))
+    assert out.num_rows <= 4 and out.nbytes < 5_000
+    stored = {}
+    write = common.Scratch.write
+
+    def noted(self, name, df):
+        found = write(self, name, df)
+        stored[name] = found.columns, found.agg(*[F.sum(F.octet_length(c)) for c, k in found.dtypes if k == "binary"] or [F.lit(0)]).first()
+        return found
+
+    monkeypatch.setattr(common.Scratch, "write", noted)
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(2)
+    once = sorted(map(tuple, collocations.mine(docs, min_count=10, longest=2).collect()))
+    assert sum(n or 0 for n in stored["read"][1]) < 10_000  # 320 KB as hashes
+    # With several passes over the dictionaries the numbers are the same.
+    monkeypatch.setattr(collocations, "SHARD", 8)
+    monkeypatch.setattr(collocations, "SHARDS_A_PASS", 1)
+    stored.clear()
+    assert once and sorted(map(tuple, collocations.mine(docs, min_count=10, longest=2).collect())) == once
+    assert "words1" in stored
+
+
 def test_few_revisits_leave_pages_where_they_are(spark, monkeypatch):
     big = "y" * 2_000
     rows = [(n, f"u{n}", big + str(n % 50)) for n in range(60)]
