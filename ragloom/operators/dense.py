@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.scale import top_k
+from ragloom.functions.scale import small_batches, top_k
 from ragloom.operators.lexical import query_filters
 
 SCORE_DIGITS = 9
@@ -57,6 +57,7 @@ def vector_topk(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> D
     of bounded size that travel to the tasks, one pass over the chunks for each; the chunks are never shuffled, and a
     task returns k rows per query whatever it has read.
     """
+    small_batches(query_vectors.sparkSession)
     wanted = query_vectors.filter(F.col("embedding").isNotNull()).select(
         "query_pk", "embedding", *query_filters(query_vectors)
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragloom.functions.scale import cut_lineage, fits_broadcast, join_hot, spread, top_k, work_path
+from ragloom.functions.scale import cut_lineage, fits_broadcast, join_hot, small_batches, spread, top_k, work_path
 from ragloom.functions.text import tokens
 
 # BM25 parameters and field boosts.
@@ -123,6 +123,7 @@ def write_index(chunks: DataFrame, path: str) -> TextIndex:
     A chunk is one row, so its words are counted where it is read: no text and no posting is shuffled. Blocks are runs of
     neighbouring rows; a table that is stored by topic or source gives blocks that queries can skip.
     """
+    small_batches(chunks.sparkSession)
     words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
     sent = spread(chunks.select("chunk_id", "process_name", "tags", "text")).select(
         "chunk_id", "process_name", "tags", words.alias("words")
@@ -195,6 +196,7 @@ def bm25_topk(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
     Scores of (query, chunk) pairs are never shuffled: a task passes on the k best of each query. Query terms travel to the
     tasks in slices of bounded size.
     """
+    small_batches(queries.sparkSession)
     base = queries.select("query_pk", "text", *query_filters(queries))
     counted = cut_lineage(
         base.select("query_pk", "_process", "_tags", F.explode_outer(tokens(F.col("text"))).alias("term"))
