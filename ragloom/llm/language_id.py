@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.functions.scale import small_batches
 from ragloom.llm.common import buffers, fresh, pieces, tidy
 
 WINDOW = 128
@@ -215,6 +216,7 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
     Texts that are null or without a letter get UNKNOWN and score 0, as do all texts without a model. Columns of the
     input named lang_pred or score are replaced.
     """
+    small_batches(documents.sparkSession)
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = documents.select(
         *[F.col(f"`{c}`") for c in kept],

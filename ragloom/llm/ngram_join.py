@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ragloom.functions.scale import small_batches
 from ragloom.llm.common import HOT_SHARE, Scratch, components, join_groups, mix64, packed, pieces, tidy
 
 GROUPS = 256
@@ -622,6 +623,7 @@ def _named(documents: DataFrame, words: int, percent: int, id_column: str, text:
     last, then the smallest number of the set and digest of the text. It is null for documents without words.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
+    small_batches(documents.sparkSession)
     sent = documents.select(
         F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
         (_mark(text) if choose else F.lit(None).cast("binary")).alias("mark"),

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.functions.scale import small_batches
 from ragloom.llm.common import buffers, fresh, mix64, pieces, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,6 +52,40 @@ class Pieces:
     key: int = field(default=0)
 
 
+class Trie:
+    """What tasks need of a vocabulary, as numpy arrays: transitions between the starts of pieces, and spelled bytes.
+
+    It is built once and broadcast; a task's share of it is a few MB, that of the vocabulary's dictionaries tens of MB.
+    """
+
+    def __init__(self, vocabulary: Pieces):
+        self.longest = vocabulary.longest
+        self.chars = {p for p in vocabulary.ids if len(p) == 1}
+        self.table = np.frombuffer(b"".join(vocabulary.spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in vocabulary.spelled], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        alphabet = {c: n + 1 for n, c in enumerate(sorted({c for p in vocabulary.ids for c in p}))}
+        self.char_id = np.zeros(0x110000, np.int32)
+        for c, n in alphabet.items():
+            self.char_id[ord(c)] = n
+        for byte in range(128):  # what ASCII has no piece for is one byte
+            if byte != 32 and self.char_id[byte] == 0:
+                self.char_id[byte] = alphabet.get(chr(BYTE + byte), 0)
+        self.width = len(alphabet) + 1
+        edges: dict[int, int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for piece, n in vocabulary.ids.items():
+            state = 0
+            for c in piece:
+                state = edges.setdefault(state * self.width + alphabet[c], len(edges) + 1)
+            ends[state] = (n, vocabulary.weights[piece])
+        self.keys = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.ends, self.end_weight = np.full(len(edges) + 1, -1, np.int32), np.zeros(len(edges) + 1)
+        for state, (n, weight) in ends.items():
+            self.ends[state], self.end_weight[state] = n, weight
+
+
 def load_pieces(model_file: str = DEFAULT_MODEL, exponent: float = 1.0) -> Pieces:
     """Read a model file. A piece weighs (10 + its rank by score) ** -exponent; larger exponents favour frequent pieces.
 
@@ -100,37 +135,13 @@ class _Growing:
 class _Lattices:
     """Filtered lattices of words: for each node its incoming edges with cumulative probabilities."""
 
-    def __init__(self, vocabulary: Pieces):
-        self.vocabulary = vocabulary
-        self.chars = {p for p in vocabulary.ids if len(p) == 1}
-        self.table = np.frombuffer(b"".join(vocabulary.spelled), np.uint8)
-        self.sizes = np.array([len(x) for x in vocabulary.spelled], np.int64)
-        self.places = np.cumsum(self.sizes) - self.sizes
-        self._build_trie()
+    def __init__(self, trie: Trie | Pieces):
+        trie = Trie(trie) if isinstance(trie, Pieces) else trie
+        self.longest, self.chars, self.width, self.char_id = trie.longest, trie.chars, trie.width, trie.char_id
+        self.table, self.sizes, self.places = trie.table, trie.sizes, trie.places
+        self.keys, self.child, self.ends, self.end_weight = trie.keys, trie.child, trie.ends, trie.end_weight
         self.clear()
 
-    def _build_trie(self) -> None:
-        alphabet = {c: n + 1 for n, c in enumerate(sorted({c for p in self.vocabulary.ids for c in p}))}
-        self.char_id = np.zeros(0x110000, np.int32)
-        for c, n in alphabet.items():
-            self.char_id[ord(c)] = n
-        for byte in range(128):  # what ASCII has no piece for is one byte
-            if byte != 32 and self.char_id[byte] == 0:
-                self.char_id[byte] = alphabet.get(chr(BYTE + byte), 0)
-        self.width = len(alphabet) + 1
-        edges: dict[int, int] = {}
-        ends: dict[int, tuple[int, float]] = {}
-        for piece, n in self.vocabulary.ids.items():
-            state = 0
-            for c in piece:
-                state = edges.setdefault(state * self.width + alphabet[c], len(edges) + 1)
-            ends[state] = (n, self.vocabulary.weights[piece])
-        self.keys = np.array(sorted(edges), np.int64)
-        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
-        self.ends, self.end_weight = np.full(len(edges) + 1, -1, np.int32), np.zeros(len(edges) + 1)
-        for state, (n, weight) in ends.items():
-            self.ends[state], self.end_weight[state] = n, weight
-
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.base, self.length = _Growing(np.int64, 2 * KEPT_WORDS), _Growing(np.int32, 2 * KEPT_WORDS)
@@ -172,7 +183,7 @@ class _Lattices:
         bucket = np.where(length <= 32, -(-length // 4) * 4, 1 << np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))
         for size in np.unique(bucket).tolist():
             rows = np.flatnonzero(bucket == size)
-            step = max(1, (1 << 20) // (size * self.vocabulary.longest))
+            step = max(1, (1 << 20) // (size * self.longest))
             for low in range(0, len(rows), step):
                 part = rows[low : low + step]
                 self._filter(ids, first[part], length[part])
@@ -181,7 +192,7 @@ class _Lattices:
 
     def _filter(self, ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
         """Sum path weights to node 1, 2, .. of all these words side by side."""
-        count, width, longest = len(first), int(length.max()), self.vocabulary.longest
+        count, width, longest = len(first), int(length.max()), self.longest
         word = np.repeat(np.arange(count), length)
         at = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
         left = np.repeat(length, length) - at
@@ -234,7 +245,7 @@ class _Lattices:
 
     def _edges(self, ids: np.ndarray, start: int, stop: int) -> list[list[tuple[int, float, int]]]:
         """For the nodes start + 1 .. stop of one word: (first node, weight, id) of the pieces that end there, short ones first."""
-        longest = self.vocabulary.longest
+        longest = self.longest
         at = np.arange(max(start - longest + 1, 0), stop)
         symbol, state, found = at, np.zeros(len(at), np.int64), []
         for step in range(longest):
@@ -260,14 +271,14 @@ class _Lattices:
         for n, own in enumerate(edges):
             alpha.append(sum(alpha[first - base] * weight for first, weight, _ in own))
             if n % 16 == 15 and not 1e-100 < alpha[-1] < 1e100:
-                top = max(alpha[-self.vocabulary.longest - 16 :]) or 1.0
+                top = max(alpha[-self.longest - 16 :]) or 1.0
                 alpha = [a / top for a in alpha]
         return alpha
 
     def sample_long(self, word: str, seed: int, start: int) -> np.ndarray:
         """Piece ids of one word of any length; memory beyond the word itself is that of one block."""
         codes, length = self._codes([word])
-        ids, size, longest = self.char_id[codes].astype(np.int64), int(length[0]), self.vocabulary.longest
+        ids, size, longest = self.char_id[codes].astype(np.int64), int(length[0]), self.longest
         blocks, kept = list(range(0, size, LONG_BLOCK)), [[1.0]]
         for low in blocks[:-1]:
             alpha = self._weights(self._edges(ids, low, low + LONG_BLOCK), low, kept[-1])[-longest:]
@@ -324,9 +335,6 @@ class _Lattices:
         return out, counts
 
 
-_KEPT: dict[int, _Lattices] = {}
-
-
 def _parts(text: str) -> Iterator[str]:
     """A text in parts of about PART_CHARS that begin where a word begins."""
     start = 0
@@ -389,25 +397,23 @@ def encode_texts(lattices: _Lattices, texts: Sequence[str], seeds: np.ndarray) -
     return (np.concatenate(found) if found else np.zeros(0, np.int32)), sizes
 
 
-def _sent(documents: DataFrame, kept: list[str], text: str, key: str, seed: int) -> DataFrame:
-    return documents.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(text), F.lit("")).alias(fresh("_text", kept)),
-        F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias(fresh("_seed", kept)),
-    )
+def _sent(documents: DataFrame, kept: list[str], text: str, key: str, seed: int) -> tuple[DataFrame, int]:
+    """The columns `kept`, a seed, and the text if it isn't one of them: no text travels twice. Also the text's position."""
+    small_batches(documents.sparkSession)
+    columns = [F.col(f"`{c}`") for c in kept]
+    seeds = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null key")), F.lit(seed)).alias(fresh("_seed", kept))
+    if text in kept and "." not in text and documents.schema[text].dataType == T.StringType():
+        return documents.select(*columns, seeds), kept.index(text)
+    return documents.select(*columns, seeds, F.coalesce(F.col(text), F.lit("")).alias(fresh("_text", kept))), len(kept) + 1
 
 
-def _lattices_of(vocabulary: Pieces) -> _Lattices:
-    if vocabulary.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[vocabulary.key] = _Lattices(vocabulary)
-    return _KEPT[vocabulary.key]
+def _lattices_of(vocabulary: Trie | Pieces) -> _Lattices:
+    return _Lattices(vocabulary)
 
 
-def _encoded(lattices: _Lattices, batch: pa.RecordBatch, at: int):
-    """Ids of the texts in column `at` (seeds follow it), how many each has, and the same as a list column."""
-    seeds = batch.column(at + 1).to_numpy().view(np.uint64)
-    ids, sizes = encode_texts(lattices, batch.column(at).to_pylist(), seeds)
+def _encoded(lattices: _Lattices, batch: pa.RecordBatch, at: int, seeds: int):
+    """Ids of the texts in column `at`, whose seeds are in `seeds`, how many each has, and the same as a list column."""
+    ids, sizes = encode_texts(lattices, batch.column(at).to_pylist(), batch.column(seeds).to_numpy().view(np.uint64))
     offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
     return ids, sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
@@ -421,16 +427,15 @@ def encode(
     its own; rows that repeat a key and text get equal ids. A column named ids is replaced.
     """
     kept = [c for c in documents.columns if c != "ids"]
-    sent = _sent(documents, kept, text, key, seed)
+    sent, at = _sent(documents, kept, text, key, seed)
     schema = T.StructType([*sent.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast(Trie(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices_of(shared.value)
-        lattices.clear()
         for whole in batches:
-            for batch in pieces(whole, len(kept), PART_CHARS):
-                *_, lists = _encoded(lattices, batch, len(kept))
+            for batch in pieces(whole, at, PART_CHARS):
+                *_, lists = _encoded(lattices, batch, at, len(kept))
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(len(kept))], lists], [*kept, "ids"])
         lattices.clear()
 
@@ -445,22 +450,21 @@ def round_trip(
     """
     added = ["ids", "n_bytes", "decoded_sha256", "lossless"]
     kept = [c for c in documents.columns if c not in added]
-    sent = _sent(documents, kept, text, key, seed)
+    sent, at = _sent(documents, kept, text, key, seed)
     schema = T.StructType([
         *sent.schema.fields[: len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
         T.StructField("n_bytes", T.LongType()), T.StructField("decoded_sha256", T.StringType()),
         T.StructField("lossless", T.BooleanType()),
     ])
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast(Trie(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices_of(shared.value)
-        lattices.clear()
         for whole in batches:
-            for batch in pieces(whole, len(kept), PART_CHARS):
-                ids, sizes, lists = _encoded(lattices, batch, len(kept))
+            for batch in pieces(whole, at, PART_CHARS):
+                ids, sizes, lists = _encoded(lattices, batch, at, len(kept))
                 decoded, ends = lattices.decode(ids, sizes)
-                data, offsets = buffers(batch.column(len(kept)))
+                data, offsets = buffers(batch.column(at))
                 counts, digests, same, start = [], [], [], 0
                 for n, end in enumerate(ends.tolist()):
                     value = decoded[start:end].tobytes().removeprefix(b" ")

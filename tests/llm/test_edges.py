@@ -3,6 +3,7 @@
 import collections
 import gzip
 import itertools
+import pickle
 import random
 import re
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ragloom.functions import scale
 from ragloom.functions.scale import work_path
 from ragloom.llm import (
     collocations,
@@ -206,6 +208,22 @@ def test_codec_edges(odd, nothing):
     assert sentencepiece_codec.decode_ids(pieces, [-1, 10**9, 0, 1]) == b""
 
 
+def test_codec_sends_texts_once_in_small_batches(spark, odd):
+    """A task gets each text once, the vocabulary as arrays, and batches of bounded size."""
+    session = spark.newSession()
+    pieces = sentencepiece_codec.load_pieces()
+    documents = session.createDataFrame(odd.collect(), odd.schema)
+    coded = sentencepiece_codec.round_trip(documents, pieces)
+    sent = coded._jdf.queryExecution().optimizedPlan().children().head().output()
+    assert sent.size() == len(documents.columns) + 1
+    assert int(session.conf.get(scale.ARROW_LIMIT)) == scale.ARROW_BYTES
+    twice = sentencepiece_codec.round_trip(documents, pieces, text="TEXT")
+    assert twice.exceptAll(coded).isEmpty() and coded.count() == twice.count() == odd.count()
+    trie = pickle.loads(pickle.dumps(sentencepiece_codec.Trie(pieces)))
+    own = {name for name, value in vars(trie).items() if isinstance(value, dict)}
+    assert not own and len(trie.chars) < len(pieces.ids)
+
+
 def test_samples_follow_the_lattice():
     """Frequencies of the sampled segmentations of a word against the weights of all its paths."""
     pieces = sentencepiece_codec.load_pieces(exponent=0.2)
