@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -787,6 +788,32 @@ def test_collocations_store_no_hash_for_each_word(spark, monkeypatch):
     assert "words1" in stored
 
 
+def test_collocations_reach_the_driver_in_short_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{n}" for n in rng.integers(0, 40, 3_000)), "en") for _ in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(2)
+    expected = sorted(map(tuple, collocations.mine(docs, min_count=6, longest=3).collect()))
+    seen, ended, iterate = [], [], type(docs).toLocalIterator
+
+    def counted(self, *args):
+        for row in iterate(self, *args):
+            seen.append(sum(len(x) for x in row if isinstance(x, (bytes, bytearray))))
+            yield row
+
+    def refused(self):
+        raise AssertionError("a row for each word on the driver")
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", counted)
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (ended.append(self), destroy(self, *a)))
+    monkeypatch.setattr(collocations, "ROW_BYTES", 256)
+    monkeypatch.setattr(collocations, "SHARD", 1_000)
+    assert expected and sorted(map(tuple, collocations.mine(docs, min_count=6, longest=3).collect())) == expected
+    # 40 words, 1,600 pairs in two tries and the phrases of three words.
+    assert len(seen) > 50 and max(seen) <= 2 * 256 and len(ended) >= 3
+
+
 def test_few_revisits_leave_pages_where_they_are(spark, monkeypatch):
     big = "y" * 2_000
     rows = [(n, f"u{n}", big + str(n % 50)) for n in range(60)]
