@@ -352,15 +352,12 @@ def build_chunks(chunks: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     chunks: document_id, first_idx[, window, part], text, …; meta: document_id, process_name, tags, file_name.
     """
     minor = F.struct(*[c for c in ("first_idx", "seg", "part", "window") if c in chunks.columns])
+    overlay = ["process_name", "tags", "file_name"] if meta is not None else []
+    if meta is not None:
+        meta = meta.select("document_id", *[or_null(F.col(c)).alias(c) for c in overlay])
     numbered = blocked_row_number(
-        chunks, ["document_id"], F.floor(F.col("first_idx") / BLOCK_ROWS), [minor], "pos"
+        chunks, ["document_id"], F.floor(F.col("first_idx") / BLOCK_ROWS), [minor], "pos", meta
     ).withColumn("pos", (F.col("pos") - 1).cast("int"))
     chunk_id = F.concat(F.col("document_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))
-    rows = numbered.drop("first_idx", "seg", "part", "window").withColumn("chunk_id", chunk_id)
-    if meta is not None:
-        rows = rows.join(
-            meta.select("document_id", *[or_null(F.col(c)).alias(c) for c in ("process_name", "tags", "file_name")]),
-            "document_id",
-            "left",
-        )
-    return rows.withColumn("point_id", uuid5(F.col("chunk_id")))
+    own = [c for c in numbered.columns if c not in ("first_idx", "seg", "part", "window", *overlay)]
+    return numbered.select(*own, chunk_id.alias("chunk_id"), *overlay).withColumn("point_id", uuid5(F.col("chunk_id")))

@@ -358,7 +358,7 @@ def upload_outcomes(spark, d) -> DataFrame:
     parsed = prepare_elements(data.elements(spark, d).filter(F.col("document_id") % 10 != 9))
     embedded = data.with_embeddings(parsed, spark, d).withColumn("path", path(F.col("document_id")))
     read = ["path", "pos", "element_type", "text", "page", "section_title", "table_html", "embedding"]
-    _, indexed, failed = ingest.chunk_events(events, cut_lineage(embedded.select(*read)))
+    _, indexed, failed = ingest.chunk_events(events, embedded.select(*read))
     return indexed.select(
         "document_id", F.lit("indexed").alias("outcome"), F.col("chunking_strategy").alias("detail"), "chunks"
     ).unionByName(failed.select(

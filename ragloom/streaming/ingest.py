@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ragloom.functions.scale import cut_lineage
+from ragloom.functions.scale import cut_lineage, drop_work, work_path
 from ragloom.operators import chunking
 from ragloom.operators.elements import prepare_elements
 
@@ -27,42 +27,56 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sentence_semantic": chunking.chunk_sentences,
 }
 
+# Strategies that read no embeddings.
+WITHOUT_VECTORS = ["by_title"]
+
 
 def chunk_events(events: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, indexed, failed) of a batch of upload events.
 
     elements: path, pos, element_type, text, page, section_title, table_html, embedding - what a layout parser made of
-    each uploaded file; only those of the batch's paths are read, once. A file without elements has failed; failures are
-    reported, every one of them, and not tried again. Of several events of a document whose files are there the last one
-    counts: by `_order`, where events have that column, else by the values of all columns.
+    each uploaded file. Of all of them only the paths are read; the rest once, of the batch's files, to be prepared for
+    all strategies together. A file without elements has failed; failures are reported, every one of them, and not tried
+    again. Of several events of a document whose files are there the last one counts: by `_order`, where events have that
+    column, else by the values of all columns.
     """
+    spark = events.sparkSession
     known = F.col("chunking_strategy").isin(*STRATEGIES)
     batch = events.withColumn(
         "chunking_strategy", F.when(known, F.col("chunking_strategy")).otherwise(DEFAULT_STRATEGY)
     )
-    elements = cut_lineage(elements.join(batch.select("path").distinct(), "path", "left_semi"))
-    there = elements.select("path").distinct()
+    there = cut_lineage(elements.select("path").distinct().join(batch.select("path"), "path", "left_semi"))
     names = [c for c in batch.columns if c not in ("_order", "document_id")]
     order = F.struct(*(["_order"] if "_order" in batch.columns else []), *names)
     present = batch.join(there, "path", "left_semi")
     latest = present.groupBy("document_id").agg(F.max_by(F.struct(*names), order).alias("_event"))
-    found = latest.select("document_id", "_event.*")
+    found = cut_lineage(latest.select("document_id", "_event.*"))
     failed = batch.join(there, "path", "left_anti").select(
         "document_id", F.concat(F.lit("Upload file missing: "), F.coalesce("path", F.lit(""))).alias("error")
     )
     meta = found.select("document_id", "process_name", "tags", "file_name")
+    path = work_path(spark)
+    placed = elements.join(found.select("document_id", "path", "chunking_strategy"), "path").drop("path")
+    read = ~F.col("chunking_strategy").isin(*WITHOUT_VECTORS)
+    prepared = cut_lineage(
+        prepare_elements(placed.withColumn("embedding", F.when(read, F.col("embedding")))), "chunking_strategy", path=path
+    )
     chunks = None
     for name, chunker in STRATEGIES.items():
-        documents = found.filter(F.col("chunking_strategy") == name).select("document_id", "path")
-        prepared = cut_lineage(prepare_elements(elements.join(documents, "path")))
-        made = chunking.build_chunks(chunker(prepared), meta).withColumn("chunking_strategy", F.lit(name))
+        own = prepared.filter(F.col("chunking_strategy") == name).drop("chunking_strategy")
+        # Numbering reads the chunks twice, so they are stored and not put together twice.
+        merged = work_path(spark)
+        made = chunking.build_chunks(cut_lineage(chunker(own), path=merged), meta)
+        made = made.withColumn("chunking_strategy", F.lit(name))
         missing = [c for c in CHUNK_COLUMNS if c not in made.columns]
         for column in missing:
             kind = "array<string>" if column == "roles" else "string"
             made = made.withColumn(column, F.lit(None).cast(kind))
-        made = made.select(*CHUNK_COLUMNS)
+        # Strategy by strategy: what one has shuffled is gone before the next one begins.
+        made = cut_lineage(made.select(*CHUNK_COLUMNS))
+        drop_work(spark, merged)
         chunks = made if chunks is None else chunks.unionByName(made)
-    chunks = cut_lineage(chunks)
+    drop_work(spark, path)
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
     indexed = (
         found.join(counts, "document_id", "left").fillna(0, ["chunks"])

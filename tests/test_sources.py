@@ -1,10 +1,12 @@
 """JSON lines, upserts, process-model files, exports, audits, streaming."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from ragloom.functions.scale import SHUFFLE_CLEANUP, cut_lineage
 from ragloom.operators import gating, graph, statistics
 from ragloom.sources import evaluation, process_models, tables
 from ragloom.streaming import ingest
@@ -203,6 +205,50 @@ def test_exports(spark, tmp_path):
     assert [(r["run_name"], r["is_baseline"], r["m"]) for r in rows] == [("a", "true", "1.500000"), ("b", "false", "4.000000")]
 
 
+def test_uploads_are_prepared_once(spark, monkeypatch):
+    words = " ".join(["word"] * 60)
+    elements = spark.createDataFrame(
+        [(p, i, "Title" if i == 0 else "Text", f"{p} {i} {words}", 1, None, None, [float(i), 1.0, float(i * i)])
+         for p in ("f1", "f2", "f3", "other") for i in range(6)],
+        "path string, pos int, element_type string, text string, page int, section_title string, table_html string, "
+        "embedding array<float>",
+    )
+    events = spark.createDataFrame(
+        [("d1", "f1", "by_title"), ("d2", "f2", "semantic"), ("d3", "f3", "sentence_semantic"), ("d4", "f1", "semantic"),
+         ("d5", "gone", "by_title"), ("d1", None, "by_title"), (None, "f2", "by_title")],
+        "document_id string, path string, chunking_strategy string",
+    ).selectExpr("*", "'P' AS process_name", "'' AS tags", "'f' AS file_name")
+    prepare, given, dropped = ingest.prepare_elements, [], []
+    drop = ingest.drop_work
+    monkeypatch.setattr(ingest, "prepare_elements", lambda rows: given.append(rows) or prepare(rows))
+    monkeypatch.setattr(ingest, "drop_work", lambda session, path: dropped.append(path) or drop(session, path))
+    chunks, indexed, failed = ingest.chunk_events(events, elements)
+    # One table of elements for all strategies, with the vectors of those that read them.
+    assert len(given) == 1 and "other" not in str(given[0].select("text").collect())
+    vectors = given[0].groupBy("chunking_strategy").agg(F.count("embedding").alias("n"))
+    assert {r[0]: r[1] for r in vectors.collect()} == {"by_title": 0, "semantic": 12, "sentence_semantic": 6}
+    assert len(dropped) == 4  # the elements, and the chunks of each strategy before they were numbered
+    counts = {r["document_id"]: r["count"] for r in chunks.groupBy("document_id").count().collect()}
+    rows = {r["document_id"]: (r["chunking_strategy"], r["chunks"]) for r in indexed.collect()}
+    assert {k: rows[k][0] for k in rows if k} == {"d1": "by_title", "d2": "semantic", "d3": "sentence_semantic", "d4": "semantic"}
+    assert all(rows[k][1] == counts[k] > 0 for k in ("d1", "d2", "d3", "d4"))
+    assert sorted(r["error"] for r in failed.collect()) == ["Upload file missing: ", "Upload file missing: gone"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disk.getAllBlocks().mkString("\n").splitlines() if x.startswith("shuffle")}
+    before = shuffles()
+    stored = cut_lineage(spark.range(1_000).repartition(5).withColumn("part", F.col("id") % 2), "part")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    assert stored.columns == ["id", "part"] and stored.filter("part = 1").count() == 500
+
+
 def test_upload_stream(spark, tmp_path):
     words = " ".join(["word"] * 60)
     elements = spark.createDataFrame(
